@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import SPACE, Scratch, lower_ascii, table
 
+#: Parts in which the rows of one shared line are joined.
+SALTS = 32
+
 
 def split_lines(text: Column) -> Column:
     """Lines of a text, split at \\n; null or empty: one empty line."""
@@ -34,7 +37,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, *, min_chars: int = 20, min_do
 
     Plan: one scan makes (two 64-bit hashes, doc_id, position) of each long line, written once; the distinct count
     first meets by (hash, doc_id), so that a line of a third of all documents is spread, and then sums partial counts
-    by hash. Only positions to drop return to the documents, by doc_id and text hash.
+    by hash. A shared line's rows meet its keeper in SALTS parts. Only positions to drop return to the documents, by doc_id and text hash.
     """
     lines = split_lines(F.col("text"))
     key = lambda x: line_key(x)
@@ -46,9 +49,10 @@ def line_dedup(docs: DataFrame, scratch: Scratch, *, min_chars: int = 20, min_do
     )
     common = (
         occ.groupBy("ld_h1", "ld_h2").agg(F.count_distinct("ld_id").alias("ld_n"), F.max("ld_id").alias("ld_keeper")).filter(F.col("ld_n") >= min_docs).drop("ld_n")
-    )
+    ).withColumn("ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     drops = (
-        occ.join(common, ["ld_h1", "ld_h2"])
+        occ.withColumn("ld_salt", F.pmod(F.xxhash64("ld_id"), F.lit(SALTS)).cast("int"))
+        .join(common, ["ld_h1", "ld_h2", "ld_salt"])
         .filter(F.col("ld_id") != F.col("ld_keeper"))
         .groupBy("ld_id", "ld_th")
         .agg(F.array_sort(F.collect_set("ld_pos")).alias("ld_drop"))

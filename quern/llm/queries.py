@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, line_dedup, quality_rules
+from quern.llm import chat_format, decontaminate, line_dedup, minmax_dedup, quality_rules, resharding, url_rules
 
 QUERIES = {
+    "op1_minmax_dedup": minmax_dedup.op1_minmax_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_resharding": resharding.op4_resharding,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_url_rules": url_rules.op8_url_rules,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
