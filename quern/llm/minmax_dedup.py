@@ -8,16 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quern.llm.common import Scratch, table, with_text  # noqa: F401
+from quern.llm.common import Scratch, table
 
 BANDS, PERMS_PER_BAND = 48, 3
 SEED = 20240229
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Words remembered by a worker; beyond that the memory starts anew.
 MEMORY = 1 << 20
+#: Members of a bucket that are compared pair by pair; of a block; and columns of one matrix product.
+SMALL, BLOCK, COLUMNS = 16, 64, 8192
 
 
 class WordHashes(dict):
@@ -98,7 +101,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.col("text").alias("mm_text")).mapInArrow(run, "mm_id long, mm_n long, mm_f1 long, mm_f2 long, mm_bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +118,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    ta = docs.select(F.col("mm_id").alias("a"), F.col("mm_text").alias("ta"))
-    tb = docs.select(F.col("mm_id").alias("b"), F.col("mm_text").alias("tb"))
+    ta = texts.select(F.col("mm_id").alias("a"), F.col("mm_text").alias("ta"))
+    tb = texts.select(F.col("mm_id").alias("b"), F.col("mm_text").alias("tb"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -141,58 +144,108 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80, leaders: tuple[int, ...] = (1, 8)) -> DataFrame:
+def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components inside large buckets, without a row for each pair.
+
+    rest: (key, id, comp). Buckets that share members form a cluster, whose members are dealt, sorted by component, into
+    blocks of BLOCK; two blocks meet once, in one row, unless all their members are one component, and a matrix product
+    counts all their intersections.
+    """
+    low = rest.groupBy("key").agg(F.min("id").alias("b"))
+    cluster = scratch.write(components(rest.select("key", F.col("id").alias("a")).join(low, "key").select("a", "b"), scratch))
+    order = Window.partitionBy("cluster").orderBy("comp", "id")
+    member = (
+        rest.select("id", F.col("comp").alias("of")).distinct().join(cluster, F.col("id") == F.col("node")).select("id", F.col("of").alias("comp"), cluster["comp"].alias("cluster"))
+        .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    )
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(t.as_py(), k, hashes).tobytes() for t in batch.column(4).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["cluster", "block", "id", "comp", "set"])
+
+    blocks = scratch.write(
+        member.join(texts, F.col("id") == F.col("mm_id")).select("cluster", "block", "id", "comp", "mm_text")
+        .mapInArrow(to_sets, "cluster long, block int, id long, comp long, set binary")
+        .groupBy("cluster", "block").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    )
+    side = lambda x: blocks.select("cluster", F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    meet = side("x").join(side("y"), "cluster").filter("block_x <= block_y AND NOT (lo_x = hi_x AND lo_y = hi_y AND lo_x = lo_y)").select("cluster", "block_x", "block_y")
+    one = lambda x: blocks.select("cluster", F.col("block").alias(f"block_{x}"), F.col("m").alias(f"m_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                both = [np.frombuffer(m["set"], np.uint64) for m in (*x, *y)]
+                size = np.array([len(s) for s in both])
+                of, flat = np.repeat(np.arange(len(both)), size), np.concatenate(both)
+                sort = np.argsort(flat, kind="stable")
+                column = np.cumsum(np.concatenate([[0], np.diff(flat[sort]) != 0]))
+                inter = np.zeros((len(x), len(y)), np.float32)
+                for at in range(0, int(column[-1]) + 1, COLUMNS):  # in blocks of columns, so that memory has a bound
+                    i, j = np.searchsorted(column, [at, at + COLUMNS])
+                    m = np.zeros((len(both), COLUMNS), np.float32)
+                    m[of[sort[i:j]], column[i:j] - at] = 1
+                    inter += m[: len(x)] @ m[len(x) :].T
+                nx, ny = size[: len(x), None], size[None, len(x) :]
+                good = (100 * inter >= percent * (nx + ny - inter)) & (np.array([m["comp"] for m in x])[:, None] != np.array([m["comp"] for m in y])[None])
+                i, j = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array([x[q]["id"] for q in i], pa.int64()), pa.array([y[q]["id"] for q in j], pa.int64())], names=["a", "b"])
+
+    return meet.join(one("x"), ["cluster", "block_x"]).join(one("y"), ["cluster", "block_y"]).select("m_x", "m_y").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text, others ignored): doc_id, n_shingles, component_id, kept.
 
     Documents of one shingle set are one class, and only its smallest doc_id is banded. In each bucket every member is
-    paired with the bucket's smallest one (then with 8 spread over it), confirmed and merged; a bucket whose members are
-    then in one component has nothing more to tell. In buckets that still hold several components all pairs of different
-    components are confirmed at last, so no candidate is lost and a group of copies costs pairs in proportion to its rows.
+    first paired with the member that shares most buckets with others, the likely origin of its copies; pairs are
+    confirmed and merged. A bucket whose members are then in one component has nothing more to tell. In the others every
+    pair of different components is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond (confirm_blocks).
+    So no candidate is lost, and a group of copies makes rows in proportion to its size.
 
     Fewer than k words: the whole sequence is the one shingle. Null or empty text: n_shingles 0, its own component, kept.
-    Null doc_id: null component, kept. Repeated rows of a doc_id: one node; all its rows share component and verdict. Empty table: empty result. Two documents at a similarity of
-    exactly 0.8 meet in some band but for a chance of 5e-7.
+    Null doc_id: null component, kept. Repeated rows of a doc_id: one node; all its rows share component and verdict.
+    Empty table: empty result. Two documents at a similarity of exactly 0.8 meet in some band but for a chance of 5e-7.
     """
     signed = scratch.write(sign(docs, k))
     nodes = signed.filter("mm_id IS NOT NULL AND mm_n > 0")
-    texts = docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.col("text").alias("mm_text"))
     classes = nodes.groupBy("mm_f1", "mm_f2").agg(F.min("mm_id").alias("rep"))
     member = scratch.write(nodes.join(classes, ["mm_f1", "mm_f2"]).groupBy("mm_id").agg(F.min("rep").alias("rep")))
     reps = signed.join(member.filter("mm_id = rep").select("mm_id"), "mm_id", "left_semi").filter("mm_n > 0")
     buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_n").alias("n"), F.explode("mm_bands").alias("key")))
-    multi = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
-    open_ = scratch.write(buckets.join(multi, "key").withColumn("comp", F.col("id")))
+    multi = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("key", "c")
+    shared = scratch.write(buckets.join(multi, "key"))
     scratch.drop(buckets)
-    edges = tried = comp = None
-    for size in (*leaders, 0):
-        if not open_.head(1):
-            break
-        salt = F.pmod(F.xxhash64("id"), F.lit(max(size, 1)))
-        heads = (open_.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n", "comp")).alias("x")).select("key", "x.*") if size else open_).select(
-            "key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2")
-        )
-        near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("comp") != F.col("comp2"))
-        pairs = open_.join(heads, "key").filter(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        used = pairs.select(F.explode(F.array("a", "b")).alias("mm_id")).distinct()
-        one = texts.join(used, "mm_id", "left_semi")
-        found = scratch.write(confirm(pairs, one, k, percent).distinct())
-        edges = found if edges is None else edges.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        comp = scratch.write(components(edges, scratch))
-        again = open_.drop("comp").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "key", F.coalesce("comp", "id").alias("comp"))
-        left = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi AND c > 2").select("key")
-        after = scratch.write(again.join(left, "key"))
-        scratch.drop(open_)
-        open_ = after
-    of = member
-    if comp is not None:
-        of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("mm_id", F.coalesce("comp", "rep").alias("rep"))
+    degree = shared.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
+    # The texts that may be asked for, once; sorted-merge at every size, as the ids may be many.
+    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.col("text").alias("mm_text")).join(degree.select(F.col("id").alias("mm_id")).hint("merge"), "mm_id", "left_semi"))
+    near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    heads = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n")).alias("x")).select("key", F.col("x.id").alias("id2"), F.col("x.n").alias("n2"))
+    tried = scratch.write(shared.join(heads, "key").filter(near & (F.col("id") != F.col("id2"))).select(*pair).distinct())
+    found = scratch.write(confirm(tried, texts, k, percent).distinct())
+    comp = scratch.write(components(found, scratch))
+    again = shared.join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "key", "c", F.coalesce("comp", "id").alias("comp"))
+    split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo <> hi AND most > 2").select("key")
+    rest = scratch.write(again.join(split, "key"))
+    scratch.drop(shared)
+    small = rest.filter(F.col("c") <= SMALL)
+    other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    pairs = scratch.write(small.join(other, "key").filter(near & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = [confirm(pairs, texts, k, percent)]
+    if rest.filter(F.col("c") > SMALL).head(1):
+        more.append(confirm_blocks(rest.filter(F.col("c") > SMALL).select("key", "id", "comp"), texts, scratch, k, percent))
+    late = scratch.write(more[0] if len(more) == 1 else more[0].union(more[1]))
+    if late.head(1):
+        comp = scratch.write(components(found.union(late), scratch))
+    of = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("mm_id", F.coalesce("comp", "rep").alias("rep"))
     out = signed.select("mm_id", "mm_n").join(of, "mm_id", "left").select(
         F.col("mm_id").alias("doc_id"), F.col("mm_n").alias("n_shingles"), F.coalesce("rep", "mm_id").alias("component_id")
     )
+    scratch.close(signed, member, comp)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
