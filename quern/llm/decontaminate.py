@@ -231,9 +231,9 @@ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 win AS (SELECT DISTINCT item_id, len(w[i : i + 12]) AS n, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS k
         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS k
+occ AS (SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS k
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, lens WHERE len(w) >= n)),
-m AS (SELECT at.doc_id, at.i, at.n, win.item_id FROM at JOIN win ON at.k = win.k AND at.n = win.n),
+m AS (SELECT occ.doc_id, occ.i, occ.n, win.item_id FROM occ JOIN win ON occ.k = win.k AND occ.n = win.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s
        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, decontaminate, line_dedup, minmax_dedup, quality_rules, resharding, url_rules
+from quern.llm import chat_format, decontaminate, line_dedup, lm_scoring, minmax_dedup, pii, quality_rules, resharding, sentencepieces, url_rules
 
 QUERIES = {
     "op1_minmax_dedup": minmax_dedup.op1_minmax_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_sentencepieces": sentencepieces.op3_sentencepieces,
     "op4_resharding": resharding.op4_resharding,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_url_rules": url_rules.op8_url_rules,
+    "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 SQL = {
