@@ -175,6 +175,21 @@ def train_round(docs: DataFrame, model: dict, place, rate: float, part: int | No
     return out
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, n) of the most frequent words, best first, `most` at most: all from some count on, found in a histogram of
+    counts by sixteenths of an octave, so that no more than these are gathered."""
+    step = F.floor(F.log2("n") * 16)
+    least, left = None, most
+    for _, n, low in sorted(counts.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+        if n > left:
+            break
+        least, left = low, left - n
+    if least is None:
+        return []
+    got = counts.filter(F.col("n") >= least).toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<binary>"
 
 
@@ -227,7 +242,7 @@ def lm_scores(docs: DataFrame, scratch: Scratch, *, head: int = HEAD, known: int
     spark = docs.sparkSession
     counts = scratch.write(count_tokens(docs))
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = [(bytes(r.word), r.n) for r in counts.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(known).toPandas().itertuples()]
+    top = frequent(counts.filter(F.octet_length("word") > 0), known)
     ends = (counts.filter(F.octet_length("word") == 0).first() or (END, 0))[1]
     head = min(head, len(top))
     in_head = sum(n for _, n in top[:head])
