@@ -162,12 +162,12 @@ def train_round(docs: DataFrame, model: dict, place, rate: float, part: int | No
 
     sums = (
         docs.select("doc_id", "text").mapInArrow(run, "k long, seen double, x array<double>").select("k", "seen", F.posexplode("x").alias("i", "y"))
-        .groupBy("k", "i").agg((F.sum("y") / F.sum("seen")).alias("y")).toPandas()
+        .groupBy("k", "i").agg((F.sum("y") / F.sum("seen")).alias("y")).toArrow()
     )
     if not len(sums):
         return model
     flat = np.empty(sum(sizes.values()), np.float32)
-    flat[(sums.k + sums.i).to_numpy()] = sums.y
+    flat[sums["k"].to_numpy() + sums["i"].to_numpy()] = sums["y"].to_numpy()
     out, at = dict(model), 0
     for k, n in sizes.items():
         out[k] = flat[at : at + n].reshape(model[k].shape)
