@@ -88,7 +88,7 @@ def all_pass(checked: DataFrame) -> DataFrame:
 def rate_window(log: DataFrame, seconds: int = 60) -> DataFrame:
     """log (key, ts, tokens, id) with requests and tokens of its key in the last minute; an entry of exactly a minute ago
     is out."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-(seconds * 1_000_000 - 1), Window.currentRow)
+    w = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), Window.currentRow)
     return log.withColumns({"requests_60s": F.count("*").over(w), "tokens_60s": F.sum("tokens").over(w)})
 
 
