@@ -73,3 +73,18 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """docs with a new text, and n_chars kept in step where there is one."""
     out = docs.withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+OTHERS = "__others"
+
+
+def pack(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct, so that no name of theirs meets an operator's own."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*names, (F.struct(*others) if others else F.lit(None).cast("struct<x:int>")).alias(OTHERS))
+
+
+def unpack(df: DataFrame, columns: list[str], *names: str, **added: Column) -> DataFrame:
+    """The columns as they were before pack(df, *names), then the added ones, which replace columns of their name."""
+    old = [F.col(c) if c in names else F.col(OTHERS).getField(c).alias(c) for c in columns if c not in added]
+    return df.select(*old, *(c.alias(n) for n, c in added.items()))

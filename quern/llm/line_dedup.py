@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, Scratch, lower_ascii, table
+from quern.llm.common import OTHERS, SPACE, Scratch, lower_ascii, pack, table, unpack
 
 #: Parts in which the rows of one shared line are joined.
 SALTS = 32
@@ -33,7 +33,8 @@ def line_dedup(docs: DataFrame, scratch: Scratch, *, min_chars: int = 20, min_do
 
     Null or empty text: one empty line, never dropped (a shorter key than min_chars). Null doc_id: the row counts
     for no key and keeps all lines. Repeated rows of one doc_id count as one document and each is treated alike.
-    All lines dropped: the empty text. Empty table: empty result.
+    All lines dropped: the empty text. Empty table: empty result. Columns
+    named ld_lines or ld_dropped are replaced; other names are free.
 
     Plan: one scan makes (two 64-bit hashes, doc_id, position) of each long line, written once; the distinct count
     first meets by (hash, doc_id), so that a line of a third of all documents is spread, and then sums partial counts
@@ -57,19 +58,14 @@ def line_dedup(docs: DataFrame, scratch: Scratch, *, min_chars: int = 20, min_do
         .groupBy("ld_id", "ld_th")
         .agg(F.array_sort(F.collect_set("ld_pos")).alias("ld_drop"))
     )
-    joined = docs.join(drops, (F.col("doc_id") == F.col("ld_id")) & (F.xxhash64("text") == F.col("ld_th")), "left")
+    joined = pack(docs, "doc_id", "text").join(drops, (F.col("doc_id") == F.col("ld_id")) & (F.xxhash64("text") == F.col("ld_th")), "left")
     n = F.size(lines)
     # The kept lines are the slices between dropped positions: work in proportion to the lines.
     edges = F.concat(F.array(F.lit(-1)), F.col("ld_drop"), F.array(n))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ld_drop")), lambda i: F.slice(lines, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1)))
-    out = joined.withColumns(
-        {
-            "ld_lines": n.cast("long"),
-            "ld_dropped": F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("ld_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
-    )
-    return out.select(*docs.columns, "ld_lines", "ld_dropped")
+    text = F.when(F.col("ld_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.select("doc_id", F.col(OTHERS), text.alias("text"), n.cast("long").alias("n"), F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long").alias("d"))
+    return unpack(out, docs.columns, "doc_id", "text", ld_lines=F.col("n"), ld_dropped=F.col("d"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

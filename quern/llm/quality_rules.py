@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, words
+from quern.llm.common import OTHERS, pack, table, unpack, words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = """
@@ -122,10 +122,12 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES, base:
     """docs with the measures (behind `qr_`), qr_base_failed and qr_kept. One projection, no shuffle, no user function.
 
     Null and empty texts have no words and fail too_short. Rows are judged one by one: repeated rows alike; an empty
-    table gives an empty result; other columns pass through.
+    table gives an empty result; other columns pass through, but for those of the names added.
     """
-    m = measures(docs, prefix="qr_")
-    return m.withColumn("qr_base_failed", fails(base, "qr_")).withColumn("qr_kept", ~(F.col("qr_base_failed") | fails(rules, "qr_")))
+    m = measures(pack(docs, "text"), prefix="qr_")
+    names = [c for c in m.columns if c not in ("text", OTHERS)]
+    base = fails(base, "qr_")
+    return unpack(m, docs.columns, "text", **{c: F.col(c) for c in names}, qr_base_failed=base, qr_kept=~(base | fails(rules, "qr_")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

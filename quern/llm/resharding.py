@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import table
+from quern.llm.common import OTHERS, table, unpack
 
 #: Blocks that each old shard is cut into by hash: bounds what the driver gathers, and how near to equal sizes come.
 BLOCKS = 1024
@@ -97,18 +97,21 @@ def reshard(docs: DataFrame, old: Column, *, old_shards: int, shards: int, block
     (old_shards * blocks at most) and solves the flow; blocks are told by a hash of the document id, so a group of equal
     texts, a source or an old shard of a third of all rows is dealt over as many blocks as its share. A document larger
     than a shard's share fills a shard alone. Null ids and texts are rows like others; repeated rows get slots of their own. Empty table: empty
-    result. `carry` names the columns that go through the shuffle that numbers the slots (all by default).
+    result. `carry` names the columns that go through the shuffle that numbers the slots (all by default); columns of the names added are replaced.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"rs_old": old.cast("int"), "rs_block": F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int"), "rs_size": text_size(F.col("text")), "rs_tie": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int")
+    own = {"rs_old": old.cast("int"), "rs_block": block, "rs_size": text_size(F.col("text")), "rs_tie": F.coalesce(F.xxhash64("text"), F.lit(0))}
+    keep = list(docs.columns if carry is None else carry)
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in keep if c != "doc_id")).alias(OTHERS), *(c.alias(n) for n, c in own.items()))
     sums = rows.groupBy("rs_old", "rs_block").agg(F.sum("rs_size"), F.count("*")).collect()
     moves = plan_moves([tuple(r) for r in sums], list(range(old_shards)), list(range(shards)))
     plan = spark.createDataFrame([(x.old, x.block, x.shard, x.offset) for x in moves], "rs_o int, rs_b int, rs_shard int, rs_offset long")
     order = Window.partitionBy("rs_old", "rs_block").orderBy("doc_id", "rs_tie")
-    keep = docs.columns if carry is None else carry
-    numbered = rows.select(*keep, "rs_old", "rs_block", "rs_size", "rs_tie").withColumn("rs_k", F.row_number().over(order) - 1)
+    numbered = rows.withColumn("rs_k", F.row_number().over(order) - 1)
     joined = numbered.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
-    return joined.select(*keep, "rs_old", "rs_block", "rs_size", "rs_shard", (F.col("rs_offset") + F.col("rs_k")).cast("long").alias("rs_slot"))
+    slot = (F.col("rs_offset") + F.col("rs_k")).cast("long")
+    return unpack(joined, keep, "doc_id", rs_old=F.col("rs_old"), rs_block=F.col("rs_block"), rs_size=F.col("rs_size"), rs_shard=F.col("rs_shard"), rs_slot=slot)
 
 
 def rewrite_files(docs: DataFrame, old: Column, out: str, *, old_shards: int, shards: int, blocks: int = BLOCKS) -> list[int]:
