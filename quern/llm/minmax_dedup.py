@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.llm.common import Scratch, table
 
@@ -21,6 +20,8 @@ M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 MEMORY = 1 << 20
 #: Members of a bucket that are compared pair by pair; of a block; and columns of one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 64, 8192
+#: Parts in which the rows of one key are joined.
+SALTS = 16
 
 
 class WordHashes(dict):
@@ -147,16 +148,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different components inside large buckets, without a row for each pair.
 
-    rest: (key, id, comp). Buckets that share members form a cluster, whose members are dealt, sorted by component, into
-    blocks of BLOCK; two blocks meet once, in one row, unless all their members are one component, and a matrix product
+    rest: (key, id, comp). Buckets that share members form a cluster, whose members are dealt into blocks of about BLOCK,
+    large components into blocks of their own; two blocks meet once, in one row, unless all their members are one component, and a matrix product
     counts all their intersections.
     """
     low = rest.groupBy("key").agg(F.min("id").alias("b"))
     cluster = scratch.write(components(rest.select("key", F.col("id").alias("a")).join(low, "key").select("a", "b"), scratch))
-    order = Window.partitionBy("cluster").orderBy("comp", "id")
+    # A component of a block's size or more has blocks of its own, the smaller ones of a cluster share theirs; members are
+    # dealt by hash, and the counts that say how many blocks there are meet them in SALTS parts.
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    who = scratch.write(rest.select("id", F.col("comp").alias("of")).distinct().join(cluster.withColumnRenamed("comp", "cluster"), F.col("id") == F.col("node")).select("id", F.col("of").alias("comp"), "cluster"))
+    count = who.groupBy("cluster", "comp").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp")))
+    total = count.groupBy("cluster", "own").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks")).select(F.col("cluster").alias("cluster_"), F.col("own").alias("own_"), "blocks")
+    count = count.join(total, (F.col("cluster") == F.col("cluster_")) & F.col("own").eqNullSafe(F.col("own_"))).select("cluster", "comp", "own", "blocks")
     member = (
-        rest.select("id", F.col("comp").alias("of")).distinct().join(cluster, F.col("id") == F.col("node")).select("id", F.col("of").alias("comp"), cluster["comp"].alias("cluster"))
-        .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+        who.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int")).join(salted(count), ["cluster", "comp", "salt"])
+        .select("cluster", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k")).alias("block"), "id", "comp")
     )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +174,7 @@ def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int,
 
     blocks = scratch.write(
         member.join(texts, F.col("id") == F.col("mm_id")).select("cluster", "block", "id", "comp", "mm_text")
-        .mapInArrow(to_sets, "cluster long, block int, id long, comp long, set binary")
+        .mapInArrow(to_sets, "cluster long, block struct<own:long,k:long>, id long, comp long, set binary")
         .groupBy("cluster", "block").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     )
     side = lambda x: blocks.select("cluster", F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
