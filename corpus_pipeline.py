@@ -14,10 +14,8 @@ from quern.llm.sentencepieces import encode_documents
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects. The verdict goes through a generator of one row, as a filter on the plain
-    column would be pushed into the measures and have them computed over and over."""
-    judged = quality_rules(docs.select("text", F.struct(*docs.columns).alias("__row"))).select("__row", F.explode(F.array("qr_kept")).alias("__kept"))
-    return judged.filter("__kept").select("__row.*")
+    """Documents that no quality rule rejects."""
+    return quality_rules(docs.select("text", F.struct(*docs.columns).alias("__row"))).filter("qr_kept").select("__row.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

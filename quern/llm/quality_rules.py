@@ -127,7 +127,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES, base:
     m = measures(pack(docs, "text"), prefix="qr_")
     names = [c for c in m.columns if c not in ("text", OTHERS)]
     base = fails(base, "qr_")
-    return unpack(m, docs.columns, "text", **{c: F.col(c) for c in names}, qr_base_failed=base, qr_kept=~(base | fails(rules, "qr_")))
+    judged = F.struct(*names, base.alias("qr_base_failed"), (~(base | fails(rules, "qr_"))).alias("qr_kept"))
+    # A generator of one row: a filter on a verdict would else be pushed into the measures, which would be computed over
+    # and over.
+    out = m.select("text", OTHERS, F.inline(F.array(judged)))
+    return unpack(out, docs.columns, "text", **{c: F.col(c) for c in (*names, "qr_base_failed", "qr_kept")})
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
