@@ -118,15 +118,17 @@ def rewrite_files(docs: DataFrame, old: Column, out: str, *, old_shards: int, sh
     """Write the shards that change to `out`/shard=K and return their numbers; a shard that keeps exactly its rows is not
     written. Rows of a shard go to several files, dealt by block."""
     spark = docs.sparkSession
-    rows = docs.withColumns({"rs_old": old.cast("int"), "rs_block": F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int")})
-    sums = rows.groupBy("rs_old", "rs_block").agg(F.sum(text_size(F.col("text"))), F.count("*")).collect()
+    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "shard"))
+    rows = docs.select(row.alias(OTHERS), old.cast("int").alias("rs_old"), block.alias("rs_block"), text_size(F.col("text")).alias("rs_size"))
+    sums = rows.groupBy("rs_old", "rs_block").agg(F.sum("rs_size"), F.count("*")).collect()
     moves = plan_moves([tuple(r) for r in sums], list(range(old_shards)), list(range(shards)))
     changed = sorted({x.shard for x in moves if x.shard != x.old} | {x.old for x in moves if x.shard != x.old and x.old < shards})
     plan = spark.createDataFrame([(x.old, x.block, x.shard) for x in moves if x.shard in changed], "rs_o int, rs_b int, shard int")
     (
-        rows.drop("shard").join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
+        rows.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
         .repartition("shard", F.pmod("rs_block", F.lit(16)))
-        .drop("rs_old", "rs_block", "rs_o", "rs_b")
+        .select(f"{OTHERS}.*", "shard")
         .write.partitionBy("shard")
         .parquet(out)
     )
