@@ -258,3 +258,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
 
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), k=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)
+  UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.at = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.at) AS component_id, min(r.at) = r.doc_id AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

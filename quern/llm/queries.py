@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 SQL = {
+    "op1_minmax_dedup": minmax_dedup.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
