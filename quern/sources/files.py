@@ -26,7 +26,7 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_views(spark: SparkSession, folder: str) -> DataFrame:
     """slug, text of all *_full_doc.md in a folder."""
-    return spark.read.option("wholetext", True).text(f"{folder}/*_full_doc.md").select(_slug("_full_doc\\.md").alias("slug"), F.col("value").alias("text"))
+    return spark.read.text(f"{folder}/*_full_doc.md", wholetext=True).select(_slug("_full_doc\\.md").alias("slug"), F.col("value").alias("text"))
 
 
 def read_hashes(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,7 @@ def read_yaml(spark: SparkSession, path: str, key: str, schema: str) -> DataFram
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML needs the package PyYAML") from e
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return spark.createDataFrame(yaml.safe_load(text)[key], schema)
 
 
