@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, table
@@ -21,7 +21,7 @@ MEMORY = 1 << 20
 #: Members of a bucket that are compared pair by pair; of a block; and columns of one matrix product.
 SMALL, BLOCK, COLUMNS = 16, 64, 8192
 #: Parts in which the rows of one key are joined.
-SALTS = 16
+SALTS = 8
 
 
 class WordHashes(dict):
@@ -145,6 +145,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = now
 
 
+def salt_of(column: str) -> Column:
+    """The part of its key's rows that a row belongs to."""
+    return F.pmod(F.xxhash64(F.lit(3), column), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """Every row once for each part, so that it meets all parts of its key."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different components inside large buckets, without a row for each pair.
 
@@ -156,13 +166,12 @@ def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int,
     cluster = scratch.write(components(rest.select("key", F.col("id").alias("a")).join(low, "key").select("a", "b"), scratch))
     # A component of a block's size or more has blocks of its own, the smaller ones of a cluster share theirs; members are
     # dealt by hash, and the counts that say how many blocks there are meet them in SALTS parts.
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     who = scratch.write(rest.select("id", F.col("comp").alias("of")).distinct().join(cluster.withColumnRenamed("comp", "cluster"), F.col("id") == F.col("node")).select("id", F.col("of").alias("comp"), "cluster"))
     count = who.groupBy("cluster", "comp").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp")))
     total = count.groupBy("cluster", "own").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks")).select(F.col("cluster").alias("cluster_"), F.col("own").alias("own_"), "blocks")
     count = count.join(total, (F.col("cluster") == F.col("cluster_")) & F.col("own").eqNullSafe(F.col("own_"))).select("cluster", "comp", "own", "blocks")
     member = (
-        who.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int")).join(salted(count), ["cluster", "comp", "salt"])
+        who.withColumn("salt", salt_of("id")).join(salted(count), ["cluster", "comp", "salt"])
         .select("cluster", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k")).alias("block"), "id", "comp")
     )
 
@@ -211,7 +220,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
     first paired with the member that shares most buckets with others, the likely origin of its copies; pairs are
     confirmed and merged. A bucket whose members are then in one component has nothing more to tell. In the others every
     pair of different components is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond (confirm_blocks).
-    So no candidate is lost, and a group of copies makes rows in proportion to its size.
+    So no candidate is lost, and a group of copies makes rows in proportion to its size; its rows meet in SALTS parts.
 
     Fewer than k words: the whole sequence is the one shingle. Null or empty text: n_shingles 0, its own component, kept.
     Null doc_id: null component, kept. Repeated rows of a doc_id: one node; all its rows share component and verdict.
@@ -222,9 +231,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
     classes = nodes.groupBy("mm_f1", "mm_f2").agg(F.min("mm_id").alias("rep"))
     member = scratch.write(nodes.join(classes, ["mm_f1", "mm_f2"]).groupBy("mm_id").agg(F.min("rep").alias("rep")))
     reps = signed.join(member.filter("mm_id = rep").select("mm_id"), "mm_id", "left_semi").filter("mm_n > 0")
-    buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_n").alias("n"), F.explode("mm_bands").alias("key")))
+    buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_n").alias("n"), salt_of("mm_id").alias("salt"), F.explode("mm_bands").alias("key")))
     multi = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("key", "c")
-    shared = scratch.write(buckets.join(multi, "key"))
+    shared = scratch.write(buckets.join(salted(multi), ["key", "salt"]))
     scratch.drop(buckets)
     degree = shared.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
     # The texts that may be asked for, once; sorted-merge at every size, as the ids may be many.
@@ -232,12 +241,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
     pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     heads = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n")).alias("x")).select("key", F.col("x.id").alias("id2"), F.col("x.n").alias("n2"))
-    tried = scratch.write(shared.join(heads, "key").filter(near & (F.col("id") != F.col("id2"))).select(*pair).distinct())
+    tried = scratch.write(shared.join(salted(heads), ["key", "salt"]).filter(near & (F.col("id") != F.col("id2"))).select(*pair).distinct())
     found = scratch.write(confirm(tried, texts, k, percent).distinct())
     comp = scratch.write(components(found, scratch))
-    again = shared.join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "key", "c", F.coalesce("comp", "id").alias("comp"))
+    again = shared.join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "key", "salt", "c", F.coalesce("comp", "id").alias("comp"))
     split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo <> hi AND most > 2").select("key")
-    rest = scratch.write(again.join(split, "key"))
+    rest = scratch.write(again.join(salted(split), ["key", "salt"]).drop("salt"))
     scratch.drop(shared)
     small = rest.filter(F.col("c") <= SMALL)
     other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
