@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 TOKEN = r"[a-zA-Z0-9_\-\.]+"
 #: Where a sentence ends and the next begins.
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z\-`*])"
+#: Patterns of Markdown noise and what takes their place, in order: figures, fences, table rows, quotes,
+#: images, links, emphasis, heading marks, blanks.
+CLEANING = (
+    (r"`\[FIGURE:[^\]`]*\]`", ""),
+    (r"```[\s\S]*?```", ""),
+    (r"(?m)^\|.+\|$", ""),
+    (r"(?m)^>.*$", ""),
+    (r"!\[.*?\]\(.*?\)", ""),
+    (r"\[.*?\]\(.*?\)", ""),
+    (r"\*{1,2}(.*?)\*{1,2}", "$1"),
+    (r"#{1,6}\s+", ""),
+    (r"[ \t]+", " "),
+)
 #: Signals of rate-limit messages; the minute ones come first.
 MINUTE_SIGNALS = ("per minute", "tpm", "rpm", "rate_limit_exceeded", "request too large")
 DAILY_SIGNALS = ("per day", "tpd", "rpd", "daily limit", "daily quota", "quota_exceeded", "insufficient_quota", "exceeded your current quota", "organization_quota_exceeded")
@@ -56,18 +69,8 @@ def tokenize(c: Column) -> Column:
 def clean_paragraph(c: Column) -> Column:
     """Markdown noise goes, step by step in this order: figures, fences, table rows, quotes, images, links, emphasis,
     heading marks; then runs of blanks become one."""
-    for pattern, to in (
-        (r"`\[FIGURE:[^\]`]*\]`", ""),
-        (r"```[\s\S]*?```", ""),
-        (r"(?md)^\|.+\|$", ""),
-        (r"(?md)^>.*$", ""),
-        (r"(?d)!\[.*?\]\(.*?\)", ""),
-        (r"(?d)\[.*?\]\(.*?\)", ""),
-        (r"(?d)\*{1,2}(.*?)\*{1,2}", "$1"),
-        (r"#{1,6}\s+", ""),
-        (r"[ \t]+", " "),
-    ):
-        c = F.regexp_replace(c, pattern, to)
+    for pattern, to in CLEANING:
+        c = F.regexp_replace(c, f"(?d){pattern}", to)
     return strip(c)
 
 

@@ -196,3 +196,77 @@ def microarch(table: DataFrame, encodings: DataFrame, name: str, xlen: int = 32)
 def module_prompt(module: str, table: DataFrame, encodings: DataFrame) -> DataFrame:
     """One row, prompt: the request for a behavioural module, with the wiring lines."""
     return joined(cheatsheet_lines(table, encodings)).select(F.concat(F.lit(f"Write the module {module}. Wiring:\n"), "text").alias("prompt"))
+
+
+#: Where an immediate's bits stand in the instruction, by format.
+IMMEDIATE_BITS = {"I": "instr[31:20]", "S": "instr[31:25], instr[11:7]", "B": "instr[31], instr[7], instr[30:25], instr[11:8], 1'b0", "U": "instr[31:12], 12'b0", "J": "instr[31], instr[19:12], instr[20], instr[30:21], 1'b0"}
+#: Codes of the older wiring sheet's operations, in their order.
+LEGACY_OPS = "ADD SUB SLL SLT SLTU XOR SRL SRA OR AND".split()
+
+
+def immediate_module(encodings: DataFrame, xlen: int = 32) -> DataFrame:
+    """One row, text: the immediate generator as a case over the known formats, in order of code."""
+    parts = F.create_map(*[F.lit(x) for kv in IMMEDIATE_BITS.items() for x in kv])
+    arms = immediate_arms(encodings, xlen).withColumn("bits", F.try_element_at(parts, "format")).filter("bits IS NOT NULL")
+    sign = F.when(F.col("sign_bits") > 0, F.concat(F.lit("{"), F.col("sign_bits").cast("string"), F.lit("{instr[31]}}, "))).otherwise("")
+    arm = F.concat(F.length("binary").cast("string"), F.lit("'b"), "binary", F.lit(": imm = {"), sign, "bits", F.lit("};"))
+    head, tail = F.lit("module imm_gen;\nalways_comb begin\ncase (imm_type)\n"), F.lit(f"\ndefault: imm = {xlen}'b0;\nendcase\nend\nendmodule")
+    return joined(arms.select("ord", arm.alias("line")), "body").select(F.concat(head, "body", tail).alias("text"))
+
+
+def table_modules(table: DataFrame, encodings: DataFrame) -> DataFrame:
+    """module, text of every module that is made from tables alone."""
+    made = {"control": control_module(table, encodings), "imm_gen": immediate_module(encodings)}
+    parts = [made[m].select(F.lit(m).alias("module"), "text") for m in TIERS["truth_table"]]
+    return parts[0].unionByName(parts[1])
+
+
+def legacy_lines(records: DataFrame) -> DataFrame:
+    """ord, line of the older wiring sheet, from (ord, instruction, opcode, funct3, funct7, alu_op, reg_write, mem_read,
+    mem_write, branch, jump): rows without an instruction are left out, N/A stands for nothing, and bit five of funct7 is
+    told by 0100000."""
+    f7 = F.coalesce("funct7", F.lit("N/A"))
+    bit = F.when(f7 == "N/A", "-").when(f7 == "0100000", "1").otherwise("0")
+    codes = F.create_map(*[F.lit(x) for i, o in enumerate(LEGACY_OPS) for x in (o, f"4'b{i:04b}")])
+    op = F.coalesce("alu_op", F.lit("ADD"))
+    flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("reg_write", "mem_read", "mem_write", "branch", "jump")]
+    line = F.format_string("%-6s| %-7s | %-3s | %-4s | %-8s| %d  | %d  | %d  | %d  | %d", "instruction", "opcode", F.when(F.col("funct3") == "N/A", "---").otherwise(F.col("funct3")), bit, F.coalesce(F.try_element_at(codes, op), op), *flags)
+    return records.filter("instruction IS NOT NULL").select("ord", line.alias("line"))
+
+
+def plan_edges(plans: DataFrame) -> DataFrame:
+    """plan, place, module, depends_on (null for a leaf) from (plan, document): the modules of a plan's JSON."""
+    schema = "modules array<struct<name:string,depends_on:array<string>>>"
+    m = plans.select("plan", F.posexplode(F.from_json("document", schema)["modules"]).alias("place", "m"))
+    return m.select("plan", F.col("place").cast("int").alias("place"), F.col("m.name").alias("module"), F.explode_outer("m.depends_on").alias("depends_on"))
+
+
+def all_questions(base: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """key, question: base questions and dynamic ones (pos from 0), which are named by their place from 1."""
+    return base.select("key", "question").unionByName(dynamic.select(F.concat(F.lit("dynamic_query_"), (F.col("pos") + 1).cast("string")).alias("key"), "question"))
+
+
+def testbench(name: str, hex_file: str, depth: int, to_host: int) -> str:
+    """A simulation frame around the processor: clock, reset, memory from a hex file, and the end at a store to `to_host`.
+    Memory arrays stand here alone."""
+    return f"""`timescale 1ns/1ps
+// {name}, {depth} words
+module tb_cpu;
+logic clk = 0, resetn = 0;
+always #5 clk = ~clk;
+initial begin #20 resetn = 1; end
+logic [31:0] mem [0:{depth - 1}];
+initial $readmemh("{hex_file}", mem);
+logic [31:0] imem_addr, mem_addr, mem_wdata;
+logic [3:0] mem_wstrb;
+cpu dut(.clk(clk), .resetn(resetn), .imem_addr(imem_addr), .imem_rdata(mem[imem_addr[31:2]]), .mem_addr(mem_addr), .mem_wdata(mem_wdata), .mem_wstrb(mem_wstrb), .mem_rdata(mem[mem_addr[31:2]]));
+integer i;
+always @(posedge clk) begin
+  for (i = 0; i < 4; i = i + 1) if (mem_wstrb[i]) mem[mem_addr[31:2]][8*i +: 8] <= mem_wdata[8*i +: 8];
+  if (mem_wstrb != 0 && mem_addr == 32'h{to_host:08x}) begin
+    if (mem_wdata == 1) $display("TOHOST:PASS"); else $display("TOHOST:FAIL:%0d", mem_wdata >> 1);
+    $finish;
+  end
+end
+endmodule
+"""

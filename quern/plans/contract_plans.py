@@ -52,7 +52,20 @@ def lane_rows(spark, sf_dir):
     return w.select("k", "line", *(c.alias(n) for n, c in x.items()))
 
 
+LEGACY = X.Inline(
+    "ord int, instruction string, opcode string, funct3 string, funct7 string, alu_op string, reg_write boolean, mem_read boolean, mem_write boolean, branch boolean, jump boolean",
+    [(0, "SUB", "0110011", "000", "0100000", "SUB", True, False, False, False, False), (1, "ADD", "0110011", "000", "0000000", None, True, None, False, False, False), (2, None, "x", "x", "x", "x", True, True, True, True, True), (3, "JAL", "1101111", "N/A", None, "odd", True, False, False, False, True)],
+)
+PLANS = X.Inline("plan string, document string", [("p", '{"modules": [{"name": "alu", "depends_on": []}, {"name": "cpu", "depends_on": ["alu", "control"]}, {"name": "control"}], "other": 1}'), ("q", "{}"), ("r", "no json")])
+BASE_QUESTIONS = X.Inline("key string, question string", [("ops", "which operations"), ("sizes", "which sizes")])
+DYNAMIC = X.Inline("pos int, question string", [(0, "what else"), (1, "and then")])
+
 QUERIES = {
+    "legacy_cheatsheet": lambda s, d: K.legacy_lines(LEGACY.df(s)),
+    "immediate_text": lambda s, d: K.immediate_module(_enc(s)),
+    "table_modules": lambda s, d: K.table_modules(_table(s), _enc(s)).select("module", F.md5("text").alias("text_md5")),
+    "plan_edges": lambda s, d: K.plan_edges(PLANS.df(s)),
+    "all_questions": lambda s, d: K.all_questions(BASE_QUESTIONS.df(s), DYNAMIC.df(s)),
     "vocab_encoding": lambda s, d: _enc(s),
     "vocab_check": lambda s, d: K.check_vocabulary(X.VOCAB.df(s).filter("kind <> 'branch' AND pos < 3 AND kind <> 'alu'")),
     "branch_encoding": lambda s, d: K.encode_branches(X.VOCAB.df(s).union(s.createDataFrame([("branch", 6, "odd")], "kind string, pos int, item string")), X.INSTRUCTIONS.df(s)),
@@ -125,7 +138,25 @@ _case = f"CASE op {' '.join(f'WHEN {chr(39)}{o}{chr(39)} THEN {e}' for o, e in _
 _taken = {"000": "a = b", "001": "a <> b", "100": f"{sg('a')} < {sg('b')}", "101": f"{sg('a')} >= {sg('b')}", "110": "a < b", "111": "a >= b"}
 _hexw = lambda c: f"(CASE WHEN starts_with({c}, '0x') THEN CAST('0x' || right(substr({c}, 3), 8) AS BIGINT) ELSE (CAST({c} AS BIGINT) + 4294967296) % 4294967296 END)"
 
+_control = """WITH f AS (SELECT opcode, funct3, min(ord) AS fo, string_agg(CASE WHEN funct7b5 IS NOT NULL THEN 'if (funct7b5 == 1''b' || funct7b5 || ') begin ' || body || ' end' ELSE body END, chr(10) ORDER BY ord) AS line FROM arms GROUP BY opcode, funct3),
+        o AS (SELECT opcode, min(fo) AS oo, max(funct3) AS any3, string_agg(CASE WHEN funct3 IS NULL THEN line ELSE '3''b' || funct3 || ': begin ' || line || ' end' END, chr(10) ORDER BY fo) AS line FROM f GROUP BY opcode)
+        SELECT 'module control;' || chr(10) || 'always_comb begin' || chr(10) || 'case (opcode)' || chr(10) || string_agg('7''b' || opcode || ': begin' || chr(10) || CASE WHEN any3 IS NULL THEN line ELSE 'case (funct3)' || chr(10) || line || chr(10) || 'default: begin end' || chr(10) || 'endcase' END || chr(10) || 'end', chr(10) ORDER BY oo)
+               || chr(10) || 'default: begin end' || chr(10) || 'endcase' || chr(10) || 'end' || chr(10) || 'endmodule' AS text FROM o"""
+_bits = ", ".join("('" + f + "', '" + b.replace("'", "''") + "')" for f, b in K.IMMEDIATE_BITS.items())
+_ops = ", ".join(f"('{o}', '4''b{i:04b}')" for i, o in enumerate(K.LEGACY_OPS))
+_imm_text = """SELECT 'module imm_gen;' || chr(10) || 'always_comb begin' || chr(10) || 'case (imm_type)' || chr(10)
+    || string_agg(length("binary") || '''b' || "binary" || ': imm = {' || CASE WHEN sb > 0 THEN '{' || sb || '{instr[31]}}, ' ELSE '' END || bits || '};', chr(10) ORDER BY code) || chr(10) || 'default: imm = 32''b0;' || chr(10) || 'endcase' || chr(10) || 'end' || chr(10) || 'endmodule' AS text
+    FROM (SELECT code, "binary", bits, CASE f WHEN 'I' THEN 20 WHEN 'S' THEN 20 WHEN 'B' THEN 19 WHEN 'U' THEN 0 WHEN 'J' THEN 11 END AS sb FROM enc JOIN (VALUES """ + _bits + """) v(f, bits) ON item = f WHERE kind = 'imm_type')"""
+
 SQL = {
+    "legacy_cheatsheet": f"""SELECT ord, printf('%-6s| %-7s | %-3s | %-4s | %-8s| %d  | %d  | %d  | %d  | %d', instruction, opcode, CASE WHEN funct3 = 'N/A' THEN '---' ELSE funct3 END, CASE WHEN coalesce(funct7, 'N/A') = 'N/A' THEN '-' WHEN funct7 = '0100000' THEN '1' ELSE '0' END,
+        coalesce(c, alu_op, 'ADD'), coalesce(reg_write::INT, 0), coalesce(mem_read::INT, 0), coalesce(mem_write::INT, 0), coalesce(branch::INT, 0), coalesce(jump::INT, 0)) AS line FROM {LEGACY.sql()} LEFT JOIN (VALUES {_ops}) v(o, c) ON coalesce(alu_op, 'ADD') = o WHERE instruction IS NOT NULL""",
+    "immediate_text": f"WITH {ENC} {_imm_text}",
+    "table_modules": f"WITH {ARMS}, ct AS ({_control}), im AS ({_imm_text}) SELECT 'control' AS module, md5(text) AS text_md5 FROM ct UNION ALL SELECT 'imm_gen', md5(text) FROM im",
+    "plan_edges": f"""WITH m AS (SELECT plan, json_extract(CASE WHEN json_valid(document) THEN document END, '$.modules[*]') AS ms FROM {PLANS.sql()}), x AS (SELECT plan, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS place FROM m),
+        y AS (SELECT plan, CAST(place AS INTEGER) AS place, json_extract_string(m, '$.name') AS module, json_extract_string(m, '$.depends_on[*]') AS ds FROM x)
+        SELECT plan, place, module, unnest(CASE WHEN len(ds) > 0 THEN ds ELSE [NULL] END) AS depends_on FROM y""",
+    "all_questions": f"SELECT key, question FROM {BASE_QUESTIONS.sql()} UNION ALL SELECT 'dynamic_query_' || (pos + 1), question FROM {DYNAMIC.sql()}",
     "vocab_encoding": f"WITH {ENC} SELECT * FROM enc",
     "vocab_check": "SELECT kind, 'missing vocabulary: ' || kind AS error FROM (VALUES ('alu'), ('branch')) v(kind)",
     "branch_encoding": f"""SELECT item, CAST(coalesce(f, pos) AS INTEGER) AS code FROM (SELECT item, pos FROM {X.VOCAB.sql()} WHERE kind = 'branch' UNION ALL SELECT 'odd', 6) c
@@ -137,10 +168,7 @@ SQL = {
         SELECT CAST(row_number() OVER (ORDER BY oo, fo) - 1 AS INTEGER) AS ord, opcode, funct3, mnemonics, single_opcode, single FROM h""",
     "cheatsheet": f"WITH {TABLE}, {SHEET} SELECT * FROM sheet",
     "control_arms": f"WITH {ARMS} SELECT * FROM arms",
-    "control_text": f"""WITH {ARMS}, f AS (SELECT opcode, funct3, min(ord) AS fo, string_agg(CASE WHEN funct7b5 IS NOT NULL THEN 'if (funct7b5 == 1''b' || funct7b5 || ') begin ' || body || ' end' ELSE body END, chr(10) ORDER BY ord) AS line FROM arms GROUP BY opcode, funct3),
-        o AS (SELECT opcode, min(fo) AS oo, max(funct3) AS any3, string_agg(CASE WHEN funct3 IS NULL THEN line ELSE '3''b' || funct3 || ': begin ' || line || ' end' END, chr(10) ORDER BY fo) AS line FROM f GROUP BY opcode)
-        SELECT 'module control;' || chr(10) || 'always_comb begin' || chr(10) || 'case (opcode)' || chr(10) || string_agg('7''b' || opcode || ': begin' || chr(10) || CASE WHEN any3 IS NULL THEN line ELSE 'case (funct3)' || chr(10) || line || chr(10) || 'default: begin end' || chr(10) || 'endcase' END || chr(10) || 'end', chr(10) ORDER BY oo)
-               || chr(10) || 'default: begin end' || chr(10) || 'endcase' || chr(10) || 'end' || chr(10) || 'endmodule' AS text FROM o""",
+    "control_text": f"WITH {ARMS}, ct AS ({_control}) SELECT * FROM ct",
     "immediate_arms": f"""WITH {ENC} SELECT code AS ord, item AS format, "binary", CASE item WHEN 'I' THEN 20 WHEN 'S' THEN 20 WHEN 'B' THEN 19 WHEN 'U' THEN 0 WHEN 'J' THEN 11 END AS sign_bits FROM enc WHERE kind = 'imm_type'""",
     "module_tiers": f"SELECT id, name, CASE WHEN name IN ('control', 'imm_gen') THEN 'truth_table' WHEN name IN ('instr_mem', 'data_mem', 'tb_cpu') THEN 'testbench_only' ELSE 'behavioral_logic' END AS tier FROM {X.MODULES.sql()}",
     "module_prompt": f"WITH {TABLE}, {SHEET} SELECT 'Write the module alu. Wiring:' || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS prompt FROM sheet",

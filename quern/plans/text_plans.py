@@ -18,8 +18,8 @@ WORDS = r"len(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> ''))"
 TOKENS = rf"CAST(floor({WORDS} * 1.3) AS INTEGER)"
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 CLEAN = "text"
-for _p, _to in ((r"`\[FIGURE:[^\]`]*\]`", ""), (r"```[\s\S]*?```", ""), (r"(?m)^\|.+\|$", ""), (r"(?m)^>.*$", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\[.*?\]\(.*?\)", ""), (r"\*{1,2}(.*?)\*{1,2}", r"\1"), (r"#{1,6}\s+", ""), (r"[ \t]+", " ")):
-    CLEAN = f"regexp_replace({CLEAN}, '{_p}', '{_to}', 'g')"
+for _p, _to in T.CLEANING:
+    CLEAN = f"regexp_replace({CLEAN}, '{_p}', '{_to.replace('$', chr(92))}', 'g')"
 CLEAN = STRIP.format(x=CLEAN)
 LAST = "(length({c}) - strpos(reverse({c}), '{ch}') + 1)"
 

@@ -175,3 +175,8 @@ def test_upsert_replaces_a_whole_source(spark):
     from quern.plans.stats_plans import NEW, OLD
 
     assert {(r.slug, r.text) for r in incremental.upsert(OLD.df(spark), NEW.df(spark), "slug").collect()} == {("a", "new a0"), ("b", "b0"), ("c", "c0"), ("d", "d0")}
+
+
+def test_testbench_holds_the_memory():
+    t = contract.testbench("RV32I", "p.hex", 16, 0x1000)
+    assert "mem [0:15]" in t and "32'h00001000" in t and t.rstrip().endswith("endmodule")
