@@ -13,6 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def benchmark_windows(rows: list[tuple[str, bytes | None]], width: int) -> Windo
     return out
 
 
-SEGMENT = "doc_ids array<long>, lens array<int>, terms binary, counts binary, gaps binary"
-SEGMENT_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
+SEGMENT = "doc_ids array<long>, hashes array<long>, lens array<int>, terms binary, counts binary, gaps binary"
+SEGMENT_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
 
 
 def build_index(docs: DataFrame, terms) -> DataFrame:
@@ -66,6 +67,7 @@ def build_index(docs: DataFrame, terms) -> DataFrame:
 
     def segment(ids: list, texts: list) -> pa.RecordBatch:
         known, parts, lens = terms.value, [], []
+        hashes = [xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts]
         for t in texts:
             w = index_words(t)
             parts += [np.fromiter(map(known.get, w, repeat(-1)), np.int32, len(w)), np.array([-1], np.int32)]
@@ -76,7 +78,7 @@ def build_index(docs: DataFrame, terms) -> DataFrame:
         found, counts = np.unique(at[pos], return_counts=True)
         gaps = np.diff(pos, prepend=np.int32(0))
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (found, counts, gaps))],
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (found, counts, gaps))],
             schema=SEGMENT_ARROW,
         )
 
@@ -124,7 +126,7 @@ class Postings:
 
 
 def search(index: DataFrame, windows) -> DataFrame:
-    """For every indexed document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (sorted
+    """For every indexed document: doc_id, hash (of its text), n_words, n_hit (words inside any occurrence of a window), items (sorted
     ids whose windows occur) and edges (where runs of hit words begin and end, in turn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +153,11 @@ def search(index: DataFrame, windows) -> DataFrame:
                 for d, k in pairs:
                     items[d].append(w.item_ids[k])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(lens), pa.array(hit[begin[1:]] - hit[begin[:-1]], pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array([np.flatnonzero(np.diff(np.cumsum(edge[a:b]) > 0, prepend=False, append=False)).astype(np.int64) if x else [] for x, a, b in zip(items, begin[:-1], begin[1:], strict=True)], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "n_hit", "items", "edges"],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(lens), pa.array(hit[begin[1:]] - hit[begin[:-1]], pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array([np.flatnonzero(np.diff(np.cumsum(edge[a:b]) > 0, prepend=False, append=False)).astype(np.int64) if x else [] for x, a, b in zip(items, begin[:-1], begin[1:], strict=True)], pa.list_(pa.int64()))],
+                    names=["doc_id", "hash", "n_words", "n_hit", "items", "edges"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, edges array<long>")
+    return index.mapInArrow(run, "doc_id long, hash long, n_words long, n_hit long, items array<string>, edges array<long>")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, slop: int = 3) -> DataFrame:
@@ -190,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
     as strings), contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     Null and empty texts have no words and are clean; items without id or words have no windows; repeated rows of
-    documents are judged alike (with several blocks, rows of one doc_id and word count give one), repeated items count once. Empty tables: empty result, or all clean. Benchmark text is
+    documents are judged alike, repeated items count once. Empty tables: empty result, or all clean. Benchmark text is
     sent to executors in blocks of at most BLOCK_BYTES; more blocks mean more passes, merged by document.
     No shuffle of documents with one block: each task indexes what it reads, and the index is kept in the shared folder.
     """
@@ -202,17 +204,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
         part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         w = benchmark_windows([(r[0], r[1]) for r in _items(part).collect()], width)
         index = scratch.write(build_index(docs, spark.sparkContext.broadcast(w.terms)))
-        one = search(index, spark.sparkContext.broadcast(vars(w)))
+        one = search(index, spark.sparkContext.broadcast(vars(w))).withColumn("block", F.lit(k))
         found = one if found is None else found.unionByName(one)
     if n > 1:  # edges of hit ranges, merged by document: an even edge opens, an odd one closes
-        doc = found.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("edges").alias("edges"))
+        doc = found.groupBy("doc_id", "hash", "n_words").agg(F.count_if(F.col("block") == 0).cast("int").alias("rows"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("edges").alias("edges"))
         sweep = F.array_sort(F.flatten(F.transform("edges", lambda e: F.transform(e, lambda x, i: F.struct(x.alias("at"), F.when(i % 2 == 0, 1).otherwise(-1).alias("d"))))))
         total = F.aggregate(
             sweep,
             F.struct(F.lit(0).alias("open"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
             lambda a, x: F.struct((a["open"] + x["d"]).alias("open"), x["at"].alias("last"), (a["n"] + F.when(a["open"] > 0, x["at"] - a["last"]).otherwise(0)).alias("n")),
         )["n"]
-        found = doc.select("doc_id", "n_words", total.alias("n_hit"), F.array_sort("items").alias("items"))
+        found = doc.select("doc_id", "n_words", total.alias("n_hit"), F.array_sort("items").alias("items"), F.sequence(F.lit(1), "rows").alias("rows")).withColumn("row", F.explode("rows"))
     return found.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
