@@ -228,8 +228,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
     """
     signed = scratch.write(sign(docs, k))
     nodes = signed.filter("mm_id IS NOT NULL AND mm_n > 0")
-    classes = nodes.groupBy("mm_f1", "mm_f2").agg(F.min("mm_id").alias("rep"))
-    member = scratch.write(nodes.join(classes, ["mm_f1", "mm_f2"]).groupBy("mm_id").agg(F.min("rep").alias("rep")))
+    classes = nodes.groupBy("mm_f1", "mm_f2").agg(F.min("mm_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    named = nodes.select("mm_id", "mm_f1", "mm_f2", salt_of("mm_id").alias("salt")).join(salted(classes), ["mm_f1", "mm_f2", "salt"], "left")
+    member = scratch.write(named.groupBy("mm_id").agg(F.min(F.coalesce("rep", "mm_id")).alias("rep")))
     reps = signed.join(member.filter("mm_id = rep").select("mm_id"), "mm_id", "left_semi").filter("mm_n > 0")
     buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_n").alias("n"), salt_of("mm_id").alias("salt"), F.explode("mm_bands").alias("key")))
     multi = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("key", "c")
