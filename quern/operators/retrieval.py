@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -213,7 +214,7 @@ class QueryExpander(Protocol):
 
 def retrieve(docs: DataFrame, questions: DataFrame, embedder: Embedder | None = None, expander: QueryExpander | None = None, *, top_parents: int = TOP_PARENTS) -> DataFrame:
     """Questions (question_id, question) over documents (doc_id, source, text) to contexts; see expand_parents."""
-    kids = children_of(docs)
+    kids = children_of(docs).persist(StorageLevel.MEMORY_AND_DISK)  # read by both searches and for their hits
     asked = questions
     if expander is not None:
         asked = questions.withColumn("question", F.udf(expander, "string")("question"))

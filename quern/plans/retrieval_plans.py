@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quern.operators import chunkers as C
@@ -22,12 +23,17 @@ def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 
 
+def children(spark, sf_dir):
+    """Passages, kept for the several passes that an index takes; blocks that go with an executor are made again."""
+    return R.children_of(docs(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def hits(h, kids):
     return h.join(kids, "child_id").select("question_id", "rank", "parent_id", "title", "text")
 
 
 def both_lists(spark, sf_dir):
-    kids, q = R.children_of(docs(spark, sf_dir)), questions(spark, sf_dir)
+    kids, q = children(spark, sf_dir), questions(spark, sf_dir)
     dense = R.cosine_topk(R.embed(kids, "child_id", "text"), R.embed(q, "question_id", "question"))
     return hits(dense, kids), hits(R.bm25_topk(kids, q), kids)
 
@@ -82,9 +88,9 @@ QUERIES = {
     "paragraph_split": lambda s, d: C.paragraphs(X.VIEWS.df(s), "slug"),
     "divider_split": lambda s, d: C.divider_sections(X.VIEWS.df(s)),
     "hierarchy_fallback": lambda s, d: I.children(X.PARENTS.df(s), X.VIEWS.df(s)),
-    "bm25_stats": lambda s, d: R.bm25_stats(R.children_of(docs(s, d))).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
-    "bm25_topk": lambda s, d: R.bm25_topk(R.children_of(docs(s, d)), questions(s, d)),
-    "bm25_prefilter": lambda s, d: R.bm25_topk(R.children_of(docs(s, d)), questions(s, d), 2),
+    "bm25_stats": lambda s, d: R.bm25_stats(children(s, d)).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
+    "bm25_topk": lambda s, d: R.bm25_topk(children(s, d), questions(s, d)),
+    "bm25_prefilter": lambda s, d: R.bm25_topk(children(s, d), questions(s, d), 2),
     "cosine_topk": cosine,
     "cosine_top1_label": cosine_label,
     "dense_topk": lambda s, d: R.cosine_topk(R.embed(R.children_of(docs(s, d)), "child_id", "text"), R.embed(questions(s, d), "question_id", "question")),
