@@ -126,15 +126,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node with an edge (a, b). Alternates large star and small
-    star, each a grouped minimum joined back in salted parts, so that a hub's rows are not gathered."""
+    star, each a grouped minimum joined back; a hub's rows (two ids each) meet in one task."""
     flip = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct()
     edges, before = scratch.write(flip), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.withColumn("salt", salt_of("v")).join(salted(low), ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.withColumn("salt", salt_of("v")).join(salted(low), ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = scratch.write(small.filter("u <> v").distinct())
         scratch.drop(edges)
         edges = after
