@@ -1,9 +1,11 @@
 """LM scoring: a log-bilinear model of two context words, trained in numpy by noise-contrastive estimation.
 
-A context (a, b) predicts a vector u*R[a] + v*R[b]; the score of w is its product with Q[w], plus a bias. As scores are
-sums of a part of a and a part of b, all normalisers are one matrix product: Z = exp(A) @ exp(B + bias).T over all
-contexts. The model's vocabulary is the most frequent words, one class for all others and the end; a word of the other
-class is told by its smoothed share of that class, so that the probabilities of all words sum to one.
+A context (a, b) predicts a vector u*R[a] + v*R[b]; the score of an output is its product with Q[output], plus a bias. The
+model's vocabulary is every word above a fixed count, so it grows with the corpus, and each of its words has a context
+vector of its own. Outputs form a tree of three levels: the most frequent words, groups of words, one class for all other
+words and the end are told apart first, then the parts of a group, then the words of a part; each choice is normalised over
+the few outputs it is made from. A word out of the vocabulary is told by its smoothed share of the other class, so that the
+probabilities of all words sum to one.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ from quern.llm.common import Scratch, table
 
 #: The end token's key in counts: no word is empty.
 END = b""
-#: Words of the model, and words whose counts are sent to all executors; counts of rarer ones are joined.
-HEAD, KNOWN = 1024, 200_000
+#: Count from which on every word is in the model, and words that are in it whatever their count. Beside them, words whose
+#: counts are sent to all executors; counts of rarer ones are joined.
+LEAST, HEAD, KNOWN = 50, 1024, 200_000
+#: Words told apart at the first level.
+SINGLE = 128
 DIM, BATCH, NOISE, RATE = 32, 2048, 64, 0.2
+#: Noise words of each position at the second and third level; rows of parameters that are averaged together.
+FEW, ROWS = 1, 128
 #: Distinct words that a counting task holds before it passes its partial counts on.
 HELD = 400_000
 LN10 = float(np.log(10))
@@ -66,41 +73,82 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def start(counts: list[int], other: int, end: int) -> dict:
-    """Untrained parameters. counts: of the head's words; other, end: of the other class and the end. Outputs: head words,
-    other, end; contexts: head words, other, begin."""
+    """Untrained parameters. counts: of the vocabulary, best first; other, end: of the other class and the end. Contexts:
+    words, other, begin. Outputs, by level: the SINGLE best words, groups, other, end; parts of groups; words of parts.
+    share: of an output among those it is told from; mass: of the grouped words, summed up; tree: see tree()."""
     n = np.array([*counts, other, end], float) + 0.5
-    share = (n / n.sum()).astype(np.float32)
+    single = min(SINGLE, len(counts))
+    leaf = n[single : len(counts)]
+    branch = max(2, round(len(leaf) ** (1 / 3) + 0.5))
+    part, group = (np.add.reduceat(leaf, np.arange(0, len(leaf), k)) if len(leaf) else leaf for k in (branch, branch**2))
+    top = np.concatenate([n[:single], group, n[len(counts) :]])
+    share = np.concatenate([top / top.sum(), part / np.repeat(group, branch)[: len(part)], leaf / np.repeat(part, branch)[: len(leaf)]]).astype(np.float32)
     r = np.random.default_rng(11)
-    size = len(n)
-    return {"R": r.normal(0, 0.3, (size, DIM)).astype(np.float32), "Q": np.zeros((size, DIM), np.float32), "u": np.full(DIM, 1, np.float32), "v": np.full(DIM, 1, np.float32), "bias": np.log(share), "share": share}
+    return {
+        "R": r.normal(0, 0.3, (len(n), DIM)).astype(np.float32), "Q": np.zeros((len(share), DIM), np.float32), "u": np.full(DIM, 1, np.float32), "v": np.full(DIM, 1, np.float32),
+        "bias": np.log(share), "share": share, "mass": np.concatenate([[0], np.cumsum(leaf)]), "tree": np.array([single, branch, len(leaf)]),
+    }
+
+
+def tree(m: dict) -> tuple[int, int, int, int, int]:
+    """Single words, parts of a group (and words of a part), grouped words, outputs of the first level, parts."""
+    single, branch, leaves = m["tree"].tolist()
+    return single, branch, leaves, single - (-leaves // branch**2) + 2, -(-leaves // branch)
+
+
+def top_of(m: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outputs of words w at the first level; where grouped words are, and their numbers among these."""
+    single, branch, leaves, first, _ = tree(m)
+    j = w - single
+    deep = np.flatnonzero((j >= 0) & (j < leaves))
+    c = np.where(j < 0, w, np.where(j < leaves, single + j // branch**2, first - 2 + j - leaves))
+    return c, deep, j[deep]
 
 
 def climb(into: np.ndarray, squares: np.ndarray, g: np.ndarray, rate: float, at=slice(None)) -> None:
-    """A step up the gradient g of rows `at`, by Adagrad with one sum of squares a row."""
-    squares[at] += (g * g).reshape(len(g), -1).mean(1)
-    into[at] += (rate * g.reshape(len(g), -1) / np.sqrt(squares[at] + 1e-8)[:, None]).reshape(g.shape)
+    """A step up the gradient g of rows `at`, by Adagrad with one sum of squares a row; the steps of a row are counted."""
+    squares[at, 0] += (g * g).reshape(len(g), -1).mean(1)
+    squares[at, 1] += 1
+    into[at] += (rate * g.reshape(len(g), -1) / np.sqrt(squares[at, 0] + 1e-8)[:, None]).reshape(g.shape)
 
 
 def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
     order = np.argsort(rows, kind="stable")
-    at, first = np.unique(rows[order], return_index=True)
-    return at, np.add.reduceat(values[order], first, 0)
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values[order], first, 0)
 
 
 def nce_step(m: dict, s: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, r: np.random.Generator, cdf: np.ndarray, rate: float) -> None:
-    """One minibatch: word w after (a, b) against NOISE words drawn by unigram share, shared by the minibatch. s: sums of
-    squares."""
-    noise = np.minimum(np.searchsorted(cdf, r.random(NOISE)), len(cdf) - 1)
-    ra, rb, qw, qn = m["R"][a], m["R"][b], m["Q"][w], m["Q"][noise]
+    """One minibatch: word w after (a, b), at each level against outputs drawn by their share there: NOISE at the first
+    level, shared by the minibatch, and FEW for each position at the others. s: sums of squares, and steps."""
+    _, branch, leaves, first, parts = tree(m)
+    top, deep, j = top_of(m, w)
+    noise = np.minimum(np.searchsorted(cdf, r.random(NOISE)), first - 1)
+    ra, rb, qw, qn = m["R"][a], m["R"][b], m["Q"][top], m["Q"][noise]
     q = ra * m["u"] + rb * m["v"]
-    log_kp = np.log(NOISE * m["share"])
-    good = 1 / (1 + np.exp(np.clip((q * qw).sum(1) + m["bias"][w] - log_kp[w], -30, 30)))  # 1 - sigmoid
-    bad = -1 / (1 + np.exp(-np.clip(q @ qn.T + (m["bias"] - log_kp)[noise], -30, 30)))
+    q1 = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1)
+    log_kp = np.log(NOISE * m["share"][:first])
+    good = 1 / (1 + np.exp(np.clip((q * qw).sum(1) + m["bias"][top] - log_kp[top], -30, 30)))  # 1 - sigmoid
+    bad = -1 / (1 + np.exp(-np.clip(q @ qn.T + m["bias"][noise] - log_kp[noise], -30, 30)))
     dq = good[:, None] * qw + bad @ qn
-    at, g = by_row(np.concatenate([w, noise]), np.concatenate([good[:, None] * q, bad.T @ q]))
-    climb(m["Q"], s["Q"], g, rate, at)
-    climb(m["bias"], s["bias"], np.bincount(w, good, len(cdf)) + np.bincount(noise, bad.sum(0), len(cdf)), rate / 10)
+    rows, steps = [top, noise], [good[:, None] * q1, bad.T @ q1]
+    for size, base, unit in ((branch**2, first, branch), (branch, first + parts, 1)) if len(deep) else ():
+        low = j // size * size
+        high = np.minimum(low + size, leaves)
+        drawn = np.searchsorted(m["mass"], m["mass"][low] + r.random((FEW, len(j))) * (m["mass"][high] - m["mass"][low]), "right") - 1
+        at = base + np.concatenate([j[None], np.clip(drawn, low, high - 1)]) // unit
+        qs = m["Q"][at]
+        z = np.clip(np.einsum("kpd,pd->kp", qs, q[deep]) + m["bias"][at] - np.log(FEW * m["share"][at]), -30, 30)
+        g = -1 / (1 + np.exp(-z))
+        g[0] += 1
+        dq[deep] += np.einsum("kp,kpd->pd", g, qs)
+        rows.append(at.ravel())
+        steps.append((g[:, :, None] * q1[deep]).reshape(-1, DIM + 1))
+    at, g = by_row(np.concatenate(rows), np.concatenate(steps))
+    climb(m["Q"], s["Q"], g[:, :DIM], rate, at)
+    climb(m["bias"], s["bias"], g[:, DIM], rate / 10, at)
     at, g = by_row(np.concatenate([a, b]), np.concatenate([dq * m["u"], dq * m["v"]]))
     climb(m["R"], s["R"], g, rate, at)
     climb(m["u"], s["u"], (dq * ra).sum(0), rate / 10)
@@ -108,15 +156,54 @@ def nce_step(m: dict, s: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, r: n
 
 
 def tables(m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A, B, logZ): ln p(w | a, b) = A[a, w] + B[b, w] - logZ[a, b], with the bias in B."""
-    a, b = (m["R"] * m["u"]) @ m["Q"].T, (m["R"] * m["v"]) @ m["Q"].T + m["bias"]
+    """(A, B, logZ): ln p(c | a, b) = A[a, c] + B[b, c] - logZ[a, b] at the first level, with the bias in B; all contexts at
+    once, for small vocabularies."""
+    first = tree(m)[3]
+    a, b = (m["R"] * m["u"]) @ m["Q"][:first].T, (m["R"] * m["v"]) @ m["Q"][:first].T + m["bias"][:first]
     ta, tb = a.max(1, keepdims=True), b.max(1, keepdims=True)
     z = np.log(np.exp(a - ta) @ np.exp(b - tb).T) + ta + tb.T
     return a, b, z
 
 
+def told(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """ln of the share of output c among `vectors`, for each predicted vector."""
+    x = q @ vectors.T
+    x += bias
+    mine = x[np.arange(len(x)), c]
+    most = x.max(1)
+    x -= most[:, None]
+    return mine - most - np.log(np.exp(x, out=x).sum(1))
+
+
+def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int = 4096) -> np.ndarray:
+    """ln p(w | a, b), summed over the levels."""
+    _, branch, leaves, first, parts = tree(m)
+    top, deep, j = top_of(m, w)
+    out = np.empty(len(w), np.float64)
+    q = np.empty((len(w), DIM), np.float32)
+    for k in range(0, len(w), step):
+        k = slice(k, k + step)
+        q[k] = m["R"][a[k]] * m["u"] + m["R"][b[k]] * m["v"]
+        out[k] = told(q[k], m["Q"][:first], m["bias"][:first], top[k])
+    order = np.argsort(j, kind="stable")  # the words of a part, and the parts of a group, stand side by side
+    deep, j = deep[order], j[order]
+    q = q[deep]
+    more = np.zeros(len(j))
+    for base, node, end in ((first, j // branch, parts), (first + parts, j, leaves)):
+        parent = node // branch
+        bounds = np.flatnonzero(np.diff(parent, prepend=-1, append=-1)).tolist()
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            low = int(parent[x]) * branch
+            s = slice(base + low, base + min(low + branch, end))
+            for k in range(x, y, step):
+                k = slice(k, min(k + step, y))
+                more[k] += told(q[k], m["Q"][s], m["bias"][s], node[k] - low)
+    out[deep] += more
+    return out
+
+
 def positions(ids: list[np.ndarray], other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets with their two contexts, over texts of head ids (words out of the head: other; the end is the last
+    """Targets with their two contexts, over texts of vocabulary ids (words out of it: other; the end is the last
     token, other + 1). As a context, other + 1 is the begin."""
     w = np.concatenate(ids)
     a, b = np.empty_like(w), np.empty_like(w)
@@ -136,16 +223,36 @@ def head_ids(texts, place: dict[bytes, int], other: int) -> list[np.ndarray]:
     return out
 
 
+UPDATE = "name string, block long, at binary, steps binary, x binary"
+
+
+def average(rows: pa.Table) -> pa.Table:
+    """One block's moves of rows in several tasks (UPDATE) to their averages by steps taken."""
+    total = weight = None
+    for at, n, x in zip(*(rows[k].to_pylist() for k in ("at", "steps", "x")), strict=True):
+        at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.float32).astype(np.float64)
+        x = np.frombuffer(x, np.float16).reshape(len(at), -1)
+        if total is None:
+            total, weight = np.zeros((ROWS, x.shape[1])), np.zeros(ROWS)
+        total[at] += x * n[:, None]
+        weight[at] += n
+    at = np.flatnonzero(weight)
+    x = total[at] / weight[at, None]
+    held = [at.astype(np.int32), weight[at].astype(np.float32), x.astype(np.float16)]
+    return pa.table([rows["name"][:1], rows["block"][:1], *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "at", "steps", "x"])
+
+
 def train_round(docs: DataFrame, model: dict, place, rate: float, part: int | None, parts: int) -> dict:
     """One round over the training documents with crc32 // 5 % parts == part (None: all): each task takes steps from the
-    same parameters over all its documents, and the parameters are averaged by tokens seen."""
-    shipped, sizes = docs.sparkSession.sparkContext.broadcast(model), {k: model[k].size for k in ("R", "Q", "u", "v", "bias")}
-    other = len(model["bias"]) - 2
+    same parameters over all its documents, and each row of parameters moves by the average over the tasks that took steps
+    on it, by their number. A task passes on only such rows, in half precision, so what is shuffled follows the input."""
+    shipped, names = docs.sparkSession.sparkContext.broadcast(model), ("R", "Q", "u", "v", "bias")
+    other = len(model["R"]) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = {k: x.copy() for k, x in shipped.value.items()}
-        squares = {k: np.zeros(len(x), np.float32) for k, x in m.items()}
-        cdf, r, seen = np.cumsum(m["share"], dtype=np.float64), np.random.default_rng(5), 0
+        m = shipped.value | {k: shipped.value[k].copy() for k in names}
+        squares = {k: np.zeros((len(m[k]), 2), np.float32) for k in names}
+        cdf, r = np.cumsum(m["share"][: tree(m)[3]], dtype=np.float64), np.random.default_rng(5)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             mine = [i for i, x in enumerate(batch.column(0).to_pylist()) if not held_out(x) and (part is None or zlib.crc32(str(x).encode()) // 5 % parts == part)]
@@ -154,39 +261,31 @@ def train_round(docs: DataFrame, model: dict, place, rate: float, part: int | No
                 for k in range(0, len(w), BATCH):
                     s = slice(k, k + BATCH)
                     nce_step(m, squares, a[s], b[s], w[s], r, cdf, rate)
-                seen += len(w)
-        if seen:
-            flat = np.concatenate([m[k].ravel() for k in sizes]).astype(np.float64)
-            for k in range(0, len(flat), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([float(seen)]), pa.array([flat[k : k + 1024] * seen])], names=["k", "seen", "x"])
-
-    sums = (
-        docs.select("doc_id", "text").mapInArrow(run, "k long, seen double, x array<double>").select("k", "seen", F.posexplode("x").alias("i", "y"))
-        .groupBy("k", "i").agg((F.sum("y") / F.sum("seen")).alias("y")).toArrow()
-    )
-    if not len(sums):
-        return model
-    flat = np.empty(sum(sizes.values()), np.float32)
-    flat[sums["k"].to_numpy() + sums["i"].to_numpy()] = sums["y"].to_numpy()
-    out, at = dict(model), 0
-    for k, n in sizes.items():
-        out[k] = flat[at : at + n].reshape(model[k].shape)
-        at += n
+        for name in names:
+            for k in range(0, len(m[name]), ROWS):
+                at = np.flatnonzero(squares[name][k : k + ROWS, 1])
+                if len(at):
+                    held = [at.astype(np.int32), squares[name][k + at, 1], (m[name][k + at] - shipped.value[name][k + at]).astype(np.float16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // ROWS]), *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "at", "steps", "x"])
+
+    got = docs.select("doc_id", "text").mapInArrow(run, UPDATE).groupBy("name", "block").applyInArrow(average, UPDATE).select("name", "block", "at", "x").toArrow()
+    out = model | {k: model[k].copy() for k in names}
+    for name, block, at, x in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        at = np.frombuffer(at, np.int32) + block * ROWS
+        out[name][at] += np.frombuffer(x, np.float16).reshape(out[name][at].shape)
     return out
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """(word, n) of the most frequent words, best first, `most` at most: all from some count on, found in a histogram of
-    counts by sixteenths of an octave, so that no more than these are gathered."""
+def frequent(counts: DataFrame, most: int, floor: int) -> list[tuple[bytes, int]]:
+    """(word, n) of the most frequent words, best first: all from the count `floor` on, or else from a lower one on, `most`
+    at most, found in a histogram of counts by sixteenths of an octave, so that no more than these are gathered."""
     step = F.floor(F.log2("n") * 16)
     least, left = None, most
     for _, n, low in sorted(counts.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
         if n > left:
             break
         least, left = low, left - n
-    if least is None:
-        return []
-    got = counts.filter(F.col("n") >= least).toArrow()
+    got = counts.filter(F.col("n") >= (floor if least is None else min(floor, least))).toArrow()
     return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
@@ -197,14 +296,13 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
     """SCORED rows. words: broadcast (word -> place, counts); logs: sum of log10(c + 0.5) of the known ones; score: log10
     probability, without log10(c + 0.5) of `rare` words (all occurrences), which are in no broadcast count. tail: log10 of the
     other class's size."""
-    shipped, other = docs.sparkSession.sparkContext.broadcast(model), len(model["bias"]) - 2
+    shipped, other = docs.sparkSession.sparkContext.broadcast(model), len(model["R"]) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, counts = words.value
         logs = np.log10(np.asarray(counts) + 0.5)
-        outside = (logs - tail) * (np.arange(len(logs)) >= other)  # the head's places come first
+        outside = (logs - tail) * (np.arange(len(logs)) >= other)  # the vocabulary's places come first
         outside[place[END]] = 0
-        a_w, b_w, z = tables(shipped.value)
         key = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
@@ -217,7 +315,7 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
                 own = np.where(known & (flat < other), flat, other).astype(np.int32)
                 own[first + lens - 1] = other + 1
                 a, b, w = positions(np.split(own, first[1:]), other)
-                lp = (a_w[a, w] + b_w[b, w] - z[a, b]).astype(np.float64) / LN10
+                lp = log_probs(shipped.value, a, b, w) / LN10
                 lp += np.where(known, outside[flat], -tail)
                 rare = [[toks[d][k] for k in np.flatnonzero(~known[s : s + n])] for d, (s, n) in enumerate(zip(first.tolist(), lens.tolist(), strict=True))]
                 add = lambda x: np.add.reduceat(x, first)
@@ -230,21 +328,22 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORED)
 
 
-def lm_scores(docs: DataFrame, scratch: Scratch, *, head: int = HEAD, known: int = KNOWN, first_share: int = 8) -> DataFrame:
+def lm_scores(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, head: int = HEAD, known: int = KNOWN, first_share: int = 8) -> DataFrame:
     """One row per row of docs (doc_id, text; others ignored): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
 
     Counts and training cover every training document: a first round on one of `first_share` parts, a second on all.
     Null and empty texts are the end alone. Null ids train. Repeated rows count as often and are scored alike. No
     training document: every count is 0 and the model is uniform over its classes. Empty table: empty result.
-    Broadcast: counts of at most `known` words, and parameters of `head` words. The rest of the counts is joined.
+    The model's words are all of count `least` and more, and the `head` best ones in any case; their counts and parameters
+    are gathered and broadcast, besides counts of other words up to `known` in all. The rest of the counts is joined.
     """
     spark = docs.sparkSession
     counts = scratch.write(count_tokens(docs))
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = frequent(counts.filter(F.octet_length("word") > 0), known)
+    top = frequent(counts.filter(F.octet_length("word") > 0), known, least)
     ends = (counts.filter(F.octet_length("word") == 0).first() or (END, 0))[1]
-    head = min(head, len(top))
+    head = max(min(head, len(top)), sum(n >= least for _, n in top))
     in_head = sum(n for _, n in top[:head])
     other = total - in_head - ends
     model = start([n for _, n in top[:head]], other, ends)
@@ -253,7 +352,7 @@ def lm_scores(docs: DataFrame, scratch: Scratch, *, head: int = HEAD, known: int
     if total:
         model = train_round(docs, model, place, RATE, 0, first_share)
         model = train_round(docs, model, place, RATE / 2, None, 1)
-    # Places: head words, one that no word has, the end, then the other known words.
+    # Places: words of the model, one that no word has, the end, then the other known words.
     where = {w: i for i, (w, _) in enumerate(top[:head])} | {END: head + 1} | {w: head + 2 + i for i, (w, _) in enumerate(top[head:])}
     words = sc.broadcast((where, [n for _, n in top[:head]] + [0, ends] + [n for _, n in top[head:]]))
     tail = float(np.log10(other + 0.5 * (max(0, distinct - head - bool(ends)) + 1)))
