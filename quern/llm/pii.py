@@ -40,6 +40,9 @@ HINTS = {
     "card": ("card", "visa", "master", "credit", "pay", "karte", "carte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "ruf", "appel", "llam", "whatsapp"),
 }
+#: Last labels of many addresses, and words that often stand before "at" or "@" without being an address.
+TOP = frozenset("com org net edu gov info io co de fr es it nl ch at be uk us eu pl pt se no dk fi cz jp cn in br ca au".split())
+PLAIN = frozenset("us me him her it them look meet is are was available found hosted visit live more sold read only from and the of in".split())
 AGAINST = ("date", "version", "order", "isbn", "page", "price", "invoice", "total", "section", "year", "id", "$", "€", "#", "v.", "no.")
 
 
@@ -81,13 +84,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every generator, overlapping as they come."""
+    """(start, kind, end) of every generator, overlapping as they come; of an email that may run on into the next
+    sentence, also what stands before that."""
     out = []
-    low = text.lower() if "dot" in text or "DOT" in text or "at]" in text or "at)" in text or "AT]" in text else ""
-    if "[at]" in low or "(at)" in low or "{at}" in low or " dot " in low:
-        out += [(m.start(), 0, m.end()) for m in LOOSE["email"].finditer(text)]
-    if "[.]" in text or "(.)" in text or "[dot]" in low or "(dot)" in low:
-        out += [(m.start(), 1, m.end()) for m in LOOSE["ip"].finditer(text)]
+    for m in LOOSE["email"].finditer(text):
+        out.append((m.start(), 0, m.end()))
+        out += [(m.start(), 0, k.start()) for k in NEXT.finditer(text, *m.span()) if LOOSE["email"].fullmatch(text, m.start(), k.start())]
+    out += [(m.start(), 1, m.end()) for m in LOOSE["ip"].finditer(text)]
     for z in DIGITS.finditer(text):
         a, b = z.span()
         if sum(map(str.isdigit, z.group())) >= 7:
@@ -96,9 +99,19 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Where a sentence may end inside a loose email.
+NEXT = re.compile(r"\. ")
 DIGITS = re.compile(r"[0-9(][0-9\x20()./_-]{6,}")
 
 
+def address(s: str, kind: int) -> list[float]:
+    """Format of a loose email: its last label, its first word, and how "at" and "." are written."""
+    if kind:
+        return [0.0] * 7
+    last, low = re.search("[A-Za-z0-9-]*$", s).group(), s.lower()
+    return [float(last.lower() in TOP), float(last[:1].isupper() and not last.isupper()), float(len(last)), float(re.match("[a-z]*", low).group() in PLAIN), float("@" in s), float(bool(NEXT.search(s))), float(" dot " in low)]
+
+
 def features(text: str, start: int, kind: int, end: int) -> list[float]:
     """Format and context of a span."""
     s = text[start:end]
@@ -111,6 +124,7 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         float(kind), len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         len(seps), float("(" in s), float("." in s), float("/" in s), float("-" in s), float(" " in s), float(luhn(digits)) if digits else 0.0, float(s.startswith("00")), float(s.startswith("(")),
         *hint, hint[kind], float(any(w in before for w in AGAINST)), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in "-/.:" and after[1:2].isdigit()), float(bool(re.search(r"[\[({](at|dot)", s, re.I))),
+        *address(s, kind),
         float(len(groups) == 3 and groups[0] in (2, 4) and groups[1] == 2), float(all(int(g) <= 255 for g in re.findall("[0-9]+", s)[:4])) if groups else 0.0,
     ]
 
@@ -125,10 +139,15 @@ def made_up(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
         kind = r.randrange(4)
         good = r.random() < 0.5
         if kind == 0:
-            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), ("{at}", "{dot}")])
-            s = f"{w()}.{w()}{at}{w()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}" if good else f"{w()} at {w()} dot {w()}"
+            at, dot = r.choice(["[at]", "(at)", "{at}", " at ", " [at] ", " (at) ", "@", " @ "]), r.choice(["[dot]", "(dot)", "{dot}", " dot ", " [dot] ", "."])
+            case = r.choice([str, str, str.upper, str.title])
+            name, top = r.choice([f"{w()}.{w()}", w(), f"{w()}{d(2)}"]), r.choice(["com", "org", "net", "de", "fr", "co.uk"])
+            if good:
+                s = f"{name}{case(at)}{w()}{case(dot)}{top.replace('.', case(dot))}"
+            else:
+                s = r.choice([f"{w()} at {w()} dot {w()}", f"{w()} at {w()}. {w().title()}", f"{w()} at {w()}. {w()}", f"{w()} @ {w()}. {w().title()}", f"{w()} at {w()}.{w().title()}", f"{r.choice(sorted(PLAIN))} {r.choice(['at', '@'])} {w()}.{top}"])
         elif kind == 1:
-            sep = r.choice(["[.]", "(.)", "[dot]"])
+            sep = r.choice(["[.]", "(.)", "[dot]", "(dot)", "[Dot]", "(DOT)"])
             s = sep.join(str(r.randint(0, 255) if good else r.randint(256, 999)) for _ in range(4))
         elif kind == 2:
             sep = r.choice("./_")

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from quern.llm import lm_scoring
+from quern.llm import lm_scoring, pii
 from quern.llm.common import Scratch
 
 
@@ -32,3 +33,23 @@ def test_lm_knows_the_order_of_words_beyond_the_best(spark):
     out = {x.doc_id: x for x in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).filter("doc_id >= 1000").collect()}
     assert abs(out[1000].base_score - out[1001].base_score) < 1e-6
     assert out[1000].score > out[1001].score + 1
+
+
+SPELLINGS = [
+    *((x, 0) for x in ("jo{at}example.com", "jo (AT) example.com", "jo[At]example.com", "jo @ example.com", "jo at example.com", "jo@example[dot]com", "jo@example(dot)com", "jo (At) example (Dot) com")),
+    *((x, 1) for x in ("1[Dot]2[Dot]3[Dot]4", "10(DOT)20(DOT)30(DOT)40")),
+]
+
+
+@pytest.mark.parametrize("spelling,kind", SPELLINGS)
+def test_pii_proposes_every_spelling(spelling, kind):
+    for text in (spelling, f"mail: {spelling}. Next words", f"host: {spelling}\n"):
+        start = text.index(spelling)
+        assert (start, kind, start + len(spelling)) in pii.proposals(text)
+
+
+def test_pii_finds_spellings_alone_in_a_text(spark):
+    rows = [(i, f"contact: {x}, please" if k == 0 else f"host: {x}, please") for i, (x, k) in enumerate(SPELLINGS)] + [(99, "We looked at this. Then we met at noon. Prices @ home. Good")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(99) == ""
+    assert got == {i: f"{pii.KINDS[k]}:{len(t) - 8 - len(x)}:{len(t) - 8}" for (i, t), (x, k) in zip(rows, SPELLINGS)}
