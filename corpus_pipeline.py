@@ -32,10 +32,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate. Rows are told by a hash of id and text, so that rows without id
-    are judged too."""
+    """Documents that the benchmark, its items without id too, doesn't contaminate. Rows are told by a hash of id and text,
+    so that rows without id are judged too."""
     key = F.xxhash64("doc_id", "text")
-    judged = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark))
+    judged = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark), unnamed=True)
     gone = judged.filter("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, key == F.col("__gone"), "left_anti").select(docs.columns)
 

@@ -39,10 +39,10 @@ class Windows:
     terms: dict[bytes, int]
     windows: list[np.ndarray]
     items: list[int]  # place in item_ids, by window
-    item_ids: list[str]
+    item_ids: list[str | None]
 
 
-def benchmark_windows(rows: list[tuple[str, bytes | None]], width: int) -> Windows:
+def benchmark_windows(rows: list[tuple[str | None, bytes | None]], width: int) -> Windows:
     """Each distinct window once for each item; an item of fewer words is one window, an empty one none."""
     out = Windows({}, [], [], [])
     for item_id, text in rows:
@@ -127,7 +127,7 @@ class Postings:
 
 def search(index: DataFrame, windows) -> DataFrame:
     """For every indexed document: doc_id, hash (of its text), n_words, n_hit (words inside any occurrence of a window), items (sorted
-    ids whose windows occur) and edges (where runs of hit words begin and end, in turn)."""
+    ids whose windows occur, then a null if an unnamed item's does) and edges (where runs of hit words begin and end, in turn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(**windows.value)  # a broadcast holds plain values only
@@ -153,7 +153,7 @@ def search(index: DataFrame, windows) -> DataFrame:
                 for d, k in pairs:
                     items[d].append(w.item_ids[k])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(lens), pa.array(hit[begin[1:]] - hit[begin[:-1]], pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array([np.flatnonzero(np.diff(np.cumsum(edge[a:b]) > 0, prepend=False, append=False)).astype(np.int64) if x else [] for x, a, b in zip(items, begin[:-1], begin[1:], strict=True)], pa.list_(pa.int64()))],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["hashes"], pa.int64()), pa.array(lens), pa.array(hit[begin[1:]] - hit[begin[:-1]], pa.int64()), pa.array([sorted(set(x), key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())), pa.array([np.flatnonzero(np.diff(np.cumsum(edge[a:b]) > 0, prepend=False, append=False)).astype(np.int64) if x else [] for x, a, b in zip(items, begin[:-1], begin[1:], strict=True)], pa.list_(pa.int64()))],
                     names=["doc_id", "hash", "n_words", "n_hit", "items", "edges"],
                 )
 
@@ -183,16 +183,16 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIN
     return build_index(docs, terms).mapInArrow(run, "doc_id long, item_id string, start long")
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+def _items(benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
+    return (benchmark if unnamed else benchmark.filter("item_id IS NOT NULL")).select(F.col("item_id").cast("string"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, width: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, width: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text; others ignored): doc_id, n_words, n_hit, items (sorted array of item_ids
     as strings), contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
-    Null and empty texts have no words and are clean; items without id or words have no windows; repeated rows of
-    documents are judged alike, repeated items count once. Empty tables: empty result, or all clean. Benchmark text is
+    Null and empty texts have no words and are clean; items without words have no windows; items without id are
+    searched if `unnamed`, and are then one null at the end of items; repeated rows of documents are judged alike, repeated items count once. Empty tables: empty result, or all clean. Benchmark text is
     sent to executors in blocks of at most BLOCK_BYTES; more blocks mean more passes, merged by document.
     No shuffle of documents with one block: each task indexes what it reads, and the index is kept in the shared folder.
     """
@@ -202,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
     found = None
     for k in range(n):
         part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        w = benchmark_windows([(r[0], r[1]) for r in _items(part).collect()], width)
+        w = benchmark_windows([(r[0], r[1]) for r in _items(part, unnamed).collect()], width)
         index = scratch.write(build_index(docs, spark.sparkContext.broadcast(w.terms)))
         one = search(index, spark.sparkContext.broadcast(vars(w))).withColumn("block", F.lit(k))
         found = one if found is None else found.unionByName(one)
@@ -220,7 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark)).select(
+    return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark), unnamed=True).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
 

@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from quern.llm import lm_scoring, pii
+import corpus_pipeline
+from quern.llm import decontaminate, lm_scoring, pii
 from quern.llm.common import Scratch
+from tests.llm import data as D
 
 
 def test_lm_levels_sum_to_one():
@@ -53,3 +56,22 @@ def test_pii_finds_spellings_alone_in_a_text(spark):
     got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.pop(99) == ""
     assert got == {i: f"{pii.KINDS[k]}:{len(t) - 8 - len(x)}:{len(t) - 8}" for (i, t), (x, k) in zip(rows, SPELLINGS)}
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 200])
+def test_unnamed_benchmark_items_are_searched(spark, tmp_path, monkeypatch, block_bytes):
+    """As the SQL has it: their words are hit, and they count as one item of no name."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    secret, other, named = (D.prose(s, 40) for s in (21, 22, 23))
+    docs = [(1, "before " + secret + " after"), (2, D.prose(24, 60)), (3, secret + " " + named), (4, named), (5, secret + " " + other)]
+    bench = [(None, secret), (None, other), (7, named), (None, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(decontaminate.OP5_SQL).fetchall())
+    assert [r[5] for r in got] == [True, False, True, True, True]
+    left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert [r.doc_id for r in left.collect()] == [2]
