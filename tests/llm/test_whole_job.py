@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quern.llm import decontaminate, lm_scoring, pii
+from quern.llm import decontaminate, lm_scoring, pii, url_rules
 from quern.llm.common import Scratch
 from tests.llm import data as D
 
@@ -75,3 +75,10 @@ def test_unnamed_benchmark_items_are_searched(spark, tmp_path, monkeypatch, bloc
     assert [r[5] for r in got] == [True, False, True, True, True]
     left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
     assert [r.doc_id for r in left.collect()] == [2]
+
+
+@pytest.mark.parametrize("bad,good", [(30, 20_000), (20, 5), (60, 40), (900, 100)])
+def test_sure_rules_pass_at_any_size_and_share(spark, bad, good):
+    rows = [(["h:farm", "t:com"], True)] * bad + [(["h:site", "t:com"], False)] * good
+    mined = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark))
+    assert {tuple(sorted(r.antecedent)) for r in mined.collect()} == {("h:farm",), ("h:farm", "t:com")}
