@@ -159,6 +159,36 @@ def test_html_encoding_table():
     assert s[5] and '"bit_range": "31"' in s[6]
 
 
+def test_html_texts_are_joined_by_blanks_and_silent_elements_say_nothing():
+    (s,) = html.sections("<body><h2>A<b>b</b></h2><p>imm<b>11:0</b>rs1<br>funct3<script>var x;</script> and then some more words</p></body>")
+    assert s[1] == "A b" and s[6] == "# A b\n\nimm 11:0 rs1 funct3 and then some more words"
+
+
+def test_html_section_whole():
+    page = """<article class="x doc"><p>gone</p><h1>T</h1><h2 id="f">Formats</h2>loose [3](u)<!-- said --><ul><li>one <i>two</i></li><li>three<ul><li>in</li></ul></li></ul>
+<dl><dt>term</dt><dd>meaning</dd></dl><pre>a  b
+ c</pre><div><img src="a.svg" alt="[svg]">[svg]</div><h5>Deep</h5><div></div><p>Base Instruction Formats are here</p><div><img src="b.svg" alt="pic">pic of a bus</div><p>Figure 2. none</p>
+<table><tr><td>a|b</td><td></td></tr><tr><th>c</th><td>d</td></tr></table></article><article>no</article>"""
+    (s,) = html.sections(page)
+    assert s[:6] == (0, "Formats", "h2", "f", "", False) and s[7] == []
+    assert s[6] == "\n".join([
+        "# Formats", "", "loose [REF:3]", "said", "- one two", "- three in", "", "**term**", "  meaning", "", "```", "a  b\n c", "```", "", "`[FIGURE: Base Instruction Formats are here]`", "\n## Deep\n",
+        "\n`[FIGURE: of a bus]`\n", "Figure 2. none", "", "", "| a\\|b |   |\n| --- | --- |\n| c | d |", "", "",
+    ]).strip()
+
+
+def test_html_depth_and_odd_pages(spark):
+    deep = "<body><h2>Deep page</h2>" + "<div>" * 5000 + "some words at the very bottom of it all" + "</div>" * 5000 + "<p>after</p></body>"
+    (s,) = html.sections(deep)
+    assert "some words at the very bottom of it all" in s[6] and s[6].endswith("after")
+    assert html.sections("<body><p><h2>Inside an open paragraph, which goes</h2><p>" + "x " * 40) == []
+    assert html.sections("<body><ul><li><h2>Inside a list that goes</h2>" + "x " * 40) == []
+    assert html.sections("<body><h2>Kept</h2><p>" + "x " * 40 + "</p><![odd") != [] and html.sections("<p>no body</p>") == []
+    rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, deep, 0)], "page_id long, html string, ord int")
+    assert [(r.page_id, r.ord) for r in html.html_sections(rows).collect()] == [(None, 0)]
+    assert html.html_sections(rows.limit(0)).count() == 0
+
+
 def test_rate_window_leaves_out_the_entry_a_minute_ago(spark):
     rows = spark.createDataFrame([(1, "k", 0, 5), (2, "k", 59, 5), (3, "k", 60, 5)], "id int, key string, s long, tokens long").withColumn("ts", F.timestamp_seconds("s"))
     assert [r.tokens_60s for r in stats.rate_window(rows).orderBy("id").collect()] == [5, 10, 10]
