@@ -1,86 +1,237 @@
-"""Retrieval: BM25 over postings, exact cosine, rank fusion, parent expansion and budgeted prompts, for all questions at
-once. Ties are broken by ordinals, and scores are compared after rounding to nine places, as sums of doubles depend on
-their order in the last place."""
+"""Retrieval: BM25 and exact cosine over passages, rank fusion, parent expansion and budgeted prompts, for all questions at
+once. Ties are broken by the passages' keys, and scores are compared after rounding to nine places, as sums of doubles
+depend on their order in the last place.
+
+Both searches send the questions, in blocks of bounded size, to the passages: each task scores its passages against a
+block and passes on its k best a question, so no posting and no pair of question and passage is shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.operators import incremental
+from quern.sources.scratch import Scratch
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
 BM25_FETCH, TOP_CHILDREN, TOP_PARENTS, RRF_K = 15, 12, 3, 60
 MAX_PARENT_CHARS, MAX_INPUT_TOKENS, OVERHEAD_TOKENS = 6000, 5500, 60
 #: Question vectors and question texts go to all executors up to this size; more are searched in blocks of it.
 QUERY_BLOCK_BYTES = 64 << 20
+#: Scores of questions x passages that a task holds at once.
+SCORE_CELLS = 1 << 21
+#: Keys of hits are broadcast up to this number; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+#: What names a passage: its document and its place in it.
+KEY = ("parent_id", "ord")
+#: The row of a term table that holds the number of passages and the sum of their lengths; no token is empty.
+ALL = ""
 SYSTEM = "Answer from the given context alone. Be precise, cite the names and values that it states, and say what is missing if it does not suffice."
 
 
 def children_of(docs: DataFrame) -> DataFrame:
-    """child_id, parent_id, text, title of the packed passages of documents (doc_id, text, source)."""
+    """parent_id, ord, title, text of the packed passages of documents (doc_id, text, source)."""
     from quern.operators.chunkers import sentence_children
 
     out = sentence_children(docs.select("doc_id", "source", "text"), "doc_id", "source")
-    return out.select((F.col("doc_id") * 100_000 + F.col("ord")).alias("child_id"), F.col("doc_id").alias("parent_id"), F.col("source").alias("title"), "text")
+    return out.select(F.col("doc_id").alias("parent_id"), "ord", F.col("source").alias("title"), "text")
 
 
 def postings(children: DataFrame) -> DataFrame:
-    """term, child_id, tf, dl."""
-    t = children.select("child_id", T.tokenize(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return t.select("child_id", "dl", F.explode("t").alias("term")).groupBy("term", "child_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """term, parent_id, ord, tf, dl: what each term's entry in an inverted index holds."""
+    t = children.select(*KEY, T.tokenize(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    return t.select(*KEY, "dl", F.explode("t").alias("term")).groupBy("term", *KEY).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def term_counts(children: DataFrame) -> DataFrame:
+    """term, df, dl in one pass: the number of passages that hold a term; the row ALL has the number of passages and the
+    sum of their lengths. Tables of disjoint passages add up by term."""
+    t = children.select(T.tokenize(F.col("text")).alias("t")).withColumn("n", F.size("t"))
+    one = t.select("n", F.explode(F.array_append(F.array_distinct("t"), F.lit(ALL))).alias("term"))
+    return one.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == ALL, F.col("n"))).alias("dl"))
 
 
 def bm25_stats(children: DataFrame) -> DataFrame:
     """One row: n_children, avgdl, n_terms, n_postings."""
-    t = children.select("child_id", T.tokenize(F.col("text")).alias("t"))
-    size = t.agg(F.count("*").alias("n_children"), F.avg(F.size("t")).alias("avgdl"))
-    p = t.select("child_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return size.crossJoin(F.broadcast(p.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))))
-
-
-def bm25_topk(children: DataFrame, questions: DataFrame, k: int = BM25_FETCH, floor: float | None = IDF_FLOOR) -> DataFrame:
-    """question_id, rank (from 0), child_id, score (6 places): the k best children of each question. A repeated question
-    term counts again; unknown terms count 0; ties and children that match nothing come in order of child_id.
-
-    idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one raised to `floor` times the vocabulary's mean (None: kept).
-    Only question terms meet the postings, and each term's document count is taken before that join; the two statistics
-    of the whole corpus are single rows.
-    """
-    t = children.select("child_id", T.tokenize(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    n = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    if floor is not None:
-        mean = idf.agg((F.avg("idf") * floor).alias("least"))
-        idf = idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")))
-    q = questions.select("question_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qf"))
-    asked = q.select("term").distinct()
-    p = t.select("child_id", "dl", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("term", "child_id", "dl").agg(F.count("*").alias("tf"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    terms = q.join(idf.select("term", "idf", "avgdl"), "term")
-    scored = p.join(terms, "term").groupBy("question_id", "child_id").agg(F.sum(part).alias("score"))
-    best = top_k(scored, k)
-    # Questions that fewer than k children match are filled up with the first children that don't.
-    few = questions.select("question_id").join(best.groupBy("question_id").agg(F.count("*").alias("m")), "question_id", "left").filter(F.coalesce("m", F.lit(0)) < k).select("question_id")
-    first = children.select("child_id").orderBy("child_id").limit(2 * k)
-    fill = few.crossJoin(F.broadcast(first)).join(best.select("question_id", "child_id"), ["question_id", "child_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.select("question_id", "child_id", "score").unionByName(fill), k)
+    every, some = F.col("term") == ALL, F.col("term") != ALL
+    return term_counts(children).agg(
+        F.coalesce(F.max(F.when(every, F.col("df"))), F.lit(0)).alias("n_children"), F.max(F.when(every, F.col("dl") / F.col("df"))).alias("avgdl"),
+        F.count_if(some).alias("n_terms"), F.coalesce(F.sum(F.when(some, F.col("df"))), F.lit(0)).alias("n_postings"),
+    )
+
+
+@dataclass
+class Index:
+    """Passages and their term table, kept as Parquet; both sides of a search read them."""
+
+    passages: DataFrame
+    terms: DataFrame
+
+    @classmethod
+    def build(cls, children: DataFrame, scratch: Scratch) -> Index:
+        passages = scratch.write(children)
+        return cls(passages, scratch.write(term_counts(passages)))
+
+    def save(self, path: str) -> None:
+        self.passages.write.mode("overwrite").parquet(f"{path}/passages")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/passages"), spark.read.parquet(f"{path}/terms"))
+
+    def replaced(self, new: DataFrame, gone: DataFrame, scratch: Scratch) -> Index:
+        """The index without the passages of the parents in `gone` (parent_id) and with the passages `new`. Only passages
+        that come or go are tokenized: term tables add up and can be taken off."""
+        new = scratch.write(new)
+        parents = gone.select("parent_id").union(new.select("parent_id")).distinct()
+        less = term_counts(self.passages.join(parents, "parent_id", "left_semi")).select("term", (-F.col("df")).alias("df"), (-F.col("dl")).alias("dl"))
+        terms = self.terms.unionByName(less).unionByName(term_counts(new)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).filter("df > 0")
+        passages = self.passages.join(parents, "parent_id", "left_anti").select(*new.columns).unionByName(new)
+        return Index(scratch.write(passages), scratch.write(terms))
+
+    def weights(self, floor: float | None = IDF_FLOOR) -> DataFrame:
+        """term, idf, avgdl: idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one raised to `floor` times the mean of all
+        terms (None: kept). The two statistics of the whole corpus are single rows."""
+        size = self.terms.filter(F.col("term") == ALL).select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+        out = self.terms.filter(F.col("term") != ALL).select("term", "df").crossJoin(F.broadcast(size))
+        out = out.withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        if floor is not None:
+            least = out.agg((F.avg("idf") * floor).alias("least"))
+            out = out.crossJoin(F.broadcast(least)).withColumn("idf", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")))
+        return out.select("term", "idf", "avgdl")
+
+
+class Best:
+    """The k best of the passages that one task has scored, for each question: by rounded score, ties by key. A score that
+    is no number comes last."""
+
+    def __init__(self, questions: int, k: int, keys: int):
+        self.k, self.scores, self.keys = k, np.empty((questions, 0)), [np.empty((questions, 0), np.int64) for _ in range(keys)]
+
+    def offer(self, scores: np.ndarray, keys: list[np.ndarray]) -> None:
+        """scores: questions x passages, the passages in ascending order of their keys."""
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        r, n = np.round(scores, 9), scores.shape[1]
+        cols = np.broadcast_to(np.arange(n), scores.shape)
+        if n > self.k:
+            last = np.partition(r, n - self.k, axis=1)[:, n - self.k, None]
+            level = r == last  # of those that tie for the last place the first ones win
+            spare = self.k - (r > last).sum(axis=1, keepdims=True)
+            cols = np.nonzero((r > last) | level & (np.cumsum(level, axis=1) <= spare))[1].reshape(len(r), self.k)
+        s = np.hstack([self.scores, np.take_along_axis(scores, cols, 1)])
+        ks = [np.hstack([old, k[cols]]) for old, k in zip(self.keys, keys, strict=True)]
+        order = np.lexsort((*ks[::-1], -np.round(s, 9)), axis=1)[:, : self.k]
+        self.scores, self.keys = np.take_along_axis(s, order, 1), [np.take_along_axis(k, order, 1) for k in ks]
+
+
+def scan(passages: DataFrame, value: str, ids: np.ndarray, scorer: Callable[[list | pa.Array], np.ndarray], k: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """question_id, `key`, score: each task's k best passages of each question. scorer: from values of some passages to
+    their scores (questions x passages); it gets as many at once as SCORE_CELLS allows."""
+    step, types = max(1, SCORE_CELLS // max(1, len(ids))), {f.name: f.dataType.simpleString() for f in passages.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k, len(key))
+        for batch in batches if len(ids) else ():
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                keys = [part.column(j).to_numpy().astype(np.int64) for j in range(len(key))]
+                order = np.lexsort(keys[::-1])
+                best.offer(scorer(part.column(len(key)))[:, order], [x[order] for x in keys])
+        n = best.scores.shape[1]
+        if n:
+            cols = [pa.array(np.repeat(ids, n)), *(pa.array(x.ravel()) for x in best.keys), pa.array(best.scores.ravel())]
+            yield pa.RecordBatch.from_arrays(cols, names=["question_id", *key, "score"])
+
+    found = passages.filter(F.col(value).isNotNull()).select(*key, value).mapInArrow(run, ", ".join(["question_id long", *(f"{c} long" for c in key), "score double"]))
+    return found.select("question_id", *(F.col(c).cast(types[c]).alias(c) for c in key), "score")
+
+
+def blocks_of(questions: DataFrame, size: Column) -> Iterator[pa.Table]:
+    """Rows of questions in blocks of at most about QUERY_BLOCK_BYTES."""
+    total = questions.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0]
+    n = total // QUERY_BLOCK_BYTES + 1
+    for block in range(n):
+        yield (questions if n == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == block)).toArrow()
+
+
+def bm25_topk(index: Index, questions: DataFrame, k: int = BM25_FETCH, floor: float | None = IDF_FLOOR) -> DataFrame:
+    """question_id, rank (from 0), parent_id, ord, score (6 places): the k best passages of each question. A repeated
+    question term counts again; unknown terms count 0; ties, and passages that match nothing, come in order of their keys.
+    Questions without id or text are left out. Only the weights of the asked terms leave the index."""
+    spark, weights, out = questions.sparkSession, index.weights(floor), None
+    for block in blocks_of(questions.filter("question_id IS NOT NULL AND question IS NOT NULL").select("question_id", "question"), F.octet_length("question") * 2):
+        ids, find = block.column(0).to_numpy().astype(np.int64), re.compile(T.TOKEN).findall
+        asked = [find(t.lower()) for t in block.column(1).to_pylist()]
+        vocabulary = {t: i for i, t in enumerate(dict.fromkeys(t for ts in asked for t in ts))}
+        names = spark.createDataFrame(pa.table({"term": pa.array(list(vocabulary), pa.string())}))
+        known = weights.join(names, "term", "left_semi").toArrow().to_pydict()
+        idf = dict(zip(known["term"], known["idf"], strict=True))
+        found = scan(index.passages, "text", ids, _bm25(asked, vocabulary, idf, (known["avgdl"] or [1.0])[0]), k)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
+
+
+def _bm25(asked: list[list[str]], vocabulary: dict[str, int], idf: dict[str, float], avgdl: float) -> Callable[[pa.Array], np.ndarray]:
+    """Texts to scores of all questions."""
+    pairs = np.array([(vocabulary[t], q) for q, ts in enumerate(asked) for t in ts if t in idf], np.int64).reshape(-1, 2)
+    pairs, qf = np.unique(pairs, axis=0, return_counts=True)
+    values = np.zeros(len(vocabulary))
+    values[[vocabulary[t] for t in idf]] = list(idf.values())
+    weight = qf * values[pairs[:, 0]] * (K1 + 1)
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
+    of = {t: i for t, i in vocabulary.items() if t in idf}
+
+    def score(texts: pa.Array) -> np.ndarray:
+        find, rows, terms, dl = re.compile(T.TOKEN).findall, [], [], np.zeros(len(texts))
+        for i, t in enumerate(texts.to_pylist()):
+            tokens = find(t.lower())
+            dl[i] = len(tokens)
+            hit = [of[x] for x in tokens if x in of]
+            terms += hit
+            rows += [i] * len(hit)
+        out = np.zeros((len(asked), len(texts)))
+        both, tf = np.unique(np.array(terms, np.int64) * len(texts) + np.array(rows, np.int64), return_counts=True)
+        term, row = np.divmod(both, max(1, len(texts)))
+        part = tf / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+        ends = np.flatnonzero(np.diff(term, append=-1)) + 1
+        for a, b in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
+            w = slice(starts[term[a]], starts[term[a] + 1])
+            out[np.ix_(pairs[w, 1], row[a:b])] += weight[w, None] * part[a:b]
+        return out
+
+    return score
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each question_id, best first; Spark cuts each partition to k before the shuffle."""
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "child_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("question_id", (F.col("rank") - 1).cast("int").alias("rank"), "child_id", F.round("score", 6).alias("score"))
+    key = [c for c in scored.columns if c not in ("question_id", "score")]
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), *key)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("question_id", (F.col("rank") - 1).cast("int").alias("rank"), *key, F.round("score", 6).alias("score"))
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose `on` is in `keys`, a table that has been written: by broadcast while they are few, else by a shuffle."""
+    small = keys.select(*on).distinct()
+    return rows.join(F.broadcast(small) if keys.count() <= BROADCAST_KEYS else small, on, "left_semi")
+
+
+def with_passages(hits: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
+    """question_id, rank, parent_id, title, text of hits (question_id, rank, parent_id, ord)."""
+    hits = scratch.write(hits)
+    return hits.join(narrowed(passages, hits, list(KEY)), list(KEY)).select("question_id", "rank", "parent_id", "title", "text")
 
 
 class Embedder(Protocol):
@@ -97,8 +248,6 @@ class HashingEmbedder:
     dim = 64
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import re
-
         find, out = re.compile(T.TOKEN).findall, np.zeros((len(texts), self.dim))
 
         @lru_cache(1 << 18)
@@ -113,49 +262,32 @@ class HashingEmbedder:
         return out
 
 
-def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | None = None) -> DataFrame:
-    """(id_col, embedding array<double>)."""
-    embedder = embedder or HashingEmbedder()
+def embed(rows: DataFrame, key: tuple[str, ...], text_col: str, embedder: Embedder | None = None) -> DataFrame:
+    """(`key`, embedding array<double>)."""
+    embedder, n = embedder or HashingEmbedder(), len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = embedder(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=[id_col, "embedding"])
-
-    return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} long, embedding array<double>")
-
-
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_CHILDREN) -> DataFrame:
-    """question_id, rank, child_id, score: exact cosine of queries (question_id, embedding) to vectors (child_id,
-    embedding). A vector of norm 0 scores 0. Query vectors are sent to the executors in blocks of bounded size; each
-    batch of vectors is one matrix product and passes on its k best of each query, so no pair is shuffled that can't win."""
-    size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    n, out = size // QUERY_BLOCK_BYTES + 1, None
-    for block in range(n):
-        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == block)
-        rows = part.select("question_id", "embedding").toPandas()
-        ids = rows.question_id.to_numpy(np.int64)
-        q = np.array([np.asarray(x, float) for x in rows.embedding]).reshape(len(rows), -1)
-        one = _scan(vectors, ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), k)
-        out = one if out is None else out.unionByName(one)
+            v = embedder(batch.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(list(v), pa.list_(pa.float64()))], names=[*key, "embedding"])
+
+    out = rows.select(*key, text_col)
+    return out.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema[:n]), "embedding array<double>"]))
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_CHILDREN, key: tuple[str, ...] = KEY) -> DataFrame:
+    """question_id, rank, `key`, score: exact cosine of queries (question_id, embedding) to vectors (`key`, embedding). A
+    vector of norm 0 scores 0; rows without vector are left out."""
+    out = None
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for block in blocks_of(queries.filter("question_id IS NOT NULL AND embedding IS NOT NULL").select("question_id", "embedding"), F.size("embedding") * 8):
+        ids, flat = block.column(0).to_numpy().astype(np.int64), block.column(1).combine_chunks().flatten().to_numpy().astype(float)
+        q = unit(flat.reshape(len(ids), -1)) if len(ids) else flat.reshape(0, 1)
+        found = scan(vectors, "embedding", ids, lambda v, q=q: q @ unit(v.flatten().to_numpy().astype(float).reshape(len(v), -1)).T, k, key)
+        out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
 
-def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            c = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-            s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            order = np.lexsort((np.broadcast_to(c, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-            m = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(c[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["question_id", "child_id", "score"])
-
-    return vectors.filter("embedding IS NOT NULL").select("child_id", "embedding").mapInArrow(run, "question_id long, child_id long, score double")
-
-
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, n: int = TOP_CHILDREN, dedup: bool = False) -> DataFrame:
     """question_id, rank, key, parent_id, title, text, score: reciprocal-rank fusion of two hit lists (question_id, rank,
     parent_id, title, text) by the first 120 characters. Equal keys of one list add up (dedup: only the best counts); a
@@ -174,15 +306,17 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, n: int = TOP_CHILD
     return keyed.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < n).select("question_id", "rank", "key", "hit.parent_id", "hit.title", "hit.text", F.round("score", 6).alias("score"))
 
 
-def expand_parents(fused: DataFrame, parents: DataFrame, n: int = TOP_PARENTS) -> DataFrame:
+def expand_parents(fused: DataFrame, parents: DataFrame, n: int = TOP_PARENTS, scratch: Scratch | None = None) -> DataFrame:
     """question_id, ord, parent_id, section_title, full_text (6000 characters), child_matched, score: the first hit of
-    each parent, n parents a question. A parent that is missing gives its id as title and the child as text."""
+    each parent, n parents a question. A parent that is missing gives its id as title and the child as text. The hits are
+    written down first, so that only the parents they name are read out of the corpus."""
     first = Window.partitionBy("question_id", "parent_id").orderBy("rank")
     again = Window.partitionBy("question_id").orderBy("rank")
-    hits = fused.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("ord", F.row_number().over(again)).filter(F.col("ord") <= n)
-    p = parents.select(F.col("parent_id").alias("pid"), F.col("title").alias("parent_title"), F.col("text").alias("parent_text"))
+    hits = fused.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("place", F.row_number().over(again)).filter(F.col("place") <= n)
+    hits = (scratch or Scratch(fused.sparkSession)).write(hits)
+    p = narrowed(parents, hits, ["parent_id"]).select(F.col("parent_id").alias("pid"), F.col("title").alias("parent_title"), F.col("text").alias("parent_text"))
     return hits.join(p, F.col("parent_id") == F.col("pid"), "left").select(
-        "question_id", (F.col("ord") - 1).cast("int").alias("ord"), "parent_id", F.coalesce("parent_title", F.col("parent_id").cast("string")).alias("section_title"),
+        "question_id", (F.col("place") - 1).cast("int").alias("ord"), "parent_id", F.coalesce("parent_title", F.col("parent_id").cast("string")).alias("section_title"),
         F.left(F.coalesce("parent_text", "text"), F.lit(MAX_PARENT_CHARS)).alias("full_text"), F.col("text").alias("child_matched"), "score",
     )
 
@@ -207,19 +341,36 @@ def output_allowance(prompt_tokens: Column, limit: int = 7800, least: int = 256)
 
 
 class QueryExpander(Protocol):
-    """Question to the text that the dense side searches with; the sparse side always takes the question."""
+    """Questions to the texts that the dense side searches with, a batch at a time; the sparse side always takes the questions."""
+
+    def __call__(self, questions: list[str]) -> list[str]: ...
 
-    def __call__(self, question: str) -> str: ...
 
+def expanded(questions: DataFrame, expander: QueryExpander) -> DataFrame:
+    """question_id, question: what the expander makes of each."""
 
-def retrieve(docs: DataFrame, questions: DataFrame, embedder: Embedder | None = None, expander: QueryExpander | None = None, *, top_parents: int = TOP_PARENTS) -> DataFrame:
-    """Questions (question_id, question) over documents (doc_id, source, text) to contexts; see expand_parents."""
-    kids = children_of(docs).persist(StorageLevel.MEMORY_AND_DISK)  # read by both searches and for their hits
-    asked = questions
-    if expander is not None:
-        asked = questions.withColumn("question", F.udf(expander, "string")("question"))
-    dense = cosine_topk(embed(kids, "child_id", "text", embedder), embed(asked, "question_id", "question", embedder))
-    sparse = bm25_topk(kids, questions)
-    hit = lambda h: h.join(kids, "child_id").select("question_id", "rank", "parent_id", "title", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expander(batch.column(1).to_pylist()), pa.string())], names=["question_id", "question"])
+
+    return questions.select("question_id", "question").mapInArrow(run, "question_id long, question string")
+
+
+def both_lists(index: Index, questions: DataFrame, scratch: Scratch, embedder: Embedder | None = None, expander: QueryExpander | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits with their passages: of the cosine search with the expanded questions, and of BM25 with the questions."""
+    asked = expanded(questions, expander) if expander else questions
+    dense = cosine_topk(embed(index.passages, KEY, "text", embedder), embed(asked, ("question_id",), "question", embedder))
+    return with_passages(dense, index.passages, scratch), with_passages(bm25_topk(index, questions), index.passages, scratch)
+
+
+def retrieve(index: Index, docs: DataFrame, questions: DataFrame, scratch: Scratch, embedder: Embedder | None = None, expander: QueryExpander | None = None, *, top_parents: int = TOP_PARENTS) -> DataFrame:
+    """Questions (question_id, question) over documents (doc_id, source, text) and their index to contexts; see
+    expand_parents."""
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("source").alias("title"), "text")
-    return expand_parents(fuse(hit(dense), hit(sparse)), parents, top_parents)
+    return expand_parents(fuse(*both_lists(index, questions, scratch, embedder, expander)), parents, top_parents, scratch)
+
+
+def upsert_vectors(store: DataFrame | None, passages: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """A store of vectors (parent_id, ord, embedding) after the passages: all vectors of a parent that they hold are replaced."""
+    new = embed(passages, KEY, "text", embedder)
+    return new if store is None else incremental.upsert(store, new, "parent_id")

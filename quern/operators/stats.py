@@ -32,12 +32,12 @@ def token_summary(chunks: DataFrame) -> DataFrame:
 
 
 def token_histogram(chunks: DataFrame) -> DataFrame:
-    """low, high (null for the last), chunks; empty ranges too."""
-    n = T.tokens_by_words(F.coalesce("text", F.lit("")))
+    """low, high (null for the last), chunks; empty ranges too. A text is counted once, in a projection of its own."""
+    counted = chunks.select(T.tokens_by_words(F.coalesce("text", F.lit(""))).alias("tokens"))
     low = F.lit(BINS[0])
     for b in BINS[1:]:
-        low = F.when(n >= b, F.lit(b)).otherwise(low)
-    got = chunks.groupBy(low.alias("low")).agg(F.count("*").alias("n"))
+        low = F.when(F.col("tokens") >= b, F.lit(b)).otherwise(low)
+    got = counted.groupBy(low.alias("low")).agg(F.count("*").alias("n"))
     bins = chunks.sparkSession.createDataFrame(list(zip(BINS, [*BINS[1:], None], strict=True)), "low int, high int")
     return bins.join(F.broadcast(got), "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("chunks"))
 

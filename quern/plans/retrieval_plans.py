@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quern.operators import chunkers as C
@@ -10,9 +9,10 @@ from quern.operators import incremental as I
 from quern.operators import retrieval as R
 from quern.plans import fixtures as X
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
+from quern.sources.scratch import Scratch
 
-#: Vectors that serve as queries of the cosine search.
-QUERY_VECTORS = 20
+#: The cosine search asks with every vector whose id this divides, against all vectors.
+QUERY_EVERY = 50
 
 
 def questions(spark, sf_dir):
@@ -23,40 +23,54 @@ def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("child_id"), "embedding", "label")
 
 
-def children(spark, sf_dir):
-    """Passages, kept for the several passes that an index takes; blocks that go with an executor are made again."""
-    return R.children_of(docs(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+def asked_vectors(v):
+    return v.filter(F.col("child_id") % QUERY_EVERY == 0)
 
 
-def hits(h, kids):
-    return h.join(kids, "child_id").select("question_id", "rank", "parent_id", "title", "text")
+def index(spark, sf_dir, scratch=None):
+    return R.Index.build(R.children_of(docs(spark, sf_dir)), scratch or Scratch(spark))
 
 
-def both_lists(spark, sf_dir):
-    kids, q = children(spark, sf_dir), questions(spark, sf_dir)
-    dense = R.cosine_topk(R.embed(kids, "child_id", "text"), R.embed(q, "question_id", "question"))
-    return hits(dense, kids), hits(R.bm25_topk(kids, q), kids)
+def bm25(spark, sf_dir, k=R.BM25_FETCH):
+    return R.bm25_topk(index(spark, sf_dir), questions(spark, sf_dir), k)
 
 
-def contexts(spark, sf_dir):
-    return R.retrieve(docs(spark, sf_dir), questions(spark, sf_dir))
+def contexts(spark, sf_dir, expander=None):
+    scratch = Scratch(spark)
+    return R.retrieve(index(spark, sf_dir, scratch), docs(spark, sf_dir), questions(spark, sf_dir), scratch, expander=expander)
+
+
+def kept_index(spark, sf_dir):
+    """An index of the first half of the documents, saved, read again and brought up to date with the others and with a
+    changed text of every tenth: its term table."""
+    scratch, all_docs = Scratch(spark), docs(spark, sf_dir)
+    early = all_docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("An earlier state. "), "text")).otherwise(F.col("text")))
+    at = scratch.path()
+    R.Index.build(R.children_of(early), scratch).save(at)
+    late = all_docs.filter("doc_id % 2 = 1 OR doc_id % 10 = 0")
+    done = R.Index.load(spark, at).replaced(R.children_of(late), late.select(F.col("doc_id").alias("parent_id")), scratch)
+    return done.terms.select("term", "df")
 
 
 def cosine(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return R.cosine_topk(v, v.filter(F.col("child_id") < QUERY_VECTORS).select(F.col("child_id").alias("question_id"), "embedding"))
+    return R.cosine_topk(v, asked_vectors(v).select(F.col("child_id").alias("question_id"), "embedding"), key=("child_id",))
 
 
 def cosine_label(spark, sf_dir):
     """By label of the query: queries, and those whose nearest other vector has the same label."""
     v = vectors(spark, sf_dir)
-    q = v.filter(F.col("child_id") < QUERY_VECTORS)
-    top = R.cosine_topk(v, q.select(F.col("child_id").alias("question_id"), "embedding"), 2).filter(F.col("question_id") != F.col("child_id"))
+    q = asked_vectors(v)
+    top = R.cosine_topk(v, q.select(F.col("child_id").alias("question_id"), "embedding"), 2, ("child_id",)).filter(F.col("question_id") != F.col("child_id"))
     best = top.groupBy("question_id").agg(F.min_by("child_id", "rank").alias("child_id"))
     a, b = q.select(F.col("child_id").alias("question_id"), F.col("label").alias("asked")), v.select("child_id", F.col("label").alias("found"))
     return best.join(a, "question_id").join(b, "child_id").groupBy("asked").agg(F.count("*").alias("queries"), F.count_if(F.col("asked") == F.col("found")).alias("same_label"))
 
 
+def dense(spark, sf_dir):
+    return R.cosine_topk(R.embed(R.children_of(docs(spark, sf_dir)), R.KEY, "text"), R.embed(questions(spark, sf_dir), ("question_id",), "question"))
+
+
 FUSE = X.Inline(
     "list int, question_id int, rank int, parent_id string, title string, text string",
     [
@@ -73,8 +87,8 @@ def fuse_inline(spark, sf_dir, dedup=False):
 
 
 def fused(spark, sf_dir):
-    d, s = both_lists(spark, sf_dir)
-    return R.fuse(d, s).select("question_id", "rank", "parent_id", "title", F.md5("key").alias("key_md5"), "score")
+    scratch = Scratch(spark)
+    return R.fuse(*R.both_lists(index(spark, sf_dir, scratch), questions(spark, sf_dir), scratch)).select("question_id", "rank", "parent_id", "title", F.md5("key").alias("key_md5"), "score")
 
 
 def prompt_budget(spark, sf_dir):
@@ -84,16 +98,17 @@ def prompt_budget(spark, sf_dir):
 
 
 QUERIES = {
-    "sentence_pack": lambda s, d: R.children_of(docs(s, d)).select("child_id", "parent_id", F.md5("text").alias("text_md5")),
+    "sentence_pack": lambda s, d: R.children_of(docs(s, d)).select("parent_id", "ord", F.md5("text").alias("text_md5")),
     "paragraph_split": lambda s, d: C.paragraphs(X.VIEWS.df(s), "slug"),
     "divider_split": lambda s, d: C.divider_sections(X.VIEWS.df(s)),
     "hierarchy_fallback": lambda s, d: I.children(X.PARENTS.df(s), X.VIEWS.df(s)),
-    "bm25_stats": lambda s, d: R.bm25_stats(children(s, d)).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
-    "bm25_topk": lambda s, d: R.bm25_topk(children(s, d), questions(s, d)),
-    "bm25_prefilter": lambda s, d: R.bm25_topk(children(s, d), questions(s, d), 2),
+    "bm25_stats": lambda s, d: R.bm25_stats(R.children_of(docs(s, d))).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
+    "bm25_topk": bm25,
+    "bm25_prefilter": lambda s, d: bm25(s, d, 2),
+    "bm25_kept_index": kept_index,
     "cosine_topk": cosine,
     "cosine_top1_label": cosine_label,
-    "dense_topk": lambda s, d: R.cosine_topk(R.embed(R.children_of(docs(s, d)), "child_id", "text"), R.embed(questions(s, d), "question_id", "question")),
+    "dense_topk": dense,
     "rrf_fuse": fused,
     "rrf_duplicate_keys": fuse_inline,
     "rrf_dedup": lambda s, d: fuse_inline(s, d, True),
@@ -117,11 +132,11 @@ def packed(source: str, key: str) -> str:
     pk AS (SELECT {key}, g, text, row_number() OVER (PARTITION BY {key} ORDER BY g) - 1 AS ord FROM pg WHERE length(text) > 30)"""
 
 
-KIDS = f"{packed('documents', 'doc_id')}, kids AS MATERIALIZED (SELECT pk.doc_id * 100000 + ord AS child_id, pk.doc_id AS parent_id, source AS title, pk.text FROM pk JOIN documents d ON pk.doc_id = d.doc_id)"
+KIDS = f"{packed('documents', 'doc_id')}, kids AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pk.doc_id, ord) AS child_id, pk.doc_id AS parent_id, CAST(ord AS INTEGER) AS ord, source AS title, pk.text FROM pk JOIN documents d ON pk.doc_id = d.doc_id)"
 TOK = r"regexp_extract_all(lower({x}), '[a-zA-Z0-9_\-\.]+')"
 
 
-def bm25(k: int) -> str:
+def bm25_sql(k: int) -> str:
     return f"""kt AS MATERIALIZED (SELECT child_id, {TOK.format(x='text')} AS t FROM kids),
     dl AS (SELECT child_id, len(t) AS dl FROM kt), av AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     tf AS MATERIALIZED (SELECT child_id, term, count(*) AS tf FROM (SELECT child_id, unnest(t) AS term FROM kt) GROUP BY 1, 2),
@@ -153,7 +168,7 @@ def fuse(source: str, dedup: bool = False) -> str:
     fu AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, first) - 1 AS INTEGER) AS rank, key, h.p AS parent_id, h.t AS title, h.x AS text, round(score, 6) AS score FROM kx QUALIFY rank < 12)"""
 
 
-LISTS = f"{KIDS}, {bm25(15)}, {DENSE}, hi AS (SELECT 0 AS list, question_id, rank, parent_id, title, text FROM de JOIN kids USING (child_id) UNION ALL SELECT 1, question_id, rank, parent_id, title, text FROM sp JOIN kids USING (child_id)), {fuse('hi')}"
+LISTS = f"{KIDS}, {bm25_sql(15)}, {DENSE}, hi AS (SELECT 0 AS list, question_id, rank, parent_id, title, text FROM de JOIN kids USING (child_id) UNION ALL SELECT 1, question_id, rank, parent_id, title, text FROM sp JOIN kids USING (child_id)), {fuse('hi')}"
 EXPAND = f"""{LISTS}, f1 AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY question_id, parent_id ORDER BY rank) = 1),
     f2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) - 1 AS INTEGER) AS ord FROM f1 QUALIFY ord < 3),
     ctx AS (SELECT question_id, ord, parent_id, coalesce(source, CAST(parent_id AS VARCHAR)) AS section_title, left(coalesce(d.text, f2.text), 6000) AS full_text, f2.text AS child_matched, score FROM f2 LEFT JOIN documents d ON f2.parent_id = d.doc_id)"""
@@ -172,7 +187,7 @@ _para = PARA.format(x="text", clean=CLEAN.replace("(text,", "(q,"))
 _cos = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 SQL = {
-    "sentence_pack": f"WITH RECURSIVE {KIDS} SELECT child_id, parent_id, md5(text) AS text_md5 FROM kids",
+    "sentence_pack": f"WITH RECURSIVE {KIDS} SELECT parent_id, ord, md5(text) AS text_md5 FROM kids",
     "paragraph_split": f"SELECT slug, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS ord FROM (SELECT slug, {_para} AS p FROM {X.VIEWS.sql()})",
     "divider_split": f"WITH {DIVIDED.format(views=X.VIEWS.sql())} SELECT * FROM di",
     "hierarchy_fallback": f"""WITH RECURSIVE {DIVIDED.format(views=X.VIEWS.sql())}, ow AS (SELECT * FROM {X.PARENTS.sql()} WHERE chunk_id <> ''),
@@ -180,12 +195,13 @@ SQL = {
         md AS (SELECT pp.slug || '__' || parent_id || '__p' || ord AS child_id, pp.slug, parent_id, coalesce(pp.section_title, ow.section_title, '') AS section_title, text FROM pp LEFT JOIN ow ON pp.slug = ow.slug AND parent_id = chunk_id),
         re AS (SELECT slug, chunk_id, section_title, left(document_text, 8000) AS text FROM ow WHERE slug NOT IN (SELECT slug FROM md)), {packed('re', 'chunk_id')}
         SELECT * FROM md UNION ALL SELECT re.slug || '__' || re.chunk_id || '__c' || ord, re.slug, re.chunk_id, coalesce(section_title, ''), pk.text FROM pk JOIN re ON pk.chunk_id = re.chunk_id""",
-    "bm25_stats": f"WITH RECURSIVE {KIDS}, {bm25(15)} SELECT (SELECT n FROM av) AS n_children, (SELECT round(avgdl, 6) FROM av) AS avgdl, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM tf",
-    "bm25_topk": f"WITH RECURSIVE {KIDS}, {bm25(15)} SELECT * FROM sp",
-    "bm25_prefilter": f"WITH RECURSIVE {KIDS}, {bm25(2)} SELECT * FROM sp",
-    "cosine_topk": f"SELECT a.vec_id AS question_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) - 1 AS INTEGER) AS rank, b.vec_id AS child_id, round({_cos}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 QUALIFY rank < 12",
-    "cosine_top1_label": f"WITH t AS (SELECT a.label AS asked, b.label AS found, a.vec_id FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) = 1) SELECT asked, count(*) AS queries, count(*) FILTER (asked = found) AS same_label FROM t GROUP BY asked",
-    "dense_topk": f"WITH RECURSIVE {KIDS}, {DENSE} SELECT * FROM de",
+    "bm25_stats": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT (SELECT n FROM av) AS n_children, (SELECT round(avgdl, 6) FROM av) AS avgdl, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM tf",
+    "bm25_topk": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT question_id, rank, parent_id, ord, score FROM sp JOIN kids USING (child_id)",
+    "bm25_prefilter": f"WITH RECURSIVE {KIDS}, {bm25_sql(2)} SELECT question_id, rank, parent_id, ord, score FROM sp JOIN kids USING (child_id)",
+    "bm25_kept_index": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT term, count(*) AS df FROM tf GROUP BY 1 UNION ALL SELECT '', n FROM av",
+    "cosine_topk": f"SELECT a.vec_id AS question_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) - 1 AS INTEGER) AS rank, b.vec_id AS child_id, round({_cos}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank < 12",
+    "cosine_top1_label": f"WITH t AS (SELECT a.label AS asked, b.label AS found, a.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) = 1) SELECT asked, count(*) AS queries, count(*) FILTER (asked = found) AS same_label FROM t GROUP BY asked",
+    "dense_topk": f"WITH RECURSIVE {KIDS}, {DENSE} SELECT question_id, rank, parent_id, ord, score FROM de JOIN kids USING (child_id)",
     "rrf_fuse": f"WITH RECURSIVE {LISTS} SELECT question_id, rank, parent_id, title, md5(key) AS key_md5, score FROM fu",
     "rrf_duplicate_keys": f"WITH {fuse(FUSE.sql())} SELECT question_id, rank, parent_id, title, length(text) AS n_chars, score FROM fu",
     "rrf_dedup": f"WITH {fuse(FUSE.sql(), True)} SELECT question_id, rank, parent_id, title, length(text) AS n_chars, score FROM fu",

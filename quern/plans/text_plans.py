@@ -8,10 +8,11 @@ from quern.functions import text as T
 from quern.functions import urls as U
 from quern.operators import lint, stats
 from quern.plans import fixtures as X
+from quern.sources.files import read_table
 
 
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 WORDS = r"len(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> ''))"

@@ -15,6 +15,17 @@ INSTRUCTIONS = "name string, xlen int, num_registers int, instructions array<str
 MANIFEST = "slug string, file_hash string"
 
 
+#: A table with less than this for each core is dealt over all cores, as the row groups of its few files can't be split.
+SMALL_BYTES_A_CORE = 4 << 20
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder. Large ones are read as they lie, without a shuffle."""
+    out, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files; runs no job
+    return out.repartition(cores) if size < cores * SMALL_BYTES_A_CORE else out
+
+
 def _slug(suffix: str):
     return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*){suffix}$", 1)
 

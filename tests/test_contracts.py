@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import bits, text, urls
 from quern.operators import chunkers, contract, html, incremental, lint, retrieval, stats
 from quern.plans import fixtures as X
+from quern.sources.scratch import Scratch
 
 
 def one(spark, column, **values):
@@ -63,11 +65,62 @@ def test_fusion_adds_up_equal_keys_of_one_list(spark):
     assert fuse_inline(spark, "", dedup=True).filter("question_id = 1 AND rank = 0").first().score == pytest.approx(1 / 61 + 1 / 62, abs=1e-6)
 
 
+def index_of(spark, texts):
+    kids = spark.createDataFrame([(i // 2, i % 2, "t", t) for i, t in enumerate(texts)], "parent_id long, ord int, title string, text string")
+    return retrieval.Index.build(kids, Scratch(spark))
+
+
 def test_questions_that_match_nothing_get_the_first_children(spark):
-    kids = spark.createDataFrame([(i, f"word{i} common") for i in range(6)], "child_id long, text string")
-    q = spark.createDataFrame([(1, "nothing here"), (2, "word3")], "question_id long, question string")
-    rows = retrieval.bm25_topk(kids, q, 3).orderBy("question_id", "rank").collect()
-    assert [r.child_id for r in rows] == [0, 1, 2, 3, 0, 1] and rows[3].score > 0
+    index = index_of(spark, [f"word{i} common" for i in range(6)])
+    q = spark.createDataFrame([(1, "nothing here"), (2, "word3"), (None, "word3"), (3, None)], "question_id long, question string")
+    rows = retrieval.bm25_topk(index, q, 3).orderBy("question_id", "rank").collect()
+    assert [(r.parent_id, r.ord) for r in rows] == [(0, 0), (0, 1), (1, 0), (1, 1), (0, 0), (0, 1)] and rows[3].score > 0
+    assert retrieval.bm25_topk(index, q.limit(0), 3).count() == 0 and retrieval.bm25_topk(index_of(spark, []), q, 3).count() == 0
+
+
+def test_bm25_in_blocks_and_small_steps_gives_the_same(spark, monkeypatch):
+    index = index_of(spark, [" ".join(f"w{(i * j) % 11}" for j in range(1, 5 + i % 4)) for i in range(60)])
+    q = spark.createDataFrame([(i, f"w{i} w{i} w{i + 1} w{2 * i % 11} none") for i in range(9)], "question_id long, question string")
+    whole = retrieval.bm25_topk(index, q, 5).orderBy("question_id", "rank").collect()
+    assert len(whole) == 45
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 90)
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 30)
+    assert retrieval.bm25_topk(index, q, 5).orderBy("question_id", "rank").collect() == whole
+
+
+def test_best_against_sorting():
+    rng = np.random.default_rng(1)
+    for n in (0, 3, 50):
+        scores, best = rng.integers(0, 4, (7, n)).astype(float), retrieval.Best(7, 5, 2)
+        scores[:, ::9] = np.nan
+        keys = [np.arange(n) // 3, np.arange(n) % 3]
+        for a in range(0, n, 8):
+            best.offer(scores[:, a : a + 8], [k[a : a + 8] for k in keys])
+        for i in range(7):
+            want = sorted((-s if s == s else np.inf, j) for j, s in enumerate(scores[i]))[:5]
+            assert [int(a * 3 + b) for a, b in zip(best.keys[0][i], best.keys[1][i], strict=True)] == [j for _, j in want]
+
+
+def test_ten_thousand_questions_in_one_block(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0, float(i == 3)]) for i in range(400)], "child_id long, embedding array<double>")
+    q = spark.range(10_000).select(F.col("id").alias("question_id"), F.array(F.col("id") % 7, F.col("id") % 5, F.lit(1), F.lit(0)).cast("array<double>").alias("embedding"))
+    got = retrieval.cosine_topk(v, q, 2, ("child_id",))
+    assert got.count() == 20_000 and got.filter("rank = 0 AND (child_id % 35) <> (question_id % 35)").filter("score < 0.999999").count() == 0
+
+
+def test_expander_feeds_the_dense_side_alone(spark):
+    index = index_of(spark, ["alpha beta", "gamma delta", "epsilon zeta"])
+    q = spark.createDataFrame([(1, "gamma")], "question_id long, question string")
+    dense, sparse = retrieval.both_lists(index, q, Scratch(spark), expander=lambda texts: ["epsilon zeta" for _ in texts])
+    first = lambda rows: rows.filter("rank = 0").first().text
+    assert first(dense) == "epsilon zeta" and first(sparse) == "gamma delta"
+
+
+def test_vectors_of_a_changed_parent_are_replaced(spark):
+    index = index_of(spark, ["alpha beta", "gamma delta", "epsilon zeta"])
+    store = retrieval.upsert_vectors(None, index.passages)
+    again = spark.createDataFrame([(0, 0, "t", "eta")], "parent_id long, ord int, title string, text string")
+    assert sorted((r.parent_id, r.ord) for r in retrieval.upsert_vectors(store, again).collect()) == [(0, 0), (1, 0)]
 
 
 def test_prompts_of_questions_without_parents(spark):
@@ -80,9 +133,9 @@ def test_prompts_of_questions_without_parents(spark):
 def test_cosine_in_blocks_gives_the_same(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "child_id long, embedding array<double>")
     q = v.filter("child_id < 9").select(F.col("child_id").alias("question_id"), "embedding")
-    whole = retrieval.cosine_topk(v, q, 4).orderBy("question_id", "rank").collect()
+    whole = retrieval.cosine_topk(v, q, 4, ("child_id",)).orderBy("question_id", "rank").collect()
     monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 60)
-    assert retrieval.cosine_topk(v, q, 4).orderBy("question_id", "rank").collect() == whole
+    assert retrieval.cosine_topk(v, q, 4, ("child_id",)).orderBy("question_id", "rank").collect() == whole
 
 
 def test_instruction_without_behaviour_fails(spark):
