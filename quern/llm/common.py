@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.files import read_table
+from quern.sources.scratch import Scratch, delete, shared_dir
+
+__all__ = ["OTHERS", "SPACE", "Scratch", "delete", "lower_ascii", "pack", "shared_dir", "table", "unpack", "with_text", "words"]
+
 #: Characters that end a word: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -27,48 +29,6 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}", 0
-        self.paths: list[str] = []
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for path in (df._scratch_path for df in dfs):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            self.paths.remove(path)
-
-    def close(self, *keep: DataFrame) -> None:
-        """Delete all tables but those of `keep`."""
-        kept = {df._scratch_path for df in keep}
-        for path in [p for p in self.paths if p not in kept]:
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            self.paths.remove(path)
-
-
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """docs with a new text, and n_chars kept in step where there is one."""
     out = docs.withColumn("text", text)

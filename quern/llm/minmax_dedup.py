@@ -18,10 +18,14 @@ SEED = 20240229
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Words remembered by a worker; beyond that the memory starts anew.
 MEMORY = 1 << 20
-#: Members of a bucket that are compared pair by pair; of a block; and columns of one matrix product.
-SMALL, BLOCK, COLUMNS = 16, 64, 8192
+#: Members of a bucket that are compared pair by pair; members and shingles of a block; and columns of one matrix product.
+SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 16, 256, 1 << 19, 8192
+#: Rounds in which the members of a bucket meet one of them, before all pairs are looked at.
+ROUNDS = 2
 #: Parts in which the rows of one key are joined.
 SALTS = 8
+#: Keys with more than one row in so many (and more than LEAST_HEAVY) are heavy; so there are never more than these.
+HEAVY_SHARE, LEAST_HEAVY = 10_000, 500
 
 
 class WordHashes(dict):
@@ -80,37 +84,37 @@ def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SIGNED = pa.schema([("mm_id", pa.int64()), ("mm_n", pa.int64()), ("mm_f1", pa.int64()), ("mm_f2", pa.int64()), ("mm_bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("mm_id", pa.int64()), ("mm_t", pa.int64()), ("mm_n", pa.int64()), ("mm_f1", pa.int64()), ("mm_f2", pa.int64()), ("mm_bands", pa.list_(pa.int64()))])
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """(mm_id, size of the shingle set, 128-bit fingerprint of the set, band keys; none for an empty set)."""
+    """(mm_id, hash of the text, size of the shingle set, 128-bit fingerprint of the set, band keys; none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), permutations()
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 s = shingles(text.as_py(), k, hashes)
                 n.append(len(s))
                 f1.append(int(mix(s * M1 + M2).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(mix((s ^ M3) * M2).sum(dtype=np.uint64).view(np.int64)))
                 bands.append(band_keys(*minmax(s, a, b)) if len(s) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in bands])]), pa.int32()), pa.array(np.concatenate([*bands, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], schema=SIGNED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.col("text").alias("mm_text")).mapInArrow(run, "mm_id long, mm_n long, mm_f1 long, mm_f2 long, mm_bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.xxhash64("text").alias("mm_t"), F.col("text").alias("mm_text")).mapInArrow(run, "mm_id long, mm_t long, mm_n long, mm_f1 long, mm_f2 long, mm_bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union, on the full sets."""
+    """Links (a, b) of the pairs (a, fa, b, fb) of which 100 * intersection >= percent * union, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, held = WordHashes(), None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
+            a, b, fa, ta, tb = (batch.column(i) for i in range(5))
             ta, tb, keep = ta.cast(pa.binary()), tb.cast(pa.binary()), []
-            for i, x in enumerate(a.to_pylist()):
+            for i, x in enumerate(zip(a.to_pylist(), fa.to_pylist(), strict=True)):
                 if x != last:
                     last, held = x, shingles(ta[i].as_py(), k, hashes)
                 s = shingles(tb[i].as_py(), k, hashes)
@@ -119,30 +123,40 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    ta = texts.select(F.col("mm_id").alias("a"), F.col("mm_text").alias("ta"))
-    tb = texts.select(F.col("mm_id").alias("b"), F.col("mm_text").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    ta = texts.select(F.col("id").alias("a"), F.col("f").alias("fa"), F.col("mm_text").alias("ta"))
+    tb = texts.select(F.col("id").alias("b"), F.col("f").alias("fb"), F.col("mm_text").alias("tb"))
+    return pairs.join(tb, ["b", "fb"]).join(ta, ["a", "fa"]).select("a", "b", "fa", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def with_low(edges: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """edges (u, v) with low's m of each u; low: u, m and the number c of u's edges. A hub's edges meet its m in SALTS parts.
+    Hubs are few by their definition, so that their names can be sent to all."""
+    heavy = low.filter(F.col("c") > max(LEAST_HEAVY, rows // HEAVY_SHARE)).select("u", F.lit(True).alias("heavy"))
+    parts = F.sequence(F.lit(0), F.when(F.col("heavy"), SALTS - 1).otherwise(0))
+    side = low.select("u", "m").join(F.broadcast(heavy), "u", "left").select("u", "m", F.explode(parts).alias("salt"))
+    dealt = edges.join(F.broadcast(heavy), "u", "left").select("u", "v", F.when(F.col("heavy"), salt_of("v")).otherwise(0).alias("salt"))
+    return dealt.join(side, ["u", "salt"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node with an edge (a, b). Alternates large star and small
-    star, each a grouped minimum joined back; a hub's rows (two ids each) meet in one task."""
-    flip = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct()
-    edges, before = scratch.write(flip), None
+    star, each a grouped minimum joined back, until the edges (u, v) are stars: every u has one v, and no v is a u."""
+    edges = scratch.write(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct())
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("n")), F.struct(F.col("v").alias("x"), F.lit(0).alias("n")))).alias("e")).select("e.*")
+        seen = ends.groupBy("x").agg(F.sum("n").alias("above"), F.min("n").alias("centre"))
+        rows, loose = seen.agg(F.coalesce(F.sum("above"), F.lit(0)), F.count_if(F.expr("above > 1 OR above = 1 AND centre = 0"))).first()
+        if not loose:
+            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = with_low(both, low, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = with_low(large, low, rows).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = scratch.write(small.filter("u <> v").distinct())
         scratch.drop(edges)
         edges = after
-        now = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if now == before:
-            nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = now
 
 
 def salt_of(column: str) -> Column:
@@ -158,37 +172,42 @@ def salted(df: DataFrame) -> DataFrame:
 def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Links (a, b) between different components inside large buckets, without a row for each pair.
 
-    rest: (key, id, comp). Buckets that share members form a cluster, whose members are dealt into blocks of about BLOCK,
-    large components into blocks of their own; two blocks meet once, in one row, unless all their members are one component, and a matrix product
-    counts all their intersections.
+    rest: (key, id, f, n, comp). Every member has the largest of its buckets as its home, and the members of one home and
+    of about one size are dealt into blocks (those of a large component into blocks of their own). Two blocks meet once,
+    and only if some bucket has members of both, of different components, and if their sizes allow a link; a matrix
+    product counts all their intersections.
     """
-    low = rest.groupBy("key").agg(F.min("id").alias("b"))
-    cluster = scratch.write(components(rest.select("key", F.col("id").alias("a")).join(low, "key").select("a", "b"), scratch))
-    # A component of a block's size or more has blocks of its own, the smaller ones of a cluster share theirs; members are
-    # dealt by hash, and the counts that say how many blocks there are meet them in SALTS parts.
-    who = scratch.write(rest.select("id", F.col("comp").alias("of")).distinct().join(cluster.withColumnRenamed("comp", "cluster"), F.col("id") == F.col("node")).select("id", F.col("of").alias("comp"), "cluster"))
-    count = who.groupBy("cluster", "comp").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp")))
-    total = count.groupBy("cluster", "own").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks")).select(F.col("cluster").alias("cluster_"), F.col("own").alias("own_"), "blocks")
-    count = count.join(total, (F.col("cluster") == F.col("cluster_")) & F.col("own").eqNullSafe(F.col("own_"))).select("cluster", "comp", "own", "blocks")
-    member = (
-        who.withColumn("salt", salt_of("id")).join(salted(count), ["cluster", "comp", "salt"])
-        .select("cluster", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("k")).alias("block"), "id", "comp")
+    size = rest.groupBy("key").agg(F.count("*").alias("c"))
+    home = rest.withColumn("salt", salt_of("id")).join(salted(size), ["key", "salt"]).groupBy("id", "f").agg(
+        F.max(F.struct("c", "key"))["key"].alias("home"), F.first("comp").alias("comp"), F.first("n").alias("n"), F.floor(F.log(1.25, F.first("n"))).cast("int").alias("z")
+    )
+    who = scratch.write(home)
+    at = ["home", "z", "comp"]
+    count = who.groupBy(*at).agg(F.count("*").alias("c"), F.sum("n").alias("sh")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("comp")))
+    blocks_of = F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("sh") / BLOCK_SHINGLES))
+    total = count.groupBy("home", "z", "own").agg(blocks_of.alias("blocks")).select(F.col("home").alias("home_"), F.col("z").alias("z_"), F.col("own").alias("own_"), "blocks")
+    count = count.join(total, (F.col("home") == F.col("home_")) & (F.col("z") == F.col("z_")) & F.col("own").eqNullSafe(F.col("own_"))).select(*at, "own", "blocks")
+    # Members are dealt by hash, and the counts that say how many blocks there are meet them in SALTS parts.
+    member = scratch.write(
+        who.withColumn("salt", salt_of("id")).join(salted(count), [*at, "salt"])
+        .select(F.struct("home", "z", F.coalesce("own", F.lit(-1)).alias("own"), F.col("own").isNull().alias("mixed"), F.pmod(F.xxhash64("id", "f"), F.col("blocks")).alias("k")).alias("block"), "id", "f", "comp")
     )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), k, hashes).tobytes() for t in batch.column(4).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["cluster", "block", "id", "comp", "set"])
+            sets = [shingles(t.as_py(), k, hashes).tobytes() for t in batch.column(3).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["block", "id", "comp", "set"])
 
+    kind = "block struct<home:long,z:int,own:long,mixed:boolean,k:long>"
     blocks = scratch.write(
-        member.join(texts, F.col("id") == F.col("mm_id")).select("cluster", "block", "id", "comp", "mm_text")
-        .mapInArrow(to_sets, "cluster long, block struct<own:long,k:long>, id long, comp long, set binary")
-        .groupBy("cluster", "block").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        member.join(texts, ["id", "f"]).select("block", "id", "comp", "mm_text").mapInArrow(to_sets, f"{kind}, id long, comp long, set binary")
+        .groupBy("block").agg(F.collect_list(F.struct("id", "comp", "set")).alias("m"))
     )
-    side = lambda x: blocks.select("cluster", F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-    meet = side("x").join(side("y"), "cluster").filter("block_x <= block_y AND NOT (lo_x = hi_x AND lo_y = hi_y AND lo_x = lo_y)").select("cluster", "block_x", "block_y")
-    one = lambda x: blocks.select("cluster", F.col("block").alias(f"block_{x}"), F.col("m").alias(f"m_{x}"))
+    held = scratch.write(rest.select("key", "id", "f").join(member, ["id", "f"]).groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    side = lambda x: held.select("key", F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    meet = side("x").join(side("y"), "key").filter("block_x <= block_y AND abs(block_x.z - block_y.z) <= 1 AND NOT (lo_x = hi_x AND lo_y = hi_y AND lo_x = lo_y)").select("block_x", "block_y").distinct()
+    one = lambda x: blocks.select(F.col("block").alias(f"block_{x}"), F.col("m").alias(f"m_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,51 +229,91 @@ def confirm_blocks(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int,
                 i, j = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array([x[q]["id"] for q in i], pa.int64()), pa.array([y[q]["id"] for q in j], pa.int64())], names=["a", "b"])
 
-    return meet.join(one("x"), ["cluster", "block_x"]).join(one("y"), ["cluster", "block_y"]).select("m_x", "m_y").mapInArrow(run, "a long, b long")
+    return meet.join(one("x"), "block_x").join(one("y"), "block_y").select("m_x", "m_y").mapInArrow(run, "a long, b long")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, f, mm_text of the wanted rows (id, t, f, again), once each. Sorted-merge at every size, as they may be many; rows
+    that the table repeats are brought together before they are joined."""
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), F.col("text").alias("mm_text"))
+    out = own.join(wanted.filter("NOT again").hint("merge"), ["id", "t"]).select("id", "f", "mm_text")
+    if wanted.filter("again").head(1):
+        once = own.groupBy("id", "t").agg(F.first("mm_text").alias("mm_text"))
+        out = out.union(once.join(wanted.filter("again").hint("merge"), ["id", "t"]).select("id", "f", "mm_text"))
+    return out
+
+
+def pair_of(near: Column) -> Column:
+    """(a, fa, b, fb) of a member (id, f) and another (id2, f2), the smaller id first; null unless `near`."""
+    one, two = (F.struct(F.col(f"id{x}").alias("i"), F.col(f"f{x}").alias("f")) for x in ("", "2"))
+    low, high = F.least(one, two), F.greatest(one, two)
+    return F.when(near & (F.col("id") != F.col("id2")), F.struct(low["i"].alias("a"), low["f"].alias("fa"), high["i"].alias("b"), high["f"].alias("fb")))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text, others ignored): doc_id, n_shingles, component_id, kept.
 
-    Documents of one shingle set are one class, and only its smallest doc_id is banded. In each bucket every member is
-    first paired with the member that shares most buckets with others, the likely origin of its copies; pairs are
-    confirmed and merged. A bucket whose members are then in one component has nothing more to tell. In the others every
-    pair of different components is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond (confirm_blocks).
-    So no candidate is lost, and a group of copies makes rows in proportion to its size; its rows meet in SALTS parts.
+    Rows of one shingle set are one class, named by its smallest doc_id and its fingerprint, and only one row of it is
+    banded. In each bucket every member is first paired with the member that shares most buckets with others, the likely
+    origin of its copies; pairs are confirmed and merged. A bucket whose members are then in one component has nothing
+    more to tell. In the others this is repeated with the likeliest member of another component (ROUNDS in all). Then every
+    pair of different components in a bucket is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond
+    (confirm_blocks); buckets of the same members are looked at once. So no candidate is lost, and a group of copies makes
+    rows in proportion to its size; its rows meet in SALTS parts.
 
     Fewer than k words: the whole sequence is the one shingle. Null or empty text: n_shingles 0, its own component, kept.
-    Null doc_id: null component, kept. Repeated rows of a doc_id: one node; all its rows share component and verdict.
-    Empty table: empty result. Two documents at a similarity of exactly 0.8 meet in some band but for a chance of 5e-7.
+    Null doc_id: null component, kept. Repeated rows of a doc_id: one node, which has the links of all its texts; all its
+    rows share component and verdict. Empty table: empty result. Two documents at a similarity of exactly 0.8 meet in some
+    band but for a chance of 5e-7, were the permutations random.
     """
-    signed = scratch.write(sign(docs, k))
+    signed = scratch.write(sign(docs, k).withColumn("mm_row", F.monotonically_increasing_id()))
     nodes = signed.filter("mm_id IS NOT NULL AND mm_n > 0")
     classes = nodes.groupBy("mm_f1", "mm_f2").agg(F.min("mm_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    named = nodes.select("mm_id", "mm_f1", "mm_f2", salt_of("mm_id").alias("salt")).join(salted(classes), ["mm_f1", "mm_f2", "salt"], "left")
-    member = scratch.write(named.groupBy("mm_id").agg(F.min(F.coalesce("rep", "mm_id")).alias("rep")))
-    reps = signed.join(member.filter("mm_id = rep").select("mm_id"), "mm_id", "left_semi").filter("mm_n > 0")
-    buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_n").alias("n"), salt_of("mm_id").alias("salt"), F.explode("mm_bands").alias("key")))
+    named = scratch.write(
+        nodes.select("mm_id", "mm_row", "mm_f1", "mm_f2", salt_of("mm_row").alias("salt")).join(salted(classes), ["mm_f1", "mm_f2", "salt"], "left")
+        .select("mm_id", "mm_row", F.col("mm_f1").alias("f"), F.coalesce("rep", "mm_id").alias("rep"), F.col("rep").isNull().alias("alone"))
+    )
+    member = scratch.write(named.groupBy("mm_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    # A document of several texts ties their classes together.
+    tied = named.join(member.filter("rep <> last").select("mm_id", F.col("rep").alias("least")), "mm_id").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    one = named.filter("NOT alone AND mm_id = rep").groupBy("rep", "f").agg(F.min("mm_row").alias("mm_row"), (F.count("*") > 1).alias("again"))
+    first = scratch.write(named.filter("alone").select("mm_row", F.lit(False).alias("again")).union(one.select("mm_row", "again")))
+    reps = signed.join(first.hint("merge"), "mm_row")
+    buckets = scratch.write(reps.select(F.col("mm_id").alias("id"), F.col("mm_f1").alias("f"), F.col("mm_n").alias("n"), salt_of("mm_row").alias("salt"), F.explode("mm_bands").alias("key")))
     multi = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("key", "c")
     shared = scratch.write(buckets.join(salted(multi), ["key", "salt"]))
     scratch.drop(buckets)
-    degree = shared.groupBy("id").agg(F.sum(F.col("c") - 1).alias("degree"))
-    # The texts that may be asked for, once; sorted-merge at every size, as the ids may be many.
-    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("mm_id"), F.col("text").alias("mm_text")).join(degree.select(F.col("id").alias("mm_id")).hint("merge"), "mm_id", "left_semi"))
+    degree = scratch.write(shared.groupBy("id", "f").agg(F.sum(F.col("c") - 1).alias("degree")))
+    wanted = signed.select("mm_row", F.col("mm_id").alias("id"), F.col("mm_t").alias("t"), F.col("mm_f1").alias("f")).join(first.hint("merge"), "mm_row").join(degree.hint("merge"), ["id", "f"], "left_semi")
+    texts = scratch.write(texts_of(docs, scratch.write(wanted.select("id", "t", "f", "again"))))
     near = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    heads = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "n")).alias("x")).select("key", F.col("x.id").alias("id2"), F.col("x.n").alias("n2"))
-    tried = scratch.write(shared.join(salted(heads), ["key", "salt"]).filter(near & (F.col("id") != F.col("id2"))).select(*pair).distinct())
-    found = scratch.write(confirm(tried, texts, k, percent).distinct())
-    comp = scratch.write(components(found, scratch))
-    again = shared.join(comp, F.col("id") == F.col("node"), "left").select("id", "n", "key", "salt", "c", F.coalesce("comp", "id").alias("comp"))
-    split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo <> hi AND most > 2").select("key")
-    rest = scratch.write(again.join(salted(split), ["key", "salt"]).drop("salt"))
+    head = F.max(F.struct("degree", (-F.col("id")).alias("low"), "id", "f", "n", "comp"))
+    state, found, tried, comp = shared.withColumn("comp", F.col("id")), tied, None, None
+    for turn in range(ROUNDS):
+        heads = state.join(degree, ["id", "f"]).groupBy("key").agg(head.alias("x")).select("key", F.col("x.id").alias("id2"), F.col("x.f").alias("f2"), F.col("x.n").alias("n2"), F.col("x.comp").alias("comp2"))
+        if turn:  # the head before has met all; now the likeliest of the others
+            others = state.join(salted(heads.select("key", "comp2")), ["key", "salt"]).filter("comp <> comp2").drop("comp2")
+            heads = others.join(degree, ["id", "f"]).groupBy("key").agg(head.alias("x")).select("key", F.col("x.id").alias("id2"), F.col("x.f").alias("f2"), F.col("x.n").alias("n2"), F.col("x.comp").alias("comp2"))
+        pairs = state.join(salted(heads), ["key", "salt"]).filter("NOT comp <=> comp2").select(pair_of(near).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
+        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "fa", "b", "fb"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = found.union(scratch.write(confirm(pairs, texts, k, percent).distinct()))
+        comp = scratch.write(components(found, scratch))
+        again = state.drop("comp").join(comp, F.col("id") == F.col("node"), "left").select("id", "f", "n", "key", "salt", "c", F.coalesce("comp", "id").alias("comp"))
+        split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo <> hi AND most > 2").select("key")
+        state = scratch.write(again.join(salted(split), ["key", "salt"]))
+        if not state.head(1):
+            break
     scratch.drop(shared)
+    marks = [F.sum(F.xxhash64(F.lit(x), "id", "f").cast("decimal(38,0)")).alias(f"h{x}") for x in (1, 2)]
+    once = state.groupBy("key").agg(F.count("*").alias("m"), *marks).groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    rest = scratch.write(state.join(salted(once), ["key", "salt"]).drop("salt"))
     small = rest.filter(F.col("c") <= SMALL)
-    other = small.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    pairs = scratch.write(small.join(other, "key").filter(near & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = [confirm(pairs, texts, k, percent)]
+    other = small.select("key", F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    pairs = small.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(pair_of(near).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
+    more = [confirm(scratch.write(pairs.join(tried, ["a", "fa", "b", "fb"], "left_anti")), texts, k, percent)]
     if rest.filter(F.col("c") > SMALL).head(1):
-        more.append(confirm_blocks(rest.filter(F.col("c") > SMALL).select("key", "id", "comp"), texts, scratch, k, percent))
+        more.append(confirm_blocks(rest.filter(F.col("c") > SMALL).select("key", "id", "f", "n", "comp"), texts, scratch, k, percent))
     late = scratch.write(more[0] if len(more) == 1 else more[0].union(more[1]))
     if late.head(1):
         comp = scratch.write(components(found.union(late), scratch))

@@ -62,6 +62,50 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in got} == want and len(set(want.values())) > 5
 
 
+def linked_by_id(rows, k, percent=80):
+    """Brute force where ids repeat: ids with the links of all their texts."""
+    sets = {(i, n): D.shingle_set(t, k) for n, (i, t) in enumerate(rows)}
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, a in sets.items():
+        for y, b in sets.items():
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = root(x[0]), root(y[0])
+                up[max(p, q)] = min(p, q)
+    return {i: root(i) for i in up}
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    import random
+
+    a, b = D.prose(20, 100), D.prose(21, 100)
+    cases = [[(2, a), (5, a), (5, b), (9, b + " more")]]
+    for seed in range(2):
+        r = random.Random(seed)
+        made = []
+        for _ in range(60):
+            w = D.prose(30 + r.randrange(8), 60).split()
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"new{r.randrange(99)}"
+            made.append((r.randrange(40), r.choice([" ", "  "]).join(w)))
+        cases.append(made + made[:5])
+    for rows_ in cases:
+        got = minmax_dedup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"), Scratch(spark), k=2).collect()
+        assert len(got) == len(rows_) and {x.doc_id: x.component_id for x in got} == linked_by_id(rows_, 2)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "LEAST_HEAVY", 5)
+    edges = spark.createDataFrame([(50, i) for i in range(100) if i != 50] + [(200, i) for i in range(201, 240)] + [(239, 300), (300, 301)], "a long, b long")
+    got = {r.node: r.comp for r in minmax_dedup.components(edges, Scratch(spark)).distinct().collect()}
+    assert got == {i: 0 for i in range(100)} | {i: 200 for i in [*range(200, 240), 300, 301]}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in minmax_dedup.components(edges, Scratch(spark)).distinct().collect()}
