@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
     Rows of one shingle set are one class, named by its smallest doc_id and its fingerprint, and only one row of it is
     banded. In each bucket every member is first paired with the member that shares most buckets with others, the likely
     origin of its copies; pairs are confirmed and merged. A bucket whose members are then in one component has nothing
-    more to tell. In the others this is repeated with the likeliest member of another component (ROUNDS in all). Then every
-    pair of different components in a bucket is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond
+    more to tell. While others of more than SMALL members are left, this is repeated with the likeliest member of another
+    component (ROUNDS in all). Then every pair of different components in a bucket is confirmed: pair by pair in buckets of up to SMALL, in blocks beyond
     (confirm_blocks); buckets of the same members are looked at once. So no candidate is lost, and a group of copies makes
     rows in proportion to its size; its rows meet in SALTS parts.
 
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, k: int = 5, percent: i
         again = state.drop("comp").join(comp, F.col("id") == F.col("node"), "left").select("id", "f", "n", "key", "salt", "c", F.coalesce("comp", "id").alias("comp"))
         split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo <> hi AND most > 2").select("key")
         state = scratch.write(again.join(salted(split), ["key", "salt"]))
-        if not state.head(1):
+        if not state.filter(F.col("c") > SMALL).head(1):
             break
     scratch.drop(shared)
     marks = [F.sum(F.xxhash64(F.lit(x), "id", "f").cast("decimal(38,0)")).alias(f"h{x}") for x in (1, 2)]
