@@ -1,11 +1,15 @@
 """LM scoring: a log-bilinear model of two context words, trained in numpy by noise-contrastive estimation.
 
 A context (a, b) predicts a vector u*R[a] + v*R[b]; the score of an output is its product with Q[output], plus a bias. The
-model's vocabulary is every word above a fixed count, so it grows with the corpus, and each of its words has a context
-vector of its own. Outputs form a tree of three levels: the most frequent words, groups of words, one class for all other
-words and the end are told apart first, then the parts of a group, then the words of a part; each choice is normalised over
-the few outputs it is made from. A word out of the vocabulary is told by its smoothed share of the other class, so that the
+model's vocabulary grows with the root of the number of training tokens, and each of its words has a context vector of its
+own. Outputs form a tree of three levels: the most frequent words, groups of words, one class for all other words and the
+end are told apart first, then the parts of a group, then the words of a part; each choice is normalised over the few
+outputs it is made from. A word out of the vocabulary is told by its smoothed share of the other class, so that the
 probabilities of all words sum to one.
+
+Training documents are dealt by a hash into parts, whose number follows from the number of tokens alone, and into rounds.
+In a round every part takes its steps from the same parameters, and these move by the average. What comes out doesn't
+depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -21,18 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, table
+from quern.llm.common import Scratch, delete, table
 
 #: The end token's key in counts: no word is empty.
 END = b""
-#: Count from which on every word is in the model, and words that are in it whatever their count. Beside them, words whose
-#: counts are sent to all executors; counts of rarer ones are joined.
-LEAST, HEAD, KNOWN = 50, 1024, 200_000
+#: The model's words: so many for each root of a training token, of this count at least, and HEAD in any case. Beside
+#: them, words whose counts are sent to all executors; counts of rarer ones are joined.
+GROWTH, LEAST, HEAD, KNOWN = 8, 5, 1024, 200_000
+#: Largest vocabulary: what is sent to all executors has this bound. It is reached at 250 billion training tokens.
+MOST_WORDS = 4_000_000
+#: Training tokens of a part, and shares of the documents (in 32nds) that the rounds train on, one after the other.
+PART_TOKENS, ROUNDS = 3_000_000, (4, 6, 10, 12)
 #: Words told apart at the first level.
 SINGLE = 128
-DIM, BATCH, NOISE, RATE = 32, 2048, 64, 0.2
-#: Noise words of each position at the second and third level; rows of parameters that are averaged together.
-FEW, ROWS = 1, 128
+DIM, BATCH, NOISE, RATE = 24, 4096, 64, 0.2
+#: Rows of parameters that are averaged together.
+ROWS = 128
 #: Distinct words that a counting task holds before it passes its partial counts on.
 HELD = 400_000
 LN10 = float(np.log(10))
@@ -105,54 +113,77 @@ def top_of(m: dict, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, deep, j[deep]
 
 
-def climb(into: np.ndarray, squares: np.ndarray, g: np.ndarray, rate: float, at=slice(None)) -> None:
+def climb(into: np.ndarray, squares: np.ndarray, steps: np.ndarray, g: np.ndarray, rate: float, at=slice(None)) -> None:
     """A step up the gradient g of rows `at`, by Adagrad with one sum of squares a row; the steps of a row are counted."""
-    squares[at, 0] += (g * g).reshape(len(g), -1).mean(1)
-    squares[at, 1] += 1
-    into[at] += (rate * g.reshape(len(g), -1) / np.sqrt(squares[at, 0] + 1e-8)[:, None]).reshape(g.shape)
+    wide = g.reshape(len(g), -1)
+    sums = squares[at] + np.einsum("ij,ij->i", wide, wide) / wide.shape[1]
+    squares[at] = sums
+    steps[at] += 1
+    into[at] += (wide * (rate / np.sqrt(sums + 1e-8))[:, None]).reshape(g.shape)
 
 
 def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    """Distinct rows and the sums of their values, added in the order given."""
+    key = np.sort((rows.astype(np.int64) << 32) | np.arange(len(rows)))
+    rows = key >> 32
     first = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[first], np.add.reduceat(values[order], first, 0)
+    return rows[first], np.add.reduceat(values[key & 0xFFFFFFFF], first, 0)
+
 
+def inverse(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
-def nce_step(m: dict, s: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, r: np.random.Generator, cdf: np.ndarray, rate: float) -> None:
-    """One minibatch: word w after (a, b), at each level against outputs drawn by their share there: NOISE at the first
-    level, shared by the minibatch, and FEW for each position at the others. s: sums of squares, and steps."""
+
+def nce_step(m: dict, s: dict, n: dict, x: np.ndarray, target: np.ndarray, r: np.random.Generator, cdf: np.ndarray, rate: float) -> None:
+    """One minibatch, a stretch x of the token stream: each word x[i + 2] with target[i] after the two before it, at each
+    level against outputs drawn by their share there: NOISE at the first level, shared by the minibatch, and one for each
+    position at the others. s: sums of squares; n: steps."""
     _, branch, leaves, first, parts = tree(m)
-    top, deep, j = top_of(m, w)
+    context = m["R"][x]
+    q = context[:-2] * m["u"]
+    q += context[1:-1] * m["v"]
+    q = q[target]
+    top, deep, j = top_of(m, x[2:][target])
     noise = np.minimum(np.searchsorted(cdf, r.random(NOISE)), first - 1)
-    ra, rb, qw, qn = m["R"][a], m["R"][b], m["Q"][top], m["Q"][noise]
-    q = ra * m["u"] + rb * m["v"]
+    odds = m["bias"][:first] - np.log(NOISE * m["share"][:first])
+    dq, qn = m["Q"][top], m["Q"][noise]
+    good = inverse(np.einsum("ij,ij->i", q, dq) + odds[top])  # 1 - sigmoid
+    bad = q @ qn.T
+    bad += odds[noise]
+    bad = -inverse(np.negative(bad, out=bad))
+    dq *= good[:, None]
+    dq += bad @ qn
     q1 = np.concatenate([q, np.ones((len(q), 1), np.float32)], 1)
-    log_kp = np.log(NOISE * m["share"][:first])
-    good = 1 / (1 + np.exp(np.clip((q * qw).sum(1) + m["bias"][top] - log_kp[top], -30, 30)))  # 1 - sigmoid
-    bad = -1 / (1 + np.exp(-np.clip(q @ qn.T + m["bias"][noise] - log_kp[noise], -30, 30)))
-    dq = good[:, None] * qw + bad @ qn
     rows, steps = [top, noise], [good[:, None] * q1, bad.T @ q1]
     for size, base, unit in ((branch**2, first, branch), (branch, first + parts, 1)) if len(deep) else ():
         low = j // size * size
         high = np.minimum(low + size, leaves)
-        drawn = np.searchsorted(m["mass"], m["mass"][low] + r.random((FEW, len(j))) * (m["mass"][high] - m["mass"][low]), "right") - 1
-        at = base + np.concatenate([j[None], np.clip(drawn, low, high - 1)]) // unit
-        qs = m["Q"][at]
-        z = np.clip(np.einsum("kpd,pd->kp", qs, q[deep]) + m["bias"][at] - np.log(FEW * m["share"][at]), -30, 30)
-        g = -1 / (1 + np.exp(-z))
-        g[0] += 1
-        dq[deep] += np.einsum("kp,kpd->pd", g, qs)
-        rows.append(at.ravel())
-        steps.append((g[:, :, None] * q1[deep]).reshape(-1, DIM + 1))
+        below = m["mass"][low]
+        drawn = np.searchsorted(m["mass"], below + r.random(len(j)) * (m["mass"][high] - below), "right") - 1
+        at = base + np.concatenate([j, np.clip(drawn, low, high - 1)]) // unit
+        k, qs, qd = len(j), m["Q"][at], q[deep]
+        z = np.concatenate([np.einsum("ij,ij->i", qs[:k], qd), np.einsum("ij,ij->i", qs[k:], qd)]) + m["bias"][at] - np.log(m["share"][at])
+        g = -inverse(np.negative(z, out=z))
+        g[:k] += 1
+        qs *= g[:, None]
+        dq[deep] += qs[:k] + qs[k:]
+        rows.append(at)
+        steps.append(np.concatenate([g[:k, None] * q1[deep], g[k:, None] * q1[deep]]))
     at, g = by_row(np.concatenate(rows), np.concatenate(steps))
-    climb(m["Q"], s["Q"], g[:, :DIM], rate, at)
-    climb(m["bias"], s["bias"], g[:, DIM], rate / 10, at)
-    at, g = by_row(np.concatenate([a, b]), np.concatenate([dq * m["u"], dq * m["v"]]))
-    climb(m["R"], s["R"], g, rate, at)
-    climb(m["u"], s["u"], (dq * ra).sum(0), rate / 10)
-    climb(m["v"], s["v"], (dq * rb).sum(0), rate / 10)
+    climb(m["Q"], s["Q"], n["Q"], g[:, :DIM], rate, at)
+    climb(m["bias"], s["bias"], n["bias"], g[:, DIM], rate / 10, at)
+    d, g = np.zeros((len(x) - 2, DIM), np.float32), np.zeros((len(x), DIM), np.float32)
+    d[target] = dq
+    g[:-2] = d * m["u"]
+    g[1:-1] += d * m["v"]
+    at, g = by_row(x, g)
+    climb(m["R"], s["R"], n["R"], g, rate, at)
+    climb(m["u"], s["u"], n["u"], np.einsum("ij,ij->j", d, context[:-2]), rate / 10)
+    climb(m["v"], s["v"], n["v"], np.einsum("ij,ij->j", d, context[1:-1]), rate / 10)
 
 
 def tables(m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,77 +246,114 @@ def positions(ids: list[np.ndarray], other: int) -> tuple[np.ndarray, np.ndarray
     return a, b, w
 
 
-def head_ids(texts, place: dict[bytes, int], other: int) -> list[np.ndarray]:
-    out = []
-    for t in texts:
-        x = tokens(t)
-        out.append(np.fromiter(map(place.get, x, repeat(other)), np.int32, len(x)))
-    return out
+def encode(docs: DataFrame, place, other: int, parts: int) -> DataFrame:
+    """(round, part, key, ids) of the training documents: two begins, the words' places (out of the vocabulary: other), the
+    end (as a context: the begin), as 32-bit numbers. Documents are dealt by a hash of id and text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for t in batch.column(1).cast(pa.binary()):
+                x = tokens(t.as_py())
+                ids.append(np.fromiter(chain((other + 1, other + 1), map(place.value.get, x, repeat(other))), np.int32, len(x) + 2).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    train = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1)
+    out = train.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+    turn = F.pmod(F.col("key"), F.lit(sum(ROUNDS)))
+    return out.select(
+        F.size(F.filter(F.array(*(F.lit(sum(ROUNDS[:k])) for k in range(1, len(ROUNDS)))), lambda x: x <= turn)).alias("round"),
+        F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "ids",
+    )
 
-UPDATE = "name string, block long, at binary, steps binary, x binary"
+
+NAMES = ("R", "Q", "u", "v", "bias")
+UPDATE = "name string, block long, part int, at binary, steps binary, squares binary, x binary"
 
 
 def average(rows: pa.Table) -> pa.Table:
-    """One block's moves of rows in several tasks (UPDATE) to their averages by steps taken."""
-    total = weight = None
-    for at, n, x in zip(*(rows[k].to_pylist() for k in ("at", "steps", "x")), strict=True):
-        at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.float32).astype(np.float64)
+    """One block's moves of rows in several parts (UPDATE) to their averages by steps taken; parts in their order."""
+    total = weight = squares = None
+    for _, at, n, sq, x in sorted(zip(*(rows[k].to_pylist() for k in ("part", "at", "steps", "squares", "x")), strict=True)):
+        at, n, sq = np.frombuffer(at, np.int32), np.frombuffer(n, np.float32).astype(np.float64), np.frombuffer(sq, np.float32)
         x = np.frombuffer(x, np.float16).reshape(len(at), -1)
         if total is None:
-            total, weight = np.zeros((ROWS, x.shape[1])), np.zeros(ROWS)
+            total, weight, squares = np.zeros((ROWS, x.shape[1])), np.zeros(ROWS), np.zeros(ROWS)
         total[at] += x * n[:, None]
+        squares[at] += sq * n
         weight[at] += n
     at = np.flatnonzero(weight)
-    x = total[at] / weight[at, None]
-    held = [at.astype(np.int32), weight[at].astype(np.float32), x.astype(np.float16)]
-    return pa.table([rows["name"][:1], rows["block"][:1], *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "at", "steps", "x"])
+    w = weight[at]
+    held = [at.astype(np.int32), w.astype(np.float32), (squares[at] / w).astype(np.float32), (total[at] / w[:, None]).astype(np.float16)]
+    return pa.table([rows["name"][:1], rows["block"][:1], rows["part"][:1], *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "part", "at", "steps", "squares", "x"])
+
+
+def halved(model: dict) -> dict:
+    """Parameters as they are sent: in half precision."""
+    return model | {k: model[k].astype(np.float16) for k in NAMES}
+
 
+def whole(model: dict) -> dict:
+    return model | {k: model[k].astype(np.float32) for k in NAMES}
 
-def train_round(docs: DataFrame, model: dict, place, rate: float, part: int | None, parts: int) -> dict:
-    """One round over the training documents with crc32 // 5 % parts == part (None: all): each task takes steps from the
-    same parameters over all its documents, and each row of parameters moves by the average over the tasks that took steps
-    on it, by their number. A task passes on only such rows, in half precision, so what is shuffled follows the input."""
-    shipped, names = docs.sparkSession.sparkContext.broadcast(model), ("R", "Q", "u", "v", "bias")
-    other = len(model["R"]) - 2
+
+def train_round(encoded: DataFrame, parts: int, model: dict, squares: dict, turn: int) -> tuple[dict, dict]:
+    """One round over encoded documents: a task for each part takes steps from the same parameters over all its documents,
+    in the order of their keys, and each row of parameters (and its sum of squares) moves by the average over the parts that
+    took steps on it, by their number. A task passes on only such rows, in half precision, so what is shuffled follows the
+    input."""
+    sc = encoded.sparkSession.sparkContext
+    base = whole(halved(model))
+    shipped = sc.broadcast((halved(model), squares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value | {k: shipped.value[k].copy() for k in names}
-        squares = {k: np.zeros((len(m[k]), 2), np.float32) for k in names}
-        cdf, r = np.cumsum(m["share"][: tree(m)[3]], dtype=np.float64), np.random.default_rng(5)
+        half, before = shipped.value
+        m, part = whole(half), TaskContext.get().partitionId()
+        s, n = {k: before[k].copy() for k in NAMES}, {k: np.zeros(len(m[k]), np.float32) for k in NAMES}
+        cdf, r = np.cumsum(m["share"][: tree(m)[3]], dtype=np.float64), np.random.default_rng([5, turn, part])
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            mine = [i for i, x in enumerate(batch.column(0).to_pylist()) if not held_out(x) and (part is None or zlib.crc32(str(x).encode()) // 5 % parts == part)]
-            for at in range(0, len(mine), 256):
-                a, b, w = positions(head_ids((texts[i].as_py() for i in mine[at : at + 256]), place.value, other), other)
-                for k in range(0, len(w), BATCH):
-                    s = slice(k, k + BATCH)
-                    nce_step(m, squares, a[s], b[s], w[s], r, cdf, rate)
-        for name in names:
+            for at in range(0, batch.num_rows, 256):
+                texts = [np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(0).slice(at, 256)]
+                x = np.concatenate(texts)
+                target = np.ones(len(x), bool)
+                first = np.cumsum([0, *map(len, texts)])[:-1]
+                target[first] = target[first + 1] = False
+                for k in range(0, len(x) - 2, BATCH):
+                    nce_step(m, s, n, x[k : k + BATCH + 2], target[k + 2 : k + BATCH + 2], r, cdf, RATE)
+        for name in NAMES:
             for k in range(0, len(m[name]), ROWS):
-                at = np.flatnonzero(squares[name][k : k + ROWS, 1])
+                at = np.flatnonzero(n[name][k : k + ROWS])
                 if len(at):
-                    held = [at.astype(np.int32), squares[name][k + at, 1], (m[name][k + at] - shipped.value[name][k + at]).astype(np.float16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // ROWS]), *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "at", "steps", "x"])
-
-    got = docs.select("doc_id", "text").mapInArrow(run, UPDATE).groupBy("name", "block").applyInArrow(average, UPDATE).select("name", "block", "at", "x").toArrow()
-    out = model | {k: model[k].copy() for k in names}
-    for name, block, at, x in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                    old = half[name][k + at].astype(np.float32)
+                    held = [at.astype(np.int32), n[name][k + at], s[name][k + at], (m[name][k + at] - old).astype(np.float16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // ROWS]), pa.array([part], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in held)], names=["name", "block", "part", "at", "steps", "squares", "x"])
+
+    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("key").select("ids")
+    got = dealt.mapInArrow(run, UPDATE).groupBy("name", "block").applyInArrow(average, UPDATE).select("name", "block", "at", "squares", "x").toArrow()
+    out, sums = base | {k: base[k].copy() for k in NAMES}, {k: squares[k].copy() for k in NAMES}
+    for name, block, at, sq, x in zip(*(c.to_pylist() for c in got.columns), strict=True):
         at = np.frombuffer(at, np.int32) + block * ROWS
         out[name][at] += np.frombuffer(x, np.float16).reshape(out[name][at].shape)
-    return out
+        sums[name][at] = np.frombuffer(sq, np.float32)
+    shipped.unpersist()
+    return out, sums
 
 
-def frequent(counts: DataFrame, most: int, floor: int) -> list[tuple[bytes, int]]:
-    """(word, n) of the most frequent words, best first: all from the count `floor` on, or else from a lower one on, `most`
-    at most, found in a histogram of counts by sixteenths of an octave, so that no more than these are gathered."""
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """(word, n) of about the `most` most frequent words, best first. A histogram of counts by sixteenths of an octave gives
+    the lowest count that is taken; of the step in which that falls, words are taken by a hash, as many as are missing."""
     step = F.floor(F.log2("n") * 16)
-    least, left = None, most
-    for _, n, low in sorted(counts.groupBy(step.alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+    left, last, share = most, None, 0.0
+    for last, n in sorted(counts.groupBy(step.alias("step")).agg(F.count("*")).collect(), reverse=True):
         if n > left:
+            share = left / n
             break
-        least, left = low, left - n
-    got = counts.filter(F.col("n") >= (floor if least is None else min(floor, least))).toArrow()
+        left -= n
+        share = 1.0
+    if last is None:
+        return []
+    chosen = (step > last) | (step == last) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    got = counts.filter(chosen).toArrow()
     return sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
@@ -296,10 +364,10 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
     """SCORED rows. words: broadcast (word -> place, counts); logs: sum of log10(c + 0.5) of the known ones; score: log10
     probability, without log10(c + 0.5) of `rare` words (all occurrences), which are in no broadcast count. tail: log10 of the
     other class's size."""
-    shipped, other = docs.sparkSession.sparkContext.broadcast(model), len(model["R"]) - 2
+    shipped, other = docs.sparkSession.sparkContext.broadcast(halved(model)), len(model["R"]) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, counts = words.value
+        (place, counts), m = words.value, whole(shipped.value)
         logs = np.log10(np.asarray(counts) + 0.5)
         outside = (logs - tail) * (np.arange(len(logs)) >= other)  # the vocabulary's places come first
         outside[place[END]] = 0
@@ -315,7 +383,7 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
                 own = np.where(known & (flat < other), flat, other).astype(np.int32)
                 own[first + lens - 1] = other + 1
                 a, b, w = positions(np.split(own, first[1:]), other)
-                lp = log_probs(shipped.value, a, b, w) / LN10
+                lp = log_probs(m, a, b, w) / LN10
                 lp += np.where(known, outside[flat], -tail)
                 rare = [[toks[d][k] for k in np.flatnonzero(~known[s : s + n])] for d, (s, n) in enumerate(zip(first.tolist(), lens.tolist(), strict=True))]
                 add = lambda x: np.add.reduceat(x, first)
@@ -328,30 +396,37 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORED)
 
 
-def lm_scores(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, head: int = HEAD, known: int = KNOWN, first_share: int = 8) -> DataFrame:
+def lm_scores(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, head: int = HEAD, known: int = KNOWN, part_tokens: int = PART_TOKENS) -> DataFrame:
     """One row per row of docs (doc_id, text; others ignored): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
 
-    Counts and training cover every training document: a first round on one of `first_share` parts, a second on all.
-    Null and empty texts are the end alone. Null ids train. Repeated rows count as often and are scored alike. No
-    training document: every count is 0 and the model is uniform over its classes. Empty table: empty result.
-    The model's words are all of count `least` and more, and the `head` best ones in any case; their counts and parameters
-    are gathered and broadcast, besides counts of other words up to `known` in all. The rest of the counts is joined.
+    Counts and training cover every training document, once. Null and empty texts are the end alone. Null ids train.
+    Repeated rows count as often and are scored alike. No training document: every count is 0 and the model is uniform over
+    its classes. Empty table: empty result. The model's words are the GROWTH * sqrt(training tokens) best ones of count
+    `least` and more (MOST_WORDS at most), and the `head` best ones in any case; their counts and parameters are gathered and
+    broadcast, besides counts of other words up to `known` in all. The rest of the counts is joined.
     """
     spark = docs.sparkSession
     counts = scratch.write(count_tokens(docs))
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = frequent(counts.filter(F.octet_length("word") > 0), known, least)
+    size = min(MOST_WORDS, int(GROWTH * total**0.5))
+    top = frequent(counts.filter(F.octet_length("word") > 0), max(known, size))
     ends = (counts.filter(F.octet_length("word") == 0).first() or (END, 0))[1]
-    head = max(min(head, len(top)), sum(n >= least for _, n in top))
+    head = max(min(head, len(top)), min(size, sum(n >= least for _, n in top)))
     in_head = sum(n for _, n in top[:head])
     other = total - in_head - ends
     model = start([n for _, n in top[:head]], other, ends)
     sc = spark.sparkContext
     place = sc.broadcast({w: i for i, (w, _) in enumerate(top[:head])} | {END: head + 1})
     if total:
-        model = train_round(docs, model, place, RATE, 0, first_share)
-        model = train_round(docs, model, place, RATE / 2, None, 1)
+        parts, squares = -(-total // part_tokens), {k: np.zeros(len(model[k]), np.float32) for k in NAMES}
+        at = scratch.path()
+        encode(docs, place, head, parts).write.partitionBy("round").parquet(at)
+        encoded = spark.read.schema("part int, key long, ids binary, round int").parquet(at)
+        for turn in range(len(ROUNDS)):
+            model, squares = train_round(encoded.filter(F.col("round") == turn), parts, model, squares, turn)
+        delete(spark, at)
+    model = whole(halved(model))
     # Places: words of the model, one that no word has, the end, then the other known words.
     where = {w: i for i, (w, _) in enumerate(top[:head])} | {END: head + 1} | {w: head + 2 + i for i, (w, _) in enumerate(top[head:])}
     words = sc.broadcast((where, [n for _, n in top[:head]] + [0, ends] + [n for _, n in top[head:]]))

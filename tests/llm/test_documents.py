@@ -268,6 +268,53 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(p.sum(2), 1, atol=1e-4)
 
 
+def plain_log_prob(m, a, b, w):
+    """ln p(w | a, b) by the definition: the shares of a word's outputs among those that each is told from."""
+    single, branch, leaves, first, parts = lm_scoring.tree(m)
+    q = m["R"][a].astype(float) * m["u"] + m["R"][b].astype(float) * m["v"]
+    z = m["Q"].astype(float) @ q + m["bias"]
+    told = lambda c, low, high: z[c] - math.log(sum(math.exp(x) for x in z[low:high]))
+    j = w - single
+    if not 0 <= j < leaves:
+        return told(w if j < 0 else first - 2 + j - leaves, 0, first)
+    group, part = j // branch**2, j // branch
+    up = told(single + group, 0, first) + told(first + part, first + group * branch, first + min(parts, (group + 1) * branch))
+    return up + told(first + parts + j, first + parts + part * branch, first + parts + min(leaves, (part + 1) * branch))
+
+
+def test_lm_score_is_the_sum_of_log_probabilities(spark):
+    names, r = [f"w{i}".encode() for i in range(300)], np.random.default_rng(2)
+    m = lm_scoring.start(list(range(900, 600, -1)), 50, 20)
+    m["Q"] = r.normal(0, 1, m["Q"].shape).astype(np.float32)
+    m["bias"] = m["bias"] + r.normal(0, 0.3, m["bias"].shape).astype(np.float32)
+    m = lm_scoring.whole(lm_scoring.halved(m))
+    where = {w: i for i, w in enumerate(names)} | {b"": 301, b"also": 302}
+    words = spark.sparkContext.broadcast((where, [*range(900, 600, -1), 0, 20, 7]))
+    tail = math.log10(50 + 0.5 * 9)
+    texts = ["", "w0", "w5 w200 also w17 never w299 w130\nnever W1", " ".join(f"w{int(x)}" for x in r.integers(0, 300, 400))]
+    got = {x.doc_id: x.score for x in lm_scoring.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m, words, tail).collect()}
+    for i, t in enumerate(texts):
+        ids = [where.get(w, 300) for w in lm_scoring.tokens(t.encode())]
+        own = [min(x, 300) if x != 301 else 301 for x in ids]
+        path, want = [301, 301, *own], 0.0
+        for k, (x, w) in enumerate(zip(ids, own, strict=True)):
+            want += plain_log_prob(m, path[k], path[k + 1], w) / math.log(10)
+            want += math.log10(7.5) - tail if x == 302 else -tail if x == 300 else 0
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    score = lambda n: sorted((r.doc_id, r.score) for r in lm_scoring.lm_scores(docs.repartition(n), Scratch(spark), part_tokens=20_000).collect())
+    one, eight = score(1), score(8)
+    assert [i for i, _ in one] == [i for i, _ in eight] and np.allclose([x for _, x in one], [x for _, x in eight], rtol=1e-9)
+
+
+def test_lm_vocabulary_when_all_counts_are_equal(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 3) for i in range(4000)], "word binary, n long")
+    assert 400 < len(lm_scoring.frequent(counts, 500)) < 600 and len(lm_scoring.frequent(counts, 9000)) == 4000 and lm_scoring.frequent(counts.limit(0), 5) == []
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     r = lm_scoring.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), Scratch(spark)).filter("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
     assert r.score > r.base
