@@ -35,10 +35,10 @@ GROWTH, LEAST, HEAD, KNOWN = 8, 5, 1024, 200_000
 #: Largest vocabulary: what is sent to all executors has this bound. It is reached at 250 billion training tokens.
 MOST_WORDS = 4_000_000
 #: Training tokens of a part, and shares of the documents (in 32nds) that the rounds train on, one after the other.
-PART_TOKENS, ROUNDS = 3_000_000, (4, 6, 10, 12)
+PART_TOKENS, ROUNDS = 6_000_000, (4, 6, 10, 12)
 #: Words told apart at the first level.
 SINGLE = 128
-DIM, BATCH, NOISE, RATE = 24, 4096, 64, 0.2
+DIM, BATCH, NOISE, RATE = 24, 4096, 32, 0.2
 #: Rows of parameters that are averaged together.
 ROWS = 128
 #: Distinct words that a counting task holds before it passes its partial counts on.
@@ -196,26 +196,37 @@ def tables(m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, z
 
 
-def told(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """ln of the share of output c among `vectors`, for each predicted vector."""
+#: Scores up to this size are raised to powers as they are; single precision holds the sums.
+SAFE = 60.0
+
+
+def told(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, c: np.ndarray, safe: bool) -> np.ndarray:
+    """ln of the share of output c among `vectors`, for each predicted vector. safe: no score is beyond SAFE."""
     x = q @ vectors.T
     x += bias
     mine = x[np.arange(len(x)), c]
+    if safe:
+        return mine - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
     most = x.max(1)
     x -= most[:, None]
     return mine - most - np.log(np.exp(x, out=x).sum(1))
 
 
-def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int = 4096) -> np.ndarray:
+def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int = 1024) -> np.ndarray:
     """ln p(w | a, b), summed over the levels."""
     _, branch, leaves, first, parts = tree(m)
     top, deep, j = top_of(m, w)
     out = np.empty(len(w), np.float64)
     q = np.empty((len(w), DIM), np.float32)
+    long = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+    safe = long(m["R"]) * float(np.abs(m["u"]).max() + np.abs(m["v"]).max()) * long(m["Q"]) + float(np.abs(m["bias"]).max()) < SAFE
     for k in range(0, len(w), step):
         k = slice(k, k + step)
-        q[k] = m["R"][a[k]] * m["u"] + m["R"][b[k]] * m["v"]
-        out[k] = told(q[k], m["Q"][:first], m["bias"][:first], top[k])
+        x = m["R"][a[k]]
+        x *= m["u"]
+        x += m["R"][b[k]] * m["v"]
+        out[k] = told(x, m["Q"][:first], m["bias"][:first], top[k], safe)
+        q[k] = x
     order = np.argsort(j, kind="stable")  # the words of a part, and the parts of a group, stand side by side
     deep, j = deep[order], j[order]
     q = q[deep]
@@ -228,7 +239,7 @@ def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int =
             s = slice(base + low, base + min(low + branch, end))
             for k in range(x, y, step):
                 k = slice(k, min(k + step, y))
-                more[k] += told(q[k], m["Q"][s], m["bias"][s], node[k] - low)
+                more[k] += told(q[k], m["Q"][s], m["bias"][s], node[k] - low, safe)
     out[deep] += more
     return out
 
@@ -385,7 +396,10 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
                 a, b, w = positions(np.split(own, first[1:]), other)
                 lp = log_probs(m, a, b, w) / LN10
                 lp += np.where(known, outside[flat], -tail)
-                rare = [[toks[d][k] for k in np.flatnonzero(~known[s : s + n])] for d, (s, n) in enumerate(zip(first.tolist(), lens.tolist(), strict=True))]
+                rare, at_doc = [[] for _ in toks], np.flatnonzero(~known)
+                of = np.searchsorted(first, at_doc, "right") - 1
+                for d, k in zip(of.tolist(), (at_doc - first[of]).tolist(), strict=True):
+                    rare[d].append(toks[d][k])
                 add = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(key + 1, key + 1 + len(lens))), pa.array(ids[at : at + 256], pa.int64()), pa.array([held_out(i) for i in ids[at : at + 256]]), pa.array(lens, pa.int64()), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(known, logs[flat], 0.0))), pa.array(add(lp)), pa.array(rare, pa.list_(pa.binary()))],
