@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat_format, url_rules
@@ -77,3 +78,36 @@ def test_mined_rules_block(spark):
     assert out == {i: "block" if i % 4 == 0 else "allow" for i in range(400)}
     mined = url_rules.mine_rules(spark.createDataFrame([(["a", "b"], True)] * 30 + [(["a"], False), (["b"], False)] * 30, "tokens array<string>, bad boolean"), Scratch(spark))
     assert {tuple(sorted(r.antecedent)) for r in mined.collect()} == {("a", "b")}
+
+
+def test_mined_rules_against_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    for seed in range(2):
+        r = random.Random(seed)
+        rows = [([f"t{i}" for i in range(6) if r.random() < 0.4], r.random() < 0.3) for _ in range(300)]
+        rows = [(t, bad or {"t1", "t4"} <= set(t)) for t, bad in rows] + [([f"q{i}" for i in range(40)], True)] * 15
+        rows = [x for x in rows if x[0]]
+        base, want = sum(b for _, b in rows) / len(rows), {}
+        for size in (1, 2, 3):
+            for c in combinations([f"t{i}" for i in range(6)], size):
+                hits = [b for t, b in rows if set(c) <= set(t)]
+                if sum(hits) >= 20:
+                    p = sum(hits) / len(hits)
+                    if p >= 0.6 and p * (1 - base) >= 2 * base * (1 - p):
+                        want[c] = p
+        got = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark), min_confidence=0.6)
+        assert {tuple(x.antecedent): pytest.approx(x.confidence) for x in got.collect()} == want and ("t1", "t4") in want
+        left = {tuple(x.antecedent) for x in url_rules.pruned(got).collect()}
+        assert left == {c for c in want if not any(set(d) < set(c) and want[d] >= want[c] for d in want)}
+
+
+def test_explicit_verdicts_are_labels(spark):
+    rows = [(i, f"http://a{i % 3}.{'net' if i % 2 else 'org'}/{'es' if i % 3 else 'en'}/{i}") for i in range(300)]
+    pages, none = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine_verdicts(url_rules.known_verdicts(pages, none), Scratch(spark)).collect()
+    assert rules == []  # all known pages are bad: nothing tells them apart
+    good = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine_verdicts(url_rules.known_verdicts(pages, good), Scratch(spark)).collect()
+    assert ("p:es", "t:net") in {tuple(x.antecedent) for x in rules if x.verdict == "block"} and any(x.verdict == "allow" for x in rules)
