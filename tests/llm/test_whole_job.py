@@ -82,3 +82,49 @@ def test_sure_rules_pass_at_any_size_and_share(spark, bad, good):
     rows = [(["h:farm", "t:com"], True)] * bad + [(["h:site", "t:com"], False)] * good
     mined = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark))
     assert {tuple(sorted(r.antecedent)) for r in mined.collect()} == {("h:farm",), ("h:farm", "t:com")}
+
+
+def planted(kind: int, r: random.Random) -> tuple[str, str]:
+    """A cue and personal data of a kind, by other templates than those that the trees learn from."""
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    x = lambda k, a: "".join(r.choice(a) for _ in range(k))
+    if kind == 0:
+        return r.choice(["e-mail ", "write me: ", "Kontakt "]), f"{x(5, 'abcdefgh')}{r.choice(['_', '-', ''])}{x(3, 'klmn')}{r.choice([' [at] ', '(at)', ' @ '])}{x(6, 'opqrst')}{r.choice(['.', ' [dot] ', '[dot]'])}{r.choice(['com', 'net', 'org'])}"
+    if kind == 1:
+        return "our server is ", r.choice(["[.]", "(dot)"]).join(str(r.randint(1, 254)) for _ in range(4))
+    if kind == 2:
+        digits = "4" + d(14)
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        return "pay with card ", ".".join(digits[i : i + 4] for i in range(0, 16, 4))
+    if kind == 3:
+        return r.choice(["phone no ", "please call ", "tel. "]), r.choice([f"({d(3)}) {d(7)}", f"0{d(2)}-{d(3)}-{d(4)}", f"0049 {d(3)} {d(4)} {d(3)}"])
+    if kind == 4:
+        return "our bank account ", pii.sound_iban(r, True)
+    if kind == 5:
+        return "her social security number ", f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
+    return r.choice(['api_key = "', "password: ", "secret_token=", 'token = "']), x(r.choice([24, 32, 40]), "0123456789abcdef" if r.random() < 0.5 else "ABCDEFGHJKabcdefghjk23456789")
+
+
+def test_pii_recall_by_kind_on_other_templates():
+    r, model = random.Random(77), pii.train()
+    for kind in range(len(pii.KINDS)):
+        found = 0
+        for i in range(150):
+            cue, s = planted(kind, r)
+            text = D.prose(i, 12) + " " + cue + s + ("\" " if cue.endswith('"') else " ") + D.prose(i + 500, 8)
+            a = text.index(s, text.index(cue))
+            mine = [(p, k, q) for p, k, q in pii.proposals(text) if p < a + len(s) and a < q]
+            p = pii.boosting.predict(model, np.array([pii.features(text, *m) for m in mine], float).reshape(len(mine), -1)) if mine else []
+            found += any(q >= model["thresholds"][k] for q, (_, k, _) in zip(p, mine, strict=True)) or any(b[0] < a + len(s) and a < b[2] for b in pii.base_spans(text))
+        assert found >= 0.9 * 150, (pii.KINDS[kind], found)
+
+
+def test_pii_of_a_text_with_many_numbers(spark):
+    import time
+
+    r = random.Random(5)
+    text = " ".join(f"{r.randrange(10**3)} {r.randrange(10**4)}-{r.randrange(10**4)}" for _ in range(50_000))
+    began = time.time()
+    row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.train(3000)).first()
+    spans = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x and x.split(":")[0] not in pii.KINDS[: pii.BASE]]
+    assert len(text) > 600_000 and time.time() - began < 90 and spans == sorted(spans)
