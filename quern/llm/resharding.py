@@ -1,8 +1,10 @@
 """Sharding: from the shards' old sizes and new capacities, a minimum-cost flow says how many bytes go from where to
-where; whole blocks of documents carry them out, and only files of shards that change are written again."""
+where; whole blocks of documents carry them out, and only files of shards that change are written again. The driver sees
+blocks, whose number has a bound; rows are shuffled once, by the file that they go to."""
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -10,15 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import OTHERS, table, unpack
+from quern.llm.common import Scratch, table
 
-#: Blocks that each old shard is cut into by hash: bounds what the driver gathers, and how near to equal sizes come.
-BLOCKS = 1024
+#: Blocks that old shards are cut into by hash: some LEAST_BLOCKS in all, so that sizes come near to equal, and more
+#: where a block would hold more than BLOCK_BYTES; about MOST_BLOCKS at most, which bounds the plan that is gathered and sent
+#: to all executors.
+LEAST_BLOCKS, BLOCK_BYTES, MOST_BLOCKS = 8192, 64 << 20, 1_000_000
+#: A file closes with the block that takes it to this size.
+FILE_BYTES = 32 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
-    """Flow from each source to each sink that ships all supply at least cost; successive shortest paths on the residual
-    graph of a few dozen nodes. Raises ValueError if capacity is short."""
+    """Flow from each source to each sink that ships all supply at least cost, for any costs; successive shortest paths on
+    the residual graph of a few dozen nodes. Raises ValueError if capacity is short."""
     n, m = len(supply), len(capacity)
     left, room, flow = list(supply), list(capacity), [[0] * m for _ in range(n)]
     if sum(left) > sum(room):
@@ -53,6 +59,26 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return flow
 
 
+def cheapest_flow(supply: list[int], capacity: list[int]) -> list[dict[int, int]]:
+    """The same where staying (source and sink of one number) costs nothing and moving one a byte: what fits stays, which no
+    flow can better, and the rest fills what room is left, in order. By source: sink to bytes, n + m entries in all."""
+    if sum(supply) > sum(capacity):
+        raise ValueError("capacities are smaller than the shards")
+    stay = [min(a, capacity[i]) if i < len(capacity) else 0 for i, a in enumerate(supply)]
+    room = [c - (stay[j] if j < len(stay) else 0) for j, c in enumerate(capacity)]
+    out, j = [{i: x} if x else {} for i, x in enumerate(stay)], 0
+    for i, left in enumerate(a - x for a, x in zip(supply, stay, strict=True)):
+        while left:
+            amount = min(left, room[j])
+            if amount:
+                out[i][j] = out[i].get(j, 0) + amount
+                left -= amount
+                room[j] -= amount
+            if left:
+                j += 1
+    return out
+
+
 @dataclass
 class Move:
     old: int
@@ -60,28 +86,39 @@ class Move:
     shard: int
     size: int
     rows: int
+    file: int = 0
     offset: int = 0
 
 
-def plan_moves(blocks: list[tuple[int, int, int, int]], old_ids: list[int], new_ids: list[int]) -> list[Move]:
-    """Target of every block (old shard, block, bytes, rows). Staying costs nothing, moving one a byte. Blocks go from
-    the largest down to the target with most of its flow still open, so shards differ by about one small block."""
+def plan_moves(blocks: list[tuple[int, int, int, int]], old_ids: list[int], new_ids: list[int], file_bytes: int = FILE_BYTES) -> list[Move]:
+    """Target of every block (old shard, block, bytes, rows), its file there (numbered over all shards), and the place of
+    the file's first row in the shard. Blocks go from the largest down to the target with most of its flow still open, so
+    shards differ by about one small block. old_ids and new_ids count from 0."""
     size: dict[int, int] = defaultdict(int)
     for old, _, b, _ in blocks:
         size[old] += b
     total = sum(size.values())
     share = [total // len(new_ids) + (k < total % len(new_ids)) for k in range(len(new_ids))]
-    flow = min_cost_flow([size[o] for o in old_ids], share, [[int(o != s) for s in new_ids] for o in old_ids])
-    open_ = {o: dict(zip(new_ids, f, strict=True)) for o, f in zip(old_ids, flow, strict=True)}
+    flow = cheapest_flow([size[o] for o in old_ids], share)
+    # The fullest target of an old shard first; of equally full ones its own, then the first.
+    open_ = {o: [(-amount, to != o, to) for to, amount in f.items()] for o, f in zip(old_ids, flow, strict=True)}
+    for heap in open_.values():
+        heapq.heapify(heap)
     out = []
     for old, block, b, rows in sorted(blocks, key=lambda x: (-x[2], x[0], x[1])):
-        to = max(new_ids, key=lambda s: (open_[old][s], s == old, -s))
-        open_[old][to] -= b
+        amount, moves, to = open_[old][0]
+        heapq.heapreplace(open_[old], (amount + b, moves, to))
         out.append(Move(old, block, to, b, rows))
-    at: dict[int, int] = defaultdict(int)
+    file, at, filled, last = -1, 0, 0, None
+    start = 0
     for x in sorted(out, key=lambda x: (x.shard, x.old, x.block)):
-        x.offset = at[x.shard]
-        at[x.shard] += x.rows
+        if x.shard != last:
+            at, filled, last = 0, file_bytes, x.shard
+        if filled >= file_bytes:
+            file, filled, start = file + 1, 0, at
+        x.file, x.offset = file, start
+        at += x.rows
+        filled += x.size
     return out
 
 
@@ -90,60 +127,92 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def reshard(docs: DataFrame, old: Column, *, old_shards: int, shards: int, blocks: int = BLOCKS, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (doc_id, text, others) with rs_old, rs_block, rs_size, rs_shard and rs_slot (gapless from 0 in a shard).
+def block_of(sizes: dict[int, int], blocks: int | None) -> Column:
+    """The block of a row of old shard rs_old, by a hash of its id."""
+    total = max(1, sum(sizes.values()))
+    most = max(BLOCK_BYTES, 2 * total // MOST_BLOCKS)
+    number = {o: blocks or max(-(-LEAST_BLOCKS // len(sizes)) if len(sizes) < LEAST_BLOCKS else 1, -(-n // most)) for o, n in sizes.items()}
+    common = min(number.values(), default=1)
+    n = F.lit(common)
+    for o, k in number.items():
+        n = F.when(F.col("rs_old") == o, k).otherwise(n) if k != common else n
+    return F.pmod(F.xxhash64(F.lit(17), "doc_id"), n).cast("int")
 
-    Law: bytes. `old` is the shard that holds a row now, from 0 to old_shards - 1. The driver gathers one row per block
-    (old_shards * blocks at most) and solves the flow; blocks are told by a hash of the document id, so a group of equal
-    texts, a source or an old shard of a third of all rows is dealt over as many blocks as its share. A document larger
-    than a shard's share fills a shard alone. Null ids and texts are rows like others; repeated rows get slots of their own. Empty table: empty
-    result. `carry` names the columns that go through the shuffle that numbers the slots (all by default); columns of the names added are replaced.
-    """
+
+@dataclass
+class Resharding:
+    """Rows with their plan. rows: the table's columns in a struct `row`, rs_old, rs_block, rs_size, rs_tie, rs_shard,
+    rs_file and rs_offset; changed: shards that don't keep exactly their rows."""
+
+    rows: DataFrame
+    changed: list[int]
+
+    def numbered(self) -> DataFrame:
+        """With rs_slot: the place in the shard. The one shuffle, by file."""
+        order = Window.partitionBy("rs_file").orderBy("rs_old", "rs_block", "rs_doc", "rs_tie")
+        return self.rows.withColumn("rs_slot", (F.col("rs_offset") + F.row_number().over(order) - 1).cast("long"))
+
+    def write(self, out: str) -> DataFrame:
+        """Writes the shards that change to `out`/shard=K, and returns where every row is: rs_shard, rs_slot and the row's
+        own columns, in a struct `row`, read from what was written and, for the others, from the table."""
+        spark, all_rows = self.rows.sparkSession, self.numbered().select("row", "rs_old", "rs_size", "rs_shard", "rs_slot")
+        if not self.changed:
+            return all_rows
+        hit = F.col("rs_shard").isin(self.changed)
+        all_rows.filter(hit).withColumn("shard", F.col("rs_shard")).write.partitionBy("shard").parquet(out)
+        again = spark.read.schema(all_rows.schema).parquet(out).select(*all_rows.columns)
+        return again.unionByName(all_rows.filter(~hit))
+
+
+def plan_of(docs: DataFrame, old: Column, *, old_shards: int, shards: int, blocks: int | None = None, file_bytes: int = FILE_BYTES) -> Resharding:
     spark = docs.sparkSession
-    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int")
-    own = {"rs_old": old.cast("int"), "rs_block": block, "rs_size": text_size(F.col("text")), "rs_tie": F.coalesce(F.xxhash64("text"), F.lit(0))}
-    keep = list(docs.columns if carry is None else carry)
-    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in keep if c != "doc_id")).alias(OTHERS), *(c.alias(n) for n, c in own.items()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = {"rs_old": old.cast("int"), "rs_doc": F.col("doc_id"), "rs_size": text_size(F.col("text")), "rs_tie": F.coalesce(F.xxhash64("text"), F.lit(0))}
+    rows = docs.select(row.alias("row"), *(c.alias(n) for n, c in own.items()), "doc_id")
+    sizes = dict.fromkeys(range(old_shards), 0) | {r[0]: r[1] for r in rows.groupBy("rs_old").agg(F.sum("rs_size")).collect()}
+    rows = rows.withColumn("rs_block", block_of(sizes, blocks)).drop("doc_id")
     sums = rows.groupBy("rs_old", "rs_block").agg(F.sum("rs_size"), F.count("*")).collect()
-    moves = plan_moves([tuple(r) for r in sums], list(range(old_shards)), list(range(shards)))
-    plan = spark.createDataFrame([(x.old, x.block, x.shard, x.offset) for x in moves], "rs_o int, rs_b int, rs_shard int, rs_offset long")
-    order = Window.partitionBy("rs_old", "rs_block").orderBy("doc_id", "rs_tie")
-    numbered = rows.withColumn("rs_k", F.row_number().over(order) - 1)
-    joined = numbered.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
-    slot = (F.col("rs_offset") + F.col("rs_k")).cast("long")
-    return unpack(joined, keep, "doc_id", rs_old=F.col("rs_old"), rs_block=F.col("rs_block"), rs_size=F.col("rs_size"), rs_shard=F.col("rs_shard"), rs_slot=slot)
+    moves = plan_moves([tuple(r) for r in sums], list(range(old_shards)), list(range(shards)), file_bytes)
+    changed = sorted({x.shard for x in moves if x.shard != x.old} | {x.old for x in moves if x.shard != x.old and x.old < shards})
+    plan = spark.createDataFrame([(x.old, x.block, x.shard, x.file, x.offset) for x in moves], "rs_o int, rs_b int, rs_shard int, rs_file int, rs_offset long")
+    joined = rows.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
+    return Resharding(joined.drop("rs_o", "rs_b"), changed)
 
 
-def rewrite_files(docs: DataFrame, old: Column, out: str, *, old_shards: int, shards: int, blocks: int = BLOCKS) -> list[int]:
+def reshard(docs: DataFrame, old: Column, *, old_shards: int, shards: int, blocks: int | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (doc_id, text, others) with rs_old, rs_block, rs_size, rs_shard and rs_slot (gapless from 0 in a shard).
+
+    Law: bytes. `old` is the shard that holds a row now, from 0 to old_shards - 1. The driver gathers one row per block and
+    solves the flow; blocks are told by a hash of the document id, so a group of equal texts, a source or an old shard of a
+    third of all rows is dealt over as many blocks as its share. A document larger than a shard's share fills a shard alone.
+    Null ids and texts are rows like others; repeated rows get slots of their own. Empty table: empty result. `carry` names
+    the columns that go through the shuffle that numbers the slots (all by default); columns of the names added are replaced.
+    """
+    made = plan_of(docs, old, old_shards=old_shards, shards=shards, blocks=blocks)
+    keep, added = list(docs.columns if carry is None else carry), ("rs_old", "rs_block", "rs_size", "rs_shard", "rs_slot")
+    slim = made.rows.withColumn("row", F.struct(*(F.col("row").getField(c).alias(c) for c in keep)))
+    return Resharding(slim, made.changed).numbered().select(*(F.col("row").getField(c).alias(c) for c in keep if c not in added), *added)
+
+
+def rewrite_files(docs: DataFrame, old: Column, out: str, *, old_shards: int, shards: int, blocks: int | None = None) -> list[int]:
     """Write the shards that change to `out`/shard=K and return their numbers; a shard that keeps exactly its rows is not
-    written. Rows of a shard go to several files, dealt by block."""
-    spark = docs.sparkSession
-    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(blocks)).cast("int")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "shard"))
-    rows = docs.select(row.alias(OTHERS), old.cast("int").alias("rs_old"), block.alias("rs_block"), text_size(F.col("text")).alias("rs_size"))
-    sums = rows.groupBy("rs_old", "rs_block").agg(F.sum("rs_size"), F.count("*")).collect()
-    moves = plan_moves([tuple(r) for r in sums], list(range(old_shards)), list(range(shards)))
-    changed = sorted({x.shard for x in moves if x.shard != x.old} | {x.old for x in moves if x.shard != x.old and x.old < shards})
-    plan = spark.createDataFrame([(x.old, x.block, x.shard) for x in moves if x.shard in changed], "rs_o int, rs_b int, shard int")
-    (
-        rows.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
-        .repartition("shard", F.pmod("rs_block", F.lit(16)))
-        .select(f"{OTHERS}.*", "shard")
-        .write.partitionBy("shard")
-        .parquet(out)
-    )
-    return changed
+    written. Rows of a shard go to files of about FILE_BYTES, in the order of their slots."""
+    made = plan_of(docs, old, old_shards=old_shards, shards=shards, blocks=blocks)
+    if made.changed:
+        rows = made.numbered().filter(F.col("rs_shard").isin(made.changed))
+        rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"), F.col("rs_shard").alias("shard")).write.partitionBy("shard").parquet(out)
+    return made.changed
 
 
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From six shards by hash of the id to eight of equal bytes."""
+    """From six shards by hash of the id to eight of equal bytes: the shards are written, and sizes and checksums are those
+    of the texts read back from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0)).cast("long"))
-    out = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(6)), old_shards=6, shards=8, carry=("doc_id", "text_crc32"))
+    out = plan_of(docs, F.pmod(F.xxhash64("doc_id"), F.lit(6)), old_shards=6, shards=8).write(Scratch(spark).path())
     return out.select(
-        "doc_id",
-        F.col("rs_size").alias("size"),
-        "text_crc32",
+        F.col("row.doc_id").alias("doc_id"),
+        text_size(F.col("row.text")).alias("size"),
+        F.coalesce(F.crc32("row.text"), F.lit(0)).cast("long").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         F.col("rs_shard").alias("shard"),
         F.col("rs_slot").alias("slot"),

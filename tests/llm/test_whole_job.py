@@ -5,9 +5,10 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import decontaminate, lm_scoring, pii, url_rules
+from quern.llm import decontaminate, lm_scoring, pii, resharding, url_rules
 from quern.llm.common import Scratch
 from tests.llm import data as D
 
@@ -128,3 +129,43 @@ def test_pii_of_a_text_with_many_numbers(spark):
     row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.train(3000)).first()
     spans = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x and x.split(":")[0] not in pii.KINDS[: pii.BASE]]
     assert len(text) > 600_000 and time.time() - began < 90 and spans == sorted(spans)
+
+
+def test_direct_flow_moves_as_little_as_any():
+    r = random.Random(3)
+    for _ in range(30):
+        n, m = r.randint(1, 5), r.randint(1, 6)
+        supply = [r.randint(0, 40) for _ in range(n)]
+        capacity = [sum(supply) // m + (k < sum(supply) % m) for k in range(m)]
+        want = resharding.min_cost_flow(supply, capacity, [[int(i != j) for j in range(m)] for i in range(n)])
+        got = resharding.cheapest_flow(supply, capacity)
+        assert [sum(f.values()) for f in got] == supply and all(sum(f.get(j, 0) for f in got) <= capacity[j] for j in range(m))
+        assert sum(a for i, f in enumerate(got) for j, a in f.items() if i != j) == sum(want[i][j] for i in range(n) for j in range(m) if i != j)
+    with pytest.raises(ValueError):
+        resharding.cheapest_flow([5], [4])
+    assert resharding.cheapest_flow([10_000] * 5000, [5000] * 10_000)[4999]  # thousands of shards at once
+
+
+def test_bytes_law_by_sql(spark):
+    """Sizes, checksums and slots of the registered query, from the texts and by SQL alone."""
+    spark_rows = resharding.op4_resharding(spark, "/root/testdata/sf0.001").toPandas()
+    con = duckdb.connect()
+    con.register("got", spark_rows)
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    bad = "SELECT count(*) FROM (SELECT doc_id, count(*) n, sum(coalesce(octet_length(encode(text)), 0) + 1) s FROM documents GROUP BY 1) d FULL JOIN (SELECT doc_id, count(*) n, sum(size) s FROM got GROUP BY 1) g USING (doc_id) WHERE d.n IS DISTINCT FROM g.n OR d.s IS DISTINCT FROM g.s"
+    assert con.execute(bad).fetchone() == (0,)
+    assert con.execute("SELECT bool_and(a = 0 AND b = n - 1 AND n = k) FROM (SELECT min(slot) a, max(slot) b, count(*) n, count(DISTINCT slot) k FROM got GROUP BY shard)").fetchone() == (True,)
+    low, high, largest = con.execute("SELECT min(s), max(s), max(m) FROM (SELECT sum(size) s, max(size) m FROM got GROUP BY shard)").fetchone()
+    assert high - low <= largest
+
+
+@pytest.mark.parametrize("case", ["huge document", "huge shard", "few rows"])
+def test_bytes_law_in_odd_tables(spark, case):
+    texts = ["x" * (50_000 if case == "huge document" and i == 3 else 100) for i in range(3 if case == "few rows" else 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = F.lit(0) if case == "huge shard" else F.pmod("doc_id", F.lit(4))
+    out = resharding.reshard(docs, old, old_shards=4, shards=5).groupBy("rs_shard").agg(F.sum("rs_size"), F.count("*")).collect()
+    sizes = sorted(r[1] for r in out) if case != "few rows" else [0]
+    if case == "huge document":
+        assert sizes.pop() >= 50_001  # alone, or nearly
+    assert sizes[-1] - sizes[0] <= (101 * 4 if case != "huge document" else 50_001) and sum(r[2] for r in out) == len(texts)
