@@ -1,15 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The documents are indexed in segments (blocks of documents), each a row of postings: term, and its word positions. A
-benchmark window is answered segment by segment: its rarest term's positions, shifted to the window's start, are
-intersected with the shifted positions of the next rarest, until none or all terms have agreed.
+The documents are indexed once, all their words, in segments (blocks of documents), each a row of postings: term, told by
+a 64-bit hash, and its word positions. The index knows nothing of a benchmark and answers any number of them. A benchmark
+window is answered segment by segment: its rarest term's positions, shifted to the window's start, are intersected with
+the shifted positions of the next rarest, until none or all terms have agreed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from quern.llm.common import Scratch, table
 WINDOW = 13
 #: Bytes of text that a segment holds at most, but for a longer single document.
 SEGMENT_BYTES = 8 << 20
-#: Bytes of benchmark text sent to the executors at once; more items are searched block after block.
+#: Bytes of benchmark text sent to the executors at once, but for a longer single item: a number a word, and a hash for each
+#: distinct one. More items are searched block after block, over the same index.
 BLOCK_BYTES = 16 << 20
 #: Bytes that stand in no word: all ASCII but digits and letters, once A-Z are lower-cased.
 GAPS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -32,53 +33,74 @@ def index_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(GAPS).split()
 
 
+class TermHashes(dict):
+    """64-bit hash of a word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
 @dataclass
 class Windows:
-    """Benchmark windows over a vocabulary of their own terms."""
+    """Benchmark items as words; a window is `width` words in turn, or a whole shorter item."""
 
-    terms: dict[bytes, int]
-    windows: list[np.ndarray]
-    items: list[int]  # place in item_ids, by window
+    terms: np.ndarray  # hashes of the distinct words
+    words: np.ndarray  # places in terms, item after item
+    ends: np.ndarray  # of items in words
     item_ids: list[str | None]
+    width: int
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and item of every window."""
+        begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        number = np.maximum(self.ends - begins - self.width, 0) + 1 if len(self.ends) else begins[:0]
+        item = np.repeat(np.arange(len(number)), number)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number) + begins[item]
+        return start, np.minimum(start + self.width, self.ends[item]), item
 
 
 def benchmark_windows(rows: list[tuple[str | None, bytes | None]], width: int) -> Windows:
-    """Each distinct window once for each item; an item of fewer words is one window, an empty one none."""
-    out = Windows({}, [], [], [])
+    """The items that have words."""
+    place, words, ends, ids = {}, [], [], []
     for item_id, text in rows:
-        ids = np.fromiter((out.terms.setdefault(w, len(out.terms)) for w in index_words(text)), np.int32)
-        if not len(ids):
-            continue
-        out.item_ids.append(item_id)
-        for w in {ids[i : i + width].tobytes() for i in range(max(1, len(ids) - width + 1))}:
-            out.windows.append(np.frombuffer(w, np.int32))
-            out.items.append(len(out.item_ids) - 1)
-    return out
+        w = index_words(text)
+        if w:
+            words.append(np.fromiter((place.setdefault(x, len(place)) for x in w), np.int32, len(w)))
+            ends.append(len(w))
+            ids.append(item_id)
+    terms = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
+    return Windows(terms, np.concatenate([*words, np.empty(0, np.int32)]), np.cumsum(np.array(ends, np.int64)), ids, width)
 
 
 SEGMENT = "doc_ids array<long>, hashes array<long>, lens array<int>, terms binary, counts binary, gaps binary"
 SEGMENT_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
 
 
-def build_index(docs: DataFrame, terms) -> DataFrame:
-    """Segments of postings of the broadcast vocabulary `terms` over docs (doc_id, text). Positions count the words of
-    the segment's documents one after another with one place left free between documents, so no phrase spans two.
-    A term's positions are kept as gaps."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Segments of postings of all words of docs (doc_id, text). Positions count the words of the segment's documents one
+    after another with one place left free between documents, so no phrase spans two. A term's positions are kept as gaps,
+    terms in order of their hashes."""
+    known = TermHashes()
 
     def segment(ids: list, texts: list) -> pa.RecordBatch:
-        known, parts, lens = terms.value, [], []
+        parts, lens, places, begin = [], [], [], 0
         hashes = [xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts]
         for t in texts:
             w = index_words(t)
-            parts += [np.fromiter(map(known.get, w, repeat(-1)), np.int32, len(w)), np.array([-1], np.int32)]
+            parts.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+            places.append(np.arange(begin, begin + len(w), dtype=np.int32))
             lens.append(len(w))
+            begin += len(w) + 1
         at = np.concatenate(parts)
-        pos = np.flatnonzero(at >= 0).astype(np.int32)
-        pos = pos[np.argsort(at[pos], kind="stable")]
-        found, counts = np.unique(at[pos], return_counts=True)
-        gaps = np.diff(pos, prepend=np.int32(0))
+        order = np.argsort(at, kind="stable")
+        at, pos = at[order], np.concatenate(places)[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else order
+        found, counts, gaps = at[first], np.diff(first, append=len(at)).astype(np.int32), np.diff(pos, prepend=np.int32(0)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (found, counts, gaps))],
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (found, counts, gaps))],
             schema=SEGMENT_ARROW,
         )
 
@@ -100,16 +122,24 @@ def build_index(docs: DataFrame, terms) -> DataFrame:
 
 
 class Postings:
-    """One segment, ready to be searched."""
+    """One segment, ready to be searched for the words of some windows."""
 
-    def __init__(self, terms: bytes, counts: bytes, gaps: bytes):
-        self.at = dict(zip(np.frombuffer(terms, np.int32).tolist(), range(len(terms) // 4), strict=True))
-        self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)])
-        self.pos = np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int32)
+    def __init__(self, row: dict, terms: np.ndarray):
+        own = np.frombuffer(row["terms"], np.uint64)
+        k = np.minimum(np.searchsorted(own, terms), max(0, len(own) - 1))
+        self.there = own[k] == terms if len(own) else np.zeros(len(terms), bool)
+        self.at = k
+        self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], np.int32), dtype=np.int64)])
+        self.pos = np.cumsum(np.frombuffer(row["gaps"], np.int32), dtype=np.int32)
 
     def of(self, term: int) -> np.ndarray:
-        k = self.at.get(term)
-        return self.pos[:0] if k is None else self.pos[self.ends[k] : self.ends[k + 1]]
+        k = self.at[term]
+        return self.pos[self.ends[k] : self.ends[k + 1]] if self.there[term] else self.pos[:0]
+
+    def alive(self, w: Windows, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Windows of which the segment holds all words."""
+        missing = np.concatenate([[0], np.cumsum(~self.there[w.words])])
+        return np.flatnonzero(missing[end] == missing[start])
 
     def find(self, window: np.ndarray, slop: int = 0) -> np.ndarray:
         """Starts of the window. slop: how far each other term may stand from its place beside the rarest one."""
@@ -131,23 +161,19 @@ def search(index: DataFrame, windows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(**windows.value)  # a broadcast holds plain values only
-        flat = np.concatenate([*w.windows, np.empty(0, np.int32)])
-        first = np.concatenate([[0], np.cumsum([len(x) for x in w.windows])])[:-1].astype(np.int64)
+        first, last, item = w.spans()
         for batch in batches:
             for row in batch.to_pylist():
                 lens = np.array(row["lens"], np.int64)
                 begin = np.concatenate([[0], np.cumsum(lens + 1)])
-                p = Postings(row["terms"], row["counts"], row["gaps"])
-                here = np.zeros(len(w.terms) + 1, bool)
-                here[np.frombuffer(row["terms"], np.int32)] = True
-                alive = np.flatnonzero(np.logical_and.reduceat(here[flat], first)) if len(first) else first
+                p = Postings(row, w.terms)
                 edge, pairs = np.zeros(begin[-1] + 1, np.int32), set()
-                for k in alive.tolist():
-                    starts = p.find(w.windows[k])
+                for k in p.alive(w, first, last).tolist():
+                    starts = p.find(w.words[first[k] : last[k]])
                     if len(starts):
                         np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + len(w.windows[k]), -1)
-                        pairs.update((d, w.items[k]) for d in np.unique(np.searchsorted(begin, starts, "right") - 1).tolist())
+                        np.add.at(edge, starts + (last[k] - first[k]), -1)
+                        pairs.update((d, item[k]) for d in np.unique(np.searchsorted(begin, starts, "right") - 1).tolist())
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
                 items = [[] for _ in lens]
                 for d, k in pairs:
@@ -164,23 +190,23 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIN
     """(doc_id, item_id, start): places where all terms of a window stand within `slop` words of their place beside its
     rarest term. start counts words from 0 and may lie up to slop before the first. slop 0: exact phrases."""
     spark = docs.sparkSession
-    w = benchmark_windows([(r[0], r[1]) for r in _items(benchmark).collect()], width)
-    terms, windows = spark.sparkContext.broadcast(w.terms), spark.sparkContext.broadcast(vars(w))
+    windows = spark.sparkContext.broadcast(vars(benchmark_windows([(r[0], r[1]) for r in _items(benchmark).collect()], width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Windows(**windows.value)  # a broadcast holds plain values only
+        w = Windows(**windows.value)
+        first, last, item = w.spans()
         for batch in batches:
             for row in batch.to_pylist():
                 begin = np.concatenate([[0], np.cumsum(np.array(row["lens"], np.int64) + 1)])
-                p, out = Postings(row["terms"], row["counts"], row["gaps"]), set()
-                for k, window in enumerate(w.windows):
-                    for s in p.find(window, slop).tolist():
+                p, out = Postings(row, w.terms), set()
+                for k in p.alive(w, first, last).tolist():
+                    for s in p.find(w.words[first[k] : last[k]], slop).tolist():
                         d = int(np.searchsorted(begin, max(s, 0), "right")) - 1
-                        out.add((row["doc_ids"][d], w.item_ids[w.items[k]], s - int(begin[d])))
+                        out.add((row["doc_ids"][d], w.item_ids[item[k]], s - int(begin[d])))
                 out = sorted(out, key=repr)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "item_id", "start"])
 
-    return build_index(docs, terms).mapInArrow(run, "doc_id long, item_id string, start long")
+    return build_index(docs).mapInArrow(run, "doc_id long, item_id string, start long")
 
 
 def _items(benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
@@ -193,17 +219,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
 
     Null and empty texts have no words and are clean; items without words have no windows; items without id are
     searched if `unnamed`, and are then one null at the end of items; repeated rows of documents are judged alike, repeated items count once. Empty tables: empty result, or all clean. Benchmark text is
-    sent to executors in blocks of at most BLOCK_BYTES; more blocks mean more passes, merged by document.
-    No shuffle of documents with one block: each task indexes what it reads, and the index is kept in the shared folder.
+    sent to executors in blocks of BLOCK_BYTES; more blocks mean more passes over the index, merged by document. Documents are
+    read once and not shuffled: each task indexes what it reads, and the index is kept in the shared folder.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = size // BLOCK_BYTES + 1
-    found = None
+    n = 2 * size // BLOCK_BYTES + 1  # dealt by hash, blocks come to half of it on the average
+    index, found = scratch.write(build_index(docs)), None
     for k in range(n):
         part = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         w = benchmark_windows([(r[0], r[1]) for r in _items(part, unnamed).collect()], width)
-        index = scratch.write(build_index(docs, spark.sparkContext.broadcast(w.terms)))
         one = search(index, spark.sparkContext.broadcast(vars(w))).withColumn("block", F.lit(k))
         found = one if found is None else found.unionByName(one)
     if n > 1:  # edges of hit ranges, merged by document: an even edge opens, an odd one closes
@@ -219,6 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, wi
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents against all items; see contamination."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark), unnamed=True).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"

@@ -169,3 +169,17 @@ def test_bytes_law_in_odd_tables(spark, case):
     if case == "huge document":
         assert sizes.pop() >= 50_001  # alone, or nearly
     assert sizes[-1] - sizes[0] <= (101 * 4 if case != "huge document" else 50_001) and sum(r[2] for r in out) == len(texts)
+
+
+def test_documents_are_indexed_once_for_all_blocks(spark, monkeypatch):
+    built = []
+    index = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda docs: built.append(1) or index(docs))
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 2000)
+    docs = [(i, D.prose(i, 60) + (" " + D.prose(100 + i % 7, 30) if i % 2 else "")) for i in range(40)]
+    items = [(i, D.prose(100 + i, 30)) for i in range(7)] + [(9, "short item"), (None, "none"), (10, "")]
+    run = lambda: sorted(map(tuple, decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark)).collect()))
+    whole = run()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert run() == whole and len(built) == 2
+    assert [(r[0], r[1], r[2], r[3]) for r in whole] == [(i, *D.hits(t, items)) for i, t in docs]
