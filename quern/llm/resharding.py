@@ -146,6 +146,7 @@ class Resharding:
 
     rows: DataFrame
     changed: list[int]
+    shards: int = 0
 
     def numbered(self) -> DataFrame:
         """With rs_slot: the place in the shard. The one shuffle, by file."""
@@ -155,13 +156,13 @@ class Resharding:
     def write(self, out: str) -> DataFrame:
         """Writes the shards that change to `out`/shard=K, and returns where every row is: rs_shard, rs_slot and the row's
         own columns, in a struct `row`, read from what was written and, for the others, from the table."""
-        spark, all_rows = self.rows.sparkSession, self.numbered().select("row", "rs_old", "rs_size", "rs_shard", "rs_slot")
+        hit, columns = F.col("rs_shard").isin(self.changed), ("row", "rs_old", "rs_size", "rs_shard", "rs_slot")
+        stay = Resharding(self.rows.filter(~hit), []).numbered().select(*columns)
         if not self.changed:
-            return all_rows
-        hit = F.col("rs_shard").isin(self.changed)
-        all_rows.filter(hit).withColumn("shard", F.col("rs_shard")).write.partitionBy("shard").parquet(out)
-        again = spark.read.schema(all_rows.schema).parquet(out).select(*all_rows.columns)
-        return again.unionByName(all_rows.filter(~hit))
+            return stay
+        Resharding(self.rows.filter(hit), []).numbered().select(*columns, F.col("rs_shard").alias("shard")).write.partitionBy("shard").parquet(out)
+        again = self.rows.sparkSession.read.schema(stay.schema).parquet(out).select(*columns)
+        return again if len(self.changed) == self.shards else again.unionByName(stay)
 
 
 def plan_of(docs: DataFrame, old: Column, *, old_shards: int, shards: int, blocks: int | None = None, file_bytes: int = FILE_BYTES) -> Resharding:
@@ -176,7 +177,7 @@ def plan_of(docs: DataFrame, old: Column, *, old_shards: int, shards: int, block
     changed = sorted({x.shard for x in moves if x.shard != x.old} | {x.old for x in moves if x.shard != x.old and x.old < shards})
     plan = spark.createDataFrame([(x.old, x.block, x.shard, x.file, x.offset) for x in moves], "rs_o int, rs_b int, rs_shard int, rs_file int, rs_offset long")
     joined = rows.join(F.broadcast(plan), (F.col("rs_old") == F.col("rs_o")) & (F.col("rs_block") == F.col("rs_b")))
-    return Resharding(joined.drop("rs_o", "rs_b"), changed)
+    return Resharding(joined.drop("rs_o", "rs_b"), changed, shards)
 
 
 def reshard(docs: DataFrame, old: Column, *, old_shards: int, shards: int, blocks: int | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
