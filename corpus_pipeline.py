@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import Scratch, table, with_text
 from quern.llm.decontaminate import contamination
@@ -25,10 +26,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates (five words, similarity of 0.8), once; rows without id or text stay."""
+    """The smallest doc_id of each group of near duplicates (five words, similarity of 0.8); each of its texts once, and of
+    rows equal in these the one of smallest hash. Rows without id stay, and texts without words once for each id."""
     gone = near_duplicates(docs.select("doc_id", "text"), Scratch(spark)).filter("NOT kept").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti")
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*(c for c in docs.columns if c != "text")))
+    first = named.select(*docs.columns, F.row_number().over(once).alias("__nth")).filter("__nth = 1")
+    return first.select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
