@@ -24,6 +24,37 @@ TIERS = {
 SIGN_BITS = {"I": 12, "S": 12, "B": 13, "U": None, "J": 21}
 
 
+#: What the facts call each kind, and the errors that a missing one gives.
+FACTS = {"alu": "alu_operations", "mem_size": "memory_sizes", "imm_type": "immediate_formats", "writeback": "writeback_sources", "branch": "branch_conditions"}
+MISSING_FIRST = "Missing 'alu_operations'. The Stage 1 LLM may have rate-limited or hallucinated invalid JSON."
+MISSING = "Missing '{}' from Stage 1 facts. Ensure Stage 1 succeeded."
+#: Ports as (direction, name, bits); bits may be the kind whose width they have.
+PORTS = {
+    "regfile": (("input", "clk", 1), ("input", "we", 1), ("input", "rs1", 5), ("input", "rs2", 5), ("input", "rd", 5), ("input", "rd_data", 32), ("output", "rd1", 32), ("output", "rd2", 32)),
+    "imm_gen": (("input", "instr", 32), ("input", "imm_type", "imm_type"), ("output", "imm", 32)),
+    "alu": (("input", "a", 32), ("input", "b", 32), ("input", "alu_op", "alu"), ("output", "result", 32), ("output", "zero", 1)),
+    "branch_unit": (("input", "branch_type", 3), ("input", "rs1", 32), ("input", "rs2", 32), ("input", "branch", 1), ("output", "taken", 1)),
+    "load_store": (
+        ("input", "mem_read", 1), ("input", "mem_write", 1), ("input", "mem_size", "mem_size"), ("input", "mem_extend", 1), ("input", "addr", 32), ("input", "wdata", 32), ("input", "mem_rdata", 32),
+        ("output", "rdata", 32), ("output", "mem_addr", 32), ("output", "mem_wdata", 32), ("output", "mem_wstrb", 4),
+    ),
+    "control": (
+        ("input", "opcode", 7), ("input", "funct3", 3), ("input", "funct7b5", 1), ("output", "alu_op", "alu"), ("output", "alu_src_b", 1), ("output", "alu_src_a", 2), ("output", "result_src", "writeback"), ("output", "reg_write", 1),
+        ("output", "mem_read", 1), ("output", "mem_write", 1), ("output", "mem_size", "mem_size"), ("output", "mem_extend", 1), ("output", "branch", 1), ("output", "branch_type", 3), ("output", "jump", 1), ("output", "jump_type", 1),
+        ("output", "imm_type", "imm_type"),
+    ),
+    "pc_next": (("input", "pc", 32), ("input", "imm", 32), ("input", "rs1", 32), ("input", "taken", 1), ("input", "jump", 1), ("input", "jump_type", 1), ("output", "next_pc", 32)),
+}
+#: Headings of the sheets.
+SHEET_TITLE = "=== MICROARCH WIRING CHEATSHEET (use ONLY these values) ==="
+LEGACY_TITLE = "=== ISA WIRING CHEATSHEET (binary constants only — use these EXACTLY) ==="
+LEGENDS = {
+    "alu": "=== ALU_OP ENCODING (canonical — alu.v and control.v MUST match) ===",
+    "imm_type": "=== IMM_TYPE ENCODING (canonical — imm_gen.v and control.v MUST match) ===",
+    "branch": "=== BRANCH funct3 ENCODING (canonical — branch_unit.v MUST use these) ===",
+}
+
+
 def encode_vocabulary(vocab: DataFrame) -> DataFrame:
     """kind, item, code, width, binary from (kind, pos, item): codes from 0 in order of first appearance. The width tells
     all listed entries apart, repeated ones too, imm_type one more, and branch has three bits."""
@@ -35,17 +66,27 @@ def encode_vocabulary(vocab: DataFrame) -> DataFrame:
 
 
 def check_vocabulary(vocab: DataFrame) -> DataFrame:
-    """The vocabulary kinds that have no entry, one row each; none if all have."""
-    kinds = vocab.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
-    return kinds.join(vocab.select("kind"), "kind", "left_anti").withColumn("error", F.concat(F.lit("missing vocabulary: "), "kind"))
+    """kind, error of the vocabulary kinds that have no entry; none if all have."""
+    rows = [(k, MISSING_FIRST if k == KINDS[0] else MISSING.format(FACTS[k])) for k in KINDS]
+    kinds = vocab.sparkSession.createDataFrame(rows, "kind string, error string")
+    return kinds.join(vocab.select("kind"), "kind", "left_anti")
 
 
 def encode_branches(vocab: DataFrame, instructions: DataFrame) -> DataFrame:
     """item, code: the funct3 of the condition's branch instruction; of an unknown condition, its place in the list."""
+    return _coded(vocab, instructions).select("item", "code")
+
+
+def branch_legend(vocab: DataFrame, instructions: DataFrame) -> DataFrame:
+    """ord, item, code: the conditions in the order of the list."""
+    return _coded(vocab, instructions).select(F.col("nth").alias("ord"), "item", "code")
+
+
+def _coded(vocab: DataFrame, instructions: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in CONDITIONS.items() for x in kv])
     b = instructions.filter("format = 'B' AND funct3 IS NOT NULL").select("mnemonic", F.conv("funct3", 2, 10).cast("int").alias("f3"))
     c = vocab.filter("kind = 'branch'").groupBy("item").agg(F.min("pos").alias("pos")).withColumn("nth", F.row_number().over(Window.orderBy("pos")) - 1).withColumn("name", F.try_element_at(names, F.upper("item")))
-    return c.join(F.broadcast(b), F.col("name") == F.col("mnemonic"), "left").select("item", F.coalesce("f3", "nth").cast("int").alias("code"))
+    return c.join(F.broadcast(b), F.col("name") == F.col("mnemonic"), "left").select("nth", "item", F.coalesce("f3", "nth").cast("int").alias("code"))
 
 
 def control_table(instructions: DataFrame, behaviour: DataFrame, encodings: DataFrame) -> DataFrame:
@@ -125,6 +166,41 @@ def joined(lines: DataFrame, name: str = "text") -> DataFrame:
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias(name))
 
 
+def _range(bits_of: Column) -> Column:
+    """[n:0] and a blank, of one bit nothing."""
+    return F.when(bits_of == 1, "").otherwise(F.concat(F.lit("["), (bits_of - 1).cast("string"), F.lit(":0] ")))
+
+
+def _bits(size: int | str) -> Column:
+    return F.lit(size) if isinstance(size, int) else F.col(f"{size}_w")
+
+
+def signature(module: str) -> Column:
+    """The module's head, over a row of _widths."""
+    ports = [F.concat(F.lit(f"    {way} logic "), _range(_bits(size)), F.lit(name)) for way, name, size in PORTS[module]]
+    return F.concat(F.lit(f"module {module} (\n"), F.concat_ws(",\n", *ports), F.lit("\n);"))
+
+
+def cheatsheet(table: DataFrame, encodings: DataFrame, branches: DataFrame | None = None) -> DataFrame:
+    """One row, text: the wiring sheet with heading, columns and rule; with branches (item, code), also the legends of the
+    operations, immediate formats and branch conditions, under a rule of 112 instead of 110."""
+    column = lambda name, kind, more: F.lpad(F.lit(name), F.col(f"{kind}_w") + more, " ")
+    heads = F.concat(
+        F.lit(SHEET_TITLE + "\nINSTR   | opcode  | f3  | f7b5 | "), column("alu_op", "alu", 5), F.lit("| "), column("imm", "imm_type", 3), F.lit("| "), column("wb", "writeback", 3),
+        F.lit("| rw | mr | mw | br | jmp | alu_a  | alu_b | mem_sz\n" + "-" * (110 if branches is None else 112) + "\n"),
+    )
+    out = joined(cheatsheet_lines(table, encodings), "lines").crossJoin(F.broadcast(_widths(encodings))).withColumn("text", F.concat(heads, "lines"))
+    if branches is not None:
+        coded = encodings.filter("kind IN ('alu', 'imm_type')").select("kind", F.col("code").alias("ord"), "item", "width", "binary")
+        by_place = branches.select(F.lit("branch").alias("kind"), "ord", "item", F.lit(BRANCH_BITS).alias("width"), bits.to_binary(F.col("code").cast("bigint"), BRANCH_BITS).alias("binary"))
+        line = F.concat(F.lit("  "), F.col("width").cast("string"), F.lit("'b"), "binary", F.lit(" = "), "item", F.when(F.col("kind") == "imm_type", "-type").otherwise(""))
+        text = coded.unionByName(by_place).select("kind", F.struct("ord", line.alias("line")).alias("l"))
+        of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("l")))), lambda x: x["line"]), "\n")
+        legends = text.agg(F.concat(*(x for k, title in LEGENDS.items() for x in (F.lit(f"\n\n{title}\n"), of(k)))).alias("legends"))
+        out = out.crossJoin(F.broadcast(legends)).withColumn("text", F.concat("text", "legends"))
+    return out.select("text")
+
+
 def _assign(name: str, width: Column | int, value: Column) -> Column:
     return F.concat(F.lit(f"{name} = "), (F.lit(width) if isinstance(width, int) else width).cast("string"), F.lit("'b"), value.cast("string"), F.lit(";"))
 
@@ -149,7 +225,8 @@ def control_arms(table: DataFrame, encodings: DataFrame) -> DataFrame:
 
 
 def control_module(table: DataFrame, encodings: DataFrame) -> DataFrame:
-    """One row, text: the control decoder as a nested case over opcode, funct3 and funct7b5."""
+    """One row, text: the control decoder: its ports, a default of 0 for every output, which stands wherever an arm says
+    nothing, and a nested case over opcode, funct3 and funct7b5."""
     arms = control_arms(table, encodings).withColumn("op_ord", F.min("ord").over(Window.partitionBy("opcode"))).withColumn("f3_ord", F.min("ord").over(Window.partitionBy("opcode", "funct3")))
     inner = F.when(F.col("funct7b5").isNotNull(), F.concat(F.lit("if (funct7b5 == 1'b"), "funct7b5", F.lit(") begin "), "body", F.lit(" end"))).otherwise(F.col("body"))
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("line")))), lambda x: x["line"]), "\n")
@@ -157,8 +234,9 @@ def control_module(table: DataFrame, encodings: DataFrame) -> DataFrame:
     f3 = f3.withColumn("line", F.when(F.col("funct3").isNull(), F.col("line")).otherwise(F.concat(F.lit("3'b"), "funct3", F.lit(": begin "), "line", F.lit(" end"))))
     op = f3.groupBy("opcode", "op_ord").agg(ordered(F.col("line")).alias("line"), F.max("funct3").alias("any")).withColumn("ord", F.col("op_ord"))
     op = op.withColumn("line", F.concat(F.lit("7'b"), "opcode", F.lit(": begin\n"), F.when(F.col("any").isNull(), F.col("line")).otherwise(F.concat(F.lit("case (funct3)\n"), "line", F.lit("\ndefault: begin end\nendcase"))), F.lit("\nend")))
-    head, tail = F.lit("module control;\nalways_comb begin\ncase (opcode)\n"), F.lit("\ndefault: begin end\nendcase\nend\nendmodule")
-    return joined(op.select("ord", "line"), "body").select(F.concat(head, "body", tail).alias("text"))
+    defaults = F.concat_ws("\n", *(_assign(name, _bits(size), F.lit("0")) for way, name, size in PORTS["control"] if way == "output"))
+    head, tail = F.concat(signature("control"), F.lit("\nalways_comb begin\n"), defaults, F.lit("\ncase (opcode)\n")), F.lit("\ndefault: begin end\nendcase\nend\nendmodule")
+    return joined(op.select("ord", "line"), "body").crossJoin(F.broadcast(_widths(encodings))).select(F.concat(head, "body", tail).alias("text"))
 
 
 def immediate_arms(encodings: DataFrame, xlen: int = 32) -> DataFrame:
@@ -193,9 +271,21 @@ def microarch(table: DataFrame, encodings: DataFrame, name: str, xlen: int = 32)
     return rows.crossJoin(kinds).select(F.to_json(F.struct(F.lit(name).alias("architecture"), F.lit(xlen).alias("xlen"), "vocabularies", "instruction_icd")).alias("document"))
 
 
-def module_prompt(module: str, table: DataFrame, encodings: DataFrame) -> DataFrame:
-    """One row, prompt: the request for a behavioural module, with the wiring lines."""
-    return joined(cheatsheet_lines(table, encodings)).select(F.concat(F.lit(f"Write the module {module}. Wiring:\n"), "text").alias("prompt"))
+def read_microarch(documents: DataFrame, table: DataFrame) -> DataFrame:
+    """The control table's rows back from documents of microarch()."""
+    schema = f"instruction_icd array<{table.schema.simpleString()}>"
+    return documents.select(F.inline(F.from_json("document", schema)["instruction_icd"])).select(*table.columns)
+
+
+def module_prompt(module: str, table: DataFrame, encodings: DataFrame, branches: DataFrame, name: str = "RV32I", xlen: int = 32) -> DataFrame:
+    """One row, prompt: the request for a behavioural module: what it is for, the sheet with its legends, and for the top
+    module the heads of all modules that it wires, leaves first."""
+    order = ("regfile", "imm_gen", "control", "alu", "branch_unit", "load_store", "pc_next")
+    task = f"Write the module {module}.\nArchitecture: {name}, XLEN {xlen}, single-cycle, no pipeline registers.\nReset PC: 0x00000000. x0 is zero; JALR clears the lowest bit.\nUse these encodings and no others.\n\n"
+    heads = F.concat_ws("\n\n", F.lit("Instantiate these modules in this order and connect ports by name:"), *(signature(m) for m in order))
+    ports = F.concat(F.lit("\n\n"), heads) if module == "cpu" else F.lit("")
+    sheet = cheatsheet(table, encodings, branches).crossJoin(F.broadcast(_widths(encodings)))
+    return sheet.select(F.concat(F.lit(task), "text", ports, F.lit(f"\n\nAnswer with the module {module} alone, without a test bench.")).alias("prompt"))
 
 
 #: Where an immediate's bits stand in the instruction, by format.
@@ -210,8 +300,8 @@ def immediate_module(encodings: DataFrame, xlen: int = 32) -> DataFrame:
     arms = immediate_arms(encodings, xlen).withColumn("bits", F.try_element_at(parts, "format")).filter("bits IS NOT NULL")
     sign = F.when(F.col("sign_bits") > 0, F.concat(F.lit("{"), F.col("sign_bits").cast("string"), F.lit("{instr[31]}}, "))).otherwise("")
     arm = F.concat(F.length("binary").cast("string"), F.lit("'b"), "binary", F.lit(": imm = {"), sign, "bits", F.lit("};"))
-    head, tail = F.lit("module imm_gen;\nalways_comb begin\ncase (imm_type)\n"), F.lit(f"\ndefault: imm = {xlen}'b0;\nendcase\nend\nendmodule")
-    return joined(arms.select("ord", arm.alias("line")), "body").select(F.concat(head, "body", tail).alias("text"))
+    head, tail = F.concat(signature("imm_gen"), F.lit("\nalways_comb begin\ncase (imm_type)\n")), F.lit(f"\ndefault: imm = {xlen}'b0;\nendcase\nend\nendmodule")
+    return joined(arms.select("ord", arm.alias("line")), "body").crossJoin(F.broadcast(_widths(encodings))).select(F.concat(head, "body", tail).alias("text"))
 
 
 def table_modules(table: DataFrame, encodings: DataFrame) -> DataFrame:
@@ -223,17 +313,27 @@ def table_modules(table: DataFrame, encodings: DataFrame) -> DataFrame:
 
 def legacy_lines(records: DataFrame) -> DataFrame:
     """ord, line of the older wiring sheet, from (ord, instruction, opcode, funct3, funct7, alu_op, reg_write, mem_read,
-    mem_write, branch, jump): rows without an instruction are left out, N/A stands for nothing, and bit five of funct7 is
-    told by 0100000."""
-    f7 = F.coalesce("funct7", F.lit("N/A"))
-    bit = F.when(f7 == "N/A", "-").when(f7 == "0100000", "1").otherwise("0")
+    mem_write, branch, jump, imm_type, alu_src_a, alu_src_b, result_src, mem_size, mem_extend, branch_type, jump_type): rows
+    without an instruction are left out, N/A stands for nothing, and bit five of funct7 is told by 0100000."""
+    na = lambda c: F.coalesce(c, F.lit("N/A"))
+    bit = F.when(na("funct7") == "N/A", "-").when(F.col("funct7") == "0100000", "1").otherwise("0")
     codes = F.create_map(*[F.lit(x) for i, o in enumerate(LEGACY_OPS) for x in (o, f"4'b{i:04b}")])
     op = F.coalesce("alu_op", F.lit("ADD"))
     flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("reg_write", "mem_read", "mem_write", "branch", "jump")]
-    line = F.format_string("%-6s| %-7s | %-3s | %-4s | %-8s| %d  | %d  | %d  | %d  | %d", "instruction", "opcode", F.when(F.col("funct3") == "N/A", "---").otherwise(F.col("funct3")), bit, F.coalesce(F.try_element_at(codes, op), op), *flags)
+    rest = [na(c) for c in ("alu_src_a", "alu_src_b", "result_src", "mem_size", "mem_extend", "branch_type", "jump_type")]
+    line = F.format_string(
+        "%-6s| %-7s | %-3s | %-4s | %-8s| %-6s| %d  | %d  | %d  | %d  | %d   | %-6s| %-5s | %-7s| %-5s| %-5s| %-7s| %s",
+        "instruction", "opcode", F.when(F.col("funct3") == "N/A", "---").otherwise(F.col("funct3")), bit, F.coalesce(F.try_element_at(codes, op), op), na("imm_type"), *flags, *rest,
+    )
     return records.filter("instruction IS NOT NULL").select("ord", line.alias("line"))
 
 
+def legacy_sheet(records: DataFrame) -> DataFrame:
+    """One row, text: the older sheet with heading, columns and rule."""
+    heads = f"{LEGACY_TITLE}\nINSTR | opcode  | f3  | f7b5 | alu_op  | imm   | rw | mr | mw | br | jmp | alu_a | alu_b | res_src| m_sz | m_ext| br_type| jmp_t\n" + "-" * 125 + "\n"
+    return joined(legacy_lines(records)).select(F.concat(F.lit(heads), "text").alias("text"))
+
+
 def plan_edges(plans: DataFrame) -> DataFrame:
     """plan, place, module, depends_on (null for a leaf) from (plan, document): the modules of a plan's JSON."""
     schema = "modules array<struct<name:string,depends_on:array<string>>>"

@@ -17,6 +17,10 @@ def _table(s):
     return K.control_table(X.INSTRUCTIONS.df(s), X.BEHAVIOUR.df(s), _enc(s))
 
 
+def _legend(s):
+    return K.branch_legend(X.VOCAB.df(s), X.INSTRUCTIONS.df(s))
+
+
 def words(spark, sf_dir):
     """32-bit words from lineitem keys."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -52,9 +56,16 @@ def lane_rows(spark, sf_dir):
     return w.select("k", "line", *(c.alias(n) for n, c in x.items()))
 
 
+_more = ", ".join(f"{c} string" for c in ("imm_type", "alu_src_a", "alu_src_b", "result_src", "mem_size", "mem_extend", "branch_type", "jump_type"))
 LEGACY = X.Inline(
-    "ord int, instruction string, opcode string, funct3 string, funct7 string, alu_op string, reg_write boolean, mem_read boolean, mem_write boolean, branch boolean, jump boolean",
-    [(0, "SUB", "0110011", "000", "0100000", "SUB", True, False, False, False, False), (1, "ADD", "0110011", "000", "0000000", None, True, None, False, False, False), (2, None, "x", "x", "x", "x", True, True, True, True, True), (3, "JAL", "1101111", "N/A", None, "odd", True, False, False, False, True)],
+    f"ord int, instruction string, opcode string, funct3 string, funct7 string, alu_op string, reg_write boolean, mem_read boolean, mem_write boolean, branch boolean, jump boolean, {_more}",
+    [
+        (0, "SUB", "0110011", "000", "0100000", "SUB", True, False, False, False, False, None, "rs1", "rs2", "alu", None, None, None, None),
+        (1, "ADD", "0110011", "000", "0000000", None, True, None, False, False, False, "N/A", "rs1", "rs2", "alu", "N/A", "N/A", "N/A", "N/A"),
+        (2, None, "x", "x", "x", "x", True, True, True, True, True, "x", "x", "x", "x", "x", "x", "x", "x"),
+        (3, "JAL", "1101111", "N/A", None, "MUL", True, False, False, False, True, "J", "pc", "imm", "pc4", None, None, None, "jal"),
+        (4, "LBU", "0000011", "100", "N/A", "ADD", True, True, False, False, False, "I", "rs1", "imm", "mem", "byte", "unsigned", None, None),
+    ],
 )
 PLANS = X.Inline("plan string, document string", [("p", '{"modules": [{"name": "alu", "depends_on": []}, {"name": "cpu", "depends_on": ["alu", "control"]}, {"name": "control"}], "other": 1}'), ("q", "{}"), ("r", "no json")])
 BASE_QUESTIONS = X.Inline("key string, question string", [("ops", "which operations"), ("sizes", "which sizes")])
@@ -62,12 +73,15 @@ DYNAMIC = X.Inline("pos int, question string", [(0, "what else"), (1, "and then"
 
 QUERIES = {
     "legacy_cheatsheet": lambda s, d: K.legacy_lines(LEGACY.df(s)),
+    "legacy_sheet": lambda s, d: K.legacy_sheet(LEGACY.df(s)),
+    "cheatsheet_text": lambda s, d: K.cheatsheet(_table(s), _enc(s)),
+    "cheatsheet_legends": lambda s, d: K.cheatsheet(_table(s), _enc(s), _legend(s)),
     "immediate_text": lambda s, d: K.immediate_module(_enc(s)),
     "table_modules": lambda s, d: K.table_modules(_table(s), _enc(s)).select("module", F.md5("text").alias("text_md5")),
     "plan_edges": lambda s, d: K.plan_edges(PLANS.df(s)),
     "all_questions": lambda s, d: K.all_questions(BASE_QUESTIONS.df(s), DYNAMIC.df(s)),
     "vocab_encoding": lambda s, d: _enc(s),
-    "vocab_check": lambda s, d: K.check_vocabulary(X.VOCAB.df(s).filter("kind <> 'branch' AND pos < 3 AND kind <> 'alu'")),
+    "vocab_check": """SELECT * FROM (VALUES ('alu', 'Missing ''alu_operations''. The Stage 1 LLM may have rate-limited or hallucinated invalid JSON.'), ('branch', 'Missing ''branch_conditions'' from Stage 1 facts. Ensure Stage 1 succeeded.')) v(kind, error)""",
     "branch_encoding": lambda s, d: K.encode_branches(X.VOCAB.df(s).union(s.createDataFrame([("branch", 6, "odd")], "kind string, pos int, item string")), X.INSTRUCTIONS.df(s)),
     "icd_build": lambda s, d: K.checked(_table(s)),
     "icd_collisions": lambda s, d: K.collisions(_table(s).withColumn("funct7b5", F.lit(None).cast("int"))),
@@ -78,7 +92,9 @@ QUERIES = {
     "immediate_arms": lambda s, d: K.immediate_arms(_enc(s)),
     "module_tiers": lambda s, d: X.MODULES.df(s).select("id", "name", K.module_tier(F.col("name")).alias("tier")),
     "microarch_document": lambda s, d: K.microarch(_table(s), _enc(s), "RV32I"),
-    "module_prompt": lambda s, d: K.module_prompt("alu", _table(s), _enc(s)),
+    "microarch_rows": lambda s, d: K.read_microarch(K.microarch(_table(s), _enc(s), "RV32I"), _table(s)),
+    "module_prompt": lambda s, d: K.module_prompt("alu", _table(s), _enc(s), _legend(s)),
+    "top_module_prompt": lambda s, d: K.module_prompt("cpu", _table(s), _enc(s), _legend(s)),
     "imm_decode": lambda s, d: words(s, d).select("k", "line", *(B.immediate(F.col("word"), f).alias(f"imm_{f.lower()}") for f in "ISBUJ")),
     "word_decode": lambda s, d: K.decode(words(s, d).select("k", "line", F.col("word").bitwiseAND(F.lit(0xFFFFFF80)).bitwiseOR(F.when(F.col("line") % 2 == 0, F.lit(0x33)).otherwise(F.lit(0x63))).alias("word")), _table(s)),
     "alu_eval": lambda s, d: pairs(s, d).select("k", "line", *(B.alu(F.lit(o), F.col("a"), F.col("b")).alias(f"r_{o.lower()}") for o in OPS)),
@@ -138,19 +154,88 @@ _case = f"CASE op {' '.join(f'WHEN {chr(39)}{o}{chr(39)} THEN {e}' for o, e in _
 _taken = {"000": "a = b", "001": "a <> b", "100": f"{sg('a')} < {sg('b')}", "101": f"{sg('a')} >= {sg('b')}", "110": "a < b", "111": "a >= b"}
 _hexw = lambda c: f"(CASE WHEN starts_with({c}, '0x') THEN CAST('0x' || right(substr({c}, 3), 8) AS BIGINT) ELSE (CAST({c} AS BIGINT) + 4294967296) % 4294967296 END)"
 
+#: The modules' heads with the widths of the fixture, and the sheets' heads, spelled out.
+CONTROL_HEAD = """module control (
+    input logic [6:0] opcode,
+    input logic [2:0] funct3,
+    input logic funct7b5,
+    output logic [3:0] alu_op,
+    output logic alu_src_b,
+    output logic [1:0] alu_src_a,
+    output logic [1:0] result_src,
+    output logic reg_write,
+    output logic mem_read,
+    output logic mem_write,
+    output logic [1:0] mem_size,
+    output logic mem_extend,
+    output logic branch,
+    output logic [2:0] branch_type,
+    output logic jump,
+    output logic jump_type,
+    output logic [2:0] imm_type
+);
+always_comb begin
+alu_op = 4'b0;
+alu_src_b = 1'b0;
+alu_src_a = 2'b0;
+result_src = 2'b0;
+reg_write = 1'b0;
+mem_read = 1'b0;
+mem_write = 1'b0;
+mem_size = 2'b0;
+mem_extend = 1'b0;
+branch = 1'b0;
+branch_type = 3'b0;
+jump = 1'b0;
+jump_type = 1'b0;
+imm_type = 3'b0;
+case (opcode)"""
+IMMEDIATE_HEAD = """module imm_gen (
+    input logic [31:0] instr,
+    input logic [2:0] imm_type,
+    output logic [31:0] imm
+);
+always_comb begin
+case (imm_type)"""
+SHEET_HEAD = "=== MICROARCH WIRING CHEATSHEET (use ONLY these values) ===\nINSTR   | opcode  | f3  | f7b5 |    alu_op|    imm|    wb| rw | mr | mw | br | jmp | alu_a  | alu_b | mem_sz\n"
+LEGACY_HEAD = "=== ISA WIRING CHEATSHEET (binary constants only — use these EXACTLY) ===\nINSTR | opcode  | f3  | f7b5 | alu_op  | imm   | rw | mr | mw | br | jmp | alu_a | alu_b | res_src| m_sz | m_ext| br_type| jmp_t\n" + "-" * 125 + "\n"
+_legends = """(SELECT chr(10) || chr(10) || '=== ALU_OP ENCODING (canonical — alu.v and control.v MUST match) ===' || chr(10) || (SELECT string_agg('  4''b' || "binary" || ' = ' || item, chr(10) ORDER BY code) FROM enc WHERE kind = 'alu')
+    || chr(10) || chr(10) || '=== IMM_TYPE ENCODING (canonical — imm_gen.v and control.v MUST match) ===' || chr(10) || (SELECT string_agg('  3''b' || "binary" || ' = ' || item || '-type', chr(10) ORDER BY code) FROM enc WHERE kind = 'imm_type')
+    || chr(10) || chr(10) || '=== BRANCH funct3 ENCODING (canonical — branch_unit.v MUST use these) ===' || chr(10) || (SELECT string_agg('  3''b' || funct3 || ' = ' || item, chr(10) ORDER BY pos) FROM """ + X.VOCAB.sql() + """ v JOIN """ + X.INSTRUCTIONS.sql() + """ i ON i.mnemonic = 'B' || upper(item) WHERE kind = 'branch'))"""
+_lines = "(SELECT string_agg(line, chr(10) ORDER BY ord) FROM sheet)"
+_task = "Write the module {m}.\nArchitecture: RV32I, XLEN 32, single-cycle, no pipeline registers.\nReset PC: 0x00000000. x0 is zero; JALR clears the lowest bit.\nUse these encodings and no others.\n\n"
+_end = "\n\nAnswer with the module {m} alone, without a test bench."
+OTHER_HEADS = {
+    "regfile": "input logic clk|input logic we|input logic [4:0] rs1|input logic [4:0] rs2|input logic [4:0] rd|input logic [31:0] rd_data|output logic [31:0] rd1|output logic [31:0] rd2",
+    "imm_gen": "input logic [31:0] instr|input logic [2:0] imm_type|output logic [31:0] imm",
+    "control": "|".join(x.strip().rstrip(",") for x in CONTROL_HEAD.split(");")[0].split("\n")[1:-1]),
+    "alu": "input logic [31:0] a|input logic [31:0] b|input logic [3:0] alu_op|output logic [31:0] result|output logic zero",
+    "branch_unit": "input logic [2:0] branch_type|input logic [31:0] rs1|input logic [31:0] rs2|input logic branch|output logic taken",
+    "load_store": "input logic mem_read|input logic mem_write|input logic [1:0] mem_size|input logic mem_extend|input logic [31:0] addr|input logic [31:0] wdata|input logic [31:0] mem_rdata|output logic [31:0] rdata|output logic [31:0] mem_addr|output logic [31:0] mem_wdata|output logic [3:0] mem_wstrb",
+    "pc_next": "input logic [31:0] pc|input logic [31:0] imm|input logic [31:0] rs1|input logic taken|input logic jump|input logic jump_type|output logic [31:0] next_pc",
+}
+_heads = "\n\nInstantiate these modules in this order and connect ports by name:" + "".join(f"\n\nmodule {m} (\n" + ",\n".join(f"    {x}" for x in p.split("|")) + "\n);" for m, p in OTHER_HEADS.items())
+
 _control = """WITH f AS (SELECT opcode, funct3, min(ord) AS fo, string_agg(CASE WHEN funct7b5 IS NOT NULL THEN 'if (funct7b5 == 1''b' || funct7b5 || ') begin ' || body || ' end' ELSE body END, chr(10) ORDER BY ord) AS line FROM arms GROUP BY opcode, funct3),
         o AS (SELECT opcode, min(fo) AS oo, max(funct3) AS any3, string_agg(CASE WHEN funct3 IS NULL THEN line ELSE '3''b' || funct3 || ': begin ' || line || ' end' END, chr(10) ORDER BY fo) AS line FROM f GROUP BY opcode)
-        SELECT 'module control;' || chr(10) || 'always_comb begin' || chr(10) || 'case (opcode)' || chr(10) || string_agg('7''b' || opcode || ': begin' || chr(10) || CASE WHEN any3 IS NULL THEN line ELSE 'case (funct3)' || chr(10) || line || chr(10) || 'default: begin end' || chr(10) || 'endcase' END || chr(10) || 'end', chr(10) ORDER BY oo)
+        SELECT """ + X.literal(CONTROL_HEAD) + """ || chr(10) || string_agg('7''b' || opcode || ': begin' || chr(10) || CASE WHEN any3 IS NULL THEN line ELSE 'case (funct3)' || chr(10) || line || chr(10) || 'default: begin end' || chr(10) || 'endcase' END || chr(10) || 'end', chr(10) ORDER BY oo)
                || chr(10) || 'default: begin end' || chr(10) || 'endcase' || chr(10) || 'end' || chr(10) || 'endmodule' AS text FROM o"""
 _bits = ", ".join("('" + f + "', '" + b.replace("'", "''") + "')" for f, b in K.IMMEDIATE_BITS.items())
 _ops = ", ".join(f"('{o}', '4''b{i:04b}')" for i, o in enumerate(K.LEGACY_OPS))
-_imm_text = """SELECT 'module imm_gen;' || chr(10) || 'always_comb begin' || chr(10) || 'case (imm_type)' || chr(10)
+_imm_text = """SELECT """ + X.literal(IMMEDIATE_HEAD) + """ || chr(10)
     || string_agg(length("binary") || '''b' || "binary" || ': imm = {' || CASE WHEN sb > 0 THEN '{' || sb || '{instr[31]}}, ' ELSE '' END || bits || '};', chr(10) ORDER BY code) || chr(10) || 'default: imm = 32''b0;' || chr(10) || 'endcase' || chr(10) || 'end' || chr(10) || 'endmodule' AS text
     FROM (SELECT code, "binary", bits, CASE f WHEN 'I' THEN 20 WHEN 'S' THEN 20 WHEN 'B' THEN 19 WHEN 'U' THEN 0 WHEN 'J' THEN 11 END AS sb FROM enc JOIN (VALUES """ + _bits + """) v(f, bits) ON item = f WHERE kind = 'imm_type')"""
+_nn = lambda c: f"coalesce({c}, 'N/A')"
+_old = f"""old AS (SELECT ord, printf('%-6s| %-7s | %-3s | %-4s | %-8s| %-6s| %d  | %d  | %d  | %d  | %d   | %-6s| %-5s | %-7s| %-5s| %-5s| %-7s| %s', instruction, opcode, CASE WHEN funct3 = 'N/A' THEN '---' ELSE funct3 END,
+    CASE WHEN coalesce(funct7, 'N/A') = 'N/A' THEN '-' WHEN funct7 = '0100000' THEN '1' ELSE '0' END, coalesce(c, alu_op, 'ADD'), {_nn('imm_type')}, coalesce(reg_write::INT, 0), coalesce(mem_read::INT, 0), coalesce(mem_write::INT, 0), coalesce(branch::INT, 0), coalesce(jump::INT, 0),
+    {', '.join(_nn(c) for c in ('alu_src_a', 'alu_src_b', 'result_src', 'mem_size', 'mem_extend', 'branch_type', 'jump_type'))}) AS line FROM {LEGACY.sql()} LEFT JOIN (VALUES {_ops}) v(o, c) ON coalesce(alu_op, 'ADD') = o WHERE instruction IS NOT NULL)"""
 
 SQL = {
-    "legacy_cheatsheet": f"""SELECT ord, printf('%-6s| %-7s | %-3s | %-4s | %-8s| %d  | %d  | %d  | %d  | %d', instruction, opcode, CASE WHEN funct3 = 'N/A' THEN '---' ELSE funct3 END, CASE WHEN coalesce(funct7, 'N/A') = 'N/A' THEN '-' WHEN funct7 = '0100000' THEN '1' ELSE '0' END,
-        coalesce(c, alu_op, 'ADD'), coalesce(reg_write::INT, 0), coalesce(mem_read::INT, 0), coalesce(mem_write::INT, 0), coalesce(branch::INT, 0), coalesce(jump::INT, 0)) AS line FROM {LEGACY.sql()} LEFT JOIN (VALUES {_ops}) v(o, c) ON coalesce(alu_op, 'ADD') = o WHERE instruction IS NOT NULL""",
+    "legacy_cheatsheet": f"WITH {_old} SELECT * FROM old",
+    "legacy_sheet": f"WITH {_old} SELECT {X.literal(LEGACY_HEAD)} || string_agg(line, chr(10) ORDER BY ord) AS text FROM old",
+    "cheatsheet_text": f"WITH {TABLE}, {SHEET} SELECT {X.literal(SHEET_HEAD + '-' * 110)} || chr(10) || {_lines} AS text",
+    "cheatsheet_legends": f"WITH {TABLE}, {SHEET} SELECT {X.literal(SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} AS text",
+    "microarch_rows": f"WITH {TABLE} SELECT * FROM icd",
     "immediate_text": f"WITH {ENC} {_imm_text}",
     "table_modules": f"WITH {ARMS}, ct AS ({_control}), im AS ({_imm_text}) SELECT 'control' AS module, md5(text) AS text_md5 FROM ct UNION ALL SELECT 'imm_gen', md5(text) FROM im",
     "plan_edges": f"""WITH m AS (SELECT plan, json_extract(CASE WHEN json_valid(document) THEN document END, '$.modules[*]') AS ms FROM {PLANS.sql()}), x AS (SELECT plan, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS place FROM m),
@@ -158,7 +243,7 @@ SQL = {
         SELECT plan, place, module, unnest(CASE WHEN len(ds) > 0 THEN ds ELSE [NULL] END) AS depends_on FROM y""",
     "all_questions": f"SELECT key, question FROM {BASE_QUESTIONS.sql()} UNION ALL SELECT 'dynamic_query_' || (pos + 1), question FROM {DYNAMIC.sql()}",
     "vocab_encoding": f"WITH {ENC} SELECT * FROM enc",
-    "vocab_check": "SELECT kind, 'missing vocabulary: ' || kind AS error FROM (VALUES ('alu'), ('branch')) v(kind)",
+    "vocab_check": """SELECT * FROM (VALUES ('alu', 'Missing ''alu_operations''. The Stage 1 LLM may have rate-limited or hallucinated invalid JSON.'), ('branch', 'Missing ''branch_conditions'' from Stage 1 facts. Ensure Stage 1 succeeded.')) v(kind, error)""",
     "branch_encoding": f"""SELECT item, CAST(coalesce(f, pos) AS INTEGER) AS code FROM (SELECT item, pos FROM {X.VOCAB.sql()} WHERE kind = 'branch' UNION ALL SELECT 'odd', 6) c
         LEFT JOIN (SELECT mnemonic, CAST(substr(funct3, 1, 1) AS INTEGER) * 4 + CAST(substr(funct3, 2, 1) AS INTEGER) * 2 + CAST(substr(funct3, 3, 1) AS INTEGER) AS f FROM {X.INSTRUCTIONS.sql()} WHERE format = 'B') i ON i.mnemonic = 'B' || upper(item)""",
     "icd_build": f"WITH {TABLE} SELECT * FROM icd",
@@ -171,7 +256,8 @@ SQL = {
     "control_text": f"WITH {ARMS}, ct AS ({_control}) SELECT * FROM ct",
     "immediate_arms": f"""WITH {ENC} SELECT code AS ord, item AS format, "binary", CASE item WHEN 'I' THEN 20 WHEN 'S' THEN 20 WHEN 'B' THEN 19 WHEN 'U' THEN 0 WHEN 'J' THEN 11 END AS sign_bits FROM enc WHERE kind = 'imm_type'""",
     "module_tiers": f"SELECT id, name, CASE WHEN name IN ('control', 'imm_gen') THEN 'truth_table' WHEN name IN ('instr_mem', 'data_mem', 'tb_cpu') THEN 'testbench_only' ELSE 'behavioral_logic' END AS tier FROM {X.MODULES.sql()}",
-    "module_prompt": f"WITH {TABLE}, {SHEET} SELECT 'Write the module alu. Wiring:' || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS prompt FROM sheet",
+    "module_prompt": f"WITH {TABLE}, {SHEET} SELECT {X.literal(_task.format(m='alu') + SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} || {X.literal(_end.format(m='alu'))} AS prompt",
+    "top_module_prompt": f"WITH {TABLE}, {SHEET} SELECT {X.literal(_task.format(m='cpu') + SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} || {X.literal(_heads + _end.format(m='cpu'))} AS prompt",
     "imm_decode": f"WITH {W} SELECT k, line, " + ", ".join(f"{e} AS imm_{f}" for f, e in _imm.items()) + " FROM w",
     "word_decode": f"""WITH {TABLE}, {W}, v AS (SELECT k, line, (word & 4294967168) | CASE WHEN line % 2 = 0 THEN 51 ELSE 99 END AS word FROM w)
         SELECT k, line, word, mnemonic FROM v LEFT JOIN icd ON opcode = lpad(bin({bit(6, 0)}), 7, '0') AND (funct3 IS NULL OR funct3 = lpad(bin({bit(14, 12)}), 3, '0')) AND (funct7b5 IS NULL OR funct7b5 = {bit(30, 30)})""",

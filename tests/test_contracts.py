@@ -263,3 +263,28 @@ def test_upsert_replaces_a_whole_source(spark):
 def test_testbench_holds_the_memory():
     t = contract.testbench("RV32I", "p.hex", 16, 0x1000)
     assert "mem [0:15]" in t and "32'h00001000" in t and t.rstrip().endswith("endmodule")
+
+
+def test_control_module_gives_every_instruction_its_signals(spark):
+    """The text is read back: ports, defaults, and the arm of each instruction; what no arm says stays 0."""
+    import re as regex
+
+    enc = contract.encode_vocabulary(X.VOCAB.df(spark))
+    table = contract.control_table(X.INSTRUCTIONS.df(spark), X.BEHAVIOUR.df(spark), enc)
+    code = contract.control_module(table, enc).first().text
+    head, body = code.split("case (opcode)", 1)
+    outputs = regex.findall(r"output logic (?:\[\d:0\] )?(\w+)", head)
+    assigned = lambda t: {k: int(v, 2) for k, v in regex.findall(r"(\w+) = \d+'b(\d+);", t)}
+    defaults = assigned(head)
+    assert list(defaults) == outputs and not any(defaults.values()) and len(outputs) == 14
+    for r in table.collect():
+        arm = regex.search(rf"7'b{r.opcode}: begin\n(.*?)\nend(?=\n)", body, regex.S).group(1)
+        if arm.startswith("case (funct3)"):
+            arm = regex.search(rf"3'b{r.funct3 or '000'}: begin (.*?)(?: end)?\n(?=3'b|default)", arm, regex.S).group(1)
+        if "funct7b5 ==" in arm:
+            arm = regex.search(rf"funct7b5 == 1'b{r.funct7b5}\) begin (.*?)(?: end|$)", arm, regex.S).group(1)
+        got = defaults | assigned(arm)
+        assert got["alu_op"] == r.alu_op and got["result_src"] == r.writeback and got["alu_src_b"] == int(r.alu_src_b == "imm")
+        assert {k: got[k] for k in ("reg_write", "mem_read", "mem_write", "branch", "jump")} == {k: r[k] for k in ("reg_write", "mem_read", "mem_write", "branch", "jump")}
+        assert got["imm_type"] == (r.imm_type or 0) and got["mem_size"] == (r.mem_size or 0) and got["mem_extend"] == int(r.mem_extend == "unsigned" and r.mem_size is not None)
+        assert got["jump_type"] == int(r.jump_type == "jalr" and r.jump == 1) and got["branch_type"] == (int(r.funct3, 2) if r.branch else 0)
