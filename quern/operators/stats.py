@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.sources.scratch import Scratch
 
 #: Lower ends of the token histogram; the last has no upper end.
 BINS = (0, 250, 500, 1000, 2000, 4000, 10000)
@@ -87,17 +88,38 @@ def all_pass(checked: DataFrame) -> DataFrame:
 
 def rate_window(log: DataFrame, seconds: int = 60) -> DataFrame:
     """log (key, ts, tokens, id) with requests and tokens of its key in the last minute; an entry of exactly a minute ago
-    is out."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), Window.currentRow)
-    return log.withColumns({"requests_60s": F.count("*").over(w), "tokens_60s": F.sum("tokens").over(w)})
-
-
-def runs_of(trace: DataFrame, part: str | None = None) -> DataFrame:
-    """start, value, repeats (beyond the first) of (seq, value): consecutive equal values as one row."""
-    by = Window.partitionBy(*([part] if part else [])).orderBy("seq")
-    t = trace.withColumn("new", F.coalesce((~F.col("value").eqNullSafe(F.lag("value").over(by))).cast("int"), F.lit(1)))
-    t = t.withColumn("new", F.when(F.row_number().over(by) == 1, 1).otherwise(F.col("new"))).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.groupBy(*([part] if part else []), "run").agg(F.min("seq").alias("start"), F.first("value").alias("value"), (F.count("*") - 1).alias("repeats")).drop("run")
+    is out. An entry also stands in the next minute's rows, so that a task holds two minutes of a key, however busy."""
+    span, at = seconds * 1_000_000, F.unix_micros(F.col("ts").cast("timestamp"))
+    slot = F.floor(at / span)
+    both = log.withColumn("__at", at).withColumn("__slot", F.explode(F.array(slot, slot + 1)))
+    w = Window.partitionBy("key", "__slot").orderBy("__at").rangeBetween(-(span - 1), Window.currentRow)
+    out = both.withColumns({"requests_60s": F.count("*").over(w), "tokens_60s": F.sum("tokens").over(w)})
+    return out.filter(F.col("__slot") == F.floor(F.col("__at") / span)).drop("__at", "__slot")
+
+
+def runs_of(trace: DataFrame, part: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """start, value, repeats (beyond the first) of (seq, value), seq distinct in a part: consecutive equal values as one row.
+
+    The rows are dealt by ranges of (part, seq), so that one long trace or one busy part is many tasks. Runs are found in
+    each range and written; then those that go on over a border are joined to the run they began in, by a table of the
+    borders alone."""
+    scratch, key = scratch or Scratch(trace.sparkSession), F.col(part) if part else F.lit(0)
+    n = max(2, int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = trace.select(key.alias("__part"), "seq", "value").repartitionByRange(n, "__part", "seq").withColumn("__range", F.spark_partition_id())
+    by = Window.partitionBy("__part", "__range").orderBy("seq")
+    new = F.when(F.row_number().over(by) == 1, 1).otherwise((~F.col("value").eqNullSafe(F.lag("value").over(by))).cast("int"))
+    rows = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = scratch.write(rows.groupBy("__part", "__range", "__run").agg(F.min("seq").alias("start"), F.first("value").alias("value"), F.count("*").alias("n")))
+    edge = runs.groupBy("__part", "__range").agg(F.max("__run").alias("last"), F.min_by(F.struct("value"), "__run").alias("head"), F.max_by(F.struct("value"), "__run").alias("tail"))
+    order = Window.partitionBy("__part").orderBy("__range")
+    edge = edge.withColumn("goes_on", F.col("head")["value"].eqNullSafe(F.lag("tail").over(order)["value"]) & F.lag("tail").over(order).isNotNull())
+    opens = F.when((F.col("last") > 1) | ~F.col("goes_on"), F.struct("__range", "last"))  # its last run began in this range
+    edge = edge.withColumn("owner", F.last(opens, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("goes_on").select("__part", "__range", "owner")
+    moved = runs.join(edge, ["__part", "__range"], "left")
+    first = (F.col("__run") == 1) & F.col("owner").isNotNull()
+    moved = moved.select("__part", F.when(first, F.col("owner.__range")).otherwise(F.col("__range")).alias("__range"), F.when(first, F.col("owner.last")).otherwise(F.col("__run")).alias("__run"), "start", "value", "n")
+    out = moved.groupBy("__part", "__range", "__run").agg(F.min("start").alias("start"), F.first("value").alias("value"), (F.sum("n") - 1).alias("repeats"))
+    return out.select(*([F.col("__part").alias(part)] if part else []), "start", "value", "repeats")
 
 
 def last_lines(lines: DataFrame, n: int = 30) -> DataFrame:
@@ -108,11 +130,22 @@ def last_lines(lines: DataFrame, n: int = 30) -> DataFrame:
 def module_levels(edges: DataFrame) -> DataFrame:
     """module, level of a graph (src, dst: src depends on dst): 0 without dependencies, else one more than the deepest.
     A recursive query; a cycle ends at Spark's recursion limit with an error."""
-    edges.createOrReplaceTempView("__quern_edges")
     return edges.sparkSession.sql(
         """
         WITH RECURSIVE walk(module, level) AS (
-          SELECT dst, 0 FROM __quern_edges WHERE dst NOT IN (SELECT src FROM __quern_edges)
-          UNION ALL SELECT e.src, w.level + 1 FROM walk w JOIN __quern_edges e ON e.dst = w.module)
-        SELECT module, max(level) AS level FROM walk GROUP BY module"""
+          SELECT e.dst, 0 FROM {edges} e LEFT ANTI JOIN {edges} s ON s.src = e.dst WHERE e.dst IS NOT NULL
+          UNION ALL SELECT e.src, w.level + 1 FROM walk w JOIN {edges} e ON e.dst = w.module)
+        SELECT module, max(level) AS level FROM walk GROUP BY module""",
+        edges=edges,
     )
+
+
+def listing(rows: DataFrame, *by: str, first: int) -> DataFrame:
+    """The first rows in order of `by`: a partial top-n in each partition."""
+    return rows.orderBy(*by).limit(first)
+
+
+def specs_of(selected: DataFrame, specs: DataFrame) -> DataFrame:
+    """selected (module, others) with the spec of the first entry of its name in specs (pos, module, spec); null if none."""
+    first = specs.groupBy("module").agg(F.min_by("spec", "pos").alias("spec"))
+    return selected.join(first, "module", "left")

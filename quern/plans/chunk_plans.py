@@ -23,7 +23,33 @@ def divider_document(spark, sf_dir):
     return files.divider_document(C.markdown_sections(X.MARKDOWN.df(spark))).select("slug", F.md5("text").alias("text_md5"))
 
 
+PAGES = X.Inline(
+    "page_id bigint, html string",
+    [
+        (1, "<body><nav><h2>Menu of the page</h2></nav><p>lost</p><h1>Top</h1><h2 id='a'>First <b>part</b></h2><p>Words of the first part [4](u) and more.</p><table><tr><td></td><td>mind <i>this</i></td></tr></table><h4>Deeper</h4><div><img src='i.svg' alt='[svg]'>[svg]</div><h5>Aside</h5><p>Figure 7. An encoding</p><ul><li>one</li><li>two</li></ul><h3>Short</h3></body>"),
+        (2, "<article class='doc'><h2>Codes</h2><table><tr><td>31</td><td>6:0</td></tr><tr><td>1</td><td>7</td></tr><tr><td>x</td><td>op</td></tr></table></article>"),
+        (3, "<body><h1>Only a title</h1><p>text</p></body>"),
+        (4, None),
+    ],
+)
+#: What the pages give, by hand: page, number, level, id, context, encodings, text.
+SECTIONS = X.Inline(
+    "page_id bigint, ord int, heading_level string, heading_id string, parent_section string, encodings int, document_text string",
+    [
+        (1, 0, "h2", "a", "", 0, "# First part\n\nWords of the first part [REF:4] and more.\n\n\n> **NOTE:** mind this"),
+        (1, 1, "h4", "", "First part", 0, "> **Section Context:** First part\n\n# Deeper\n\n`[FIGURE: Figure 7. An encoding]`\n\n## Aside\n\n- one\n- two"),
+        (2, 0, "h2", "", "", 1, '# Codes\n\n\n| 31 | 6:0 |\n| --- | --- |\n| 1 | 7 |\n| x | op |\n\n**Structured Encoding (JSON):**\n```json\n{\n  "encoding_fields": [\n    {\n      "field": "x",\n      "bit_range": "31"\n    },\n    {\n      "field": "op",\n      "bit_range": "6:0"\n    }\n  ]\n}\n```'),
+    ],
+)
+
+
+def html_by_hand(spark, sf_dir):
+    out = html.html_sections(PAGES.df(spark))
+    return out.select("page_id", "ord", "heading_level", "heading_id", "parent_section", F.size("structured_encodings").alias("encodings"), "document_text")
+
+
 QUERIES = {
+    "html_by_hand": html_by_hand,
     "markdown_sections": lambda s, d: C.markdown_sections(X.MARKDOWN.df(s)),
     "verilog_blocks": lambda s, d: C.verilog_blocks(X.VERILOG.df(s)),
     "asm_vectors": lambda s, d: C.asm_vectors(X.ASM.df(s)).select("slug", "ord", "macro", "test_id", F.array_join("args", "|").alias("args")),
@@ -50,6 +76,7 @@ _flat = _s(r"regexp_replace(c, '\s+', ' ', 'g')")
 _cells = rf"list_transform(rows, lambda r: list_transform(r, lambda c: coalesce(nullif(replace({_flat}, '|', '\|'), ''), ' ')))"
 
 SQL = {
+    "html_by_hand": f"SELECT * FROM {SECTIONS.sql()}",
     "markdown_sections": f"{MD} SELECT * FROM md",
     "divider_document": f"{MD} SELECT slug, md5(string_agg(chr(10) || chr(10) || '---' || chr(10) || '<!-- chunk_id=' || chunk_id || ' | ' || section_title || ' -->' || chr(10) || chr(10) || document_text, '' ORDER BY ord)) AS text_md5 FROM md GROUP BY slug",
     "verilog_blocks": rf"""WITH l AS (SELECT slug, unnest({_vl}) AS line, generate_subscripts({_vl}, 1) AS i FROM {X.VERILOG.sql()}),

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import incremental as I
 from quern.operators import stats as A
 from quern.plans import fixtures as X
 from quern.plans.text_plans import TOKENS, WORDS, docs
+from quern.sources import files
+from quern.sources.scratch import Scratch
 from quern.streaming import streams
 
 
@@ -32,42 +32,63 @@ OLD = X.Inline("slug string, ord int, text string", [("a", 0, "a0"), ("a", 1, "a
 NEW = X.Inline("slug string, ord int, text string", [("a", 0, "new a0"), ("d", 0, "d0")])
 
 
-def _folder(spark, rows, column):
+def _folder(scratch, rows, column):
     """A folder of text in the shared directory, as a stream reads it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root}/quern-stream-{uuid.uuid4().hex}"
+    path = scratch.path()
     rows.select(F.col(column).alias("value")).repartition(3).write.text(path)
     return path
 
 
 def stream_scoreboard(spark, sf_dir):
     """Verdict lines as a stream, to the same counts as the batch."""
-    path = _folder(spark, X.LINES.df(spark), "line")
-    return streams.run_to_end(streams.running_score(streams.verdict_lines(spark, path)), f"score_{uuid.uuid4().hex}")
+    scratch = Scratch(spark)
+    return streams.run_to_end(streams.running_score(streams.verdict_lines(spark, _folder(scratch, X.LINES.df(spark), "line"))), scratch)
 
 
 def stream_changed_sources(spark, sf_dir):
     """Sources as a stream against a manifest; the result is the manifest afterwards. One batch, so every source is
     recorded once."""
+    scratch = Scratch(spark)
     rows = X.NOW.df(spark).withColumn("seq", F.lit(1).cast("long")).select(F.to_json(F.struct("slug", "file_hash", "seq")).alias("value"))
-    path = _folder(spark, rows, "value")
-    view, state = f"manifest_{uuid.uuid4().hex}", {"m": X.MANIFEST.df(spark)}
+    path, state = _folder(scratch, rows, "value"), {"m": X.MANIFEST.df(spark)}
 
     def apply(new):
-        got = [tuple(r) for r in new.select("slug", "file_hash").collect()]  # a batch's few sources
-        state["m"] = I.upsert(state["m"], spark.createDataFrame(got, "slug string, file_hash string"), "slug")
+        state["m"] = scratch.write(I.upsert(state["m"], new.select("slug", "file_hash"), "slug"))
 
     src = spark.readStream.text(path).select(F.from_json("value", "slug string, file_hash string, seq long").alias("r")).select("r.*")
-    streams.ingest(src, lambda: state["m"], apply, f"{path}-{view}").awaitTermination()
+    streams.ingest(src, lambda: state["m"], apply, scratch.path()).awaitTermination()
     return state["m"]
 
 
-def stream_usage(spark, sf_dir):
-    """Tumbling twin of the sliding usage windows: tokens by key and minute of a stream of event files."""
+def events(spark, sf_dir):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    w = e.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "60 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("tokens"))
-    return streams.run_to_end(w.select(F.col("w.start").alias("start"), "event_type", "n", "tokens"), f"usage_{uuid.uuid4().hex}")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
+def stream_usage(spark, sf_dir):
+    """Tumbling twin of the sliding usage windows: tokens by type and hour of a stream of event files."""
+    w = events(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "60 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("tokens"))
+    return streams.run_to_end(w.select(F.col("w.start").alias("start"), "event_type", "n", "tokens"), Scratch(spark))
+
+
+def stream_usage_windows(spark, sf_dir):
+    """Trailing minutes that begin every second, of a stream of event files: for each minute's number of busy windows, the
+    most requests and tokens of one."""
+    log = events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", F.floor("value").cast("long").alias("tokens"))
+    out = streams.run_to_end(streams.usage_windows(log), Scratch(spark))
+    return out.groupBy("key").agg(F.count("*").alias("windows"), F.max("requests").alias("most_requests"), F.max("tokens").alias("most_tokens"))
+
+
+SPECS = X.Inline("pos int, module string, spec string", [(0, "alu", "adds"), (1, "alu", "later"), (2, "cpu", "wires")])
+RUNS = X.Inline("artifact string, ord int, line string", [("rtl", 0, "module alu;"), ("rtl", 1, "endmodule"), ("report", 0, "# done")])
+
+
+def run_tables(spark, sf_dir):
+    """Two runs written as a runs table and a table for each artifact, and the latest one read back."""
+    at = Scratch(spark).path()
+    for version, when, label in ((1, "20240101", "first"), (2, "20240102", "second")):
+        files.write_run_tables(RUNS.df(spark).withColumn("line", F.concat("line", F.lit(f" // {label}"))), at, version, when, label)
+    return files.read_latest_run(spark, at)
 
 
 QUERIES = {
@@ -92,6 +113,11 @@ QUERIES = {
     "stream_scoreboard": stream_scoreboard,
     "stream_changed_sources": stream_changed_sources,
     "stream_usage": stream_usage,
+    "stream_usage_windows": stream_usage_windows,
+    "module_specs": lambda s, d: A.specs_of(X.MODULES.df(s).withColumnRenamed("name", "module"), SPECS.df(s)),
+    "preview": lambda s, d: A.listing(docs(s, d).select("source", "doc_id", "lang"), "source", "doc_id", first=5),
+    "run_tables": run_tables,
+    "masked_keys": lambda s, d: X.PATHS.df(s).select("path", T.mask_key(F.col("path")).alias("masked")),
 }
 
 _t = TOKENS.format(x="text")
@@ -122,5 +148,11 @@ SQL = {
     "latest_rows": f"SELECT * FROM {OLD.sql()} o QUALIFY row_number() OVER (PARTITION BY slug ORDER BY ord DESC) = 1",
     "stream_scoreboard": f"WITH v AS (SELECT regexp_extract(trim(line), '^(PASS|FAIL|TIMEOUT|UNKNOWN):', 1) AS status FROM {X.LINES.sql()}) SELECT status, count(*) AS tests FROM v WHERE status <> '' GROUP BY status",
     "stream_changed_sources": f"SELECT slug, file_hash FROM {X.NOW.sql()} n UNION ALL SELECT slug, file_hash FROM {X.MANIFEST.sql()} m WHERE slug NOT IN (SELECT slug FROM {X.NOW.sql()} n)",
+    "stream_usage_windows": f"""WITH w AS (SELECT key, unnest(generate_series(time_bucket(INTERVAL '1 second', ts - INTERVAL '59 seconds', TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 second', ts, TIMESTAMP '1970-01-01'), INTERVAL '1 second')) AS start, tokens FROM {_log}),
+        g AS (SELECT key, start, count(*) AS n, sum(tokens) AS t FROM w GROUP BY 1, 2) SELECT key, count(*) AS windows, max(n) AS most_requests, CAST(max(t) AS BIGINT) AS most_tokens FROM g GROUP BY 1""",
+    "module_specs": f"SELECT id, name AS module, spec FROM {X.MODULES.sql()} m LEFT JOIN (SELECT module, arg_min(spec, pos) AS spec FROM {SPECS.sql()} GROUP BY 1) s ON s.module = m.name",
+    "masked_keys": f"SELECT path, left(path, 4) || '…' || right(path, 4) AS masked FROM {X.PATHS.sql()}",
+    "preview": "SELECT source, doc_id, lang FROM documents ORDER BY source, doc_id LIMIT 5",
+    "run_tables": f"SELECT 'run_v002_20240102_second' AS run, artifact, ord, line || ' // second' AS line FROM {RUNS.sql()}",
     "stream_usage": "SELECT time_bucket(INTERVAL '60 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2",
 }

@@ -115,3 +115,54 @@ def run_report(stats: DataFrame, title: str) -> DataFrame:
     line = F.concat(F.lit("| "), "name", F.lit(" | "), F.col("value").cast("string"), F.lit(" |"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("l")))), lambda x: x["l"]), "\n")
     return stats.agg(F.concat(F.lit(f"# {title}\n\n| name | value |\n| --- | --- |\n"), rows).alias("text"))
+
+
+RUN_LINES = "artifact string, ord int, line string"
+
+
+def write_run_tables(artifacts: DataFrame, path: str, version: int, when: str, label: str) -> str:
+    """One run: its artifacts (artifact, ord, line) as a table for each, and then a row in the table of runs, which vouches
+    for them. Returns the run's name."""
+    run = f"run_v{version:03d}_{when}_{label}"
+    artifacts.select("artifact", "ord", "line").write.mode("overwrite").partitionBy("artifact").parquet(f"{path}/artifacts/run={run}")
+    artifacts.sparkSession.createDataFrame([(run, version, when, label)], "run string, version int, at string, label string").write.mode("append").parquet(f"{path}/runs")
+    return run
+
+
+def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
+    """run, artifact, ord, line of the run whose name is the last by its text."""
+    name = spark.read.parquet(f"{path}/runs").agg(F.max("run")).first()[0]
+    rows = spark.read.schema(RUN_LINES).parquet(f"{path}/artifacts/run={name}")
+    return rows.select(F.lit(name).alias("run"), "artifact", "ord", "line")
+
+
+FACTS = "alu_operations array<string>, memory_sizes array<string>, immediate_formats array<string>, writeback_sources array<string>, branch_conditions array<string>"
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """kind, pos, item of a facts JSON: the vocabularies, by the kinds that contracts know them by; missing lists give no rows."""
+    from quern.operators.contract import FACTS as names
+
+    d = spark.read.schema(FACTS).option("multiLine", True).json(path)
+    lists = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("items")) for k, c in names.items()))
+    return d.select(F.explode(lists).alias("l")).select("l.kind", F.posexplode("l.items").alias("pos", "item")).select("kind", F.col("pos").cast("int").alias("pos"), "item")
+
+
+SPANS = "doc string, page int, seq int, text string, size double"
+
+
+def read_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """doc, seq, text, size, page of text spans that a PDF reader has written as JSON lines, one file or more a document:
+    blank spans go."""
+    return spark.read.schema(SPANS).json(folder).filter(F.trim("text") != "").select("doc", "seq", "text", "size", "page")
+
+
+def hierarchy(spark: SparkSession, folder: str, manifest_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One job over a folder of chunk files, views and a manifest: (parents, children of all sources, children of the sources
+    that are new or changed by their hash). The manifest is written by the caller, after what it vouches for."""
+    from quern.operators import incremental
+
+    parents = read_chunks(spark, folder)
+    kids = incremental.children(parents, read_views(spark, folder))
+    new = incremental.changed_sources(read_hashes(spark, folder), read_manifest(spark, manifest_path)).filter("is_new").select("slug")
+    return parents, kids, kids.join(new, "slug", "left_semi")

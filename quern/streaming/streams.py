@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions import text as T
 from quern.operators import incremental
+from quern.sources.scratch import Scratch
 
 
 def verdict_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,8 +41,17 @@ def ingest(sources: DataFrame, manifest_of: Callable[[], DataFrame], apply: Call
     return sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The stream's result once all that is there has been read, as a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, scratch: Scratch, mode: str = "complete") -> DataFrame:
+    """The stream's result once all that is there has been read, as a table in the shared folder. In complete mode a batch
+    holds all of the result and replaces the one before; in append mode batches add up."""
+    path, spark, last = scratch.path(), stream.sparkSession, [None]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        last[0] = f"{path}/{number}"
+        rows.write.mode("overwrite").parquet(last[0])
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", scratch.path()).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if last[0] is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(last[0] if mode == "complete" else f"{path}/*")

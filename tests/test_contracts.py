@@ -288,3 +288,32 @@ def test_control_module_gives_every_instruction_its_signals(spark):
         assert {k: got[k] for k in ("reg_write", "mem_read", "mem_write", "branch", "jump")} == {k: r[k] for k in ("reg_write", "mem_read", "mem_write", "branch", "jump")}
         assert got["imm_type"] == (r.imm_type or 0) and got["mem_size"] == (r.mem_size or 0) and got["mem_extend"] == int(r.mem_extend == "unsigned" and r.mem_size is not None)
         assert got["jump_type"] == int(r.jump_type == "jalr" and r.jump == 1) and got["branch_type"] == (int(r.funct3, 2) if r.branch else 0)
+
+
+def test_runs_go_on_over_borders(spark):
+    import random as rnd
+
+    r = rnd.Random(3)
+    rows = [(k, i, r.choice([None, 1, 1, 2]) if i % 50 < 10 else 7) for k, n in (("busy", 900), ("idle", 3), ("one", 1)) for i in range(n)]
+    want = {}
+    for k, i, v in rows:
+        runs = want.setdefault(k, [])
+        if runs and runs[-1][1] == v and type(runs[-1][1]) is type(v):
+            runs[-1][2] += 1
+        else:
+            runs.append([i, v, 0])
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = stats.runs_of(spark.createDataFrame(rows, "key string, seq int, value int"), "key").collect()
+        flat = stats.runs_of(spark.createDataFrame([(i, 7) for i in range(500)], "seq int, value int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((x.key, x.start, x.value, x.repeats) for x in got if x.value is not None) == sorted((k, *x) for k, xs in want.items() for x in xs if x[1] is not None)
+    assert len(got) == sum(map(len, want.values())) and [(x.start, x.value, x.repeats) for x in flat] == [(0, 7, 499)]
+    assert stats.runs_of(spark.createDataFrame([], "seq int, value int")).count() == 0
+
+
+def test_two_calls_of_module_levels_do_not_mix(spark):
+    a, b = spark.createDataFrame([("x", "y")], "src string, dst string"), spark.createDataFrame([("p", "q"), ("o", "p")], "src string, dst string")
+    one, two = stats.module_levels(a), stats.module_levels(b)
+    assert {tuple(r) for r in one.collect()} == {("y", 0), ("x", 1)} and {tuple(r) for r in two.collect()} == {("q", 0), ("p", 1), ("o", 2)}

@@ -48,3 +48,24 @@ def test_instructions_and_writers(spark, tmp_path):
     assert "| a | 1 |" in files.run_report(spark.createDataFrame([("a", 1)], "name string, value int"), "R").first().text
     files.write_texts(spark.createDataFrame([("m", "x\ny")], "module string, text string"), str(tmp_path / "t"), "module")
     assert spark.read.text(str(tmp_path / "t")).count() == 2
+
+
+def test_facts_spans_and_hierarchy(spark, tmp_path):
+    (tmp_path / "facts.json").write_text('{"alu_operations": ["ADD", "SUB"], "branch_conditions": ["EQ"], "other": 1}')
+    got = [tuple(r) for r in files.read_facts(spark, str(tmp_path / "facts.json")).collect()]
+    assert sorted(got) == [("alu", 0, "ADD"), ("alu", 1, "SUB"), ("branch", 0, "EQ")]
+    (tmp_path / "spans").mkdir()
+    (tmp_path / "spans" / "m.json").write_text('{"doc": "m", "page": 1, "seq": 1, "text": "words", "size": 10}\n{"doc": "m", "page": 1, "seq": 2, "text": "  ", "size": 10}\n')
+    assert [r.text for r in files.read_spans(spark, str(tmp_path / "spans")).collect()] == ["words"]
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    words = "A sentence of the first part that is long enough. " * 3
+    for slug in ("a", "b"):
+        (corpus / f"{slug}_chunks.json").write_text('[{"chunk_id": "%s_0", "section_title": "T", "document_text": "%s"}]' % (slug, words + slug))
+    (corpus / "a_full_doc.md").write_text(f"<!-- chunk_id=a_0 | T -->\n\n{words}\n")
+    manifest = str(tmp_path / "manifest")
+    parents, kids, new = files.hierarchy(spark, str(corpus), manifest)
+    assert parents.count() == 2 and {r.slug for r in kids.collect()} == {r.slug for r in new.collect()} == {"a", "b"}
+    files.write_manifest(files.read_hashes(spark, str(corpus)).filter("slug = 'a'"), manifest)
+    _, kids, new = files.hierarchy(spark, str(corpus), manifest)
+    assert {r.slug for r in kids.collect()} == {"a", "b"} and {r.slug for r in new.collect()} == {"b"}
