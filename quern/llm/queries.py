@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, decontaminate, line_dedup, lm_scoring, minmax_dedup, pii, quality_rules, resharding, sentencepieces, url_rules
+from quern.llm import chat_format, decontaminate, line_dedup, lm_scoring, minmax_dedup, packing, pii, quality_rules, resharding, sentencepieces, url_rules
 
 QUERIES = {
     "op1_minmax_dedup": minmax_dedup.op1_minmax_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_sum_of_squares_packing": packing.op13_sum_of_squares_packing,
 }
 SQL = {
     "op1_minmax_dedup": minmax_dedup.OP1_SQL,
