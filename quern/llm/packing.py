@@ -73,7 +73,7 @@ class Ids(dict):
         """Ids of words of plain letters, many in one call."""
         groups = [words[at : at + 200] for at in range(0, len(words), 200)]
         plain = [" ".join([w if w.isascii() else w.translate(self.stand_in) for w in g]) for g in groups]
-        for group, done in zip(groups, self.merges.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        for group, done in zip(groups, self.merges.encode_batch(plain, add_special_tokens=False), strict=True):
             ids, edges = np.array(done.ids, "<u4").tobytes(), np.flatnonzero(np.diff(done.word_ids, prepend=-1, append=-1)) * 4
             self.update(zip(group, [ids[a:b] for a, b in pairwise(edges.tolist())], strict=True))
 
