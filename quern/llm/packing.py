@@ -9,7 +9,7 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ class Ids(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.memory = Tokenizer.from_file(model), memory
+        self.tokenizer, self.memory, self.new = Tokenizer.from_file(model), memory, {}
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
 
@@ -59,15 +59,9 @@ class Ids(dict):
             return False
         return len(raw.translate(None, self.rare)) == len(raw) and b"<|" not in raw
 
-    def __missing__(self, chunk: str) -> bytes:
-        if "<|" not in chunk and self.plain.fullmatch(chunk) and len(parts := self.parts.findall(chunk)) > 1:
-            return self.keep(chunk, b"".join(map(self.__getitem__, parts)))
-        return self.keep(chunk, np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
-
-    def keep(self, chunk: str, ids: bytes) -> bytes:
-        if len(chunk) <= REMEMBERED:
-            self[chunk] = ids
-        return ids
+    def __missing__(self, chunk: str) -> bytearray:
+        self[chunk] = self.new[chunk] = cell = bytearray()  # filled when the slice's chunks are all known
+        return cell
 
     def learn(self, words: list[str]) -> None:
         """Ids of words of plain letters, many in one call."""
@@ -77,20 +71,35 @@ class Ids(dict):
             ids, edges = np.array(done.ids, "<u4").tobytes(), np.flatnonzero(np.diff(done.word_ids, prepend=-1, append=-1)) * 4
             self.update(zip(group, [ids[a:b] for a, b in pairwise(edges.tolist())], strict=True))
 
+    def fill(self) -> None:
+        """Gives all new chunks their ids."""
+        new, words, whole, parted = self.new, [], [], {}
+        for c in new:
+            plain = self.plain.fullmatch(c) and "<|" not in c
+            if plain and len(parts := self.parts.findall(c)) > 1:
+                parted[c] = parts
+            else:
+                (words if plain and c.isalpha() else whole).append(c)
+        for p in {p for parts in parted.values() for p in parts if p not in self}:
+            (words if p.isalpha() else whole).append(p)
+        self.learn(words)
+        for c in whole:
+            self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        for c, parts in parted.items():
+            self[c] = b"".join([self[p] for p in parts])
+        for c, cell in new.items():
+            cell += self[c]
+        for c in [c for c in new if len(c) > REMEMBERED]:
+            del self[c]
+        self.new = {}
+
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of whole texts; of null and empty ones: none."""
         if len(self) >= self.memory:
             self.clear()
-        split = [() if not t else t.lower().split() if self.common(t) else self.chunks.findall(t) for t in texts]
-        new = [c for c in set(chain.from_iterable(split)) if c not in self and len(c) <= REMEMBERED]
-        words = [c if c.isalpha() else self.letters(c) for c in new]
-        self.learn([w for w in set(words) if w not in self and self.plain.fullmatch(w)])
-        return (b"".join(map(self.__getitem__, chunks)) for chunks in split)
-
-    def letters(self, chunk: str) -> str:
-        """The plain letters that a chunk begins with."""
-        found = self.parts.match(chunk)
-        return found[0] if found and found[0].isalpha() else ""
+        parts = [list(map(self.__getitem__, t.lower().split() if self.common(t) else self.chunks.findall(t))) if t else () for t in texts]
+        self.fill()
+        return map(b"".join, parts)
 
 
 class SumOfSquares:
