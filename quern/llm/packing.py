@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from quern.llm.common import table
 WINDOW, END_ID = 2048, 1
 #: Windows that a task holds open; beyond it they are filled up by cutting, so a task's memory has a bound.
 MOST_OPEN = 2048
-#: Chunks of text that a task remembers, in all and in characters each; beyond that the memory starts anew.
-MEMORY, REMEMBERED = 600_000, 64
+#: Chunks of text that a worker remembers, in all and in characters each; beyond that the memory starts anew.
+MEMORY, REMEMBERED = 1_000_000, 64
+#: What an empty level takes off.
+NEVER = -(1 << 29)
 #: Sequences of one task; its number goes above.
 TASK_BITS = 40
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -102,6 +106,14 @@ class Ids(dict):
         return map(b"".join, parts)
 
 
+def remembered(model: str) -> Ids:
+    """The memory of this worker, which lives on from task to task."""
+    home = sys.modules.setdefault("quern_worker_memory", ModuleType("quern_worker_memory")).__dict__
+    if model not in home:
+        home[model] = Ids(model)
+    return home[model]
+
+
 class SumOfSquares:
     """Windows of `size` tokens. A piece is (key, start, ids, total): a document's ids from `start` on, of `total`.
 
@@ -111,10 +123,10 @@ class SumOfSquares:
     def __init__(self, size: int = WINDOW, most_open: int = MOST_OPEN):
         self.size, self.most_open, self.n_open = size, most_open, 0
         #: Number of windows by level, and from it what a window more at a level adds to the sum of squares, and one less takes off.
-        self.level = np.zeros(size + 1, np.int64)
+        self.level = np.zeros(size + 1, np.int32)
         self.more = 2 * self.level + 1
         self.more[size] = 0
-        self.less = np.full(size + 1, np.iinfo(np.int64).min // 4)
+        self.less = np.full(size + 1, NEVER, np.int32)
         self.less[0] = 0
         self.open: list[list] = [[] for _ in range(size + 1)]
 
@@ -122,7 +134,7 @@ class SumOfSquares:
         self.level[at] += by
         n, self.n_open = int(self.level[at]), self.n_open + by
         self.more[at] = 2 * n + 1
-        self.less[at] = 2 * n - 1 if n else np.iinfo(np.int64).min // 4
+        self.less[at] = 2 * n - 1 if n else NEVER
 
     def best(self, length: int) -> int:
         """The level that takes a piece of `length`; of equal ones the fullest, 0 for a new window."""
@@ -204,7 +216,7 @@ def pack_documents(docs: DataFrame, model: str | None = None, *, size: int = WIN
         model = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, packer, sequence = Ids(model), SumOfSquares(size, most_open), TaskContext.get().partitionId() << TASK_BITS
+        known, packer, sequence = remembered(model), SumOfSquares(size, most_open), TaskContext.get().partitionId() << TASK_BITS
         end = np.array([end_id], "<u4").tobytes()
 
         def rows(windows: Iterable[list]) -> pa.RecordBatch:
