@@ -55,7 +55,7 @@ def slices_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero(inside & ~before)
     after = np.zeros(len(low) + 1, bool)
     after[:-1] = inside[1:]
-    after[edges[1:] - 1] &= edges[1:] == edges[:-1]  # the last byte of a text that has any
+    after[edges[1:][edges[1:] > edges[:-1]] - 1] = False  # nothing follows a text's last byte
     ends = np.flatnonzero(inside & ~after) + 1
     return low, starts, ends - starts
 
