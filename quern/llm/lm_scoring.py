@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -206,22 +206,23 @@ def told(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, c: np.ndarray, sa
     x += bias
     mine = x[np.arange(len(x)), c]
     if safe:
-        return mine - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
+        return mine - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     most = x.max(1)
     x -= most[:, None]
     return mine - most - np.log(np.exp(x, out=x).sum(1))
 
 
-def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int = 1024) -> np.ndarray:
-    """ln p(w | a, b), summed over the levels."""
+def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int = 1024, firsts: np.ndarray | None = None) -> np.ndarray:
+    """ln p(w | a, b), summed over the levels. The first level goes text by text (firsts: where they begin), so that a text's
+    products have one shape whatever stands beside it; the others meet over texts, in double precision."""
     _, branch, leaves, first, parts = tree(m)
     top, deep, j = top_of(m, w)
     out = np.empty(len(w), np.float64)
     q = np.empty((len(w), DIM), np.float32)
     long = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
     safe = long(m["R"]) * float(np.abs(m["u"]).max() + np.abs(m["v"]).max()) * long(m["Q"]) + float(np.abs(m["bias"]).max()) < SAFE
-    for k in range(0, len(w), step):
-        k = slice(k, k + step)
+    edges = np.append(np.zeros(1, np.int64) if firsts is None else firsts, len(w)).tolist()
+    for k in (slice(at, min(at + step, y)) for x, y in pairwise(edges) for at in range(x, y, step)):
         x = m["R"][a[k]]
         x *= m["u"]
         x += m["R"][b[k]] * m["v"]
@@ -229,7 +230,7 @@ def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int =
         q[k] = x
     order = np.argsort(j, kind="stable")  # the words of a part, and the parts of a group, stand side by side
     deep, j = deep[order], j[order]
-    q = q[deep]
+    q = q[deep].astype(np.float64)
     more = np.zeros(len(j))
     for base, node, end in ((first, j // branch, parts), (first + parts, j, leaves)):
         parent = node // branch
@@ -237,9 +238,10 @@ def log_probs(m: dict, a: np.ndarray, b: np.ndarray, w: np.ndarray, step: int =
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
             low = int(parent[x]) * branch
             s = slice(base + low, base + min(low + branch, end))
+            vectors, bias = m["Q"][s].astype(np.float64), m["bias"][s].astype(np.float64)
             for k in range(x, y, step):
                 k = slice(k, min(k + step, y))
-                more[k] += told(q[k], m["Q"][s], m["bias"][s], node[k] - low, safe)
+                more[k] += told(q[k], vectors, bias, node[k] - low, safe)
     out[deep] += more
     return out
 
@@ -394,7 +396,7 @@ def score_texts(docs: DataFrame, model: dict, words, tail: float) -> DataFrame:
                 own = np.where(known & (flat < other), flat, other).astype(np.int32)
                 own[first + lens - 1] = other + 1
                 a, b, w = positions(np.split(own, first[1:]), other)
-                lp = log_probs(m, a, b, w) / LN10
+                lp = log_probs(m, a, b, w, firsts=first) / LN10
                 lp += np.where(known, outside[flat], -tail)
                 rare, at_doc = [[] for _ in toks], np.flatnonzero(~known)
                 of = np.searchsorted(first, at_doc, "right") - 1

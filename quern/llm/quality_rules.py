@@ -36,7 +36,6 @@ BASE_RULES = (
     Rule("repeated_windows", "100 * n_repeat_words / greatest(n_words, 1)", high=50),
 )
 METHOD_RULES = (
-    Rule("too_long", "n_words", high=10_000_000),
     Rule("word_length", "word_chars / greatest(n_words, 1)", low=2.0, high=25.0),
     Rule("symbols", "n_symbols / greatest(n_words, 1)", high=0.10),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", high=0.75, min_words=1),
@@ -157,7 +156,7 @@ m AS (
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS g FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_words > 10000000 OR word_chars / g < 2.0 OR word_chars / g > 25.0 OR n_symbols / g > 0.10
+       NOT (base_failed OR word_chars / g < 2.0 OR word_chars / g > 25.0 OR n_symbols / g > 0.10
             OR (n_words >= 1 AND n_dup_lines / greatest(n_lines, 1) > 0.75) OR (n_words >= 50 AND n_stop_words / g < 0.01)
             OR (n_words >= 50 AND n_letters / greatest(word_chars, 1) < 0.55)
             OR (n_words >= 50 AND n_upper / greatest(n_letters, 1) > 0.60)) AS kept
