@@ -2,13 +2,14 @@
 once. Ties are broken by the passages' keys, and scores are compared after rounding to nine places, as sums of doubles
 depend on their order in the last place.
 
-Both searches send the questions, in blocks of bounded size, to the passages: each task scores its passages against a
-block and passes on its k best a question, so no posting and no pair of question and passage is shuffled.
+Both searches send the questions, in blocks of bounded size, to what is stored, BM25 to segments of postings and cosine
+search to vectors: each task passes on its k best a question, so no posting and no pair of question and passage is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,9 +24,10 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as T
 from quern.operators import incremental
+from quern.operators import postings as P
 from quern.sources.scratch import Scratch
 
-K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
+K1, B, IDF_FLOOR = P.K1, P.B, 0.25
 BM25_FETCH, TOP_CHILDREN, TOP_PARENTS, RRF_K = 15, 12, 3, 60
 MAX_PARENT_CHARS, MAX_INPUT_TOKENS, OVERHEAD_TOKENS = 6000, 5500, 60
 #: Question vectors and question texts go to all executors up to this size; more are searched in blocks of it.
@@ -37,7 +39,7 @@ BROADCAST_KEYS = 100_000
 #: What names a passage: its document and its place in it.
 KEY = ("parent_id", "ord")
 #: The row of a term table that holds the number of passages and the sum of their lengths; no token is empty.
-ALL = ""
+ALL = P.ALL
 SYSTEM = "Answer from the given context alone. Be precise, cite the names and values that it states, and say what is missing if it does not suffice."
 
 
@@ -49,12 +51,6 @@ def children_of(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc_id").alias("parent_id"), "ord", F.col("source").alias("title"), "text")
 
 
-def postings(children: DataFrame) -> DataFrame:
-    """term, parent_id, ord, tf, dl: what each term's entry in an inverted index holds."""
-    t = children.select(*KEY, T.tokenize(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return t.select(*KEY, "dl", F.explode("t").alias("term")).groupBy("term", *KEY).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def term_counts(children: DataFrame) -> DataFrame:
     """term, df, dl in one pass: the number of passages that hold a term; the row ALL has the number of passages and the
     sum of their lengths. Tables of disjoint passages add up by term."""
@@ -74,33 +70,44 @@ def bm25_stats(children: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Passages and their term table, kept as Parquet; both sides of a search read them."""
+    """Passages, their stored postings and the term table, kept as Parquet."""
 
     passages: DataFrame
     terms: DataFrame
+    blocks: DataFrame
 
     @classmethod
     def build(cls, children: DataFrame, scratch: Scratch) -> Index:
+        """One pass tokenizes the passages; the term table adds up what the segments hold."""
         passages = scratch.write(children)
-        return cls(passages, scratch.write(term_counts(passages)))
+        blocks = P.write_segments(P.segments(passages), scratch.path())
+        return cls(passages, scratch.write(P.counts_of(blocks)), blocks)
 
     def save(self, path: str) -> None:
         self.passages.write.mode("overwrite").parquet(f"{path}/passages")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.blocks.repartition("segment").sortWithinPartitions("segment", "term", "block").write.mode("overwrite").partitionBy("segment").parquet(f"{path}/blocks")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/passages"), spark.read.parquet(f"{path}/terms"))
+        return cls(spark.read.parquet(f"{path}/passages"), spark.read.parquet(f"{path}/terms"), P.read_segments(spark, f"{path}/blocks"))
 
     def replaced(self, new: DataFrame, gone: DataFrame, scratch: Scratch) -> Index:
-        """The index without the passages of the parents in `gone` (parent_id) and with the passages `new`. Only passages
-        that come or go are tokenized: term tables add up and can be taken off."""
+        """The index without the passages of the parents in `gone` (parent_id) and with the passages `new`. Only `new` is
+        tokenized. Segments that hold a passage of these parents are written again from their postings, all others stay
+        the files that they are; the term table loses and gains what these segments do."""
         new = scratch.write(new)
-        parents = gone.select("parent_id").union(new.select("parent_id")).distinct()
-        less = term_counts(self.passages.join(parents, "parent_id", "left_semi")).select("term", (-F.col("df")).alias("df"), (-F.col("dl")).alias("dl"))
-        terms = self.terms.unionByName(less).unionByName(term_counts(new)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).filter("df > 0")
+        parents = scratch.write(gone.select("parent_id").union(new.select("parent_id")).distinct())
+        left, hit = P.without(self.blocks, parents, scratch)
+        last = self.blocks.agg(F.coalesce(F.max("segment"), F.lit(-1))).first()[0]
+        added = P.write_segments(P.segments(new, last + 1), scratch.path())
+        changes = P.counts_of(added)
+        if hit:
+            less = P.counts_of(self.blocks.filter(F.col("segment").isin(hit))).select("term", (-F.col("df")).alias("df"), (-F.col("dl")).alias("dl"))
+            changes = changes.unionByName(less).unionByName(P.counts_of(left.filter(F.col("segment").isin(hit))))
+        terms = self.terms.unionByName(changes).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).filter("df > 0")
         passages = self.passages.join(parents, "parent_id", "left_anti").select(*new.columns).unionByName(new)
-        return Index(scratch.write(passages), scratch.write(terms))
+        return Index(scratch.write(passages), scratch.write(terms), left.unionByName(added))
 
     def weights(self, floor: float | None = IDF_FLOOR) -> DataFrame:
         """term, idf, avgdl: idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one raised to `floor` times the mean of all
@@ -170,20 +177,40 @@ def blocks_of(questions: DataFrame, size: Column) -> Iterator[pa.Table]:
 def bm25_topk(index: Index, questions: DataFrame, k: int = BM25_FETCH, floor: float | None = IDF_FLOOR) -> DataFrame:
     """question_id, rank (from 0), parent_id, ord, score (6 places): the k best passages of each question. A repeated
     question term counts again; unknown terms count 0; ties, and passages that match nothing, come in order of their keys.
-    Questions without id or text are left out. Only the weights of the asked terms leave the index."""
+    Questions without id or text are left out.
+
+    The stored postings of the asked terms are searched, and no passage is tokenized. If a weight isn't positive, which only
+    `floor=None` or a corpus of few passages allows, bounds don't hold and the passages are scanned instead."""
     spark, weights, out = questions.sparkSession, index.weights(floor), None
-    for block in blocks_of(questions.filter("question_id IS NOT NULL AND question IS NOT NULL").select("question_id", "question"), F.octet_length("question") * 2):
+    asked_rows = questions.filter("question_id IS NOT NULL AND question IS NOT NULL").select("question_id", "question")
+    for block in blocks_of(asked_rows, F.octet_length("question") * 2):
         ids, find = block.column(0).to_numpy().astype(np.int64), re.compile(T.TOKEN).findall
         asked = [find(t.lower()) for t in block.column(1).to_pylist()]
         vocabulary = {t: i for i, t in enumerate(dict.fromkeys(t for ts in asked for t in ts))}
         names = spark.createDataFrame(pa.table({"term": pa.array(list(vocabulary), pa.string())}))
-        known = weights.join(names, "term", "left_semi").toArrow().to_pydict()
-        idf = dict(zip(known["term"], known["idf"], strict=True))
-        found = scan(index.passages, "text", ids, _bm25(asked, vocabulary, idf, (known["avgdl"] or [1.0])[0]), k)
+        known = weights.join(F.broadcast(names), "term", "left_semi").toArrow().to_pydict()
+        idf, avgdl = dict(zip(known["term"], known["idf"], strict=True)), (known["avgdl"] or [1.0])[0]
+        if all(x > 0 for x in idf.values()):
+            terms = {q: [(t, n * idf[t] * (K1 + 1)) for t, n in Counter(ts).items() if t in idf] for q, ts in zip(ids.tolist(), asked, strict=True)}
+            found = filled(P.search(index.blocks, terms, avgdl, k), index.passages, ids.tolist(), k)
+        else:
+            found = scan(index.passages, "text", ids, _bm25(asked, vocabulary, idf, avgdl), k)
         out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
 
+def filled(hits: DataFrame, passages: DataFrame, ids: list[int], k: int) -> DataFrame:
+    """Hits with the first passages by key added, of score 0, where they are no hits already: what fills up questions that
+    fewer than k passages match. k + k rows a question are enough, whatever the corpus."""
+    first = [tuple(r) for r in passages.filter("text IS NOT NULL AND parent_id IS NOT NULL").select(*KEY).orderBy(*KEY).limit(2 * k).collect()]
+    few = hits.groupBy("question_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    spark = hits.sparkSession
+    lacking = spark.createDataFrame(pa.table({"question_id": pa.array(ids, pa.int64())})).join(few, "question_id", "left_anti")
+    keys = F.array(*(F.struct(F.lit(p).cast("long").alias("parent_id"), F.lit(o).cast("int").alias("ord")) for p, o in first)).cast("array<struct<parent_id:bigint,ord:int>>")
+    zero = lacking.select("question_id", F.inline(keys)).join(hits, ["question_id", *KEY], "left_anti").withColumn("score", F.lit(0.0))
+    return hits.unionByName(zero)
+
+
 def _bm25(asked: list[list[str]], vocabulary: dict[str, int], idf: dict[str, float], avgdl: float) -> Callable[[pa.Array], np.ndarray]:
     """Texts to scores of all questions."""
     pairs = np.array([(vocabulary[t], q) for q, ts in enumerate(asked) for t in ts if t in idf], np.int64).reshape(-1, 2)

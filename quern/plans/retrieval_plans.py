@@ -42,14 +42,13 @@ def contexts(spark, sf_dir, expander=None):
 
 def kept_index(spark, sf_dir):
     """An index of the first half of the documents, saved, read again and brought up to date with the others and with a
-    changed text of every tenth: its term table."""
+    changed text of every tenth."""
     scratch, all_docs = Scratch(spark), docs(spark, sf_dir)
     early = all_docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("An earlier state. "), "text")).otherwise(F.col("text")))
     at = scratch.path()
     R.Index.build(R.children_of(early), scratch).save(at)
     late = all_docs.filter("doc_id % 2 = 1 OR doc_id % 10 = 0")
-    done = R.Index.load(spark, at).replaced(R.children_of(late), late.select(F.col("doc_id").alias("parent_id")), scratch)
-    return done.terms.select("term", "df")
+    return R.Index.load(spark, at).replaced(R.children_of(late), late.select(F.col("doc_id").alias("parent_id")), scratch)
 
 
 def cosine(spark, sf_dir):
@@ -105,7 +104,9 @@ QUERIES = {
     "bm25_stats": lambda s, d: R.bm25_stats(R.children_of(docs(s, d))).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
     "bm25_topk": bm25,
     "bm25_prefilter": lambda s, d: bm25(s, d, 2),
-    "bm25_kept_index": kept_index,
+    "bm25_kept_index": lambda s, d: kept_index(s, d).terms.select("term", "df"),
+    "bm25_kept_topk": lambda s, d: R.bm25_topk(kept_index(s, d), questions(s, d)),
+    "postings": lambda s, d: index(s, d).blocks.filter("term <> ''").groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"), F.max("max_tf").alias("max_tf")),
     "cosine_topk": cosine,
     "cosine_top1_label": cosine_label,
     "dense_topk": dense,
@@ -199,6 +200,8 @@ SQL = {
     "bm25_topk": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT question_id, rank, parent_id, ord, score FROM sp JOIN kids USING (child_id)",
     "bm25_prefilter": f"WITH RECURSIVE {KIDS}, {bm25_sql(2)} SELECT question_id, rank, parent_id, ord, score FROM sp JOIN kids USING (child_id)",
     "bm25_kept_index": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT term, count(*) AS df FROM tf GROUP BY 1 UNION ALL SELECT '', n FROM av",
+    "bm25_kept_topk": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT question_id, rank, parent_id, ord, score FROM sp JOIN kids USING (child_id)",
+    "postings": f"WITH RECURSIVE {KIDS}, {bm25_sql(15)} SELECT term, count(*) AS df, sum(tf) AS occurrences, CAST(max(tf) AS INTEGER) AS max_tf FROM tf GROUP BY 1",
     "cosine_topk": f"SELECT a.vec_id AS question_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) - 1 AS INTEGER) AS rank, b.vec_id AS child_id, round({_cos}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank < 12",
     "cosine_top1_label": f"WITH t AS (SELECT a.label AS asked, b.label AS found, a.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_cos}, 9) DESC, b.vec_id) = 1) SELECT asked, count(*) AS queries, count(*) FILTER (asked = found) AS same_label FROM t GROUP BY asked",
     "dense_topk": f"WITH RECURSIVE {KIDS}, {DENSE} SELECT question_id, rank, parent_id, ord, score FROM de JOIN kids USING (child_id)",
