@@ -9,6 +9,7 @@ from quern.operators import incremental as I
 from quern.operators import retrieval as R
 from quern.plans import fixtures as X
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
+from quern.operators.vectors import VectorStore, matrix
 from quern.sources.scratch import Scratch
 
 #: The cosine search asks with every vector whose id this divides, against all vectors.
@@ -66,6 +67,17 @@ def cosine_label(spark, sf_dir):
     return best.join(a, "question_id").join(b, "child_id").groupBy("asked").agg(F.count("*").alias("queries"), F.count_if(F.col("asked") == F.col("found")).alias("same_label"))
 
 
+def vector_store(spark, sf_dir):
+    """A store whose sources (the labels) of even number hold earlier vectors at first, then replaced by the given ones, asked
+    with every vector whose id 50 divides."""
+    scratch, v = Scratch(spark), vectors(spark, sf_dir).withColumn("source", F.col("label").cast("string"))
+    late = v.filter("label % 2 = 0")
+    early = late.withColumn("embedding", F.reverse("embedding")).unionByName(late.withColumn("child_id", F.col("child_id") + 1_000_000_000))
+    store = VectorStore(spark, scratch.path(), ("child_id",)).create(v.filter("label % 2 <> 0 OR label IS NULL").unionByName(early))
+    asked = asked_vectors(v).select("child_id", "embedding").toArrow()
+    return store.replace(late).search(asked.column(0).to_numpy(), matrix(asked.column(1).combine_chunks()), R.TOP_CHILDREN, scratch)
+
+
 def dense(spark, sf_dir):
     return R.cosine_topk(R.embed(R.children_of(docs(spark, sf_dir)), R.KEY, "text"), R.embed(questions(spark, sf_dir), ("question_id",), "question"))
 
@@ -109,6 +121,7 @@ QUERIES = {
     "postings": lambda s, d: index(s, d).blocks.filter("term <> ''").groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"), F.max("max_tf").alias("max_tf")),
     "cosine_topk": cosine,
     "cosine_top1_label": cosine_label,
+    "vector_store_topk": lambda s, d: R.top_k(vector_store(s, d).hits, R.TOP_CHILDREN),
     "dense_topk": dense,
     "rrf_fuse": fused,
     "rrf_duplicate_keys": fuse_inline,
@@ -211,3 +224,4 @@ SQL = {
     "expand_parents": f"WITH RECURSIVE {EXPAND} SELECT question_id, ord, parent_id, section_title, md5(full_text) AS text_md5, md5(child_matched) AS child_md5, score FROM ctx",
     "prompt_budget": f"WITH RECURSIVE {PROMPT}",
 }
+SQL["vector_store_topk"] = SQL["cosine_topk"]
