@@ -11,7 +11,7 @@ from quern.plans import fixtures as X
 from quern.plans.text_plans import TOKENS, WORDS, docs
 from quern.sources import files
 from quern.sources.scratch import Scratch
-from quern.streaming import streams
+from quern.streaming import limiter, streams
 
 
 def chunks(spark, sf_dir):
@@ -79,6 +79,18 @@ def stream_usage_windows(spark, sf_dir):
     return out.groupBy("key").agg(F.count("*").alias("windows"), F.max("requests").alias("most_requests"), F.max("tokens").alias("most_tokens"))
 
 
+#: Users may take so many tokens and requests in twelve hours; given events are hours apart.
+BUDGET = limiter.Budget(tokens=100, requests=3, window=43_200.0, hold=43_201.0)
+LATE_MINUTES = 10
+
+
+def stream_admissions(spark, sf_dir):
+    """When each event of a user may go ahead under BUDGET, decided in event order from a stream of event files."""
+    asked = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("request"), "ts", F.floor("value").cast("long").alias("tokens"))
+    with limiter.with_state_store(spark):
+        return streams.run_to_end(limiter.admissions(asked, BUDGET, f"{LATE_MINUTES} minutes"), Scratch(spark), "append")
+
+
 SPECS = X.Inline("pos int, module string, spec string", [(0, "alu", "adds"), (1, "alu", "later"), (2, "cpu", "wires")])
 RUNS = X.Inline("artifact string, ord int, line string", [("rtl", 0, "module alu;"), ("rtl", 1, "endmodule"), ("report", 0, "# done")])
 
@@ -113,6 +125,7 @@ QUERIES = {
     "stream_scoreboard": stream_scoreboard,
     "stream_changed_sources": stream_changed_sources,
     "stream_usage": stream_usage,
+    "stream_admissions": stream_admissions,
     "stream_usage_windows": stream_usage_windows,
     "module_specs": lambda s, d: A.specs_of(X.MODULES.df(s).withColumnRenamed("name", "module"), SPECS.df(s)),
     "preview": lambda s, d: A.listing(docs(s, d).select("source", "doc_id", "lang"), "source", "doc_id", first=5),
@@ -150,6 +163,14 @@ SQL = {
     "stream_changed_sources": f"SELECT slug, file_hash FROM {X.NOW.sql()} n UNION ALL SELECT slug, file_hash FROM {X.MANIFEST.sql()} m WHERE slug NOT IN (SELECT slug FROM {X.NOW.sql()} n)",
     "stream_usage_windows": f"""WITH w AS (SELECT key, unnest(generate_series(time_bucket(INTERVAL '1 second', ts - INTERVAL '59 seconds', TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 second', ts, TIMESTAMP '1970-01-01'), INTERVAL '1 second')) AS start, tokens FROM {_log}),
         g AS (SELECT key, start, count(*) AS n, sum(tokens) AS t FROM w GROUP BY 1, 2) SELECT key, count(*) AS windows, max(n) AS most_requests, CAST(max(t) AS BIGINT) AS most_tokens FROM g GROUP BY 1""",
+    "stream_admissions": f"""WITH RECURSIVE e AS (SELECT key, event_id, epoch_us(ts) AS t, tokens, row_number() OVER w AS i, epoch_us(lead(ts) OVER w) AS next FROM {_log} WHERE ts IS NOT NULL AND tokens IS NOT NULL
+            AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - {LATE_MINUTES * 60_000} FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+        s AS (SELECT key, 1::BIGINT AS i, t AS now, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS log, CAST(NULL AS BIGINT) AS request, CAST(NULL AS BIGINT) AS asked, CAST(NULL AS BIGINT) AS admitted FROM e WHERE i = 1
+            UNION ALL SELECT key, CASE WHEN ok THEN i + 1 ELSE i END, CASE WHEN ok THEN greatest(now, next) ELSE greatest(now + 500000, live[1].t + {round(BUDGET.hold * 1_000_000)}) END,
+                CASE WHEN ok THEN list_append(live, {{'t': now, 'n': tokens}}) ELSE live END, CASE WHEN ok THEN event_id END, CASE WHEN ok THEN t END, CASE WHEN ok THEN now END
+            FROM (SELECT *, tokens > {BUDGET.tokens} OR len(live) = 0 OR (list_sum(list_transform(live, lambda x: x.n)) + tokens <= {BUDGET.tokens} AND len(live) < {BUDGET.requests}) AS ok
+                FROM (SELECT e.*, s.now, list_filter(s.log, lambda x: x.t > s.now - {round(BUDGET.window * 1_000_000)}) AS live FROM s JOIN e ON e.key = s.key AND e.i = s.i)))
+        SELECT key, request, make_timestamp(asked) AS asked, make_timestamp(admitted) AS admitted FROM s WHERE request IS NOT NULL""",
     "module_specs": f"SELECT id, name AS module, spec FROM {X.MODULES.sql()} m LEFT JOIN (SELECT module, arg_min(spec, pos) AS spec FROM {SPECS.sql()} GROUP BY 1) s ON s.module = m.name",
     "masked_keys": f"SELECT path, left(path, 4) || '…' || right(path, 4) AS masked FROM {X.PATHS.sql()}",
     "preview": "SELECT source, doc_id, lang FROM documents ORDER BY source, doc_id LIMIT 5",
