@@ -11,6 +11,7 @@ from quern.plans import fixtures as X
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
 from quern.operators.vectors import VectorStore, matrix
 from quern.sources.scratch import Scratch
+from quern.streaming.ledger import Ledger
 
 #: The cosine search asks with every vector whose id this divides, against all vectors.
 QUERY_EVERY = 50
@@ -52,6 +53,20 @@ def kept_index(spark, sf_dir):
     return R.Index.load(spark, at).replaced(R.children_of(late), late.select(F.col("doc_id").alias("parent_id")), scratch)
 
 
+def ingested(spark, sf_dir):
+    """Documents as a stream of sources into a ledger that holds an earlier state of half of them: each document's hash and
+    number of passages afterwards, by the last batch that changed it."""
+    scratch, early = Scratch(spark), docs(spark, sf_dir).filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("An earlier state. "), "text")).otherwise(F.col("text")))
+    hashed = lambda d: d.select(F.col("doc_id").cast("string").alias("slug"), F.md5(F.coalesce("text", F.lit(""))).alias("file_hash"), "doc_id", "source", "text")
+    ledger = Ledger(spark, scratch.path(), "slug string, doc_id long, source string, text string")
+    ledger.apply(0, hashed(early))
+    stream = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    ledger.ingest(hashed(stream), scratch.path(), epoch=1).awaitTermination()
+    kids = R.children_of(ledger.rows()).groupBy("parent_id").agg(F.count("*").alias("n"))
+    last = ledger.manifest().select(F.col("slug").cast("long").alias("doc_id"), "file_hash", (F.col("number") > 0).alias("changed"))
+    return last.join(kids, F.col("doc_id") == F.col("parent_id"), "left").select("doc_id", "file_hash", "changed", F.coalesce("n", F.lit(0)).alias("n_children"))
+
+
 def cosine(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return R.cosine_topk(v, asked_vectors(v).select(F.col("child_id").alias("question_id"), "embedding"), key=("child_id",))
@@ -119,6 +134,7 @@ QUERIES = {
     "bm25_kept_index": lambda s, d: kept_index(s, d).terms.select("term", "df"),
     "bm25_kept_topk": lambda s, d: R.bm25_topk(kept_index(s, d), questions(s, d)),
     "postings": lambda s, d: index(s, d).blocks.filter("term <> ''").groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"), F.max("max_tf").alias("max_tf")),
+    "stream_ingest": ingested,
     "cosine_topk": cosine,
     "cosine_top1_label": cosine_label,
     "vector_store_topk": lambda s, d: R.top_k(vector_store(s, d).hits, R.TOP_CHILDREN),
@@ -225,3 +241,5 @@ SQL = {
     "prompt_budget": f"WITH RECURSIVE {PROMPT}",
 }
 SQL["vector_store_topk"] = SQL["cosine_topk"]
+SQL["stream_ingest"] = f"""WITH RECURSIVE {KIDS}, n AS (SELECT parent_id, count(*) AS n FROM kids GROUP BY 1)
+    SELECT doc_id, md5(coalesce(text, '')) AS file_hash, doc_id % 2 <> 0 OR doc_id % 10 = 0 AS changed, coalesce(n, 0) AS n_children FROM documents LEFT JOIN n ON parent_id = doc_id"""

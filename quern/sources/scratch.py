@@ -70,3 +70,28 @@ class Scratch:
         for path in [p for p in self.paths if p not in kept]:
             delete(self.spark, path)
             self.paths.remove(path)
+
+
+def create_once(spark: SparkSession, path: str) -> bool:
+    """Make an empty file, as one step: of all that try, one gets True."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    if fs.getScheme() == "file":
+        return sc._jvm.java.io.File(p.toUri().getPath()).createNewFile()
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        if not fs.exists(p):
+            raise e
+        return False
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it isn't there."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
