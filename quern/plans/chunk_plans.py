@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from quern.operators import chunkers as C
 from quern.operators import html
 from quern.plans import fixtures as X
+from quern.plans import given as G
 from quern.plans.text_plans import STRIP
 from quern.sources import files
 
 
 def table_rules(spark, sf_dir):
-    return X.TABLES.df(spark).select("id", C.is_callout(F.col("rows")).alias("callout"), C.is_blank_register(F.col("rows")).alias("blank_register"), C.markdown_table(F.col("rows")).alias("markdown"))
+    return G.TABLES.df(spark, sf_dir).select("id", C.is_callout(F.col("rows")).alias("callout"), C.is_blank_register(F.col("rows")).alias("blank_register"), C.markdown_table(F.col("rows")).alias("markdown"))
 
 
 def encoding_table(spark, sf_dir):
-    return X.TABLES.df(spark).select("id", F.inline(C.encoding_fields(F.col("rows"))))
+    return G.TABLES.df(spark, sf_dir).select("id", F.inline(C.encoding_fields(F.col("rows"))))
 
 
 def divider_document(spark, sf_dir):
-    return files.divider_document(C.markdown_sections(X.MARKDOWN.df(spark))).select("slug", F.md5("text").alias("text_md5"))
+    return files.divider_document(C.markdown_sections(G.MARKDOWN.df(spark, sf_dir))).select("slug", F.md5("text").alias("text_md5"))
 
 
 PAGES = X.Inline(
@@ -50,11 +51,11 @@ def html_by_hand(spark, sf_dir):
 
 QUERIES = {
     "html_by_hand": html_by_hand,
-    "markdown_sections": lambda s, d: C.markdown_sections(X.MARKDOWN.df(s)),
-    "verilog_blocks": lambda s, d: C.verilog_blocks(X.VERILOG.df(s)),
-    "asm_vectors": lambda s, d: C.asm_vectors(X.ASM.df(s)).select("slug", "ord", "macro", "test_id", F.array_join("args", "|").alias("args")),
-    "asm_chunks": lambda s, d: C.asm_chunks(X.ASM.df(s)),
-    "pdf_sections": lambda s, d: C.pdf_sections(X.SPANS.df(s)),
+    "markdown_sections": lambda s, d: C.markdown_sections(G.MARKDOWN.df(s, d)),
+    "verilog_blocks": lambda s, d: C.verilog_blocks(G.VERILOG.df(s, d)),
+    "asm_vectors": lambda s, d: C.asm_vectors(G.ASM.df(s, d)).select("slug", "ord", "macro", "test_id", F.array_join("args", "|").alias("args")),
+    "asm_chunks": lambda s, d: C.asm_chunks(G.ASM.df(s, d)),
+    "pdf_sections": lambda s, d: C.pdf_sections(G.SPANS.df(s, d)),
     "encoding_table": encoding_table,
     "table_rules": table_rules,
     "divider_document": divider_document,
@@ -63,14 +64,14 @@ QUERIES = {
 
 
 _s = lambda x: STRIP.format(x=x)
-MD = rf"""WITH l AS (SELECT slug, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {X.MARKDOWN.sql()}),
+MD = rf"""WITH l AS (SELECT slug, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {G.MARKDOWN.sql()}),
     h AS (SELECT *, regexp_extract(line, '^(#{{1,6}})\s+(.+)', 1) AS level, regexp_extract(line, '^(#{{1,6}})\s+(.+)', 2) AS title FROM l),
     s AS (SELECT *, sum(CASE WHEN level <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY i) AS sec, last_value(CASE WHEN length(level) BETWEEN 1 AND 2 THEN title END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY i) AS top FROM h),
     g AS (SELECT slug, sec, arg_min(title, i) AS title, arg_min(level, i) AS level, arg_min(top, i) AS top, {_s("string_agg(line, chr(10) ORDER BY i)")} AS block FROM s WHERE sec > 0 GROUP BY slug, sec),
     c AS (SELECT slug, CAST(sec - 1 AS INTEGER) AS ord, title, level, CASE WHEN length(level) > 2 THEN coalesce(top, '') ELSE '' END AS ctx, block FROM g),
     o AS (SELECT slug || '_' || ord AS chunk_id, slug, ord, {_s('title')} AS section_title, level AS heading_level, ctx AS parent_section, CASE WHEN ctx <> '' THEN '> **Section Context:** ' || ctx || chr(10) || chr(10) ELSE '' END || block AS document_text FROM c),
     md AS (SELECT * FROM o WHERE length({_s('document_text')}) >= 40
-           UNION ALL SELECT slug || '_0', slug, 0, slug, NULL, NULL, {_s('text')} FROM {X.MARKDOWN.sql()} WHERE slug NOT IN (SELECT slug FROM g))"""
+           UNION ALL SELECT slug || '_0', slug, 0, slug, NULL, NULL, {_s('text')} FROM {G.MARKDOWN.sql()} WHERE slug NOT IN (SELECT slug FROM g))"""
 _vl = r"string_split(regexp_replace(text, '\n$', ''), chr(10))"
 _flat = _s(r"regexp_replace(c, '\s+', ' ', 'g')")
 _cells = rf"list_transform(rows, lambda r: list_transform(r, lambda c: coalesce(nullif(replace({_flat}, '|', '\|'), ''), ' ')))"
@@ -79,7 +80,7 @@ SQL = {
     "html_by_hand": f"SELECT * FROM {SECTIONS.sql()}",
     "markdown_sections": f"{MD} SELECT * FROM md",
     "divider_document": f"{MD} SELECT slug, md5(string_agg(chr(10) || chr(10) || '---' || chr(10) || '<!-- chunk_id=' || chunk_id || ' | ' || section_title || ' -->' || chr(10) || chr(10) || document_text, '' ORDER BY ord)) AS text_md5 FROM md GROUP BY slug",
-    "verilog_blocks": rf"""WITH l AS (SELECT slug, unnest({_vl}) AS line, generate_subscripts({_vl}, 1) AS i FROM {X.VERILOG.sql()}),
+    "verilog_blocks": rf"""WITH l AS (SELECT slug, unnest({_vl}) AS line, generate_subscripts({_vl}, 1) AS i FROM {G.VERILOG.sql()}),
         b AS (SELECT *, {_s('line')} AS t, sum(CASE WHEN i = 1 OR regexp_matches({_s('line')}, '{C.BLOCK_START}') THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY i) AS k FROM l),
         r AS (SELECT *, row_number() OVER (PARTITION BY slug, k ORDER BY i) AS nth FROM b),
         m AS (SELECT slug, k, max(i) FILTER (nth <= 5 AND NOT starts_with(t, '//')) AS stop, max(i) FILTER (nth <= 5) AS fifth FROM r GROUP BY slug, k),
@@ -90,20 +91,20 @@ SQL = {
         SELECT slug || '_' || ord AS chunk_id, slug, ord, section_title, start_line, end_line, block_comment,
                '# Verilog Block: `' || section_title || '`' || chr(10) || chr(10) || CASE WHEN block_comment <> '' THEN '> **Block Comment:** ' || block_comment || chr(10) || chr(10) ELSE '' END || '> **Source:** `' || slug || '` | Lines ' || start_line || '–' || end_line || chr(10) || chr(10) || '```verilog' || chr(10) || body || chr(10) || '```' AS document_text
         FROM g WHERE length(body) >= 20""",
-    "asm_vectors": rf"""WITH v AS (SELECT slug, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 1)) AS macro, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 2)) AS id, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 3)) AS rest, generate_subscripts(regexp_extract_all(text, '{C.TEST_MACRO}', 1), 1) AS i FROM {X.ASM.sql()})
+    "asm_vectors": rf"""WITH v AS (SELECT slug, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 1)) AS macro, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 2)) AS id, unnest(regexp_extract_all(text, '{C.TEST_MACRO}', 3)) AS rest, generate_subscripts(regexp_extract_all(text, '{C.TEST_MACRO}', 1), 1) AS i FROM {G.ASM.sql()})
         SELECT slug, CAST(i - 1 AS INTEGER) AS ord, macro, CAST(id AS INTEGER) AS test_id, array_to_string(list_filter(list_transform(string_split(rest, ','), lambda x: {_s('x')}), lambda x: x <> ''), '|') AS args FROM v""",
-    "asm_chunks": rf"""WITH f AS (SELECT * FROM {X.ASM.sql()}), w AS (SELECT *, CASE WHEN length(text) - length(replace(text, chr(10), '')) < 10 AND contains(text, '#include') AND contains(path, '/rv32ui/') THEN replace(path, '/rv32ui/', '/rv64ui/') END AS want FROM f),
+    "asm_chunks": rf"""WITH f AS (SELECT * FROM {G.ASM.sql()}), w AS (SELECT *, CASE WHEN length(text) - length(replace(text, chr(10), '')) < 10 AND contains(text, '#include') AND contains(path, '/rv32ui/') THEN replace(path, '/rv32ui/', '/rv64ui/') END AS want FROM f),
         j AS (SELECT w.slug, w.path, coalesce(f.text, w.text) AS text FROM w LEFT JOIN f ON w.want = f.path)
         SELECT slug || '_asm' AS chunk_id, slug, 'Assembly Test: ' || upper(slug) AS section_title, upper(slug) AS instruction, len(regexp_extract_all(text, '{C.TEST_MACRO}')) AS total_test_cases,
                '# Assembly Test: `' || upper(slug) || '`' || chr(10) || chr(10) || '> **Source:** `' || path || '`' || chr(10) || chr(10) || '## Raw Assembly Source' || chr(10) || chr(10) || '```asm' || chr(10) || {_s('text')} || chr(10) || '```' AS document_text FROM j""",
-    "pdf_sections": rf"""WITH s AS (SELECT * FROM {X.SPANS.sql()} WHERE {_s('text')} <> ''), o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY size, seq) - 1 AS place, count(*) OVER (PARTITION BY doc) AS n FROM s),
+    "pdf_sections": rf"""WITH s AS (SELECT * FROM {G.SPANS.sql()} WHERE {_s('text')} <> ''), o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY size, seq) - 1 AS place, count(*) OVER (PARTITION BY doc) AS n FROM s),
         h AS (SELECT *, size >= max(CASE WHEN place = n // 2 THEN size END) OVER (PARTITION BY doc) * CAST(1.10 AS DOUBLE) AS head FROM o), r AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY seq) AS sec FROM h),
         g AS (SELECT doc, sec, coalesce(max(left(text, 120)) FILTER (head), doc || ' — Introduction') AS section_title, coalesce(max(page) FILTER (head), 1) AS page_start, {_s(r"regexp_replace(coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (NOT head), ''), '\s+', ' ', 'g')")} AS body FROM r GROUP BY doc, sec),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY sec) - 1 AS INTEGER) AS ord FROM g WHERE length(body) >= 60)
         SELECT doc || '_' || ord AS chunk_id, doc, ord, section_title, page_start, '# ' || section_title || chr(10) || chr(10) || '> **Source:** `' || doc || '` | Starting page ' || page_start || chr(10) || chr(10) || body AS document_text FROM k""",
-    "encoding_table": f"""WITH t AS (SELECT id, rows, unnest(rows[3]) AS field, generate_subscripts(rows[3], 1) AS i FROM {X.TABLES.sql()} WHERE len(rows) >= 3 AND len(list_filter(rows[1], lambda c: regexp_matches(c, '[0-9]'))) > 0)
+    "encoding_table": f"""WITH t AS (SELECT id, rows, unnest(rows[3]) AS field, generate_subscripts(rows[3], 1) AS i FROM {G.TABLES.sql()} WHERE len(rows) >= 3 AND len(list_filter(rows[1], lambda c: regexp_matches(c, '[0-9]'))) > 0)
         SELECT id, field, nullif(rows[1][i], '') AS bit_range, nullif(rows[4][i], '') AS bits, nullif(rows[5][i], '') AS semantic FROM t WHERE field <> ''""",
     "table_rules": rf"""SELECT id, len(rows) > 0 AND len(list_filter(rows, lambda r: NOT (len(r) = 2 AND {_s('r[1]')} = ''))) = 0 AS callout,
         len(rows) >= 10 AND len(list_filter(rows, lambda r: len(r) >= 3 AND len(list_filter(r[2:], lambda c: {_s('c')} <> '')) = 0)) >= len(rows) * 0.7 AS blank_register,
-        array_to_string(flatten(list_transform({_cells}, lambda r, i: CASE WHEN i = 1 THEN ['| ' || array_to_string(r, ' | ') || ' |', '| ' || array_to_string(list_transform(r, lambda c: '---'), ' | ') || ' |'] ELSE ['| ' || array_to_string(r, ' | ') || ' |'] END)), chr(10)) AS markdown FROM {X.TABLES.sql()}""",
+        array_to_string(flatten(list_transform({_cells}, lambda r, i: CASE WHEN i = 1 THEN ['| ' || array_to_string(r, ' | ') || ' |', '| ' || array_to_string(list_transform(r, lambda c: '---'), ' | ') || ' |'] ELSE ['| ' || array_to_string(r, ' | ') || ' |'] END)), chr(10)) AS markdown FROM {G.TABLES.sql()}""",
 }

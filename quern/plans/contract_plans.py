@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import bits as B
 from quern.operators import contract as K
 from quern.plans import fixtures as X
+from quern.plans import given as G
 
 
 def _enc(s):
@@ -67,9 +68,6 @@ LEGACY = X.Inline(
         (4, "LBU", "0000011", "100", "N/A", "ADD", True, True, False, False, False, "I", "rs1", "imm", "mem", "byte", "unsigned", None, None),
     ],
 )
-PLANS = X.Inline("plan string, document string", [("p", '{"modules": [{"name": "alu", "depends_on": []}, {"name": "cpu", "depends_on": ["alu", "control"]}, {"name": "control"}], "other": 1}'), ("q", "{}"), ("r", "no json")])
-BASE_QUESTIONS = X.Inline("key string, question string", [("ops", "which operations"), ("sizes", "which sizes")])
-DYNAMIC = X.Inline("pos int, question string", [(0, "what else"), (1, "and then")])
 
 QUERIES = {
     "legacy_cheatsheet": lambda s, d: K.legacy_lines(LEGACY.df(s)),
@@ -78,8 +76,8 @@ QUERIES = {
     "cheatsheet_legends": lambda s, d: K.cheatsheet(_table(s), _enc(s), _legend(s)),
     "immediate_text": lambda s, d: K.immediate_module(_enc(s)),
     "table_modules": lambda s, d: K.table_modules(_table(s), _enc(s)).select("module", F.md5("text").alias("text_md5")),
-    "plan_edges": lambda s, d: K.plan_edges(PLANS.df(s)),
-    "all_questions": lambda s, d: K.all_questions(BASE_QUESTIONS.df(s), DYNAMIC.df(s)),
+    "plan_edges": lambda s, d: K.plan_edges(G.PLANS.df(s, d)),
+    "all_questions": lambda s, d: K.all_questions(G.BASE_QUESTIONS.df(s, d), G.DYNAMIC.df(s, d)),
     "vocab_encoding": lambda s, d: _enc(s),
     "vocab_check": lambda s, d: K.check_vocabulary(X.VOCAB.df(s).filter("kind <> 'branch' AND pos < 3 AND kind <> 'alu'")),
     "branch_encoding": lambda s, d: K.encode_branches(X.VOCAB.df(s).union(s.createDataFrame([("branch", 6, "odd")], "kind string, pos int, item string")), X.INSTRUCTIONS.df(s)),
@@ -90,7 +88,7 @@ QUERIES = {
     "control_arms": lambda s, d: K.control_arms(_table(s), _enc(s)),
     "control_text": lambda s, d: K.control_module(_table(s), _enc(s)),
     "immediate_arms": lambda s, d: K.immediate_arms(_enc(s)),
-    "module_tiers": lambda s, d: X.MODULES.df(s).select("id", "name", K.module_tier(F.col("name")).alias("tier")),
+    "module_tiers": lambda s, d: G.MODULES.df(s, d).select("id", "name", K.module_tier(F.col("name")).alias("tier")),
     "microarch_document": lambda s, d: K.microarch(_table(s), _enc(s), "RV32I"),
     "microarch_rows": lambda s, d: K.read_microarch(K.microarch(_table(s), _enc(s), "RV32I"), _table(s)),
     "module_prompt": lambda s, d: K.module_prompt("alu", _table(s), _enc(s), _legend(s)),
@@ -238,10 +236,10 @@ SQL = {
     "microarch_rows": f"WITH {TABLE} SELECT * FROM icd",
     "immediate_text": f"WITH {ENC} {_imm_text}",
     "table_modules": f"WITH {ARMS}, ct AS ({_control}), im AS ({_imm_text}) SELECT 'control' AS module, md5(text) AS text_md5 FROM ct UNION ALL SELECT 'imm_gen', md5(text) FROM im",
-    "plan_edges": f"""WITH m AS (SELECT plan, json_extract(CASE WHEN json_valid(document) THEN document END, '$.modules[*]') AS ms FROM {PLANS.sql()}), x AS (SELECT plan, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS place FROM m),
+    "plan_edges": f"""WITH m AS (SELECT plan, json_extract(CASE WHEN json_valid(document) THEN document END, '$.modules[*]') AS ms FROM {G.PLANS.sql()}), x AS (SELECT plan, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS place FROM m),
         y AS (SELECT plan, CAST(place AS INTEGER) AS place, json_extract_string(m, '$.name') AS module, json_extract_string(m, '$.depends_on[*]') AS ds FROM x)
         SELECT plan, place, module, unnest(CASE WHEN len(ds) > 0 THEN ds ELSE [NULL] END) AS depends_on FROM y""",
-    "all_questions": f"SELECT key, question FROM {BASE_QUESTIONS.sql()} UNION ALL SELECT 'dynamic_query_' || (pos + 1), question FROM {DYNAMIC.sql()}",
+    "all_questions": f"SELECT key, question FROM {G.BASE_QUESTIONS.sql()} UNION ALL SELECT 'dynamic_query_' || (pos + 1), question FROM {G.DYNAMIC.sql()}",
     "vocab_encoding": f"WITH {ENC} SELECT * FROM enc",
     "vocab_check": """SELECT * FROM (VALUES ('alu', 'Missing ''alu_operations''. The Stage 1 LLM may have rate-limited or hallucinated invalid JSON.'), ('branch', 'Missing ''branch_conditions'' from Stage 1 facts. Ensure Stage 1 succeeded.')) v(kind, error)""",
     "branch_encoding": f"""SELECT item, CAST(coalesce(f, pos) AS INTEGER) AS code FROM (SELECT item, pos FROM {X.VOCAB.sql()} WHERE kind = 'branch' UNION ALL SELECT 'odd', 6) c
@@ -255,7 +253,7 @@ SQL = {
     "control_arms": f"WITH {ARMS} SELECT * FROM arms",
     "control_text": f"WITH {ARMS}, ct AS ({_control}) SELECT * FROM ct",
     "immediate_arms": f"""WITH {ENC} SELECT code AS ord, item AS format, "binary", CASE item WHEN 'I' THEN 20 WHEN 'S' THEN 20 WHEN 'B' THEN 19 WHEN 'U' THEN 0 WHEN 'J' THEN 11 END AS sign_bits FROM enc WHERE kind = 'imm_type'""",
-    "module_tiers": f"SELECT id, name, CASE WHEN name IN ('control', 'imm_gen') THEN 'truth_table' WHEN name IN ('instr_mem', 'data_mem', 'tb_cpu') THEN 'testbench_only' ELSE 'behavioral_logic' END AS tier FROM {X.MODULES.sql()}",
+    "module_tiers": f"SELECT id, name, CASE WHEN name IN ('control', 'imm_gen') THEN 'truth_table' WHEN name IN ('instr_mem', 'data_mem', 'tb_cpu') THEN 'testbench_only' ELSE 'behavioral_logic' END AS tier FROM {G.MODULES.sql()}",
     "module_prompt": f"WITH {TABLE}, {SHEET} SELECT {X.literal(_task.format(m='alu') + SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} || {X.literal(_end.format(m='alu'))} AS prompt",
     "top_module_prompt": f"WITH {TABLE}, {SHEET} SELECT {X.literal(_task.format(m='cpu') + SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} || {X.literal(_heads + _end.format(m='cpu'))} AS prompt",
     "imm_decode": f"WITH {W} SELECT k, line, " + ", ".join(f"{e} AS imm_{f}" for f, e in _imm.items()) + " FROM w",

@@ -8,6 +8,7 @@ from quern.operators import chunkers as C
 from quern.operators import incremental as I
 from quern.operators import retrieval as R
 from quern.plans import fixtures as X
+from quern.plans import given as G
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
 from quern.operators.vectors import VectorStore, matrix
 from quern.sources.scratch import Scratch
@@ -125,9 +126,9 @@ def prompt_budget(spark, sf_dir):
 
 QUERIES = {
     "sentence_pack": lambda s, d: R.children_of(docs(s, d)).select("parent_id", "ord", F.md5("text").alias("text_md5")),
-    "paragraph_split": lambda s, d: C.paragraphs(X.VIEWS.df(s), "slug"),
-    "divider_split": lambda s, d: C.divider_sections(X.VIEWS.df(s)),
-    "hierarchy_fallback": lambda s, d: I.children(X.PARENTS.df(s), X.VIEWS.df(s)),
+    "paragraph_split": lambda s, d: C.paragraphs(G.VIEWS.df(s, d), "slug"),
+    "divider_split": lambda s, d: C.divider_sections(G.VIEWS.df(s, d)),
+    "hierarchy_fallback": lambda s, d: I.children(G.PARENTS.df(s, d), G.VIEWS.df(s, d)),
     "bm25_stats": lambda s, d: R.bm25_stats(R.children_of(docs(s, d))).select("n_children", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"),
     "bm25_topk": bm25,
     "bm25_prefilter": lambda s, d: bm25(s, d, 2),
@@ -218,9 +219,9 @@ _cos = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding A
 
 SQL = {
     "sentence_pack": f"WITH RECURSIVE {KIDS} SELECT parent_id, ord, md5(text) AS text_md5 FROM kids",
-    "paragraph_split": f"SELECT slug, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS ord FROM (SELECT slug, {_para} AS p FROM {X.VIEWS.sql()})",
-    "divider_split": f"WITH {DIVIDED.format(views=X.VIEWS.sql())} SELECT * FROM di",
-    "hierarchy_fallback": f"""WITH RECURSIVE {DIVIDED.format(views=X.VIEWS.sql())}, ow AS (SELECT * FROM {X.PARENTS.sql()} WHERE chunk_id <> ''),
+    "paragraph_split": f"SELECT slug, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS ord FROM (SELECT slug, {_para} AS p FROM {G.VIEWS.sql()})",
+    "divider_split": f"WITH {DIVIDED.format(views=G.VIEWS.sql())} SELECT * FROM di",
+    "hierarchy_fallback": f"""WITH RECURSIVE {DIVIDED.format(views=G.VIEWS.sql())}, ow AS (SELECT * FROM {G.PARENTS.sql()} WHERE chunk_id <> ''),
         pp AS (SELECT slug, parent_id, section_title, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS ord FROM (SELECT slug, parent_id, section_title, {_para} AS p FROM di)),
         md AS (SELECT pp.slug || '__' || parent_id || '__p' || ord AS child_id, pp.slug, parent_id, coalesce(pp.section_title, ow.section_title, '') AS section_title, text FROM pp LEFT JOIN ow ON pp.slug = ow.slug AND parent_id = chunk_id),
         re AS (SELECT slug, chunk_id, section_title, left(document_text, 8000) AS text FROM ow WHERE slug NOT IN (SELECT slug FROM md)), {packed('re', 'chunk_id')}
