@@ -76,3 +76,8 @@ PLANS = Given(
 )
 BASE_QUESTIONS = Given(X.Inline("key string, question string", [("ops", "which operations"), ("sizes", "which sizes")]), "SELECT 'item_' || CAST(item_id AS STRING) AS key, text AS question FROM {benchmark}")
 DYNAMIC = Given(X.Inline("pos int, question string", [(0, "what else"), (1, "and then")]), "SELECT CAST(100 + item_id AS BIGINT) AS pos, text AS question FROM {benchmark}")
+DOCUMENTS = Given(
+    X.Inline("id bigint, document string", [(1, '{"a b": {"": [1, [2, {"deep": [true, null]}], "x"]}, "n": -1.5}'), (2, "7"), (3, "no json"), (4, None), (5, "[]"), (6, '{"e": {}, "s": "text"}')]),
+    """SELECT 100 + event_id AS id, chr(123) || '"props": ' || props || ', "type": "' || event_type || '", "list": [' || CAST(user_id AS STRING) || ', ' || chr(123) || '"v": [' || CAST(event_id AS STRING) || ', []]' || chr(125) || ', "z"], "none": null'
+    || chr(125) AS document FROM {events}""",
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import incremental as I
 from quern.operators import stats as A
+from quern.operators.nested import flattened
 from quern.plans import fixtures as X
 from quern.plans import given as G
 from quern.plans.text_plans import TOKENS, WORDS, docs
@@ -99,8 +100,8 @@ RUNS = G.Given(X.Inline("artifact string, ord int, line string", [("rtl", 0, "mo
 def run_tables(spark, sf_dir):
     """Two runs written as a runs table and a table for each artifact, and the latest one read back."""
     at = Scratch(spark).path()
-    for version, when, label in ((1, "20240101", "first"), (2, "20240102", "second")):
-        files.write_run_tables(RUNS.df(spark, sf_dir).withColumn("line", F.concat("line", F.lit(f" // {label}"))), at, version, when, label)
+    for when, label in (("20240101", "first"), ("20240102", "second")):
+        files.write_run_tables(RUNS.df(spark, sf_dir).withColumn("line", F.concat("line", F.lit(f" // {label}"))), at, None, when, label)
     return files.read_latest_run(spark, at)
 
 
@@ -127,6 +128,7 @@ QUERIES = {
     "stream_changed_sources": stream_changed_sources,
     "stream_usage": stream_usage,
     "stream_admissions": stream_admissions,
+    "nested_values": lambda s, d: flattened(G.DOCUMENTS.df(s, d), "document", Scratch(s)),
     "stream_usage_windows": stream_usage_windows,
     "module_specs": lambda s, d: A.specs_of(G.MODULES.df(s, d).withColumnRenamed("name", "module"), SPECS.df(s)),
     "preview": lambda s, d: A.listing(docs(s, d).select("source", "doc_id", "lang"), "source", "doc_id", first=5),
@@ -164,6 +166,8 @@ SQL = {
     "stream_changed_sources": f"SELECT slug, file_hash FROM {G.NOW.sql()} n UNION ALL SELECT slug, file_hash FROM {G.MANIFEST.sql()} m WHERE slug NOT IN (SELECT slug FROM {G.NOW.sql()} n)",
     "stream_usage_windows": f"""WITH w AS (SELECT key, unnest(generate_series(time_bucket(INTERVAL '1 second', ts - INTERVAL '59 seconds', TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 second', ts, TIMESTAMP '1970-01-01'), INTERVAL '1 second')) AS start, tokens FROM {_log}),
         g AS (SELECT key, start, count(*) AS n, sum(tokens) AS t FROM w GROUP BY 1, 2) SELECT key, count(*) AS windows, max(n) AS most_requests, CAST(max(t) AS BIGINT) AS most_tokens FROM g GROUP BY 1""",
+    "nested_values": f"""SELECT d.id, fullkey AS path, CASE WHEN type = 'OBJECT' THEN 'object' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE 'number' END AS type,
+        CASE WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN atom ->> '$' END AS value FROM (SELECT * FROM {G.DOCUMENTS.sql()} WHERE json_valid(document)) d, json_tree(d.document)""",
     "stream_admissions": f"""WITH RECURSIVE e AS (SELECT key, event_id, epoch_us(ts) AS t, tokens, row_number() OVER w AS i, epoch_us(lead(ts) OVER w) AS next FROM {_log} WHERE ts IS NOT NULL AND tokens IS NOT NULL
             AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - {LATE_MINUTES * 60_000} FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
         s AS (SELECT key, 1::BIGINT AS i, t AS now, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS log, CAST(NULL AS BIGINT) AS request, CAST(NULL AS BIGINT) AS asked, CAST(NULL AS BIGINT) AS admitted FROM e WHERE i = 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import urls
+from quern.sources.scratch import create_once, names_in
 
 CHUNKS = (
     "chunk_id string, section_title string, heading_level string, heading_id string, parent_section string, source_url string, document_type string, "
@@ -105,9 +106,24 @@ def write_texts(rows: DataFrame, path: str, by: str) -> None:
     rows.select(by, F.col("text").alias("value")).write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
 
 
-def write_run(results: DataFrame, path: str, version: int) -> None:
-    """Results of an evaluation under version=N; earlier versions stay."""
+def claim_version(spark: SparkSession, path: str, version: int | None = None) -> int:
+    """The next version of a folder of runs, or the one asked for, for this writer alone: of writers at the same time each
+    gets its own. A version that is claimed and never committed stays unused."""
+    if version is not None:
+        if not create_once(spark, f"{path}/_claims/{version:09d}"):
+            raise ValueError(f"version {version} of {path} is taken")
+        return version
+    version = max([int(n) for n in names_in(spark, f"{path}/_claims")], default=0) + 1
+    while not create_once(spark, f"{path}/_claims/{version:09d}"):
+        version += 1
+    return version
+
+
+def write_run(results: DataFrame, path: str, version: int | None = None) -> int:
+    """Results of an evaluation under version=N; earlier versions stay. Returns N."""
+    version = claim_version(results.sparkSession, path, version)
     results.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
 
 
 def run_report(stats: DataFrame, title: str) -> DataFrame:
@@ -117,23 +133,34 @@ def run_report(stats: DataFrame, title: str) -> DataFrame:
     return stats.agg(F.concat(F.lit(f"# {title}\n\n| name | value |\n| --- | --- |\n"), rows).alias("text"))
 
 
-RUN_LINES = "artifact string, ord int, line string"
+RUN_LINES = "artifact string, ord long, line string"
 
 
-def write_run_tables(artifacts: DataFrame, path: str, version: int, when: str, label: str) -> str:
-    """One run: its artifacts (artifact, ord, line) as a table for each, and then a row in the table of runs, which vouches
-    for them. Returns the run's name."""
-    run = f"run_v{version:03d}_{when}_{label}"
-    artifacts.select("artifact", "ord", "line").write.mode("overwrite").partitionBy("artifact").parquet(f"{path}/artifacts/run={run}")
-    artifacts.sparkSession.createDataFrame([(run, version, when, label)], "run string, version int, at string, label string").write.mode("append").parquet(f"{path}/runs")
+def write_run_tables(artifacts: DataFrame, path: str, version: int | None, when: str, label: str) -> str:
+    """One run: its artifacts (artifact, ord, line) as a table for each, and then one empty file in the list of runs, which
+    vouches for them: a run whose writer fails before is never read. Without a version the next free one is claimed.
+    Returns the run's name."""
+    spark = artifacts.sparkSession
+    run = f"run_v{claim_version(spark, path, version):03d}_{when}_{label}"
+    artifacts.select("artifact", F.col("ord").cast("long").alias("ord"), "line").write.partitionBy("artifact").parquet(f"{path}/artifacts/run={run}")
+    create_once(spark, f"{path}/_runs/{run}")
     return run
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run, version, at, label of the runs that are whole."""
+    names = spark.createDataFrame([(n,) for n in names_in(spark, f"{path}/_runs")], "run string")
+    part = lambda i: F.regexp_extract("run", r"^run_v(\d+)_([^_]*)_(.*)$", i)
+    return names.select("run", part(1).cast("int").alias("version"), part(2).alias("at"), part(3).alias("label"))
+
+
 def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """run, artifact, ord, line of the run whose name is the last by its text."""
-    name = spark.read.parquet(f"{path}/runs").agg(F.max("run")).first()[0]
-    rows = spark.read.schema(RUN_LINES).parquet(f"{path}/artifacts/run={name}")
-    return rows.select(F.lit(name).alias("run"), "artifact", "ord", "line")
+    """run, artifact, ord, line of the whole run whose name is the last by its text; none: no row."""
+    names = names_in(spark, f"{path}/_runs")
+    if not names:
+        return spark.createDataFrame([], f"run string, {RUN_LINES}")
+    rows = spark.read.schema(RUN_LINES).parquet(f"{path}/artifacts/run={names[-1]}")
+    return rows.select(F.lit(names[-1]).alias("run"), "artifact", "ord", "line")
 
 
 FACTS = "alu_operations array<string>, memory_sizes array<string>, immediate_formats array<string>, writeback_sources array<string>, branch_conditions array<string>"

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import incremental
@@ -69,3 +70,29 @@ def test_facts_spans_and_hierarchy(spark, tmp_path):
     files.write_manifest(files.read_hashes(spark, str(corpus)).filter("slug = 'a'"), manifest)
     _, kids, new = files.hierarchy(spark, str(corpus), manifest)
     assert {r.slug for r in kids.collect()} == {"a", "b"} and {r.slug for r in new.collect()} == {"b"}
+
+
+def test_two_writers_get_two_versions_and_a_torn_run_is_never_read(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quern.sources import files
+    from quern.sources.scratch import Scratch
+
+    at = Scratch(spark).path()
+    lines = lambda label: spark.createDataFrame([("rtl", 0, label)], "artifact string, ord int, line string")
+    assert files.read_latest_run(spark, at).count() == 0
+    with ThreadPoolExecutor(4) as pool:
+        names = list(pool.map(lambda k: files.write_run_tables(lines(f"w{k}"), at, None, "20240101", f"w{k}"), range(4)))
+    runs = {r.run: (r.version, r["at"], r.label) for r in files.read_runs(spark, at).collect()}
+    assert set(runs) == set(names) and sorted(v for v, _, _ in runs.values()) == [1, 2, 3, 4]
+    last = files.read_latest_run(spark, at).collect()
+    assert [(r.run, r.line) for r in last] == [(max(names), runs[max(names)][2])]
+    with pytest.raises(ValueError):
+        files.write_run_tables(lines("again"), at, 2, "20240101", "again")
+    torn = spark.createDataFrame([("rtl", 0, "x")], "artifact string, ord int, line string").selectExpr("artifact", "CAST(raise_error('lost') AS BIGINT) AS ord", "line")
+    with pytest.raises(Exception):  # noqa: B017
+        files.write_run_tables(torn, at, None, "20240109", "torn")
+    assert files.read_latest_run(spark, at).first().run == max(names)
+    assert files.write_run_tables(lines("next"), at, None, "20240110", "next").startswith("run_v006_")
+    results = spark.createDataFrame([(1,)], "x int")
+    assert [files.write_run(results, f"{at}/eval") for _ in range(2)] == [1, 2]
