@@ -9,7 +9,7 @@ from quern.operators import html
 from quern.plans import fixtures as X
 from quern.plans import given as G
 from quern.plans.text_plans import STRIP
-from quern.sources import files
+from quern.sources import fetch, files
 
 
 def table_rules(spark, sf_dir):
@@ -49,7 +49,14 @@ def html_by_hand(spark, sf_dir):
     return out.select("page_id", "ord", "heading_level", "heading_id", "parent_section", F.size("structured_encodings").alias("encodings"), "document_text")
 
 
+def fetched_pages(spark, sf_dir):
+    """Pages by https through the data source: the filter reaches it, and pages without content are rows with an error."""
+    pages = fetch.read_pages(spark, f"{sf_dir}/pages.parquet").filter(F.col("url").startswith("https://"))
+    return pages.select("page_id", "url", F.length("html").alias("n_chars"), F.col("error").isNotNull().alias("failed"))
+
+
 QUERIES = {
+    "fetched_pages": fetched_pages,
     "html_by_hand": html_by_hand,
     "markdown_sections": lambda s, d: C.markdown_sections(G.MARKDOWN.df(s, d)),
     "verilog_blocks": lambda s, d: C.verilog_blocks(G.VERILOG.df(s, d)),
@@ -77,6 +84,7 @@ _flat = _s(r"regexp_replace(c, '\s+', ' ', 'g')")
 _cells = rf"list_transform(rows, lambda r: list_transform(r, lambda c: coalesce(nullif(replace({_flat}, '|', '\|'), ''), ' ')))"
 
 SQL = {
+    "fetched_pages": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars, html IS NULL AS failed FROM pages WHERE starts_with(url, 'https://')",
     "html_by_hand": f"SELECT * FROM {SECTIONS.sql()}",
     "markdown_sections": f"{MD} SELECT * FROM md",
     "divider_document": f"{MD} SELECT slug, md5(string_agg(chr(10) || chr(10) || '---' || chr(10) || '<!-- chunk_id=' || chunk_id || ' | ' || section_title || ' -->' || chr(10) || chr(10) || document_text, '' ORDER BY ord)) AS text_md5 FROM md GROUP BY slug",

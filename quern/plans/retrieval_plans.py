@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import chunkers as C
 from quern.operators import incremental as I
 from quern.operators import retrieval as R
+from quern.operators.latent import latent_embedder
 from quern.plans import fixtures as X
 from quern.plans import given as G
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
@@ -98,6 +99,13 @@ def dense(spark, sf_dir):
     return R.cosine_topk(R.embed(R.children_of(docs(spark, sf_dir)), R.KEY, "text"), R.embed(questions(spark, sf_dir), ("question_id",), "question"))
 
 
+def dense_latent(spark, sf_dir):
+    """The dense search with vectors learnt from the passages themselves."""
+    at = index(spark, sf_dir)
+    learnt = latent_embedder(at.passages, at.terms)
+    return R.cosine_topk(R.embed(at.passages, R.KEY, "text", learnt), R.embed(questions(spark, sf_dir), ("question_id",), "question", learnt))
+
+
 FUSE = X.Inline(
     "list int, question_id int, rank int, parent_id string, title string, text string",
     [
@@ -140,6 +148,7 @@ QUERIES = {
     "cosine_top1_label": cosine_label,
     "vector_store_topk": lambda s, d: R.top_k(vector_store(s, d).hits, R.TOP_CHILDREN),
     "dense_topk": dense,
+    "dense_latent": dense_latent,
     "rrf_fuse": fused,
     "rrf_duplicate_keys": fuse_inline,
     "rrf_dedup": lambda s, d: fuse_inline(s, d, True),
