@@ -11,7 +11,7 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +34,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Generators: more than the trees will let through.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}", re.I),
     "card": re.compile(r"[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{1,7}"),
     "phone": re.compile(r"(?:\([0-9]{1,5}\) ?|00[0-9]{1,3}[ .-]?)[0-9]{4,10}(?:[ ./-][0-9]{2,5}){0,4}|(?:\([0-9]{1,5}\) ?|00[0-9]{1,3}[ .-]?)?[0-9]{2,5}(?:[ ./-][0-9]{2,5}){1,5}"),
@@ -42,9 +42,9 @@ LOOSE = {
     "national_id": re.compile(r"\b(?:[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}|[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]|[0-9]{8}-?[A-Z])\b"),
 }
 #: A secret: what is assigned to a name like these, a run of a known form, or any long run of letters and digits.
-NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|passwd|pwd|credentials?|bearer|authorization)\b[\"']?\s{0,3}(?:[:=]|is)?\s{0,3}[\"']?([^\s\"',;<>]{8,200})", re.I)
-FORMED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9_-]{20,100}|xox[abprs]-[A-Za-z0-9-]{10,100}|AIza[0-9A-Za-z_-]{30,40}|eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,400})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,200}={0,2}")
+NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|passwd|pwd|credentials?|bearer|authorization)\b[\"']?\s{0,3}(?:[:=]|is)?\s{0,3}[\"']?([^\s\"',;<>]{8,})", re.I)
+FORMED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,40}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 HINTS = {
     "email": ("mail", "contact", "write", "reach", "schreib", "correo", "courriel", "kontakt"),
     "ip": ("ip", "host", "server", "address", "ping", "login", "serveur", "adresse"),
@@ -113,9 +113,12 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     # An account number may run on into the words behind it: every part of it up to the end of a group.
     out += [(m.start(), 4, m.start() + g.end()) for m in LOOSE["iban"].finditer(text) for g in GROUP.finditer(m.group()) if g.end() >= 15]
     out += [(m.start(), 5, m.end()) for m in LOOSE["national_id"].finditer(text)]
-    secrets = {m.span(1) for m in NAMED.finditer(text)} | {m.span() for m in FORMED.finditer(text)}
-    secrets |= {m.span() for m in RUN.finditer(text) if any(map(str.isdigit, m.group()))}
-    return out + [(a, 6, b) for a, b in sorted(secrets)]
+    formed = [m.span() for m in FORMED.finditer(text)]
+    secrets = {m.span(1) for m in NAMED.finditer(text)} | {m.span() for m in RUN.finditer(text) if any(map(str.isdigit, m.group()))}
+    # A part of a secret of known form is none of its own.
+    at = [a for a, _ in formed]
+    within = lambda a, b: (k := bisect_right(at, a)) and b <= formed[k - 1][1]
+    return out + [(a, 6, b) for a, b in sorted({x for x in secrets if not within(*x)} | set(formed))]
 
 
 #: Where a sentence may end inside a loose email.
