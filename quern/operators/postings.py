@@ -208,7 +208,9 @@ class Segment:
 def search(blocks: DataFrame, asked: dict[int, list[tuple[str, float]]], avgdl: float, k: int) -> DataFrame:
     """question_id, parent_id, ord, score: of each segment, each question's k best passages of positive score. asked: by
     question, its known terms and their weights, all positive. Each task reads whole segments; nothing is shuffled."""
-    names = sorted({t for ts in asked.values() for t, _ in ts})
+    types, names = "question_id long, parent_id long, ord int, score double", sorted({t for ts in asked.values() for t, _ in ts})
+    if not asked:
+        return blocks.sparkSession.createDataFrame([], types)
     if len(names) <= PUSHED_TERMS:
         wanted = blocks.filter(F.col("term").isin([ALL, *names]))
     else:
@@ -237,4 +239,4 @@ def search(blocks: DataFrame, asked: dict[int, list[tuple[str, float]]], avgdl:
                 c.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["question_id", "parent_id", "ord", "score"])
 
-    return wanted.select(NAMES).mapInArrow(run, "question_id long, parent_id long, ord int, score double")
+    return wanted.select(NAMES).mapInArrow(run, types)
