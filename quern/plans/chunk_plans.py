@@ -55,9 +55,16 @@ def fetched_pages(spark, sf_dir):
     return pages.select("page_id", "url", F.length("html").alias("n_chars"), F.col("error").isNotNull().alias("failed"))
 
 
+def html_from_documents(spark, sf_dir):
+    """Sections of pages that hold the documents' words between headings, a table and a list."""
+    out = html.html_sections(G.PAGES.df(spark, sf_dir))
+    return out.select("page_id", "ord", "section_title", "heading_level", "heading_id", "parent_section", F.md5("document_text").alias("text_md5"))
+
+
 QUERIES = {
     "fetched_pages": fetched_pages,
     "html_by_hand": html_by_hand,
+    "html_from_documents": html_from_documents,
     "markdown_sections": lambda s, d: C.markdown_sections(G.MARKDOWN.df(s, d)),
     "verilog_blocks": lambda s, d: C.verilog_blocks(G.VERILOG.df(s, d)),
     "asm_vectors": lambda s, d: C.asm_vectors(G.ASM.df(s, d)).select("slug", "ord", "macro", "test_id", F.array_join("args", "|").alias("args")),
@@ -86,6 +93,11 @@ _cells = rf"list_transform(rows, lambda r: list_transform(r, lambda c: coalesce(
 SQL = {
     "fetched_pages": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars, html IS NULL AS failed FROM pages WHERE starts_with(url, 'https://')",
     "html_by_hand": f"SELECT * FROM {SECTIONS.sql()}",
+    "html_from_documents": f"""WITH d AS (SELECT doc_id AS page_id, source, lang, {G.WORDS_ONLY.format(all=", 'g'")} AS words FROM documents)
+        SELECT page_id, 0 AS ord, 'Part ' || source AS section_title, 'h2' AS heading_level, source AS heading_id, '' AS parent_section,
+               md5('# Part ' || source || chr(10) || chr(10) || rtrim('The first part of it, ' || words) || chr(10) || chr(10) || chr(10) || '| lang | id |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || page_id || ' |') AS text_md5 FROM d
+        UNION ALL SELECT page_id, 1, lang, 'h4', '', 'Part ' || source,
+               md5('> **Section Context:** Part ' || source || chr(10) || chr(10) || '# ' || lang || chr(10) || chr(10) || 'A second part, that is long enough to stay as a section of its own.' || chr(10) || chr(10) || '- ' || source || chr(10) || '- ' || lang) FROM d""",
     "markdown_sections": f"{MD} SELECT * FROM md",
     "divider_document": f"{MD} SELECT slug, md5(string_agg(chr(10) || chr(10) || '---' || chr(10) || '<!-- chunk_id=' || chunk_id || ' | ' || section_title || ' -->' || chr(10) || chr(10) || document_text, '' ORDER BY ord)) AS text_md5 FROM md GROUP BY slug",
     "verilog_blocks": rf"""WITH l AS (SELECT slug, unnest({_vl}) AS line, generate_subscripts({_vl}, 1) AS i FROM {G.VERILOG.sql()}),

@@ -202,6 +202,10 @@ _legends = """(SELECT chr(10) || chr(10) || '=== ALU_OP ENCODING (canonical —
     || chr(10) || chr(10) || '=== BRANCH funct3 ENCODING (canonical — branch_unit.v MUST use these) ===' || chr(10) || (SELECT string_agg('  3''b' || funct3 || ' = ' || item, chr(10) ORDER BY pos) FROM """ + X.VOCAB.sql() + """ v JOIN """ + X.INSTRUCTIONS.sql() + """ i ON i.mnemonic = 'B' || upper(item) WHERE kind = 'branch'))"""
 _lines = "(SELECT string_agg(line, chr(10) ORDER BY ord) FROM sheet)"
 _task = "Write the module {m}.\nArchitecture: RV32I, XLEN 32, single-cycle, no pipeline registers.\nReset PC: 0x00000000. x0 is zero; JALR clears the lowest bit.\nUse these encodings and no others.\n\n"
+_text = ("mnemonic", "format", "opcode", "funct3", "alu_src_a", "alu_src_b", "mem_extend", "jump_type")
+_columns = "ord mnemonic format opcode funct3 funct7b5 alu_op imm_type writeback mem_size alu_src_a alu_src_b reg_write mem_read mem_write branch jump mem_extend jump_type".split()
+#: Members that are null are left out of the JSON, and of concat_ws.
+_members = ", ".join(f"""'"{c}":"' || {c} || '"'""" if c in _text else f"""'"{c}":' || {c}""" for c in _columns)
 _end = "\n\nAnswer with the module {m} alone, without a test bench."
 OTHER_HEADS = {
     "regfile": "input logic clk|input logic we|input logic [4:0] rs1|input logic [4:0] rs2|input logic [4:0] rd|input logic [31:0] rd_data|output logic [31:0] rd1|output logic [31:0] rd2",
@@ -233,6 +237,9 @@ SQL = {
     "legacy_sheet": f"WITH {_old} SELECT {X.literal(LEGACY_HEAD)} || string_agg(line, chr(10) ORDER BY ord) AS text FROM old",
     "cheatsheet_text": f"WITH {TABLE}, {SHEET} SELECT {X.literal(SHEET_HEAD + '-' * 110)} || chr(10) || {_lines} AS text",
     "cheatsheet_legends": f"WITH {TABLE}, {SHEET} SELECT {X.literal(SHEET_HEAD + '-' * 112)} || chr(10) || {_lines} || {_legends} AS text",
+    "microarch_document": f"""WITH {TABLE}, w AS (SELECT '[' || string_agg('{{' || concat_ws(',', {_members}) || '}}', ',' ORDER BY ord) || ']' AS rows FROM icd),
+        k AS (SELECT kind, '{{"kind":"' || kind || '","width":' || max(width) || ',"encoding":[' || string_agg('{{"code":' || code || ',"item":"' || item || '","binary":"' || "binary" || '"}}', ',' ORDER BY code) || ']}}' AS v FROM enc GROUP BY kind)
+        SELECT '{{"architecture":"RV32I","xlen":32,"vocabularies":[' || (SELECT string_agg(v, ',' ORDER BY kind) FROM k) || '],"instruction_icd":' || rows || '}}' AS document FROM w""",
     "microarch_rows": f"WITH {TABLE} SELECT * FROM icd",
     "immediate_text": f"WITH {ENC} {_imm_text}",
     "table_modules": f"WITH {ARMS}, ct AS ({_control}), im AS ({_imm_text}) SELECT 'control' AS module, md5(text) AS text_md5 FROM ct UNION ALL SELECT 'imm_gen', md5(text) FROM im",

@@ -81,3 +81,8 @@ DOCUMENTS = Given(
     """SELECT 100 + event_id AS id, chr(123) || '"props": ' || props || ', "type": "' || event_type || '", "list": [' || CAST(user_id AS STRING) || ', ' || chr(123) || '"v": [' || CAST(event_id AS STRING) || ', []]' || chr(125) || ', "z"], "none": null'
     || chr(125) AS document FROM {events}""",
 )
+WORDS_ONLY = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' '{all}))"
+_page = """SELECT doc_id AS page_id, '<html><body><nav><h2>Menu of the site</h2></nav><article><h1>Top</h1><h2 id="' || source || '">Part <i>' || source || '</i></h2><p>The <b>first</b> part of it, ' || {words}
+    || '</p><table><tr><th>lang</th><th>id</th></tr><tr><td>' || lang || '</td><td>' || CAST(doc_id AS STRING) || '</td></tr></table><h4>' || lang || '</h4><p>A second part, that is long enough to stay as a section of its own.</p><ul><li>'
+    || source || '</li><li>' || lang || '</li></ul></article></body></html>' AS html FROM {documents}"""
+PAGES = Given(X.Inline("page_id bigint, html string", [(-1, None), (-2, ""), (-3, "<p>no heading</p>")]), _page.replace("{words}", WORDS_ONLY.format(all="")), _page.replace("{words}", WORDS_ONLY.format(all=", 'g'")))

@@ -3,7 +3,7 @@ import pytest
 from quern.plans.registry import QUERIES, SQL
 from tests.oracle import DATA, compare
 
-WITHOUT_SQL = {"dense_latent", "html_sections", "microarch_document"}
+WITHOUT_SQL = {"dense_latent", "html_sections"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
