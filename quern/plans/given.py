@@ -28,8 +28,11 @@ class Given:
     def __post_init__(self) -> None:
         object.__setattr__(self, "by_hand", wide(self.by_hand))
 
-    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        """Without a folder: the rows by hand alone."""
         hand = self.by_hand.df(spark)
+        if sf_dir is None:
+            return hand
         tables = {t: read_table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", self.select)}
         rows = spark.sql(self.select, **tables).toDF(*hand.columns)
         return rows.select(*(rows[f.name].cast(f.dataType) for f in hand.schema)).unionAll(hand)
