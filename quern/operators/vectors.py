@@ -22,8 +22,8 @@ from quern.sources.scratch import Scratch
 MOST_CELLS, ROUNDS = 4096, 4
 #: Scores and bounds are compared with this slack, as sums of doubles depend on their order.
 SLACK = 1e-7
-#: Distances of queries x cells that the driver holds at once, and scores that a task does.
-CELLS_AT_ONCE = 1 << 22
+#: Pairs of query and cell that the driver holds at once, and scores that a task does.
+PAIRS, CELLS_AT_ONCE = 1 << 20, 1 << 22
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -145,36 +145,37 @@ class VectorStore:
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, scratch: Scratch) -> Found:
         """The k best vectors by cosine of each query (ids, and a row of queries each), exactly: first in the nearest cells
         that together hold k vectors, then in every cell whose bound reaches the k-th score found there. A vector or query of
-        norm 0 scores 0."""
-        centroids, n, radius = self.bounds()
+        norm 0 scores 0. Queries go in blocks of PAIRS pairs of query and cell, which is what the driver holds."""
+        bounds = self.bounds()
+        blocks = np.array_split(np.arange(len(ids)), max(1, -(-len(ids) * len(bounds[1]) // PAIRS)))
+        found = [self._searched(ids[rows], queries[rows], k, scratch, *bounds) for rows in blocks]
+        hits = found[0].hits
+        for f in found[1:]:
+            hits = hits.unionByName(f.hits)
+        return Found(hits, sum(f.scored for f in found), sum(f.pairs for f in found))
+
+    def _searched(self, ids: np.ndarray, queries: np.ndarray, k: int, scratch: Scratch, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray) -> Found:
         q, cells = unit(queries), np.flatnonzero(n)
         if not len(cells) or not len(ids):
             return Found(self.spark.createDataFrame([], self._types()), 0, 0)
-        parts = np.array_split(np.arange(len(ids)), -(-len(ids) * len(cells) // CELLS_AT_ONCE))
-        far = lambda rows: np.sqrt(np.maximum((q[rows] ** 2).sum(1)[:, None] - 2 * q[rows] @ centroids[cells].T + (centroids[cells] ** 2).sum(1), 0))
-        near: list[tuple[np.ndarray, np.ndarray]] = []
-        for rows in parts:
-            order = np.argsort(far(rows), axis=1)
-            before = np.cumsum(n[cells][order], axis=1) - n[cells][order]
-            a, b = np.nonzero(before < k)
-            near.append((rows[a], cells[order[a, b]]))
-        first = tuple(np.concatenate(x) for x in zip(*near, strict=True))
-        hits = scratch.write(self._scored(ids, q, *first, k))
+        far = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ centroids[cells].T + (centroids[cells] ** 2).sum(1), 0))
+        order = np.argsort(far, axis=1)
+        before = np.cumsum(n[cells][order], axis=1) - n[cells][order]
+        a, b = np.nonzero(before < k)
+        first = np.zeros(far.shape, bool)
+        first[a, order[a, b]] = True
+        rows, at = np.nonzero(first)
+        hits = scratch.write(self._scored(ids, q, rows, cells[at], k))
         # Every query's nearest cells hold k vectors, if the store does; its k-th score there is one that the k best reach.
-        kth = np.full(len(ids), -np.inf)
-        place = {int(x): i for i, x in enumerate(ids)}
+        kth, place = np.full(len(ids), -np.inf), {int(x): i for i, x in enumerate(ids)}
         nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
         for r in hits.select("question_id", "score", nth.alias("nth")).filter(F.col("nth") == k).collect():
             kth[place[r[0]]] = r[1]
-        done = set(zip(*(x.tolist() for x in first), strict=True))
-        more: list[tuple[int, int]] = []
-        for rows in parts:
-            bound = 1 - np.maximum(far(rows) - radius[cells] - SLACK, 0) ** 2 / 2
-            a, b = np.nonzero(bound >= kth[rows][:, None] - SLACK)
-            more += [x for x in zip(rows[a].tolist(), cells[b].tolist(), strict=True) if x not in done]
-        if more:
-            hits = hits.unionByName(self._scored(ids, q, *(np.array(x) for x in zip(*more, strict=True)), k))
-        return Found(hits, len(done) + len(more), len(ids) * len(cells))
+        bound = 1 - np.maximum(far - radius[cells] - SLACK, 0) ** 2 / 2
+        rows, at = np.nonzero((bound >= kth[:, None] - SLACK) & ~first)
+        if len(rows):
+            hits = hits.unionByName(self._scored(ids, q, rows, cells[at], k))
+        return Found(hits, int(first.sum()) + len(rows), far.size)
 
     def _types(self) -> str:
         return ", ".join(["question_id long", *(f"{c} long" for c in self.key), "score double"])
