@@ -13,6 +13,7 @@ from quern.plans import fixtures as X
 from quern.plans import given as G
 from quern.plans.text_plans import CLEAN, STRIP, TOKENS, docs
 from quern.operators.vectors import VectorStore, matrix
+from quern.sources.files import stream_table
 from quern.sources.scratch import Scratch
 from quern.streaming.ledger import Ledger
 
@@ -59,11 +60,12 @@ def kept_index(spark, sf_dir):
 def ingested(spark, sf_dir):
     """Documents as a stream of sources into a ledger that holds an earlier state of half of them: each document's hash and
     number of passages afterwards, by the last batch that changed it."""
-    scratch, early = Scratch(spark), docs(spark, sf_dir).filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("An earlier state. "), "text")).otherwise(F.col("text")))
+    scratch, earlier = Scratch(spark), F.concat(F.lit("An earlier state. "), F.coalesce("text", F.lit("")))
+    early = docs(spark, sf_dir).filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, earlier).otherwise(F.col("text")))
     hashed = lambda d: d.select(F.col("doc_id").cast("string").alias("slug"), F.md5(F.coalesce("text", F.lit(""))).alias("file_hash"), "doc_id", "source", "text")
     ledger = Ledger(spark, scratch.path(), "slug string, doc_id long, source string, text string")
     ledger.apply(0, hashed(early))
-    stream = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    stream = stream_table(spark, sf_dir, "documents", "doc_id long, text string, lang string, source string, n_chars long")
     ledger.ingest(hashed(stream), scratch.path(), epoch=1).awaitTermination()
     kids = R.children_of(ledger.rows()).groupBy("parent_id").agg(F.count("*").alias("n"))
     last = ledger.manifest().select(F.col("slug").cast("long").alias("doc_id"), "file_hash", (F.col("number") > 0).alias("changed"))

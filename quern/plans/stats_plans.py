@@ -64,7 +64,7 @@ def stream_changed_sources(spark, sf_dir):
 
 def events(spark, sf_dir):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return files.stream_table(spark, sf_dir, "events", schema)
 
 
 def stream_usage(spark, sf_dir):

@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import pytest
 
+from quern.plans.registry import QUERIES
 from quern.sources.scratch import Scratch, create_once
 from quern.streaming import limiter, streams
 from quern.streaming.ledger import Ledger
+from tests.oracle import DATA
 
 BUDGET = limiter.Budget(tokens=100, requests=3, window=60.0, hold=61.0)
 
@@ -87,3 +89,14 @@ def test_one_of_many_makes_a_file(spark):
     path = f"{Scratch(spark).path()}/once"
     with ThreadPoolExecutor(8) as pool:
         assert sum(pool.map(lambda _: create_once(spark, path), range(16))) == 1
+
+
+def test_streams_read_tables_of_parts(spark, tmp_path):
+    """documents and events as folders of parts, and a document without text that an earlier state had."""
+    docs = spark.createDataFrame([(i, None if i == 10 else f"A sentence of document {i} that is long enough to stay. Another one.", "en", "s", 9) for i in range(23)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.changed, r.n_children) for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 2 == 1 or i % 10 == 0, 0 if i == 10 else 1) for i in range(23)}
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["stream_usage"](spark, str(tmp_path)).selectExpr("sum(n)").first()[0] == events.count()
