@@ -74,11 +74,11 @@ def stream_usage(spark, sf_dir):
 
 
 def stream_usage_windows(spark, sf_dir):
-    """Trailing minutes that begin every second, of a stream of event files: for each minute's number of busy windows, the
-    most requests and tokens of one."""
+    """Trailing minutes that begin every second, of a stream of event files: for each user the number of busy windows and the
+    most requests and tokens of one. Each batch writes its sums by second."""
     log = events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", F.floor("value").cast("long").alias("tokens"))
-    out = streams.run_to_end(streams.usage_windows(log), Scratch(spark))
-    return out.groupBy("key").agg(F.count("*").alias("windows"), F.max("requests").alias("most_requests"), F.max("tokens").alias("most_tokens"))
+    parts = streams.run_to_end(log, Scratch(spark), "append", streams.seconds_of)
+    return streams.usage_peaks(streams.seconds_of(parts))
 
 
 #: Users may take so many tokens and requests in twelve hours; given events are hours apart.
