@@ -127,17 +127,30 @@ def last_lines(lines: DataFrame, n: int = 30) -> DataFrame:
     return lines.orderBy(F.desc("seq")).limit(n)
 
 
-def module_levels(edges: DataFrame) -> DataFrame:
+def module_levels(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """module, level of a graph (src, dst: src depends on dst): 0 without dependencies, else one more than the deepest.
-    A recursive query; a cycle ends at Spark's recursion limit with an error."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(module, level) AS (
-          SELECT e.dst, 0 FROM {edges} e LEFT ANTI JOIN {edges} s ON s.src = e.dst WHERE e.dst IS NOT NULL
-          UNION ALL SELECT e.src, w.level + 1 FROM walk w JOIN {edges} e ON e.dst = w.module)
-        SELECT module, max(level) AS level FROM walk GROUP BY module""",
-        edges=edges,
-    )
+    What no leaf is reached from is left out; a cycle above a leaf is an error.
+
+    Two walks, each of which takes an edge once: up from the leaves, to find the edges that lead to one; then off with the
+    modules whose dependencies all have levels, round by round. So the work is that of the edges, however many ways lead to a
+    module, and a round's new modules are a table."""
+    scratch = scratch or Scratch(edges.sparkSession)
+    named = lambda rows, c: rows.select(F.col(c).alias("module")).distinct()
+    taken = lambda rows, of, how: scratch.write(rows.join(of.select(F.col("module").alias("dst")), "dst", how))
+    rest = scratch.write(edges.select("src", "dst").distinct())
+    now = leaves = scratch.write(named(rest.filter("dst IS NOT NULL"), "dst").subtract(named(rest, "src")))
+    left = rest.limit(0)
+    while not now.isEmpty():
+        used, rest = taken(rest, now, "left_semi"), taken(rest, now, "left_anti")
+        left, now = left.unionByName(used), scratch.write(named(used, "src"))
+    level, now, left, out = 0, leaves, scratch.write(left), leaves.withColumn("level", F.lit(0))
+    while not left.isEmpty():
+        rest = taken(left, now, "left_anti")
+        level, now = level + 1, scratch.write(named(left, "src").subtract(named(rest, "src")))
+        if now.isEmpty():
+            raise ValueError(f"a cycle among the modules, or above it: {sorted(str(r[0]) for r in named(rest, 'src').limit(5).collect())}")
+        out, left = out.unionAll(now.withColumn("level", F.lit(level))), rest
+    return out
 
 
 def listing(rows: DataFrame, *by: str, first: int) -> DataFrame:
