@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, lower_ascii, pack, table, unpack
 
-#: Tokens of a rule at most, and tokens of one transaction at most: so an itemset's subsets are bounded.
+#: Tokens of a rule at most, and tokens of one transaction of FP-growth at most: so an itemset's subsets are bounded. Wider
+#: urls become several transactions that together hold every LONGEST of their tokens.
 LONGEST, WIDEST = 3, 12
 #: Parts in which the urls of one token meet the rules filed under it.
 SALTS = 8
@@ -68,22 +69,41 @@ def met(rows: DataFrame, index: DataFrame, name: str) -> DataFrame:
     return dealt.join(index, ["token", "salt"]).filter(F.size(F.array_intersect("tokens", name)) == F.size(name)).drop("token", "salt")
 
 
+def transactions(rows: DataFrame, longest: int, widest: int = WIDEST) -> DataFrame:
+    """items: tokens of each row (tokens, without repeats) in transactions of `widest` at most, such that any `longest` tokens
+    of a row are together in one. A wider row is cut into chunks of widest / longest, and every `longest` chunks are one
+    transaction."""
+    width = max(1, widest // longest)
+    n = F.ceil(F.size("tokens") / width).cast("int")
+    chunk = lambda i: F.slice("tokens", i * width + 1, F.lit(width))
+    whole = rows.filter(F.size("tokens") <= longest * width).select(F.col("tokens").alias("items"))
+    wide = rows.filter(F.size("tokens") > longest * width).select("tokens", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("items"))
+    for k in range(longest):
+        wide = wide.select("tokens", "items", F.explode(F.sequence(F.col("last") + 1, n - (longest - k))).alias("last")).select("tokens", "last", F.concat("items", chunk(F.col("last"))).alias("items"))
+    return whole.unionByName(wide.select("items"))
+
+
 def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_rows: int = 20, min_confidence: float = 0.9, min_odds: float = 2.0, longest: int = LONGEST) -> DataFrame:
     """Rules (antecedent array<string>, confidence, lift, support) that say bad, from (tokens array<string>, bad boolean).
 
     FP-growth over the bad rows gives the candidates: itemsets of up to `longest` tokens on `min_rows` bad rows, however many
     rows there are. Each candidate is then counted over all rows, through an index by its rarest token. A rule multiplies the
-    odds of bad by `min_odds` at least, which a sure one does at any share of bad rows. A url of more than WIDEST tokens
-    gives candidates from pieces of so many, in order of the tokens' names; it is counted whole. No rows, or all or none bad: no
-    rules.
+    odds of bad by `min_odds` at least, which a sure one does at any share of bad rows. Tokens on fewer bad rows are in no
+    candidate and are left out of what FP-growth reads; a url that still has more than WIDEST gives transactions that together
+    hold every `longest` of its tokens, so no candidate is lost, and what they count twice the count over all rows sets right. No rows, or
+    all or none bad: no rules.
     """
     spark = labelled.sparkSession
     rows = scratch.write(labelled.filter(F.size("tokens") > 0).select(F.array_sort("tokens").alias("tokens"), "bad"))
     n, n_bad = rows.agg(F.count("*"), F.count_if(F.col("bad"))).first()
     if n_bad in (0, n):
         return spark.createDataFrame([], RULE)
-    pieces = F.transform(F.sequence(F.lit(0), (F.size("tokens") - 1).cast("int"), F.lit(WIDEST)), lambda i: F.slice("tokens", i + 1, F.lit(WIDEST)))
-    bad = scratch.write(rows.filter("bad").select(F.explode(pieces).alias("items")))
+    one = rows.filter("bad").select(F.monotonically_increasing_id().alias("row"), "tokens")
+    often = one.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    left = one.select("row", F.explode("tokens").alias("token")).join(often.select("token"), "token").groupBy("row").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    bad = scratch.write(transactions(left, longest))
+    if bad.isEmpty():
+        return spark.createDataFrame([], RULE)
     fp = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_rows - 0.5) / bad.count()), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.write(fp.fit(bad).freqItemsets.filter(F.size("items") <= longest).select(F.array_sort("items").alias("antecedent"), "freq"))
     counts = found.filter(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("token"), F.col("freq").alias("n"))

@@ -103,6 +103,25 @@ def test_mined_rules_against_brute_force(spark):
         assert left == {c for c in want if not any(set(d) < set(c) and want[d] >= want[c] for d in want)}
 
 
+def test_rules_of_wide_urls_are_whole(spark):
+    """The tokens of a rule stand far apart in urls of 40 tokens, all of them frequent."""
+    many = [f"t{i:02}" for i in range(40)]
+    rows = [(many, True)] * 12 + [(["t00", "t39"], True)] * 12 + [(["t05", "t20", "t38"], True)] * 12 + [([t], False) for t in many for _ in range(40)]
+    rows += [(["t05", "t20"], False), (["t20", "t38"], False), (["t05", "t38"], False)] * 40 + [([t], True) for t in many for _ in range(20)]
+    got = {tuple(x.antecedent) for x in url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), Scratch(spark)).collect()}
+    assert got == {("t00", "t39"), ("t05", "t20", "t38")}
+
+
+def test_transactions_hold_all_of_few_tokens(spark):
+    from itertools import combinations
+
+    for n in (1, 11, 12, 13, 16, 17, 30):
+        row = [f"t{i:02}" for i in range(n)]
+        got = [r["items"] for r in url_rules.transactions(spark.createDataFrame([(row,)], "tokens array<string>"), 3).collect()]
+        assert all(len(set(x)) == len(x) <= url_rules.WIDEST for x in got)
+        assert {c for x in got for c in combinations(sorted(x), min(3, n))} == set(combinations(row, min(3, n)))
+
+
 def test_explicit_verdicts_are_labels(spark):
     rows = [(i, f"http://a{i % 3}.{'net' if i % 2 else 'org'}/{'es' if i % 3 else 'en'}/{i}") for i in range(300)]
     pages, none = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
