@@ -136,6 +136,13 @@ class Term:
     def __init__(self) -> None:
         self.blocks: list[tuple[np.ndarray, np.ndarray, float]] = []
         self.all: tuple[np.ndarray, np.ndarray] | None = None
+        self.edges: tuple[np.ndarray, np.ndarray] | None = None
+
+    def outline(self) -> tuple[np.ndarray, np.ndarray]:
+        """First passages and bounds of the blocks."""
+        if self.edges is None:
+            self.edges = np.array([b[0][0] for b in self.blocks]), np.array([b[2] for b in self.blocks])
+        return self.edges
 
     def whole(self, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.all is None:
@@ -187,13 +194,15 @@ class Segment:
         for j in range(j, len(lists)):
             docs = docs[scores[docs] + ahead[j] >= kth - SLACK]
             _, _, w, t = lists[j]
-            at = np.searchsorted([b[0][0] for b in t.blocks], docs, "right") - 1
-            could = (at >= 0) & (scores[docs] + w * np.array([b[2] for b in t.blocks])[at] + ahead[j + 1] >= kth - SLACK)
-            wanted = np.unique(at[could]).tolist()
-            self.read, self.skipped = self.read + len(wanted), self.skipped + len(t.blocks) - len(wanted)
-            for i in wanted:
-                block, tfs, _ = t.blocks[i]
-                mine = docs[could & (at == i)]
+            firsts, bounds = t.outline()
+            at = np.searchsorted(firsts, docs, "right") - 1
+            could = (at >= 0) & (scores[docs] + w * bounds[at] + ahead[j + 1] >= kth - SLACK)
+            chosen, at = docs[could], at[could]  # both in ascending order, so that a block's passages lie together
+            cuts = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
+            self.read, self.skipped = self.read + len(cuts) - 1, self.skipped + len(t.blocks) - len(cuts) + 1
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                block, tfs, _ = t.blocks[at[a]]
+                mine = chosen[a:b]
                 place = np.minimum(np.searchsorted(block, mine), len(block) - 1)
                 there = block[place] == mine
                 mine, tf = mine[there], tfs[place[there]]

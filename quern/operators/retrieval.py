@@ -179,7 +179,8 @@ def bm25_topk(index: Index, questions: DataFrame, k: int = BM25_FETCH, floor: fl
     question term counts again; unknown terms count 0; ties, and passages that match nothing, come in order of their keys.
     Questions without id or text are left out.
 
-    The stored postings of the asked terms are searched, and no passage is tokenized. If a weight isn't positive, which only
+    The stored postings of the asked terms are searched, once, as hits are written down before they are read three times; no
+    passage is tokenized. If a weight isn't positive, which only
     `floor=None` or a corpus of few passages allows, bounds don't hold and the passages are scanned instead."""
     spark, weights, out = questions.sparkSession, index.weights(floor), None
     asked_rows = questions.filter("question_id IS NOT NULL AND question IS NOT NULL").select("question_id", "question")
@@ -192,17 +193,19 @@ def bm25_topk(index: Index, questions: DataFrame, k: int = BM25_FETCH, floor: fl
         idf, avgdl = dict(zip(known["term"], known["idf"], strict=True)), (known["avgdl"] or [1.0])[0]
         if all(x > 0 for x in idf.values()):
             terms = {q: [(t, n * idf[t] * (K1 + 1)) for t, n in Counter(ts).items() if t in idf] for q, ts in zip(ids.tolist(), asked, strict=True)}
-            found = filled(P.search(index.blocks, terms, avgdl, k), index.passages, ids.tolist(), k)
+            found = filled(Scratch(spark).write(P.search(index.blocks, terms, avgdl, k)), index.blocks, ids.tolist(), k)
         else:
             found = scan(index.passages, "text", ids, _bm25(asked, vocabulary, idf, avgdl), k)
         out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
 
-def filled(hits: DataFrame, passages: DataFrame, ids: list[int], k: int) -> DataFrame:
-    """Hits with the first passages by key added, of score 0, where they are no hits already: what fills up questions that
-    fewer than k passages match. k + k rows a question are enough, whatever the corpus."""
-    first = [tuple(r) for r in passages.filter("text IS NOT NULL AND parent_id IS NOT NULL").select(*KEY).orderBy(*KEY).limit(2 * k).collect()]
+def filled(hits: DataFrame, blocks: DataFrame, ids: list[int], k: int) -> DataFrame:
+    """Hits (a table that has been written) with the first passages by key of the segments added, of score 0, where they are
+    no hits already: what fills up questions that fewer than k passages match. k + k rows a question are enough, whatever
+    the corpus."""
+    keys = blocks.filter(F.col("term") == ALL).select(F.inline(F.arrays_zip(F.col("parents").alias("parent_id"), F.col("ords").alias("ord"))))
+    first = [tuple(r) for r in keys.filter("parent_id IS NOT NULL").orderBy(*KEY).limit(2 * k).collect()]
     few = hits.groupBy("question_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     spark = hits.sparkSession
     lacking = spark.createDataFrame(pa.table({"question_id": pa.array(ids, pa.int64())})).join(few, "question_id", "left_anti")

@@ -108,6 +108,25 @@ def test_replaced_keeps_segments_and_counts(spark, monkeypatch):
         assert sorted((r["rank"], r.parent_id, r.ord, r.score) for r in got) == by_hand(rows, question, 10)
 
 
+def test_segments_are_searched_once(spark, monkeypatch):
+    """Each segment counts itself where it is searched."""
+    index = R.Index.build(frame(spark, corpus(300)).coalesce(1), Scratch(spark))
+    met, search = spark.sparkContext.accumulator(0), P.search
+
+    def counted(*args):
+        def run(batches):
+            for b in batches:
+                met.add(b.num_rows)
+                yield b
+
+        out = search(*args)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(P, "search", counted)
+    R.bm25_topk(index, spark.createDataFrame([(1, "w1 w2"), (2, "none")], "question_id long, question string"), 5).collect()
+    assert met.value == 5
+
+
 def test_an_empty_index(spark):
     index = R.Index.build(frame(spark, []), Scratch(spark))
     assert R.bm25_topk(index, spark.createDataFrame([(1, "a b")], "question_id long, question string")).count() == 0
