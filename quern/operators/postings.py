@@ -9,6 +9,8 @@ left out. Search reads the blocks of its terms only; no text is tokenized again.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.memory import give_back
 from quern.sources.scratch import Scratch
 
 K1, B = 1.5, 0.75
 #: Passages of a segment, and postings of a block.
 SEGMENT_PASSAGES, BLOCK = 16_384, 128
+#: Tokens at which a segment is full, too, and passages that are added to it at once.
+SEGMENT_TOKENS, STEP = 1 << 21, 64
 #: Segments that one task can number.
 TASK_SEGMENTS = 1 << 20
 #: The row of a segment that holds its passages; no token is empty.
@@ -42,20 +47,49 @@ ARROW = pa.schema(
 )
 
 
+class Filling:
+    """A segment as its passages come: their terms by number, so that no text is held."""
+
+    def __init__(self) -> None:
+        self.vocabulary: defaultdict[str, int] = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.parents, self.ords, self.dls, self.terms = array("q"), array("i"), array("i"), array("i")
+
+    def add(self, parents: list[int], ords: list[int], texts: list[str]) -> None:
+        find, number = re.compile(T.TOKEN).findall, self.vocabulary.__getitem__
+        self.parents.extend(parents)
+        self.ords.extend(ords)
+        for text in texts:
+            tokens = find(text.lower())
+            self.dls.append(len(tokens))
+            self.terms.extend(map(number, tokens))
+
+
 def segment_rows(segment: int, parents: np.ndarray, ords: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+    """The rows of one segment."""
+    held = Filling()
+    held.add(parents.tolist(), ords.tolist(), texts)
+    return rows_of(segment, held)
+
+
+def rows_of(segment: int, held: Filling) -> pa.RecordBatch:
     """The rows of one segment; its passages are numbered in the order of their keys."""
+    parents, ords, dls, vocabulary = np.array(held.parents, np.int64), np.array(held.ords, np.int64), np.array(held.dls, np.int64), held.vocabulary
     order = np.lexsort((ords, parents))
-    parents, ords = parents[order], ords[order]
-    find, vocabulary, terms, dls = re.compile(T.TOKEN).findall, {}, [], np.zeros(len(order), np.int64)
-    for doc, i in enumerate(order.tolist()):
-        tokens = find(texts[i].lower())
-        dls[doc] = len(tokens)
-        terms += [vocabulary.setdefault(t, len(vocabulary)) for t in tokens]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    vocabulary.default_factory = None  # it holds the table that holds it
     names = sorted(vocabulary)
     place = np.empty(len(names), np.int64)
     place[[vocabulary[t] for t in names]] = np.arange(len(names))
-    both, tf = np.unique(place[np.array(terms, np.int64)] * len(order) + np.repeat(np.arange(len(order)), dls), return_counts=True)
+    both = place[np.array(held.terms, np.int32)]  # one array of the postings' size, changed in place
+    both *= len(order)
+    both += np.repeat(number, dls)
+    both.sort()
+    runs = np.flatnonzero(np.diff(both, prepend=-1))
+    both, tf = both[runs], np.diff(runs, append=len(both))
     term, doc = np.divmod(both, max(1, len(order)))
+    parents, ords, dls = parents[order], ords[order], dls[order]
     first = np.searchsorted(term, np.arange(len(names)))
     block = (np.arange(len(term)) - first[term]) // BLOCK
     starts = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | np.diff(block, prepend=-1).astype(bool))
@@ -72,22 +106,24 @@ def segment_rows(segment: int, parents: np.ndarray, ords: np.ndarray, texts: lis
 
 def segments(passages: DataFrame, first: int = 0, size: int = SEGMENT_PASSAGES) -> DataFrame:
     """SCHEMA of passages (parent_id, ord, text; without null): each task cuts what it reads into segments, numbered from
-    `first` on."""
+    `first` on. A segment is full at `size` passages or at SEGMENT_TOKENS tokens, whatever comes first, so that a task holds
+    as much for wide passages as for many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], first + TaskContext.get().partitionId() * TASK_SEGMENTS
+        held, number = Filling(), first + TaskContext.get().partitionId() * TASK_SEGMENTS
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                held.append(batch.slice(at, 1024))
-                if sum(b.num_rows for b in held) + 1024 > size:
-                    yield made(number, held)
-                    held, number = [], number + 1
-        if held:
-            yield made(number, held)
-
-    def made(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        return segment_rows(number, t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64), t.column(2).to_pylist())
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                held.add(*(part.column(j).to_pylist() for j in range(3)))
+                whole = (at + STEP) % 1024 == 0 or at + STEP >= batch.num_rows
+                if whole and len(held.dls) + 1024 > size or len(held.terms) >= SEGMENT_TOKENS:
+                    yield rows_of(number, held)
+                    held, number = Filling(), number + 1
+                    give_back()
+        if held.dls:
+            yield rows_of(number, held)
+            held = None
+            give_back()
 
     return passages.filter("text IS NOT NULL AND parent_id IS NOT NULL").select(F.col("parent_id").cast("long"), F.col("ord").cast("int"), "text").mapInArrow(run, SCHEMA)
 
@@ -234,10 +270,13 @@ def search(blocks: DataFrame, asked: dict[int, list[tuple[str, float]]], avgdl:
                 if at is not None and number[a] != at:
                     yield found(held)
                     held = Segment(avgdl)
+                    give_back()
                 at = int(number[a])
                 held.add(batch.slice(a, b - a))
         if at is not None:
             yield found(held)
+            held = None
+            give_back()
 
     def found(held: Segment) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[], [], [], []]

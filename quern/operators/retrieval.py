@@ -9,10 +9,10 @@ search to vectors: each task passes on its k best a question, so no posting and
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import md5
 from typing import Protocol
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.functions.memory import give_back
 from quern.operators import incremental
 from quern.operators import postings as P
 from quern.sources.scratch import Scratch
@@ -34,6 +35,10 @@ MAX_PARENT_CHARS, MAX_INPUT_TOKENS, OVERHEAD_TOKENS = 6000, 5500, 60
 QUERY_BLOCK_BYTES = 64 << 20
 #: Scores of questions x passages that a task holds at once.
 SCORE_CELLS = 1 << 21
+#: Passages whose scores are all compared at once, and texts that are embedded at once.
+OFFERED, TEXTS = 1024, 1024
+#: Tokens whose places a task remembers.
+KNOWN_TOKENS = 1 << 17
 #: Keys of hits are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 #: What names a passage: its document and its place in it.
@@ -129,7 +134,31 @@ class Best:
         self.k, self.scores, self.keys = k, np.empty((questions, 0)), [np.empty((questions, 0), np.int64) for _ in range(keys)]
 
     def offer(self, scores: np.ndarray, keys: list[np.ndarray]) -> None:
-        """scores: questions x passages, the passages in ascending order of their keys."""
+        """scores: questions x passages, the passages in ascending order of their keys. Once k are held, only what can enter
+        is looked at."""
+        if scores.shape[1] > OFFERED and not self._few(scores, keys):
+            for a in range(0, scores.shape[1], OFFERED):
+                self.offer(scores[:, a : a + OFFERED], [x[a : a + OFFERED] for x in keys])
+        elif scores.shape[1] <= OFFERED and not self._few(scores, keys):
+            self._all(scores, keys)
+
+    def _few(self, scores: np.ndarray, keys: list[np.ndarray]) -> bool:
+        """Takes what reaches the k-th score; False if nothing was done, as that is too much or fewer than k are held."""
+        if self.scores.shape[1] < self.k or not self.scores.size or not np.isfinite(self.scores[:, -1]).all():
+            return False
+        rows, cols = np.nonzero(scores >= np.round(self.scores[:, -1:], 9) - 1e-9)  # nothing that rounds to it is left out
+        if len(rows) * 8 > scores.size:
+            return False
+        if len(rows):
+            n = len(self.scores)
+            q, s = np.append(np.repeat(np.arange(n), self.k), rows), np.append(self.scores.ravel(), scores[rows, cols])
+            ks = [np.append(old.ravel(), k[cols]) for old, k in zip(self.keys, keys, strict=True)]
+            order = np.lexsort((*ks[::-1], -np.round(s, 9), q))
+            take = order[np.searchsorted(q[order], np.arange(n))[:, None] + np.arange(self.k)]
+            self.scores, self.keys = s[take], [k[take] for k in ks]
+        return True
+
+    def _all(self, scores: np.ndarray, keys: list[np.ndarray]) -> None:
         scores = np.where(np.isnan(scores), -np.inf, scores)
         r, n = np.round(scores, 9), scores.shape[1]
         cols = np.broadcast_to(np.arange(n), scores.shape)
@@ -157,6 +186,7 @@ def scan(passages: DataFrame, value: str, ids: np.ndarray, scorer: Callable[[lis
                 keys = [part.column(j).to_numpy().astype(np.int64) for j in range(len(key))]
                 order = np.lexsort(keys[::-1])
                 best.offer(scorer(part.column(len(key)))[:, order], [x[order] for x in keys])
+            give_back()
         n = best.scores.shape[1]
         if n:
             cols = [pa.array(np.repeat(ids, n)), *(pa.array(x.ravel()) for x in best.keys), pa.array(best.scores.ravel())]
@@ -272,6 +302,20 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Places(dict):
+    """Token to twice its place, and one more where it takes away."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        h = md5(token.encode()).hexdigest()
+        code = int(h[:8], 16) % self.dim * 2 + (h[8] >= "8")
+        if len(self) < KNOWN_TOKENS:
+            self[token] = code
+        return code
+
+
 class HashingEmbedder:
     """Deterministic default: each token adds one to, or takes one from, a place told by its md5."""
 
@@ -279,18 +323,21 @@ class HashingEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         find, out = re.compile(T.TOKEN).findall, np.zeros((len(texts), self.dim))
-
-        @lru_cache(1 << 18)
-        def place(token: str) -> tuple[int, int]:
-            h = md5(token.encode()).hexdigest()
-            return int(h[:8], 16) % self.dim, 1 if h[8] < "8" else -1
-
-        for i, t in enumerate(texts):
-            for token in find((t or "").lower()):
-                j, sign = place(token)
-                out[i, j] += sign
+        place = self.__dict__.setdefault("places", Places(self.dim)).__getitem__
+        for at in range(0, len(texts), TEXTS):
+            codes, sizes = array("i"), []
+            for t in texts[at : at + TEXTS]:
+                tokens = find((t or "").lower())
+                sizes.append(len(tokens))
+                codes.extend(map(place, tokens))
+            codes = np.array(codes, np.int64)
+            cells = np.repeat(np.arange(len(sizes)) * self.dim, sizes) + codes // 2
+            out[at : at + TEXTS] = np.bincount(cells, 1 - 2 * (codes % 2), minlength=len(sizes) * self.dim).reshape(-1, self.dim)
         return out
 
+    def __getstate__(self) -> dict:
+        return {}
+
 
 def embed(rows: DataFrame, key: tuple[str, ...], text_col: str, embedder: Embedder | None = None) -> DataFrame:
     """(`key`, embedding array<double>)."""
@@ -305,15 +352,21 @@ def embed(rows: DataFrame, key: tuple[str, ...], text_col: str, embedder: Embedd
     return out.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema[:n]), "embedding array<double>"]))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_CHILDREN, key: tuple[str, ...] = KEY) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_CHILDREN, key: tuple[str, ...] = KEY, embedder: Embedder | None = None) -> DataFrame:
     """question_id, rank, `key`, score: exact cosine of queries (question_id, embedding) to vectors (`key`, embedding). A
-    vector of norm 0 scores 0; rows without vector are left out."""
+    vector of norm 0 scores 0; rows without vector are left out. With an embedder, `vectors` are texts (`key`, text) that
+    become vectors where they are scored, some at a time: no vector leaves its task, and a task is one Python process."""
     out = None
+    if embedder is None:
+        value, of = "embedding", lambda v: v.flatten().to_numpy().astype(float).reshape(len(v), -1)
+    else:
+        value, of = "text", lambda v: embedder(v.to_pylist())
+        vectors = vectors.select(*key, F.coalesce("text", F.lit("")).alias("text"))
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     for block in blocks_of(queries.filter("question_id IS NOT NULL AND embedding IS NOT NULL").select("question_id", "embedding"), F.size("embedding") * 8):
         ids, flat = block.column(0).to_numpy().astype(np.int64), block.column(1).combine_chunks().flatten().to_numpy().astype(float)
         q = unit(flat.reshape(len(ids), -1)) if len(ids) else flat.reshape(0, 1)
-        found = scan(vectors, "embedding", ids, lambda v, q=q: q @ unit(v.flatten().to_numpy().astype(float).reshape(len(v), -1)).T, k, key)
+        found = scan(vectors, value, ids, lambda v, q=q: q @ unit(of(v)).T, k, key)
         out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
@@ -389,7 +442,8 @@ def expanded(questions: DataFrame, expander: QueryExpander) -> DataFrame:
 def both_lists(index: Index, questions: DataFrame, scratch: Scratch, embedder: Embedder | None = None, expander: QueryExpander | None = None) -> tuple[DataFrame, DataFrame]:
     """Hits with their passages: of the cosine search with the expanded questions, and of BM25 with the questions."""
     asked = expanded(questions, expander) if expander else questions
-    dense = cosine_topk(embed(index.passages, KEY, "text", embedder), embed(asked, ("question_id",), "question", embedder))
+    embedder = embedder or HashingEmbedder()
+    dense = cosine_topk(index.passages, embed(asked, ("question_id",), "question", embedder), embedder=embedder)
     return with_passages(dense, index.passages, scratch), with_passages(bm25_topk(index, questions), index.passages, scratch)
 
 

@@ -104,7 +104,7 @@ def vector_store(spark, sf_dir):
 
 
 def dense(spark, sf_dir):
-    return R.cosine_topk(R.embed(R.children_of(docs(spark, sf_dir)), R.KEY, "text"), R.embed(questions(spark, sf_dir), ("question_id",), "question"))
+    return R.cosine_topk(R.children_of(docs(spark, sf_dir)), R.embed(questions(spark, sf_dir), ("question_id",), "question"), embedder=R.HashingEmbedder())
 
 
 def dense_latent(spark, sf_dir):

@@ -130,6 +130,17 @@ def test_prompts_of_questions_without_parents(spark):
     assert r.n_parents == 0 and r.user_content == "CONTEXT:\n\n\nQUESTION: why"
 
 
+def test_texts_become_vectors_where_they_are_scored(spark):
+    """One Python step, the same result as from vectors that were made before, a null text as an empty one."""
+    texts = spark.createDataFrame([(i, i % 3, f"w{i % 11} w{i % 5} w{i % 5} other" if i % 10 else None) for i in range(3000)], "parent_id long, ord int, text string")
+    embedder = retrieval.HashingEmbedder()
+    q = retrieval.embed(texts.filter("parent_id < 12").select(F.col("parent_id").alias("question_id"), "text"), ("question_id",), "text", embedder)
+    got = retrieval.cosine_topk(texts, q, 4, embedder=embedder)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = retrieval.cosine_topk(retrieval.embed(texts, retrieval.KEY, "text", embedder), q, 4)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 48
+
+
 def test_cosine_in_blocks_gives_the_same(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "child_id long, embedding array<double>")
     q = v.filter("child_id < 9").select(F.col("child_id").alias("question_id"), "embedding")

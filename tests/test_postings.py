@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
@@ -127,6 +128,24 @@ def test_segments_are_searched_once(spark, monkeypatch):
     assert met.value == 5
 
 
+def test_wide_passages_make_segments_of_as_many_tokens(spark, monkeypatch):
+    """A segment ends at a number of tokens, too, and nothing is lost where it does."""
+    rows = [(i, 0, "t", " ".join(f"w{i % 7} x" for _ in range(50))) for i in range(200)]
+    monkeypatch.setattr(P, "SEGMENT_TOKENS", 1000)
+    index = R.Index.build(frame(spark, rows).coalesce(1), Scratch(spark))
+    assert sorted(r.n for r in index.blocks.filter("term = ''").collect()) == [8, 64, 64, 64]
+    assert {r.term: r.df for r in index.terms.collect()} == {"": 200, "x": 200} | {f"w{k}": len(range(k, 200, 7)) for k in range(7)}
+
+
+def test_a_segment_that_is_done_leaves_nothing():
+    """No cycle keeps its vocabulary until the collector comes."""
+    held = P.Filling()
+    held.add([1, 2], [0, 0], ["a b a", "b c"])
+    vocabulary = held.vocabulary
+    P.rows_of(0, held)
+    assert dict(vocabulary) == {"a": 0, "b": 1, "c": 2} and vocabulary not in gc.get_referents(*gc.get_referents(vocabulary))
+
+
 def test_an_empty_index(spark):
     index = R.Index.build(frame(spark, []), Scratch(spark))
     assert R.bm25_topk(index, spark.createDataFrame([(1, "a b")], "question_id long, question string")).count() == 0
