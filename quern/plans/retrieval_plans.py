@@ -109,9 +109,10 @@ def dense(spark, sf_dir):
 
 def dense_latent(spark, sf_dir):
     """The dense search with vectors learnt from the passages themselves."""
-    at = index(spark, sf_dir)
-    learnt = latent_embedder(at.passages, at.terms)
-    return R.cosine_topk(R.embed(at.passages, R.KEY, "text", learnt), R.embed(questions(spark, sf_dir), ("question_id",), "question", learnt))
+    scratch = Scratch(spark)
+    passages = scratch.write(R.children_of(docs(spark, sf_dir)))
+    learnt = latent_embedder(passages, scratch.write(R.term_counts(passages)), scratch=scratch)
+    return R.cosine_topk(passages, R.embed(questions(spark, sf_dir), ("question_id",), "question", learnt), embedder=learnt)
 
 
 FUSE = X.Inline(

@@ -33,6 +33,30 @@ def test_vectors_span_what_the_svd_does(spark):
     assert np.linalg.norm(a - one(plain) @ one.vectors.T) < 1.05 * np.sqrt((s[6:] ** 2).sum())
 
 
+def test_dense_and_rare_terms_add_up_to_the_same_product():
+    r = np.random.default_rng(5)
+    a = np.where(r.random((300, 50)) < np.geomspace(0.5, 0.003, 50), r.random((300, 50)), 0.0)
+    row, term = np.nonzero(a)
+    x, m, total = latent.Weights(row, term, a[row, term], 300), r.random((50, 4)), np.ones((50, 4))
+    assert 0 < len(x.head) < 50 and len(x.term)
+    x.back(x.times(m), total)
+    assert np.allclose(x.times(m), a @ m) and np.allclose(total, 1 + a.T @ (a @ m))
+
+
+def test_texts_are_read_once(spark):
+    """Not once a pass: each text counts itself where it is read."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(texts(60), "parent_id long, ord int, title string, text string")
+    latent.latent_embedder(frame.select("text").mapInArrow(counted, "text string"), R.term_counts(frame), dim=4)
+    assert met.value == 62
+
+
 def agreement(vectors: np.ndarray, labels: list[str]) -> float:
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
     near = v @ v.T
