@@ -29,6 +29,8 @@ K1, B = 1.5, 0.75
 SEGMENT_PASSAGES, BLOCK = 16_384, 128
 #: Tokens at which a segment is full, too, and passages that are added to it at once.
 SEGMENT_TOKENS, STEP = 1 << 21, 64
+#: Segments whose marks of passages that are gone (2 KB each) are broadcast; those of more are joined by a shuffle.
+BROADCAST_SEGMENTS = 32_768
 #: Segments that one task can number.
 TASK_SEGMENTS = 1 << 20
 #: The row of a segment that holds its passages; no token is empty.
@@ -149,21 +151,24 @@ def without(blocks: DataFrame, parents: DataFrame, scratch: Scratch) -> tuple[Da
     are written again, in the same numbers of passages, and are also given by number. A passage that is gone keeps its number
     with length 0 and no key, and its postings are left out; bounds of blocks stay bounds."""
     keys = blocks.filter(F.col("term") == ALL).select("segment", F.posexplode("parents").alias("doc", "parent_id"))
-    dead = scratch.write(keys.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").select("segment", "doc"))
-    hit = [r[0] for r in dead.select("segment").distinct().collect()]  # a number for each segment that changes
+    bit = F.when(F.col("gone"), F.expr("shiftleft(1L, doc & 63)")).otherwise(F.lit(0).cast("long"))
+    words = keys.join(parents.select("parent_id").distinct().withColumn("gone", F.lit(True)), "parent_id", "left").groupBy("segment", F.shiftright("doc", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    by = words.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select("segment", F.col("w.bits").alias("gone"))
+    dead = scratch.write(by.filter(F.exists("gone", lambda x: x != 0)))
+    hit = [r[0] for r in dead.select("segment").collect()]  # a number for each segment that changes
     if not hit:
         return blocks, []
-    some = blocks.filter(F.col("segment").isin(hit))
-    entry = some.filter(F.col("term") != ALL).select("segment", "term", "block", "max_tf", "min_dl", F.explode(F.arrays_zip("docs", "tfs")).alias("e")).select("*", F.col("e.docs").alias("doc"), F.col("e.tfs").alias("tf"))
-    left = entry.join(dead, ["segment", "doc"], "left_anti").groupBy("segment", "term", "block").agg(F.first("max_tf").alias("max_tf"), F.first("min_dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("doc", "tf"))).alias("e"))
-    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-    again = left.select("segment", "term", "block", F.size("e").alias("n"), F.col("e.doc").alias("docs"), F.col("e.tf").alias("tfs"), "max_tf", "min_dl", none("bigint").alias("parents"), none("int").alias("ords"), none("int").alias("dls"))
-    gone = dead.groupBy("segment").agg(F.collect_list("doc").alias("gone"))
-    head = some.filter(F.col("term") == ALL).join(gone, "segment").withColumn("gone", F.map_from_arrays("gone", F.array_repeat(F.lit(True), F.size("gone"))))
-    alive = lambda c, other: F.transform(c, lambda x, i: F.when(F.try_element_at("gone", i).isNull(), x).otherwise(other)).alias(c)
-    heads = head.select("segment", "term", "block", (F.col("n") - F.size("gone")).alias("n"), "docs", "tfs", "max_tf", "min_dl", alive("parents", F.lit(None).cast("bigint")), "ords", alive("dls", F.lit(0)))
-    at = scratch.path()
-    return blocks.filter(~F.col("segment").isin(hit)).unionByName(write_segments(heads.unionByName(again).repartition("segment"), at)), hit
+    few = len(hit) <= BROADCAST_SEGMENTS  # then a task writes the segments that it reads
+    some = blocks.filter(F.col("segment").isin(hit)).join(F.broadcast(dead) if few else dead, "segment")
+    stays = lambda doc: F.getbit(F.get("gone", F.shiftright(doc, 6)), doc.bitwiseAND(F.lit(63))) == 0
+    alive = lambda c, other: F.transform(c, lambda x, i: F.when(stays(i), x).otherwise(other)).alias(c)
+    fewer = F.col("n") - F.aggregate("gone", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    left = some.withColumn("e", F.filter(F.arrays_zip("docs", "tfs"), lambda e: stays(e["docs"]))).filter((F.col("term") == ALL) | (F.size("e") > 0))
+    rows = left.select(
+        "segment", "term", "block", F.when(F.col("term") == ALL, fewer).otherwise(F.size("e")).alias("n"), F.col("e.docs").alias("docs"), F.col("e.tfs").alias("tfs"), "max_tf", "min_dl",
+        alive("parents", F.lit(None).cast("bigint")), "ords", alive("dls", F.lit(0)),
+    )
+    return blocks.filter(~F.col("segment").isin(hit)).unionByName(write_segments(rows if few else rows.repartition("segment"), scratch.path())), hit
 
 
 class Term:

@@ -82,8 +82,14 @@ class Index:
     blocks: DataFrame
 
     @classmethod
-    def build(cls, children: DataFrame, scratch: Scratch) -> Index:
-        """One pass tokenizes the passages; the term table adds up what the segments hold."""
+    def build(cls, children: DataFrame, scratch: Scratch, path: str | None = None) -> Index:
+        """One pass tokenizes the passages; the term table adds up what the segments hold. With a path (of a folder that isn't
+        there) the index is kept where it is built, as save() would leave it."""
+        if path:
+            children.write.parquet(f"{path}/passages")
+            blocks = P.write_segments(P.segments(children.sparkSession.read.schema(children.schema).parquet(f"{path}/passages")), f"{path}/blocks")
+            P.counts_of(blocks).write.parquet(f"{path}/terms")
+            return cls.load(children.sparkSession, path)
         passages = scratch.write(children)
         blocks = P.write_segments(P.segments(passages), scratch.path())
         return cls(passages, scratch.write(P.counts_of(blocks)), blocks)

@@ -47,12 +47,12 @@ def contexts(spark, sf_dir, expander=None):
 
 
 def kept_index(spark, sf_dir):
-    """An index of the first half of the documents, saved, read again and brought up to date with the others and with a
+    """An index of the first half of the documents, kept, read again and brought up to date with the others and with a
     changed text of every tenth."""
     scratch, all_docs = Scratch(spark), docs(spark, sf_dir)
     early = all_docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("An earlier state. "), "text")).otherwise(F.col("text")))
     at = scratch.path()
-    R.Index.build(R.children_of(early), scratch).save(at)
+    R.Index.build(R.children_of(early), scratch, at)
     late = all_docs.filter("doc_id % 2 = 1 OR doc_id % 10 = 0")
     return R.Index.load(spark, at).replaced(R.children_of(late), late.select(F.col("doc_id").alias("parent_id")), scratch)
 

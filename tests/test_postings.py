@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import postings as P
 from quern.operators import retrieval as R
@@ -128,6 +129,32 @@ def test_segments_are_searched_once(spark, monkeypatch):
     assert met.value == 5
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_replaced_segments_stay_whole_files_without_taking_postings_apart(spark, monkeypatch, few):
+    """One file and one task a segment, no posting is a row, an index that is built in its place, thinned twice."""
+    monkeypatch.setattr(P.segments, "__defaults__", (0, 1024))
+    if not few:
+        monkeypatch.setattr(P, "BROADCAST_SEGMENTS", 0)
+    rows, scratch = corpus(3000), Scratch(spark)
+    index = R.Index.build(frame(spark, rows).coalesce(1), scratch, scratch.path())
+    plans, write = [], P.write_segments
+
+    def written(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(P, "write_segments", written)
+    for gone in (range(0, 1000, 9), range(5, 1000, 7)):
+        index = index.replaced(frame(spark, rows[:0]), spark.createDataFrame([(i,) for i in gone], "parent_id long"), scratch)
+        rows = [x for x in rows if x[0] not in gone]
+    assert len(plans) >= 2 and not any("explode" in p.lower() for p in plans)
+    blocks = index.blocks.select("*", F.input_file_name().alias("file"))
+    assert blocks.groupBy("segment").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+    assert {r.term: r.df for r in index.terms.collect()} == {**Counter(t for _, _, _, text in rows for t in set(TOKEN.findall(text.lower()))), "": len(rows)}
+    got = R.bm25_topk(index, spark.createDataFrame([(1, "w1 w2 w30")], "question_id long, question string"), 10).collect()
+    assert sorted((r["rank"], r.parent_id, r.ord, r.score) for r in got) == by_hand(rows, "w1 w2 w30", 10)
+
+
 def test_wide_passages_make_segments_of_as_many_tokens(spark, monkeypatch):
     """A segment ends at a number of tokens, too, and nothing is lost where it does."""
     rows = [(i, 0, "t", " ".join(f"w{i % 7} x" for _ in range(50))) for i in range(200)]
