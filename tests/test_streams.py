@@ -26,6 +26,28 @@ def test_budget_by_hand():
     assert out == [0, 1, 61, 61, 122]
 
 
+@pytest.mark.parametrize("slots", [2, 1024])
+def test_many_keys_share_a_state(spark, slots):
+    """Keys of one slot keep their own logs over batches; null requests stay null, large keys whole."""
+    scratch, big = Scratch(spark), (1 << 60) + 1
+    rows = [(big + i % 40 if i % 41 else None, i if i % 13 else None, (i + 500) * 3_000_000 + i, 40) for i in range(600)]
+    path = scratch.path()
+    for part in (rows[:300], rows[300:]):
+        spark.createDataFrame(part, "key long, request long, us long, tokens long").selectExpr("key", "request", "timestamp_micros(us) AS ts", "tokens").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("key long, request long, ts timestamp, tokens long").option("maxFilesPerTrigger", 1).parquet(path)
+    budget = limiter.Budget(tokens=100, requests=3, window=300.0, hold=301.0)
+    with limiter.with_state_store(spark):
+        out = limiter.admissions(stream, budget, "1 minute", slots)
+        got = streams.run_to_end(out, scratch, "append").selectExpr("key", "request", "unix_micros(asked)", "unix_micros(admitted)").collect()
+    end, logs, last, want = rows[-1][2] // 1000 - 60_000, defaultdict(list), defaultdict(int), []
+    for key, request, us, tokens in rows:
+        if us // 1000 < end:
+            last[key] = budget.admit(logs[key], max(last[key], us), tokens)
+            want.append((key, request, us, last[key]))
+    order = lambda x: x[2]
+    assert sorted(map(tuple, got), key=order) == want and len(want) > 500
+
+
 def test_admissions_in_event_order_across_batches(spark):
     """Rows come late, but within the watermark; several files, each a batch."""
     r, scratch = random.Random(4), Scratch(spark)
