@@ -112,6 +112,20 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_near_duplicates_take_few_jobs(spark):
+    """Each shuffle is a job or more, whose tasks cost the same on small tables: they are what a table of many parts pays for."""
+    import random
+
+    r, base = random.Random(5), D.prose(12, 120).split()
+    texts = [(i, " ".join(f"new{r.randrange(9999)}" if r.random() < 0.05 else w for w in base)) for i in range(60)] + [(60 + i, D.prose(40 + i % 3, 30)) for i in range(9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near_duplicates_jobs", "")
+    got = minmax_dedup.near_duplicates(docs, Scratch(spark), k=2).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {x.doc_id: x.component_id for x in got} == D.components({i: D.shingle_set(t, 2) for i, t in texts})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near_duplicates_jobs")) < 120
+
+
 def test_minmax_signature_is_unbiased():
     a, b = minmax_dedup.permutations()
     r = np.random.default_rng(0)
