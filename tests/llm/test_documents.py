@@ -317,6 +317,22 @@ def test_lm_score_is_the_sum_of_log_probabilities(spark):
         assert got[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_lm_powers_are_taken_in_single_precision(monkeypatch):
+    """At every level of the tree, and the sums of a level below the first in double precision, whatever stands beside a word."""
+    kinds = []
+    m = lm_scoring.start(list(range(900, 200, -1)), 50, 20)
+    m["Q"] = np.random.default_rng(2).normal(0, 0.5, m["Q"].shape).astype(np.float32)
+    r = np.random.default_rng(3)
+    a, b, w = (r.integers(0, 702, 4000) for _ in range(3))
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **k: kinds.append(x.dtype) or exp(x, **k))
+    got = lm_scoring.log_probs(m, a, b, w)
+    monkeypatch.undo()
+    assert set(kinds) == {np.dtype(np.float32)}
+    few = np.concatenate([lm_scoring.log_probs(m, a[k : k + 1024], b[k : k + 1024], w[k : k + 1024]) for k in range(0, 4000, 1024)])
+    assert np.abs(got - few).max() < 1e-8
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     score = lambda n: sorted((r.doc_id, r.score) for r in lm_scoring.lm_scores(docs.repartition(n), Scratch(spark), part_tokens=20_000).collect())
