@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,54 @@ def test_lm_powers_are_taken_in_single_precision(monkeypatch):
     assert np.abs(got - few).max() < 1e-8
 
 
+def test_lm_predicts_from_a_pair_of_words_once(monkeypatch):
+    """4,000 words after 50 pairs, of 20 words: powers at the first level are as many as words (or pairs), not as the words scored,
+    and a score stays what it is by the definition and beside any other."""
+    made = []
+    m = lm_scoring.start(list(range(900, 200, -1)), 50, 20)
+    r = np.random.default_rng(4)
+    m["Q"] = r.normal(0, 0.5, m["Q"].shape).astype(np.float32)
+    first = lm_scoring.tree(m)[3]
+    pairs, w = r.integers(0, 20, (50, 2)), r.integers(0, 702, 4000)
+    a, b = pairs[r.integers(0, 50, 4000)].T
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **k: made.append(x.shape) or exp(x, **k))
+    got = lm_scoring.log_probs(m, a, b, w)
+    monkeypatch.undo()
+    assert 0 < sum(x[0] for x in made if x[-1] == first) <= 50
+    assert np.allclose(got[:40], [plain_log_prob(m, *x) for x in zip(a[:40], b[:40], w[:40], strict=True)], atol=1e-5)
+    mixed = r.permutation(4000)
+    assert np.abs(lm_scoring.log_probs(m, a[mixed], b[mixed], w[mixed]) - got[mixed]).max() < 1e-8
+    monkeypatch.setattr(lm_scoring, "POWERS", 8)
+    assert np.abs(lm_scoring.log_probs(m, a, b, w) - got).max() < 1e-8
+
+
+def test_lm_powers_too_large_for_single_precision():
+    m = lm_scoring.start(list(range(900, 200, -1)), 50, 20)
+    r = np.random.default_rng(5)
+    m["Q"] = r.normal(0, 40, m["Q"].shape).astype(np.float32)
+    a, b, w = r.integers(0, 20, 300), r.integers(0, 3, 300), r.integers(0, 702, 300)
+    assert np.allclose(lm_scoring.log_probs(m, a, b, w), [plain_log_prob(m, *x) for x in zip(a, b, w, strict=True)], rtol=1e-4)
+
+
+def test_lm_words_of_odd_texts():
+    texts = [None, "", " ", "a", "\x0bA\x0c b\x1cc\x85\u00a0D\r\n", "\u00c4\u0130 \x00", "\t\tx  y ", "  "]
+    words, lens = lm_scoring.words_of(pa.array(texts, pa.string()))
+    want = [lm_scoring.tokens(None if t is None else t.encode())[:-1] for t in texts]
+    assert words.to_pylist() == [w for x in want for w in x] and lens.tolist() == [len(x) for x in want]
+    slices = [(at, len(x)) for at, x in lm_scoring.stretches(pa.array(["a" * 5_000_000] * 3 + ["b" * 9_000_000, None] + ["c"] * 5000))]
+    assert slices == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2048), (2052, 2048), (4100, 905)] and list(lm_scoring.stretches(pa.array([], pa.string()))) == []
+
+
+def test_lm_sums_of_rows():
+    r = np.random.default_rng(6)
+    rows, values = (1.2 ** r.integers(0, 40, 3000)).astype(np.int32), r.normal(0, 1, (3000, 6)).astype(np.float32)
+    at, sums = lm_scoring.by_row(rows, values)
+    assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(sums, [values[rows == k].sum(0) for k in at], atol=1e-4)
+    at, sums = lm_scoring.by_row(np.array([7, 3, 7], np.int32), values[:3])
+    assert at.tolist() == [3, 7] and np.allclose(sums, [values[1], values[0] + values[2]])
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     score = lambda n: sorted((r.doc_id, r.score) for r in lm_scoring.lm_scores(docs.repartition(n), Scratch(spark), part_tokens=20_000).collect())
