@@ -382,6 +382,24 @@ def test_lm_sums_of_rows():
     assert at.tolist() == [3, 7] and np.allclose(sums, [values[1], values[0] + values[2]])
 
 
+def test_lm_rounds_leave_no_shuffled_files(spark, monkeypatch):
+    """What a round has shuffled is deleted when it ends; the session is as before."""
+    seen, held = [], spark.conf.get(lm_scoring.CLEANUP)
+    tracked = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    docs = spark.range(60).selectExpr("id doc_id", "concat('some words of text ', id % 7) text").repartition(4)
+    round_of = lm_scoring.train_round
+
+    def counted(*args):
+        before = tracked.size()
+        out = round_of(*args)
+        seen.append((spark.conf.get(lm_scoring.CLEANUP), tracked.size() <= before))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "train_round", counted)
+    assert lm_scoring.lm_scores(docs, Scratch(spark)).count() == 60
+    assert seen == [("true", True)] * len(lm_scoring.ROUNDS) and spark.conf.get(lm_scoring.CLEANUP) == held
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     score = lambda n: sorted((r.doc_id, r.score) for r in lm_scoring.lm_scores(docs.repartition(n), Scratch(spark), part_tokens=20_000).collect())
